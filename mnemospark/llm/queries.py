@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir), keep="max")
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text with a public byte-level vocabulary."""
+    return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
 ORACLES = {
