@@ -14,39 +14,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PRIME = (1 << 31) - 1
-#: Multipliers below 2**31, so that no product leaves 63 bits.
-MULTIPLIERS = (1103515245, 1664525, 1566083941)
+#: Shards up to which every score is an expression of its own, compiled; beyond, one expression runs over an array.
+UNROLLED = 128
 
 
-def _rounds(h: Column, prime: int = PRIME) -> Column:
-    """Mix a value of 0 to prime - 1: multiply modulo the prime, fold high bits down, again."""
-    for m in MULTIPLIERS:
-        h = (h * F.lit(m) + F.lit(12345)) % F.lit(prime)
-        h = (h.bitwiseXOR(F.shiftright(h, 15))) % F.lit(prime)
-    return h
-
-
-def key_hash(key: Column, dtype: T.DataType) -> Column:
-    """A value of 0 to 2**31 - 2 for the key: from the number itself, or from xxhash64 of any other type."""
-    k = key.cast("long") if isinstance(dtype, T.IntegralType) else F.xxhash64(key)
-    k = F.coalesce(k, F.lit(-1).cast("long"))
-    lo, hi = k.bitwiseAND(F.lit(PRIME)), F.shiftrightunsigned(k, 31)
-    return _rounds((lo + F.lit(31) * (hi % F.lit(PRIME))) % F.lit(PRIME))
-
-
-def _score(base: Column, shard: Column, weight: Column) -> Column:
-    u = (_rounds((base + shard * F.lit(40503) + F.lit(977)) % F.lit(PRIME)) + F.lit(1.0)) / F.lit(float(PRIME + 1))
+def _score(key: Column, shard: Column, weight: Column) -> Column:
+    """-ln(u) / weight, for a u of 53 bits in (0, 1) that the key and the shard decide."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, shard), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.log(u) / weight
 
 
-def rendezvous(base: Column, weights: Sequence[float]) -> Column:
-    """The shard of a key hash. weights: by shard number; a shard of weight 0 gets nothing."""
-    shards = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights) if w > 0])
-    scored = F.transform(shards, lambda s: F.struct(_score(base, s["i"], s["w"]).alias("score"), s["i"].alias("i")))
-    return F.array_min(scored)["i"].cast("int")
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """A struct of the least score and its shard. weights: by shard number; a shard of weight 0 gets nothing."""
+    live = [(i, float(w)) for i, w in enumerate(weights) if w > 0]
+    if not live:
+        raise ValueError("no shard has a weight")
+    one = lambda i, w: F.struct(_score(key, i, w).alias("score"), i.alias("shard"))
+    if len(live) <= UNROLLED:
+        scored = [one(F.lit(i), F.lit(w)) for i, w in live]
+        return F.least(*scored) if len(scored) > 1 else scored[0]
+    shards = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in live])
+    return F.array_min(F.transform(shards, lambda s: one(s["i"], s["w"])))
 
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
@@ -54,19 +43,14 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[fl
 
     Where grown only appends shards, only their scores are computed in addition.
     """
-    base = key_hash(F.col(key), df.schema[key].dataType)
-    out = df.withColumn("__base", base).withColumn("shard", rendezvous(F.col("__base"), weights))
+    if grown is not None and list(grown[: len(weights)]) != list(weights):
+        raise ValueError("grown must start with the present weights")
+    out = df.withColumn("__best", rendezvous(F.col(key), weights)).withColumn("shard", F.col("__best.shard"))
     if grown is not None:
-        if list(grown[: len(weights)]) != list(weights):
-            raise ValueError("grown must start with the present weights")
-        best = _score(F.col("__base"), F.col("shard").cast("long"), F.lit(1.0))
-        old = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("shard") + 1)
-        best, shard = best / old, F.col("shard")
-        for i in range(len(weights), len(grown)):
-            s = _score(F.col("__base"), F.lit(i).cast("long"), F.lit(float(grown[i])))
-            shard, best = F.when(s < best, F.lit(i)).otherwise(shard), F.least(s, best)
-        out = out.withColumn("grown_shard", shard.cast("int"))
-    return out.drop("__base")
+        more = [0.0] * len(weights) + list(grown[len(weights) :])
+        best = F.least(F.col("__best"), rendezvous(F.col(key), more)) if any(more) else F.col("__best")
+        out = out.withColumn("grown_shard", best["shard"])
+    return out.drop("__best")
 
 
 def with_slots(df: DataFrame, key: str, cells: int) -> DataFrame:
