@@ -30,6 +30,7 @@ RUN_ENTRIES = 250_000
 #: Of groups that hold at least this share of all rows there are at most HOT_GROUPS.
 HOT_GROUPS = 10_000
 
+SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("check", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64())])
 RUN = "range int, node int, digest binary, n_bytes long, check long, keep_id long, n long"
 
 
@@ -37,7 +38,7 @@ def _fold(batches):
     """Rows in (range, node, digest, n_bytes, check) order to one row for each key; keep_id is the least."""
     last = None
     for b in batches:
-        t = pa.Table.from_batches([b])
+        t = pa.Table.from_batches([b]).cast(SCHEMA)
         if last is not None:
             t = pa.concat_tables([last, t])
         t = t.combine_chunks()
