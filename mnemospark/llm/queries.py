@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, exact_dedup, language_id, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,16 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from four fifths of the documents."""
+    return language_id.language_id(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES = {
