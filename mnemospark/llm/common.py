@@ -52,3 +52,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Groups of at least 1/HOT_GROUPS of the rows: there are at most so many of them.
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with the one row that groups has for each key; size: the column of rows for a key.
+
+    Keys with at least 1/HOT_GROUPS of the total rows go by broadcast (at most HOT_GROUPS short rows); no
+    other key has more than that share, so none fills a task of the shuffled join.
+    """
+    least = max(2, -(-total // HOT_GROUPS))
+    hot = F.broadcast(groups.where(F.col(size) >= least))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(size) < least), on))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node and component (its least node) for every node of the edges u, v: large-star and small-star rounds.
+
+    Each round is written to the shared folder; degrees are folded by partial aggregation.
+    """
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    before = None
+    while True:
+        e = written(e, name)
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == before or not now[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        own = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(own, "u")
+        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

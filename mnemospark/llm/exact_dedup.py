@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 
 FAN = 8
 #: Entries of the merged run of one range, about: what a node holds in its sort buffers.
 RUN_ENTRIES = 250_000
-#: Of groups that hold at least this share of all rows there are at most HOT_GROUPS.
-HOT_GROUPS = 10_000
 
 SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("check", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64())])
 RUN = "range int, node int, digest binary, n_bytes long, check long, keep_id long, n long"
@@ -103,18 +101,13 @@ def groups(found: DataFrame, parts: int, rows: int, keep: str = "min") -> DataFr
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Groups of at least 1/HOT_GROUPS of the rows are looked up by broadcast (there are at most HOT_GROUPS
-    of them, of 64 bytes each); the others, none larger than that share, by a join on the digest.
+    The decisions come back to the rows by the digest; see join_groups for groups that hold many rows.
     """
     found = written(digests(docs, key, text), "digests")
     parts = (found.agg(F.max("part")).first()[0] or 0) + 1
     rows = found.count()
     merged = written(groups(found, parts, rows, keep), "digest-groups")
     on = ["digest", "n_bytes", "check"]
-    hot = F.broadcast(merged.where(F.col("group_size") >= max(2, math.ceil(rows / HOT_GROUPS))))
-    cold = merged.where(F.col("group_size") < max(2, math.ceil(rows / HOT_GROUPS)))
-    ids = found.select("doc_id", *on)
-    rest = ids.join(hot, on, "left_anti").join(cold, on)
-    return ids.join(hot, on).unionByName(rest).select(
+    return join_groups(found.select("doc_id", *on), merged, on, "group_size", rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, sharding
+from . import bpe, exact_dedup, jaccard, language_id, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_docs(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by the similarity of their 5-word shingles."""
+    return jaccard.near_duplicates(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_id": op8_language_id,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES = {
