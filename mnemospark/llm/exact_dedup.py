@@ -111,3 +111,14 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     return join_groups(found.select("doc_id", *on), merged, on, "group_size", rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
+    """The rows of docs that stay, with their columns; of rows with the same identifier and text, one."""
+    found = written(exact_duplicates(docs, key, text, keep), "dedup-decisions")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    out = docs.join(gone, key, "left_anti")
+    again = found.where("kept").groupBy(F.col("doc_id").alias(key), "text_sha256").count().where("count > 1").select(key).distinct()
+    if again.isEmpty():
+        return out
+    return out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key, text]))

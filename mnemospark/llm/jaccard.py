@@ -350,3 +350,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     linked = join_groups(rows.where("set_key is not null"), reach, ["set_key"], "size", total)
     alone = rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that link, over any path, to one of a smaller identifier."""
+    found = written(near_duplicates(docs, key, text), "near-decisions")
+    return docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard, language_id, sharding
+from . import bpe, decontamination, exact_dedup, jaccard, language_id, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir), [1.0] * 40)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, each with its best passage."""
+    return decontamination.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts; the largest doc_id stays."""
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir), keep="max")
@@ -39,6 +44,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_id": op8_language_id,
