@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, jaccard, language_id, sharding
+from . import bpe, decontamination, exact_dedup, jaccard, language_id, lm_score, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_docs(spark, sf_dir))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text, learned from four fifths of the documents."""
+    return lm_score.language_model_scores(_docs(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by the similarity of their 5-word shingles."""
     return jaccard.near_duplicates(_docs(spark, sf_dir))
@@ -48,6 +53,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_id": op8_language_id,
+    "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
