@@ -8,7 +8,7 @@ Light sets (small ones) enumerate the fixed-size subsets of which a partner must
 scan the inverted lists of a prefix: the rarest hashes, so many that two linked sets must meet in one. The
 boundary is the size at which subsets begin to cost more than list entries, from the data's mean list length.
 
-A list or subset gives candidate links to its first member only; they are verified exactly and joined into
+Each set is first verified against the least first member of its lists, and these links are joined into
 components. Lists that still hold several components are then compared pair by pair inside tasks (blocks
 of members, overlaps by matrix product), so no pair is lost and no group of copies is written out as pairs.
 
@@ -309,7 +309,7 @@ def links(sets: DataFrame) -> DataFrame:
     light = light_boundary((stats[0] or 0) / (stats[1] or 1))
     lists = written(sets.select("doc_id", "n", "shared").mapInArrow(lambda it: _entries(it, light), "list long, doc_id long, n long"), "lists")
     first = lists.groupBy("list").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    stars = lists.join(first, "list").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    stars = lists.join(first, "list").where("doc_id <> v").groupBy(F.col("doc_id").alias("u")).agg(F.min("v").alias("v"))
     s = sets.select("doc_id", "n", "shared")
     ends = stars.join(s.toDF("u", "n", "s"), "u").join(s.toDF("v", "m", "t"), "v").where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m)")
     near = written(ends.select("u", "v", "n", "m", "s", "t").mapInArrow(_verified, LINKS), "star-links")
