@@ -163,7 +163,7 @@ def item_id(kind: Column, target: Column, what: Column) -> Column:
 
 def unfence(x: Column) -> Column:
     """A model's JSON answer without a code fence around it."""
-    return F.trim(F.regexp_replace(F.trim(x), r"\A```(?:json)?\s*|\s*```\z", ""))
+    return F.regexp_replace(F.regexp_replace(x, r"\A\s*(?:```(?:json)?)?\s*", ""), r"\s*(?:```)?\s*\z", "")
 
 
 def quote_form(x: Column) -> Column:

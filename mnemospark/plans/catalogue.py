@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
