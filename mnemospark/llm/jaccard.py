@@ -36,8 +36,8 @@ WORDS = 5
 #: A link: DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Text bytes of one block of documents, and shingles of one shard of hashes, about.
-BLOCK_BYTES = 8_000_000
-SHARD_ENTRIES = 3_000_000
+BLOCK_BYTES = 3_000_000
+SHARD_ENTRIES = 1_500_000
 #: Members of a list that one task compares with as many others.
 MEMBERS = 2048
 #: Largest size whose subsets are considered; they cost 2**LIGHT_LIMIT at most.
