@@ -9,8 +9,9 @@ scan the inverted lists of a prefix: the rarest hashes, so many that two linked
 boundary is the size at which subsets begin to cost more than list entries, from the data's mean list length.
 
 Each set is first verified against the least first member of its lists, and these links are joined into
-components. Lists that still hold several components are then compared pair by pair inside tasks (blocks
-of members, overlaps by matrix product), so no pair is lost and no group of copies is written out as pairs.
+components. In lists that still hold several components, all pairs are screened inside tasks by an upper bound
+from bitmaps, and the members that pass are compared exactly (blocks of members, overlaps by matrix product),
+so no pair is lost and no group of copies is written out as pairs.
 
 Equal sets are one class from the start. Words are maximal runs outside white space, A-Z in lower case.
 
@@ -265,6 +266,52 @@ def _verified(batches):
 
 
 LINKS = "u long, v long"
+SETS_WITH_BITS = "doc_id long, n long, shared binary, df_sum long, bits binary"
+UNIT = "list long, i long, j long, doc_id long, n long, component long, side int"
+
+
+def _bitmap(s: np.ndarray, n: int) -> bytes:
+    """The hashes of a set of n as bits, 8 to 16 for each shingle of the set."""
+    size = 8 << max(3, (n - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _with_bits(batches):
+    for b in batches:
+        bits = [_bitmap(np.frombuffer(s, "<u8"), n) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary())], names=[*b.schema.names, "bits"])
+
+
+def _screened(table: pa.Table) -> pa.Table:
+    """The members of a unit that may link with another component's: a bit of one set that the other lacks
+    stands for a shingle that they don't share, which bounds their overlap from above."""
+    n, comp, side, held = (table[c].to_numpy() for c in ("n", "component", "side", "held"))
+    bits = [np.frombuffer(x, "<u8") for x in table["bits"].to_pylist()]
+    classes: dict[int, list[int]] = {}
+    for i, x in enumerate(bits):
+        classes.setdefault(len(x), []).append(i)
+    found = np.zeros(len(n), dtype=bool)
+    for size, own in classes.items():
+        a = np.stack([bits[i] for i in own])
+        for other, factor in ((size, 1), (2 * size, 2)):  # linked sizes are never further apart
+            if other not in classes:
+                continue
+            there = np.array(classes[other])
+            b = np.stack([bits[i] for i in there]).reshape(len(there), factor, size)
+            b = np.bitwise_or.reduce(b, axis=1)
+            for row, i in zip(a, own, strict=True):
+                fit = (comp[there] != comp[i]) & (DENOMINATOR * np.minimum(n[there], n[i]) >= NUMERATOR * np.maximum(n[there], n[i])) & ((side[there] == 2) | (side[there] != side[i]))
+                if not fit.any():
+                    continue
+                at, y = there[fit], b[fit]
+                most = np.minimum(held[i] - np.bitwise_count(row & ~y).sum(axis=1, dtype=np.int64), held[at] - np.bitwise_count(y & ~row).sum(axis=1, dtype=np.int64))
+                ok = _is_link(most, n[i], n[at])
+                if ok.any():
+                    found[i] = True
+                    found[at[ok]] = True
+    return table.select(["list", "i", "j", "doc_id", "n", "component", "side"]).filter(pa.array(found))
 
 
 def _compared(table: pa.Table) -> pa.Table:
@@ -305,6 +352,7 @@ def _compared(table: pa.Table) -> pa.Table:
 
 def links(sets: DataFrame) -> DataFrame:
     """node and component of all linked sets. sets: doc_id, n, shared, df_sum, one row for each different set."""
+    sets = written(sets.mapInArrow(_with_bits, SETS_WITH_BITS), "class-sets")
     stats = sets.agg(F.sum("df_sum"), F.sum(F.octet_length("shared") / 8)).first()
     light = light_boundary((stats[0] or 0) / (stats[1] or 1))
     lists = written(sets.select("doc_id", "n", "shared").mapInArrow(lambda it: _entries(it, light), "list long, doc_id long, n long"), "lists")
@@ -332,7 +380,8 @@ def links(sets: DataFrame) -> DataFrame:
         "list", "doc_id", "n", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int").alias("side"),
     )
-    more = unit.join(s.select("doc_id", "shared"), "doc_id").groupBy("list", "i", "j").applyInArrow(_compared, LINKS)
+    near_units = unit.join(sets.select("doc_id", F.expr("cast(octet_length(shared) / 8 as long)").alias("held"), "bits"), "doc_id").groupBy("list", "i", "j").applyInArrow(_screened, UNIT)
+    more = written(near_units, "screened").join(s.select("doc_id", "shared"), "doc_id").groupBy("list", "i", "j").applyInArrow(_compared, LINKS)
     return components(near.unionByName(written(more, "list-links")))
 
 
@@ -344,7 +393,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # one row for each class that may be linked: its first document's
     firsts = classes.select(F.col("first").alias("doc_id"), "set_key")
     alive = sets.where("shared is not null").dropDuplicates(["doc_id", "set_key"]).join(firsts, ["doc_id", "set_key"])
-    found = links(written(alive.select("doc_id", "n", "shared", "df_sum"), "class-sets"))
+    found = links(alive.select("doc_id", "n", "shared", "df_sum"))
     reach = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("set_key", "size", F.coalesce("component", "first").alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
     linked = join_groups(rows.where("set_key is not null"), reach, ["set_key"], "size", total)
