@@ -38,6 +38,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Text bytes of one block of documents, and shingles of one shard of hashes, about.
 BLOCK_BYTES = 3_000_000
+#: Bytes whose words are hashed at once.
+HASHED_BYTES = 500_000
 SHARD_ENTRIES = 1_500_000
 #: Members of a list that one task compares with as many others.
 MEMBERS = 2048
@@ -57,7 +59,7 @@ _powers: dict[str, np.ndarray] = {}
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _powers or len(_powers["up"]) < n:
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            p = np.full(max(n, BLOCK_BYTES + BLOCK_BYTES // 8), base, dtype=np.uint64)
+            p = np.full(max(n, HASHED_BYTES + 64), base, dtype=np.uint64)
             p[0] = 1
             _powers[name] = np.multiply.accumulate(p)
     return _powers["up"], _powers["down"]
@@ -69,7 +71,23 @@ def need(n):
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of every text, in order, and each text's number of words."""
+    """A hash of every word of every text, in order, and each text's number of words; HASHED_BYTES at a time."""
+    found, counts, start = [], [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (not size or size + len(texts[end]) <= HASHED_BYTES):
+            size += len(texts[end]) + 1
+            end += 1
+        w, n = _word_hashes(texts[start:end])
+        found.append(w)
+        counts.append(n)
+        start = end
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(found), np.concatenate(counts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
     blank = BLANK[data]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
