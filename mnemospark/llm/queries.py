@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, jaccard, language_id, lm_score, sharding
+from . import bpe, decontamination, exact_dedup, jaccard, language_id, lm_score, pii, sharding
+
+#: A deployment passes its own secret.
+PSEUDONYM_KEY = "public-example-key"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text replaced by format-preserving pseudonyms."""
+    out = pii.pseudonymised(_docs(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+    return out.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 40 shards of equal weight, by the key law."""
     return sharding.shard_documents(_docs(spark, sf_dir), [1.0] * 40)
@@ -48,6 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
