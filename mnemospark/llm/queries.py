@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, jaccard, language_id, lm_score, pii, sharding
+from . import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, lm_score, pii, sharding
 
 #: A deployment passes its own secret.
 PSEUDONYM_KEY = "public-example-key"
@@ -37,6 +37,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir), keep="max")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with a public byte-level vocabulary."""
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_main_text": op6_main_text,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_id": op8_language_id,
     "op9_lm_score": op9_lm_score,
