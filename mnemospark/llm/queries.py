@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, lm_score, pii, sharding
+from . import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup
 
 #: A deployment passes its own secret.
 PSEUDONYM_KEY = "public-example-key"
@@ -37,6 +37,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir), keep="max")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under 50-byte strings that start in an earlier document."""
+    return suffix_dedup.without_repeats(_docs(spark, sf_dir))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_main_text": op6_main_text,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_id": op8_language_id,
