@@ -10,8 +10,9 @@ boundary is the size at which subsets begin to cost more than list entries, from
 
 Each set is first verified against the least first member of its lists, and these links are joined into
 components. In lists that still hold several components, all pairs are screened inside tasks by an upper bound
-from bitmaps, and the members that pass are compared exactly (blocks of members, overlaps by matrix product),
-so no pair is lost and no group of copies is written out as pairs.
+from bitmaps; of those that pass, a spanning set is verified. Where that fails to join a list, the members that
+pass are compared exactly (blocks of members, overlaps by matrix product). So no pair is lost, and no group of
+copies is written out as pairs.
 
 Equal sets are one class from the start. Words are maximal runs outside white space, A-Z in lower case.
 
@@ -302,15 +303,14 @@ def _with_bits(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary())], names=[*b.schema.names, "bits"])
 
 
-def _screened(table: pa.Table) -> pa.Table:
-    """The members of a unit that may link with another component's: a bit of one set that the other lacks
-    stands for a shingle that they don't share, which bounds their overlap from above."""
+def _passing(table: pa.Table):
+    """Pairs of places in a unit (one, and an array of others) that may be links between components: a bit of
+    one set that the other lacks stands for a shingle that they don't share, which bounds their overlap."""
     n, comp, side, held = (table[c].to_numpy() for c in ("n", "component", "side", "held"))
     bits = [np.frombuffer(x, "<u8") for x in table["bits"].to_pylist()]
     classes: dict[int, list[int]] = {}
     for i, x in enumerate(bits):
         classes.setdefault(len(x), []).append(i)
-    found = np.zeros(len(n), dtype=bool)
     for size, own in classes.items():
         a = np.stack([bits[i] for i in own])
         for other, factor in ((size, 1), (2 * size, 2)):  # linked sizes are never further apart
@@ -327,8 +327,42 @@ def _screened(table: pa.Table) -> pa.Table:
                 most = np.minimum(held[i] - np.bitwise_count(row & ~y).sum(axis=1, dtype=np.int64), held[at] - np.bitwise_count(y & ~row).sum(axis=1, dtype=np.int64))
                 ok = _is_link(most, n[i], n[at])
                 if ok.any():
-                    found[i] = True
-                    found[at[ok]] = True
+                    yield i, at[ok]
+
+
+class _Forest(dict):
+    """Joined components."""
+
+    def root(self, x: int) -> int:
+        while (p := self.get(x, x)) != x:
+            x = p
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _spanned(table: pa.Table) -> pa.Table:
+    """Of a unit's pairs that may link components, as many as would join all that they can."""
+    doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+    forest, u, v = _Forest(), [], []
+    for i, at in _passing(table):
+        for j in at.tolist():
+            if forest.join(int(comp[i]), int(comp[j])):
+                u.append(max(int(doc[i]), int(doc[j])))
+                v.append(min(int(doc[i]), int(doc[j])))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _screened(table: pa.Table) -> pa.Table:
+    """The members of a unit that may link with another component's."""
+    found = np.zeros(table.num_rows, dtype=bool)
+    for i, at in _passing(table):
+        found[i] = True
+        found[at] = True
     return table.select(["list", "i", "j", "doc_id", "n", "component", "side"]).filter(pa.array(found))
 
 
@@ -351,39 +385,30 @@ def _compared(table: pa.Table) -> pa.Table:
     n = n.astype(np.int64)
     linked = _is_link(overlap.astype(np.int64), n[left][:, None], n[right][None, :]) & (comp[left][:, None] != comp[right][None, :])
     a, b = np.nonzero(linked)
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (p := parent.get(x, x)) != x:
-            x = p
-        return x
-
-    u, v = [], []
+    forest, u, v = _Forest(), [], []
     for i, j in zip(left[a].tolist(), right[b].tolist(), strict=True):  # a spanning set of the links is enough
-        x, y = root(int(comp[i])), root(int(comp[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
+        if forest.join(int(comp[i]), int(comp[j])):
             u.append(int(doc[i]))
             v.append(int(doc[j]))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """node and component of all linked sets. sets: doc_id, n, shared, df_sum, one row for each different set."""
-    sets = written(sets.mapInArrow(_with_bits, SETS_WITH_BITS), "class-sets")
-    stats = sets.agg(F.sum("df_sum"), F.sum(F.octet_length("shared") / 8)).first()
-    light = light_boundary((stats[0] or 0) / (stats[1] or 1))
-    lists = written(sets.select("doc_id", "n", "shared").mapInArrow(lambda it: _entries(it, light), "list long, doc_id long, n long"), "lists")
-    first = lists.groupBy("list").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    stars = lists.join(first, "list").where("doc_id <> v").groupBy(F.col("doc_id").alias("u")).agg(F.min("v").alias("v"))
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs u, v the links, by their whole sets."""
     s = sets.select("doc_id", "n", "shared")
-    ends = stars.join(s.toDF("u", "n", "s"), "u").join(s.toDF("v", "m", "t"), "v").where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m)")
-    near = written(ends.select("u", "v", "n", "m", "s", "t").mapInArrow(_verified, LINKS), "star-links")
-    found = components(near)
-    # lists with more than one component left; of lists with the same members one is enough
+    ends = pairs.join(s.toDF("u", "n", "s"), "u").join(s.toDF("v", "m", "t"), "v").where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m)")
+    return ends.select("u", "v", "n", "m", "s", "t").mapInArrow(_verified, LINKS)
+
+
+def _units(lists: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, dealt into pairs of blocks of MEMBERS, with bitmaps.
+
+    Of lists with the same members one is enough; a list's count, sum and exclusive or of its members' hashes
+    tell, so no list is gathered for that.
+    """
     member = lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mark = F.xxhash64("doc_id")
-    open_lists = (
+    several = (
         member.groupBy("list")
         .agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
         .where("lo <> hi")
@@ -393,13 +418,29 @@ def links(sets: DataFrame) -> DataFrame:
     )
     own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = member.join(open_lists, "list").withColumn("own", own).withColumn("other", other)
-    unit = dealt.select(
-        "list", "doc_id", "n", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int").alias("side"),
-    )
-    near_units = unit.join(sets.select("doc_id", F.expr("cast(octet_length(shared) / 8 as long)").alias("held"), "bits"), "doc_id").groupBy("list", "i", "j").applyInArrow(_screened, UNIT)
-    more = written(near_units, "screened").join(s.select("doc_id", "shared"), "doc_id").groupBy("list", "i", "j").applyInArrow(_compared, LINKS)
+    dealt = member.join(several, "list").withColumn("own", own).withColumn("other", other)
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int")
+    unit = dealt.select("list", "doc_id", "n", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return unit.join(sets.select("doc_id", F.expr("cast(octet_length(shared) / 8 as long)").alias("held"), "bits"), "doc_id")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """node and component of all linked sets. sets: doc_id, n, shared, df_sum, one row for each different set."""
+    sets = written(sets.mapInArrow(_with_bits, SETS_WITH_BITS), "class-sets")
+    stats = sets.agg(F.sum("df_sum"), F.sum(F.octet_length("shared") / 8)).first()
+    light = light_boundary((stats[0] or 0) / (stats[1] or 1))
+    lists = written(sets.select("doc_id", "n", "shared").mapInArrow(lambda it: _entries(it, light), "list long, doc_id long, n long"), "lists")
+    # every set against the least first member of its lists
+    first = lists.groupBy("list").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    stars = lists.join(first, "list").where("doc_id <> v").groupBy(F.col("doc_id").alias("u")).agg(F.min("v").alias("v"))
+    near = written(_verify(stars, sets), "star-links")
+    # pairs that would join the rest, by their bitmaps
+    pairs = _units(lists, components(near), sets).groupBy("list", "i", "j").applyInArrow(_spanned, LINKS).distinct()
+    near = near.unionByName(written(_verify(written(pairs, "spanning-pairs"), sets), "spanning-links"))
+    # where one of those failed, all that may still link, compared exactly
+    found = components(near)
+    rest = written(_units(lists, found, sets).groupBy("list", "i", "j").applyInArrow(_screened, UNIT), "screened")
+    more = rest.join(sets.select("doc_id", "shared"), "doc_id").groupBy("list", "i", "j").applyInArrow(_compared, LINKS)
     return components(near.unionByName(written(more, "list-links")))
 
 
