@@ -47,7 +47,7 @@ def hybrid_pick(lexical: DataFrame, vector: DataFrame, key: str, limit: int) ->
     """The first lexical hit stays first; the others by fused score. leg: where the hit is shown from."""
     f = fuse(lexical, vector, key)
     leg = F.when(F.col("l").isNotNull(), "lexical").otherwise("vector")
-    top = f.withColumn("leg", leg).orderBy((F.col("l") == 0).desc_nulls_last(), F.desc("fused"), key).limit(limit)
+    top = f.withColumn("leg", leg).orderBy(F.desc(F.coalesce(F.col("l") == 0, F.lit(False))), F.desc("fused"), key).limit(limit)
     return top.select(key, "leg", "fused")
 
 
@@ -56,13 +56,21 @@ def missing(chunks: DataFrame, vectors: DataFrame, key: str, model: str) -> Data
     return chunks.join(vectors.where(F.col("model") == model).select(key), key, "left_anti")
 
 
-def padded_batches(texts: list[tuple[int, int]], rows: int = 64, budget: int = 8192, cap: int = 1024) -> list[list[int]]:
-    """Groups of (key, length), sorted by length: at most ``rows``, and rows x the longest (up to cap) in the budget."""
-    out: list[list[int]] = []
-    batch: list[int] = []
-    for key, length in sorted(texts, key=lambda x: (x[1], x[0])):
-        if batch and (len(batch) + 1 > rows or (len(batch) + 1) * min(cap, length) > budget):
-            out.append(batch)
-            batch = []
-        batch.append(key)
-    return [*out, batch] if batch else out
+def padded_batches(texts: DataFrame, key: str, length: str, rows: int = 64, budget: int = 8192, cap: int = 1024) -> DataFrame:
+    """key and batch: texts in order of length, grouped so that rows x the longest (up to cap) keeps to the budget.
+
+    Greedy groups need the order, so one embedding job's texts are folded together; give each job its own range.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col(length).alias("n"), F.col(key).alias("key"))))
+
+    def step(s, x):
+        fits = (s["size"] + 1 <= rows) & ((s["size"] + 1) * F.least(F.lit(cap), x["n"]) <= budget)
+        batch = F.when((s["size"] == 0) | fits, s["batch"]).otherwise(s["batch"] + 1)
+        size = F.when(fits, s["size"] + 1).otherwise(1)
+        done = F.concat(s["done"], F.array(F.struct(x["key"].alias("key"), batch.alias("batch"))))
+        return F.struct(batch.cast("long").alias("batch"), size.cast("int").alias("size"), done.alias("done"))
+
+    kind = texts.schema[key].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<key:{kind},batch:bigint>>")
+    start = F.struct(F.lit(1).cast("long").alias("batch"), F.lit(0).alias("size"), empty.alias("done"))
+    return texts.agg(listed.alias("l")).select(F.explode(F.aggregate("l", start, step, lambda s: s["done"])).alias("d")).select(F.col("d.key").alias(key), "d.batch")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import text_queries  # noqa: F401
+from . import retrieval_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
