@@ -37,9 +37,9 @@ from .jaccard import _tables
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 1_000_000
-#: Runs of one shard of hashes, and bytes of segments in one array, about.
-SHARD_RUNS = 1_000_000
+BLOCK_BYTES = 400_000
+#: Runs of one shard of hashes, about; its array has a few bytes for each.
+SHARD_RUNS = 250_000
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 RUN = 4096
 
