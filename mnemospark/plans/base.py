@@ -49,5 +49,5 @@ class Fixture:
             return "'" + str(v).replace("'", "''") + "'"
 
         body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        casts = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in cols)
-        return f"{self.name} AS (SELECT {casts} FROM (VALUES {body}) AS v({', '.join(n for n, _ in cols)}))"
+        casts = ", ".join(f'CAST("{n}" AS {kinds[k]}) AS "{n}"' for n, k in cols)
+        return f"{self.name} AS (SELECT {casts} FROM (VALUES {body}) AS v({', '.join(chr(34) + n + chr(34) for n, _ in cols)}))"
