@@ -17,6 +17,7 @@ repeated rows give repeated results; an empty table gives an empty result; other
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -301,6 +302,7 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+@functools.lru_cache(maxsize=4)
 def read_codec(path: str) -> tuple:
     """What a Codec is made of, from a tokenizer file with a byte-level BPE model."""
     with open(path, encoding="utf-8") as f:

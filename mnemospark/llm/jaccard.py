@@ -345,6 +345,20 @@ class _Forest(dict):
         return x != y
 
 
+def _may_link(batches):
+    """Of pairs with their bitmaps, those whose overlap may be enough."""
+    for b in batches:
+        n, m, h, k = (b.column(c).to_numpy() for c in (2, 3, 4, 5))
+        keep = []
+        for i, (x, y) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            size = min(len(x), len(y))
+            x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+            most = min(h[i] - int(np.bitwise_count(x & ~y).sum()), k[i] - int(np.bitwise_count(y & ~x).sum()))
+            keep.append(bool(_is_link(most, int(n[i]), int(m[i]))))
+        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _spanned(table: pa.Table) -> pa.Table:
     """Of a unit's pairs that may link components, as many as would join all that they can."""
     doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
@@ -433,7 +447,10 @@ def links(sets: DataFrame) -> DataFrame:
     # every set against the least first member of its lists
     first = lists.groupBy("list").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     stars = lists.join(first, "list").where("doc_id <> v").groupBy(F.col("doc_id").alias("u")).agg(F.min("v").alias("v"))
-    near = written(_verify(stars, sets), "star-links")
+    bits = sets.select("doc_id", "n", F.expr("cast(octet_length(shared) / 8 as long)").alias("h"), "bits")
+    ends = stars.join(bits.toDF("u", "n", "h", "x"), "u").join(bits.toDF("v", "m", "k", "y"), "v").where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m)")
+    likely = written(ends.select("u", "v", "n", "m", "h", "k", "x", "y").mapInArrow(_may_link, LINKS), "star-pairs")
+    near = written(_verify(likely, sets), "star-links")
     # pairs that would join the rest, by their bitmaps
     pairs = _units(lists, components(near), sets).groupBy("list", "i", "j").applyInArrow(_spanned, LINKS).distinct()
     near = near.unionByName(written(_verify(written(pairs, "spanning-pairs"), sets), "spanning-links"))

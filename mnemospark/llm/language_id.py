@@ -16,6 +16,7 @@ rows give repeated results; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 14
-SAMPLE = 800
+SAMPLE = 600
 LANGUAGES = 64
 CLUSTERS = 3
 GRAMS = (1, 2, 3, 4)
@@ -53,13 +54,18 @@ def grams(text: str | None) -> np.ndarray | None:
     return np.concatenate(out)
 
 
-def counted(found: list[np.ndarray]) -> np.ndarray:
-    """1 + log(count) of each n-gram, a row for each text."""
+def weighted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The different n-grams of a text, 1 + log(count) of each, and how many n-grams there are."""
+    c = np.bincount(g, minlength=DIMS)
+    at = np.flatnonzero(c)
+    return at.astype(np.uint16), (1.0 + np.log(c[at])).astype(np.float32), len(g)
+
+
+def counted(found: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """A row of weights for each text."""
     x = np.zeros((len(found), DIMS), dtype=np.float32)
-    for row, g in zip(x, found, strict=True):
-        c = np.bincount(g, minlength=DIMS)
-        at = np.flatnonzero(c)
-        row[at] = 1.0 + np.log(c[at])
+    for row, (at, w, _) in zip(x, found, strict=True):
+        row[at] = w
     return x
 
 
@@ -85,7 +91,7 @@ class Model:
         if not self.languages:
             return said, score, rejected
         for start in range(0, len(texts), BLOCK):
-            found = [(i, g) for i, t in enumerate(texts[start : start + BLOCK], start) if (g := grams(t)) is not None]
+            found = [(i, weighted(g)) for i, t in enumerate(texts[start : start + BLOCK], start) if (g := grams(t)) is not None]
             if not found:
                 continue
             cos = normalised(counted([g for _, g in found]) * self.idf) @ self.centroids.T
@@ -93,7 +99,7 @@ class Model:
             for (i, g), k, c in zip(found, best, cos[np.arange(len(found)), best].astype(float), strict=True):
                 said[i] = self.languages[self.of[k]]
                 score[i] = min(1.0, max(0.0, c))
-                rejected[i] = c < self.floor[length_bin(len(g))]
+                rejected[i] = c < self.floor[length_bin(g[2])]
         return said, score, rejected
 
 
@@ -110,15 +116,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit_texts(labelled: list[tuple[str, str]]) -> Model:
+def fit_texts(labelled: Iterable[tuple[str, str]]) -> Model:
     """A model of (language, text) pairs."""
-    kept = [(lang, g) for lang, t in labelled if (g := grams(t)) is not None]
+    kept = [(lang, weighted(g)) for lang, t in labelled if (g := grams(t)) is not None]
     languages = sorted({lang for lang, _ in kept})
     if not kept:
         return Model([], np.zeros(0, dtype=int), np.zeros((0, DIMS), dtype=np.float32), np.ones(DIMS, dtype=np.float32), np.zeros(32))
     df = np.zeros(DIMS)
     for _, g in kept:
-        df[np.unique(g)] += 1
+        df[g[0]] += 1
     idf = np.log((1 + len(kept)) / (1 + df)).astype(np.float32) + np.float32(0.1)
     found, of, least = [], [], np.full(32, np.inf)
     for n, lang in enumerate(languages):
@@ -128,7 +134,7 @@ def fit_texts(labelled: list[tuple[str, str]]) -> Model:
         found.append(c)
         of += [n] * len(c)
         for g, cos in zip(own, (x @ c.T).max(axis=1), strict=True):
-            b = length_bin(len(g))
+            b = length_bin(g[2])
             least[b] = min(least[b], cos)
     # a bin without training texts asks no more than the shorter ones did
     floor = np.zeros(32)
@@ -149,7 +155,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) / F.lit(float(1 << 31))
     share = F.coalesce(*[F.when(F.col(lang) == r["l"], F.lit(min(1.0, SAMPLE / r["count"]))) for r in sizes], F.lit(0.0))
     some = rows.where(draw < share).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    return fit_texts([(r["l"], r["t"]) for r in some.limit(2 * SAMPLE * len(sizes)).collect()])
+    return fit_texts((r["l"], r["t"]) for r in some.limit(2 * SAMPLE * len(sizes)).toLocalIterator())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
