@@ -39,3 +39,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Where spark.checkpoint.dir names no shared folder (a local session), set one for checkpoint()."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-checkpoints-"))
