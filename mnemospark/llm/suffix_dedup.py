@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, mix64, written
+from .common import mix64, written
 from .jaccard import BYTE_HASH as _BYTE_HASH
 from .jaccard import _tables
 
@@ -40,6 +40,7 @@ GRAM = 16
 BLOCK_BYTES = 400_000
 #: Runs of one shard of hashes, about; its array has a few bytes for each.
 SHARD_RUNS = 250_000
+BYTES_A_RUN = 18
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 RUN = 4096
 
@@ -113,8 +114,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-BLOCKS = "block long, ids binary, lengths binary, body binary"
-BLOCKS_SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
+BLOCKS = "block long, n long, ids binary, lengths binary, body binary"
+BLOCKS_SCHEMA = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
 
 
 def _blocks(batches):
@@ -130,7 +131,7 @@ def _blocks(batches):
                 size += int(lengths[end])
                 end += 1
             body = b"".join(batch.column(1).slice(start, end - start).to_pylist())
-            yield _batch([(block, ids[start:end].tobytes(), lengths[start:end].tobytes(), body)], BLOCKS_SCHEMA)
+            yield _batch([(block, len(body), ids[start:end].tobytes(), lengths[start:end].tobytes(), body)], BLOCKS_SCHEMA)
             start, block = end, block + 1
 
 
@@ -411,10 +412,11 @@ def _removed(table: pa.Table, bits: int, texts: bool) -> pa.Table:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; and the kept bytes, if texts is set."""
-    bits = max(3, int(np.ceil(np.log2(max(1, input_bytes(docs.select(text)) / 10 / SHARD_RUNS)))))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     blocks = written(rows.mapInArrow(_blocks, BLOCKS), "suffix-blocks")
-    judged = written(blocks.mapInArrow(lambda it: _packs(it, bits), PACKS).groupBy("shard").applyInArrow(_judged, STATES), "suffix-states")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    bits = max(3, int(np.ceil(np.log2(max(1, total / BYTES_A_RUN / SHARD_RUNS)))))
+    judged = written(blocks.select("block", "ids", "lengths", "body").mapInArrow(lambda it: _packs(it, bits), PACKS).groupBy("shard").applyInArrow(_judged, STATES), "suffix-states")
     none = F.lit(None).cast("binary")
     body = blocks.select("block", "ids", "lengths", "body", F.lit(None).cast("int").alias("shard"), none.alias("state"), none.alias("bits"))
     state = lambda df: df.select("block", none.alias("ids"), none.alias("lengths"), none.alias("body"), "shard", "state", "bits")
