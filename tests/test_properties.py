@@ -1,0 +1,135 @@
+"""Invariants: budgets, scopes, redaction, moves, excerpts, salience, journal, streaming state."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from mnemospark.api import Engine
+from mnemospark.config import EngineConfig
+from mnemospark.functions import python_text as P
+from mnemospark.functions import text as T
+from mnemospark.operators import lexical, salience, sessions
+from mnemospark.sources.files import confined, in_scope, read_pages
+from mnemospark.sources.store import Conflict, Rejected, Store
+
+IDF_PAGES = [*[(f"f{i}.md", f"# Filler {i}\nsap b1 page {i}\n") for i in range(6)], ("generic.md", "# G\n" + "sap b1 " * 5), ("rare.md", "# R\nzebra notes\n")]
+
+
+def test_worked_score(spark):
+    pages = spark.createDataFrame(IDF_PAGES, "source string, text string")
+    hits = {r.source: r.score for r in lexical.search(pages, "sap b1 zebra", limit=10).collect()}
+    assert hits["rare.md"] == pytest.approx(5.0563, abs=2e-3)
+    assert hits["generic.md"] == pytest.approx(1.5177, abs=2e-3)
+    assert max(hits, key=hits.get) == "rare.md"
+
+
+def test_min_terms_before_limit(spark):
+    pages = [(n, "quokkaflag " * 5) for n in "abc"] + [("two", "zebracache quokkaflag " + "filler words here " * 400)]
+    pages = spark.createDataFrame(pages, "source string, text string")
+    assert "two" not in [r.source for r in lexical.search(pages, "zebracache quokkaflag", 3).collect()]
+    assert [r.source for r in lexical.search(pages, "zebracache quokkaflag", 3, min_terms=2).collect()] == ["two"]
+
+
+def test_scope_never_leaks(spark):
+    rows = [("projects/a/x.md", "a", "project", "Never disable validation."), ("projects/b/y.md", "b", "project", "validation validation"), ("context/c.md", "", "shared", "validation")]
+    pages = spark.createDataFrame(rows, "source string, project string, kind string, text string")
+    assert {h["source"] for h in Engine(in_scope(pages, "a")).search("validation")} == {"projects/a/x.md", "context/c.md"}
+
+
+def test_empty_query_and_empty_pages(spark):
+    pages = spark.createDataFrame([("a", ""), ("b", None)], "source string, text string")
+    assert lexical.search(pages, "the of and").collect() == []
+    assert lexical.search(pages, "zebra").collect() == []
+
+
+def test_recall_keeps_its_budget_and_redacts(spark):
+    pages = spark.createDataFrame([(f"p{i}.md", f"zebra quokka DB_PASS=hunter{i} " + "lorem " * 300) for i in range(9)], "source string, text string")
+    out = Engine(pages, EngineConfig(recall_bytes=1200, recall_limit=9)).recall("zebra quokka")
+    assert 0 < len(out["text"].encode()) <= 1200 and "hunter" not in out["text"] and len(out["hits"]) == 2
+
+
+def test_snapshot_skips_what_does_not_fit(spark):
+    pages = spark.createDataFrame([("a", "x" * 400), ("b", "y" * 400), ("c", "z" * 50)], "source string, text string")
+    assert Engine(pages).snapshot(["a", "b", "c", "gone"], 512)["included"] == ["a", "c"]
+
+
+def test_redaction_is_idempotent(spark):
+    texts = [("DB_PASS=hunter2 x",), ("Authorization: Basic abc",), ("token = 'a b'",), ("https://u:p@h/x",), (None,), ("",)]
+    for r in spark.createDataFrame(texts, "t string").select(T.redact(F.col("t")).alias("a"), T.redact(T.redact(F.col("t"))).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_excerpt_contract():
+    rnd = random.Random(4)
+    words = ["alpha", "beta", "betamax", "oRecordSet.DoQuery", "café", "-gamma-", "the", "x"]
+    for _ in range(500):
+        text = "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(1, 12)))
+        terms, budget = rnd.sample(["alpha", "beta", "doquery", "cafe", "gamma"], 3), rnd.randint(20, 400)
+        line, cut = P.excerpt(text, terms, budget)
+        assert len(cut.encode()) <= budget and 0 <= line < len(text.split("\n"))
+        have = P.words_of(text) & set(terms)
+        if budget >= 120:
+            assert have <= P.words_of(cut)
+
+
+def test_units_join_to_the_page():
+    rnd = random.Random(5)
+    for _ in range(300):
+        text = "".join(rnd.choice(["- a\n", "  b\n", "\n", "## H\n", "para\n", "<!-- x\n", "-->\n", "```\n", "end"]) for _ in range(rnd.randint(0, 15)))
+        assert "".join(t for _, _, t in P.units(text)) == text
+
+
+def test_bounded_never_tears():
+    for n in range(12):
+        assert P.bounded("a😀éb", n).encode() == "a😀éb".encode()[: len(P.bounded("a😀éb", n).encode())]
+
+
+def test_salience_keeps_its_budget_and_settles():
+    rnd = random.Random(6)
+    for _ in range(200):
+        blocks = [{"fp": str(i), "chars": rnd.randint(5, 60), "strength": rnd.uniform(-3, 3), "cold": rnd.random() < 0.4, "protected": rnd.random() < 0.1, "pos": i} for i in range(12)]
+        warm = salience.choose(blocks, 200)
+        fixed = sum(b["chars"] for b in blocks if b["protected"])
+        assert sum(b["chars"] for b in blocks if b["fp"] in warm) <= max(200, fixed)
+
+
+def test_budget_fill_skips(spark):
+    df = spark.createDataFrame([("g", i, s) for i, s in enumerate([4, 5, 3, 2])], "g string, o int, s int")
+    assert sorted(r.o for r in sessions.budget_fill(df, "g", "o", "s", "o", 11).collect()) == [0, 1, 3]
+
+
+def test_store_applies_recovers_and_refuses(tmp_path):
+    s = Store(str(tmp_path), secret=lambda t: "hunter" in t)
+    s.apply([s.change("context/a.md", "one\ntwo\n", "create")])
+    stale = s.change("context/a.md", "one\ntwo\nthree\n")
+    s.apply([s.change("context/a.md", "one\ntwo\nfour\n")])
+    with pytest.raises(Conflict):
+        s.apply([stale])
+    with pytest.raises(Rejected):
+        s.apply([s.change("context/a.md", "one\n", "move"), s.change("context/b.md", "two\n", "move")])
+    s.apply([s.change("context/a.md", "one\n", "move"), s.change("context/b.md", "two\nfour\n", "move")])
+    for bad in (s.change("context/c.md", "hunter2", "create"), s.change("elsewhere.md", "t", "create")):
+        with pytest.raises(Rejected):
+            s.apply([bad])
+    with pytest.raises(ValueError):
+        confined("/r", "../x")
+    entry = sorted((tmp_path / ".journal").glob("*.json"))[-1]
+    entry.write_text(entry.read_text().replace('"status": "committed"', '"status": "prepared"'))
+    s.recover()
+    assert '"committed"' in entry.read_text() and s.read("context/b.md") == "two\nfour\n"
+
+
+def test_read_pages(spark, tmp_path):
+    for p, t in (("projects/a/context/m.md", "---\nverified: 2026-01-01\n---\nx"), ("projects/a/transcripts/d.md", "y"), ("skills/s/knowledge/k.md", "z")):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    rows = {r.source: (r.project, r.kind, r.verified) for r in read_pages(spark, str(tmp_path)).collect()}
+    assert rows == {"projects/a/context/m.md": ("a", "project", "2026-01-01"), "skills/s/knowledge/k.md": ("", "knowledge", None)}
+
+
+def test_fold_agrees_with_unicode(spark):
+    texts = ["Straße ÀÉÎõü Ñandú", "İstanbul ŁÓDŹ Ǆ", "ﬁne", "ΆΈ Ωμέγα", "ёЙ", "naïve coöperate", "ø Ø đ"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold(F.col("t")).alias("f")).collect():
+        if r.t not in ("İstanbul ŁÓDŹ Ǆ", "ﬁne"):
+            assert r.f == P.fold(r.t)
