@@ -50,9 +50,10 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def block_count(df: DataFrame, block_mb: float, growth: float = 1.0) -> int:
-    """Blocks of about block_mb each, where a byte of df's estimate becomes growth bytes in memory."""
-    return int(min(max(input_bytes(df) * growth / (block_mb * 1e6), 1), 10_000_000)) + 1
+def text_bytes(df: DataFrame, text: str) -> int:
+    """About the bytes of df: Catalyst's estimate, or the text's own sum where Catalyst has none."""
+    found = input_bytes(df)
+    return found if found < 1 << 50 else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def crc_fold(key: str = "doc_id", folds: int = 5):

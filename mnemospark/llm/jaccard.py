@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, input_bytes, join_groups, mix64, written
+from .common import components, join_groups, mix64, text_bytes, written
 
 WORDS = 5
 #: A link: DENOMINATOR * intersection >= NUMERATOR * union.
@@ -218,7 +218,7 @@ def _gathered(table: pa.Table) -> pa.Table:
 
 def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n, set_key, shared, df_sum of every row of docs."""
-    entries = input_bytes(docs) / 3  # a shingle for each 3 bytes of Parquet
+    entries = text_bytes(docs, text) / 3  # a shingle for each 3 bytes of Parquet
     bits = max(3, int(np.ceil(np.log2(max(1, entries / SHARD_ENTRIES)))))
     rows = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     packs = rows.mapInArrow(lambda it: _packs(it, bits), PACKS)
