@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_groups, mix64, text_bytes, written
+from .common import bucketed, components, join_groups, mix64, text_bytes, written
 
 WORDS = 5
 #: A link: DENOMINATOR * intersection >= NUMERATOR * union.
@@ -440,7 +440,7 @@ def _units(lists: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame) -> DataFrame:
     """node and component of all linked sets. sets: doc_id, n, shared, df_sum, one row for each different set."""
-    sets = written(sets.mapInArrow(_with_bits, SETS_WITH_BITS), "class-sets")
+    sets = bucketed(sets.mapInArrow(_with_bits, SETS_WITH_BITS), "class_sets", "doc_id")
     stats = sets.agg(F.sum("df_sum"), F.sum(F.octet_length("shared") / 8)).first()
     light = light_boundary((stats[0] or 0) / (stats[1] or 1))
     lists = written(sets.select("doc_id", "n", "shared").mapInArrow(lambda it: _entries(it, light), "list long, doc_id long, n long"), "lists")
@@ -468,7 +468,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = written(sets.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")), "set-classes")
     # one row for each class that may be linked: its first document's
     firsts = classes.select(F.col("first").alias("doc_id"), "set_key")
-    alive = sets.where("shared is not null").dropDuplicates(["doc_id", "set_key"]).join(firsts, ["doc_id", "set_key"])
+    mine = sets.where("shared is not null").join(firsts.withColumnRenamed("set_key", "own"), "doc_id").where("set_key = own")
+    alive = mine.dropDuplicates(["doc_id", "set_key"])  # still by doc_id: no shuffle of its own
     found = links(alive.select("doc_id", "n", "shared", "df_sum"))
     reach = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("set_key", "size", F.coalesce("component", "first").alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
