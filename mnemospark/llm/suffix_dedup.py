@@ -36,11 +36,13 @@ from .jaccard import BYTE_HASH as _BYTE_HASH
 from .jaccard import _tables
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 BLOCK_BYTES = 400_000
 #: Runs of one shard of hashes, about; its array has a few bytes for each.
 SHARD_RUNS = 250_000
-BYTES_A_RUN = 18
+BYTES_A_RUN = 16
+#: Arrays have 2**FINER times as many shards: a text of one takes some hundred bytes of memory for each of its own.
+FINER = 3
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 RUN = 4096
 
@@ -50,11 +52,16 @@ BYTE_HASH[65:91] = mix64(BYTE_HASH[65:91])  # capitals differ here
 
 def _anchors(data: np.ndarray) -> np.ndarray:
     """The least gram hash of each window of LENGTH bytes."""
-    h = BYTE_HASH[data]
-    n = 1
-    while n < GRAM:
-        h = mix64(h[:-n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n) + h[n:])
+    part, h, have, n = BYTE_HASH[data], None, 0, 1
+    while True:  # a gram is put together from parts of 1, 2, 4, ... bytes
+        if GRAM & n:
+            h = part if h is None else mix64(h[: len(part) - have] * np.uint64(0x9E3779B97F4A7C15) + part[have : have + len(h)][: len(part) - have])
+            have += n
+        if 2 * n > GRAM:
+            break
+        part = mix64(part[:-n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n) + part[n:])
         n *= 2
+    h = h[: len(data) - GRAM + 1]
     width, n = LENGTH - GRAM + 1, 1
     while 2 * n <= width:
         h = np.minimum(h[:-n], h[n:])
@@ -193,12 +200,17 @@ SEGMENTS_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("ids
 
 
 def _states_of(table: pa.Table, runs: Runs, bits: int) -> tuple[np.ndarray, dict[int, bytes]]:
-    """The state of every run of a block, and the array's bits by shard."""
+    """The state of every run of a block, and the bits from the arrays by their (finer) shards."""
     state = np.zeros(len(runs.anchor), np.uint8)
-    found = {s: (x, y) for s, x, y in zip(*(table[n].to_pylist() for n in ("shard", "state", "bits")), strict=True) if s is not None and s >= 0}
+    states, found = {}, {}
+    for s, x, y in zip(*(table[n].to_pylist() for n in ("shard", "state", "bits")), strict=True):
+        if x is not None:
+            states[s] = x
+        elif y is not None:
+            found[s] = y
     for s, o in _dealt(runs.anchor, bits):
-        state[o] = np.frombuffer(found[s][0], np.uint8)
-    return state, {s: y for s, (_, y) in found.items()}
+        state[o] = np.frombuffer(states[s], np.uint8)
+    return state, found
 
 
 def _block_row(table: pa.Table):
@@ -213,7 +225,7 @@ def _sent(table: pa.Table, bits: int) -> pa.Table:
     block = table["block"][0].as_py()
     state, _ = _states_of(table, runs, bits)
     rows = []
-    for s, o in _dealt(runs.anchor, bits):
+    for s, o in _dealt(runs.anchor, bits + FINER):
         o = o[state[o] == SENT]
         if len(o):
             rows.append((s, block, ids[runs.doc[o]].tobytes(), runs.size[o].astype("<u4").tobytes(), runs.bytes_of(o)))
@@ -389,7 +401,7 @@ def _removed(table: pa.Table, bits: int, texts: bool) -> pa.Table:
     np.add.at(hit, runs.start[whole], 1)
     np.add.at(hit, runs.start[whole] + runs.size[whole], -1)
     hit = np.cumsum(hit[:-1]) > 0
-    for s, o in _dealt(runs.anchor, bits):
+    for s, o in _dealt(runs.anchor, bits + FINER):
         o = o[state[o] == SENT]
         if len(o):
             size = runs.size[o]
@@ -422,5 +434,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     state = lambda df: df.select("block", none.alias("ids"), none.alias("lengths"), none.alias("body"), "shard", "state", "bits")
     sent = body.unionByName(state(judged)).groupBy("block").applyInArrow(lambda t: _sent(t, bits), SEGMENTS)
     compared = written(sent.groupBy("shard").applyInArrow(_compared, STATES), "suffix-bits")
-    both = judged.select("block", "shard", "state").join(compared.select("block", "shard", "bits"), ["block", "shard"], "left")
-    return body.unionByName(state(both)).groupBy("block").applyInArrow(lambda t: _removed(t, bits, texts), TEXTS if texts else RESULT)
+    return body.unionByName(state(judged)).unionByName(state(compared)).groupBy("block").applyInArrow(lambda t: _removed(t, bits, texts), TEXTS if texts else RESULT)
