@@ -34,15 +34,23 @@ FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_table()
 def fold(x: Column) -> Column:
     """Case and accents removed: exact for Latin, Greek and Cyrillic letters; see python_text.fold for all of Unicode."""
     x = F.lower(x)
-    for c, plain in FOLD_MANY:
-        if c == c.lower():
-            x = F.replace(x, F.lit(c), F.lit(plain))
-    return F.regexp_replace(F.translate(x, FOLD_FROM, FOLD_TO), r"\p{M}+", "")
+    several = [(c, plain) for c, plain in FOLD_MANY if c == c.lower()]
+    y = x
+    for c, plain in several:
+        y = F.replace(y, F.lit(c), F.lit(plain))
+    x = F.when(x.rlike("[" + "".join(c for c, _ in several) + "]"), y).otherwise(x)
+    x = F.translate(x, FOLD_FROM, FOLD_TO)
+    return F.when(x.rlike(r"\p{M}"), F.regexp_replace(x, r"\p{M}+", "")).otherwise(x)
 
 
 def tokens(x: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
     """Search words in order, with repeats: folded, of two characters or more, no stop words."""
-    words = F.transform(F.regexp_extract_all(fold(x), F.lit(r"(?U)([\w.-]+)"), F.lit(1)), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
+    return folded_tokens(fold(x), stop_words)
+
+
+def folded_tokens(x: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
+    """The same of a text that is folded already."""
+    words = F.transform(F.regexp_extract_all(x, F.lit(r"(?U)([\w.-]+)"), F.lit(1)), lambda w: F.btrim(w, F.lit(".-")))
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(stop_words)))
 
 

@@ -31,6 +31,7 @@ def bm25(chunks: DataFrame, terms: Sequence[str], chunk: str = "chunk_id", text:
     """chunk and score (greater is better) of the chunks that hold any of the terms; frequencies are counted in the
     row, so only the hits are left to aggregate."""
     terms = sorted(set(terms))
+    # every chunk's length is needed for the mean, so all are read into words, once
     have = chunks.select(chunk, words(F.col(text)).alias("w"))
     counted = have.select(chunk, F.size("w").alias("n"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     row = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()

@@ -32,9 +32,12 @@ def line_windows(pages: DataFrame, key: str, text: str) -> DataFrame:
 def page_windows(pages: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str]) -> DataFrame:
     """pages with ``windows`` (k, start, end_line, n_words, tf by term) of those that hold a term.
 
-    Everything stays inside the page's row: lines are read into words once, windows slice them.
+    Everything stays inside the page's row: a page that does not hold a term's letters is not read into words;
+    of the others, folded as a whole, lines are read once and windows slice them.
     """
-    words = F.transform(T.lines(F.col(text)), lambda x: T.tokens(x, stop_words))
+    # a condition, not a filter: Catalyst would push a filter below the folding and fold again for it
+    pages = pages.withColumn("__folded", T.fold(F.col(text)))
+    words = F.when(_holds_any("__folded", terms), F.transform(T.lines(F.col("__folded")), lambda x: T.folded_tokens(x, stop_words)))
     wanted = F.array(*[F.lit(t) for t in terms])
 
     def window(k):
@@ -50,13 +53,19 @@ def page_windows(pages: DataFrame, text: str, terms: Sequence[str], stop_words:
     last = F.floor((F.size("__words") - 1) / WINDOW_STRIDE).cast("long")
     found = F.when(F.exists("__words", lambda ws: F.arrays_overlap(ws, wanted)), F.transform(F.sequence(F.lit(0).cast("long"), last), window))
     out = pages.withColumn("__words", words).withColumn("windows", F.filter(F.coalesce(found, F.array()), lambda w: F.exists(w["tf"], lambda n: n > 0)))
-    return out.drop("__words")
+    return out.drop("__words", "__folded")
+
+
+def _holds_any(column: str, terms: Sequence[str]) -> Column:
+    """Whether a text holds the letters of a term: a cheap test before it is read into words."""
+    return F.col(column).rlike("|".join(rf"\Q{t}\E" for t in terms))
 
 
 def term_stats(pages: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str]) -> tuple[int, dict[str, int]]:
     """Pages with text in scope, and how many of them hold each term; one pass, one row back."""
-    have = T.tokens(F.col(text), stop_words)
-    row = pages.where(F.trim(text) != "").select(have.alias("w")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
+    folded = pages.where(F.trim(text) != "").select(T.fold(F.col(text)).alias("__folded"))
+    have = F.when(_holds_any("__folded", terms), T.folded_tokens(F.col("__folded"), stop_words))
+    row = folded.select(have.alias("w")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
     return row["n"], {t: row[f"df{i}"] for i, t in enumerate(terms)}
 
 
@@ -87,7 +96,8 @@ def scored_windows(pages: DataFrame, query: str, key: str = "source", text: str
         return pages.sparkSession.createDataFrame([], schema)
     n, df = term_stats(pages, text, terms, config.stop_words)
     weights = F.array(*[F.lit(idf(n, df[t])) for t in terms])
-    w = page_windows(pages, text, terms, config.stop_words).select(key, *([kind] if kind else []), F.explode("windows").alias("w"))
+    # explode_outer: explode would add a filter on the windows, pushed below, that computes them again
+    w = page_windows(pages, text, terms, config.stop_words).select(key, *([kind] if kind else []), F.explode_outer("windows").alias("w")).where("w is not null")
     gain = F.zip_with(weights, F.col("w.tf"), lambda i, tf: F.when(tf > 0, i * (1 + F.log1p(tf))).otherwise(0.0))
     w = w.withColumn("gain", gain).withColumn("matched", F.size(F.filter("gain", lambda g: g > 0)))
     norm = F.sqrt(F.greatest(F.lit(1), F.col("w.n_words")) / 50)

@@ -45,7 +45,7 @@ def line_windows(spark, sf):
 @query(f"WITH {WINDOWS} SELECT doc_id, line, term, tf::BIGINT AS tf, n_words::BIGINT AS n_words FROM tf WHERE tf > 0")
 def term_tf(spark, sf):
     stops = EngineConfig().stop_words
-    w = lexical.page_windows(_docs(spark, sf), "text", TERMS, stops).select("doc_id", F.explode("windows").alias("w"))
+    w = lexical.page_windows(_docs(spark, sf), "text", TERMS, stops).select("doc_id", F.explode_outer("windows").alias("w")).where("w is not null")
     pairs = F.explode(F.zip_with(F.array(*[F.lit(t) for t in TERMS]), "w.tf", lambda t, n: F.struct(t.alias("term"), n.alias("tf"))))
     return w.select("doc_id", "w.line", "w.n_words", pairs.alias("p")).where("p.tf > 0").select("doc_id", "line", "p.term", F.col("p.tf").cast("long").alias("tf"), "n_words")
 
