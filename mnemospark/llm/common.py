@@ -99,6 +99,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(size) < least), on))
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among gone, which has one row for each key.
+
+    gone grows with the rows, so it is never broadcast, at no size: both sides are dealt by the key, and only the
+    keys of gone are held in memory.
+    """
+    return rows.join(gone.hint("shuffle_hash"), key, "left_anti")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node and component (its least node) for every node of the edges u, v: large-star and small-star rounds.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import join_groups, without, written
 
 FAN = 8
 #: Entries of the merged run of one range, about: what a node holds in its sort buffers.
@@ -117,7 +117,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """The rows of docs that stay, with their columns; of rows with the same identifier and text, one."""
     found = written(exact_duplicates(docs, key, text, keep), "dedup-decisions")
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    out = docs.join(gone, key, "left_anti")
+    out = without(docs, gone, key)
     again = found.where("kept").groupBy(F.col("doc_id").alias(key), "text_sha256").count().where("count > 1").select(key).distinct()
     if again.isEmpty():
         return out

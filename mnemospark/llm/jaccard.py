@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, join_groups, mix64, text_bytes, written
+from .common import bucketed, components, join_groups, mix64, text_bytes, without, written
 
 WORDS = 5
 #: A link: DENOMINATOR * intersection >= NUMERATOR * union.
@@ -481,4 +481,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those that link, over any path, to one of a smaller identifier."""
     found = written(near_duplicates(docs, key, text), "near-decisions")
-    return docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    return without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), key)
