@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -99,6 +99,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(size) < least), on))
 
 
+#: Stands for a null key inside an operator; it is larger than any other.
+NO_KEY = (1 << 63) - 1
+
+
+def keyed(key: str) -> Column:
+    """A long key for packed columns."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+
+
+def unkeyed(name: str) -> Column:
+    """The key again, null where it was."""
+    return F.when(F.col(name) != NO_KEY, F.col(name)).alias(name)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows whose key is not among gone, which has one row for each key.
 

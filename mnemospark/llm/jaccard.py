@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, join_groups, mix64, text_bytes, without, written
+from .common import bucketed, components, join_groups, keyed, mix64, text_bytes, unkeyed, without, written
 
 WORDS = 5
 #: A link: DENOMINATOR * intersection >= NUMERATOR * union.
@@ -220,7 +220,7 @@ def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """doc_id, n, set_key, shared, df_sum of every row of docs."""
     entries = text_bytes(docs, text) / 3  # a shingle for each 3 bytes of Parquet
     bits = max(3, int(np.ceil(np.log2(max(1, entries / SHARD_ENTRIES)))))
-    rows = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = docs.select(keyed(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     packs = rows.mapInArrow(lambda it: _packs(it, bits), PACKS)
     return packs.groupBy("shard").applyInArrow(_shared, PACKS).groupBy("block").applyInArrow(_gathered, SETS)
 
@@ -475,7 +475,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
     linked = join_groups(rows.where("set_key is not null"), reach, ["set_key"], "size", total)
     alone = rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.select(unkeyed("doc_id"), "n_shingles", unkeyed("component_id"))
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 def grams(text: str | None) -> np.ndarray | None:
     """Hashed n-grams of all words of a text, with blanks at the words' ends; None without letters."""
     words = NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    if not words:
+    if not any(map(str.isalpha, words)):
         return None
     b = np.frombuffer(f" {words} ".encode(), dtype=np.uint8).astype(np.uint32)
     out, h = [], np.zeros(len(b) + 1, dtype=np.uint32)

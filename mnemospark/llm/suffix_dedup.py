@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import keyed, mix64, unkeyed, written
 from .jaccard import BYTE_HASH as _BYTE_HASH
 from .jaccard import _tables
 
@@ -424,7 +424,7 @@ def _removed(table: pa.Table, bits: int, texts: bool) -> pa.Table:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; and the kept bytes, if texts is set."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = docs.select(keyed(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     blocks = written(rows.mapInArrow(_blocks, BLOCKS), "suffix-blocks")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, total / BYTES_A_RUN / SHARD_RUNS)))))
@@ -434,4 +434,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     state = lambda df: df.select("block", none.alias("ids"), none.alias("lengths"), none.alias("body"), "shard", "state", "bits")
     sent = body.unionByName(state(judged)).groupBy("block").applyInArrow(lambda t: _sent(t, bits), SEGMENTS)
     compared = written(sent.groupBy("shard").applyInArrow(_compared, STATES), "suffix-bits")
-    return body.unionByName(state(judged)).unionByName(state(compared)).groupBy("block").applyInArrow(lambda t: _removed(t, bits, texts), TEXTS if texts else RESULT)
+    out = body.unionByName(state(judged)).unionByName(state(compared)).groupBy("block").applyInArrow(lambda t: _removed(t, bits, texts), TEXTS if texts else RESULT)
+    return out.withColumn("doc_id", unkeyed("doc_id"))

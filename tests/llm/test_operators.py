@@ -58,6 +58,12 @@ def test_edge_cases_keep_every_row(spark, name):
     assert OPERATORS[name](d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_null_identifiers_come_back_as_nulls(spark, name):
+    d = spark.createDataFrame([(None, "one two three four five six", None), (3, "one two three four five six", "en"), (4, "½ ²", "en")], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in OPERATORS[name](d).select("doc_id").collect()) == [(False, 3), (False, 4), (True, 0)]
+
+
 def test_pseudonyms_keep_formats_and_link_equal_values(spark):
     texts = ["card 4207051279108084, again 4207-0512-7910-8084, bad 4207051279108085", "a.b33@mail7.example.com", "28.125.121.88 and 300.1.1.1", "+1 (375) 555-4393", "1984-02-29, 29/02/1984, 2026-13-01", "123-45-6789 000-12-3456", "DE89 3704 0044 0532 0130 00", "4207051279108084", None, "no data"]
     out = [(r.text, r.n_pseudonyms) for r in pii.pseudonymised(table(spark, texts), "k").orderBy("doc_id").collect()]
