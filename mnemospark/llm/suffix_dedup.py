@@ -42,7 +42,7 @@ BLOCK_BYTES = 400_000
 SHARD_RUNS = 250_000
 BYTES_A_RUN = 16
 #: Arrays have 2**FINER times as many shards: a text of one takes some hundred bytes of memory for each of its own.
-FINER = 3
+FINER = 1
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 RUN = 4096
 
@@ -108,12 +108,20 @@ class Runs:
 
 
 def _dealt(keys: np.ndarray, bits: int):
+    """Shards by the keys' high bits, each with the places of its keys."""
     shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange((1 << bits) + 1)) if len(order) else [0] * ((1 << bits) + 1)
-    for s in range(1 << bits):
-        if cut[s + 1] > cut[s]:
-            yield s, order[cut[s] : cut[s + 1]]
+    s = shard[order]
+    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else []
+    for i, j in zip(at, [*at[1:], len(s)], strict=True) if len(s) else ():
+        yield int(s[i]), order[i:j]
+
+
+def _dealt_sent(runs: Runs, state: np.ndarray, bits: int):
+    """The runs to be sent, by the arrays' shards."""
+    sent = np.flatnonzero(state == SENT)
+    for s, o in _dealt(runs.anchor[sent], bits + FINER):
+        yield s, sent[o]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -225,10 +233,8 @@ def _sent(table: pa.Table, bits: int) -> pa.Table:
     block = table["block"][0].as_py()
     state, _ = _states_of(table, runs, bits)
     rows = []
-    for s, o in _dealt(runs.anchor, bits + FINER):
-        o = o[state[o] == SENT]
-        if len(o):
-            rows.append((s, block, ids[runs.doc[o]].tobytes(), runs.size[o].astype("<u4").tobytes(), runs.bytes_of(o)))
+    for s, o in _dealt_sent(runs, state, bits):
+        rows.append((s, block, ids[runs.doc[o]].tobytes(), runs.size[o].astype("<u4").tobytes(), runs.bytes_of(o)))
     return pa.Table.from_batches([_batch(rows, SEGMENTS_SCHEMA)])
 
 
@@ -401,12 +407,10 @@ def _removed(table: pa.Table, bits: int, texts: bool) -> pa.Table:
     np.add.at(hit, runs.start[whole], 1)
     np.add.at(hit, runs.start[whole] + runs.size[whole], -1)
     hit = np.cumsum(hit[:-1]) > 0
-    for s, o in _dealt(runs.anchor, bits + FINER):
-        o = o[state[o] == SENT]
-        if len(o):
-            size = runs.size[o]
-            at = np.repeat(runs.start[o] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            hit[at] |= np.unpackbits(np.frombuffer(found[s], np.uint8), count=len(at), bitorder="little").astype(bool)
+    for s, o in _dealt_sent(runs, state, bits):
+        size = runs.size[o]
+        at = np.repeat(runs.start[o] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        hit[at] |= np.unpackbits(np.frombuffer(found[s], np.uint8), count=len(at), bitorder="little").astype(bool)
     seen = np.concatenate((np.zeros(LENGTH, np.int64), np.cumsum(hit)))
     gone = seen[LENGTH:] > seen[:-LENGTH]
     lengths, offsets = runs.lengths, runs.offsets
