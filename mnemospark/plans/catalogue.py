@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import event_queries, python_queries, retrieval_queries, session_queries, text_queries  # noqa: F401
+from . import event_queries, python_queries, retrieval_queries, session_queries, text_queries, upkeep_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
