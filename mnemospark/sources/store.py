@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 from hashlib import sha256
 from pathlib import Path
 
+from ..functions.python_text import LINK, is_tied, named
 from .files import confined
 
 WRITABLE = re.compile(r"\A(?:context|projects/[A-Za-z0-9._-]+/context|skills/[A-Za-z0-9_-]+/(?:knowledge|references))/(?:[A-Za-z0-9._-]+/)*[A-Za-z0-9._-]+\.md\Z")
@@ -82,6 +83,14 @@ class Store:
             os.fsync(f.fileno())
         os.replace(name, target)
 
+    def _lines(self, path: str, text: str) -> list[str]:
+        """A page's lines as a move must keep them: a link to a page by the page it names, a line with any other
+        relative link together with its folder."""
+        base = path.rpartition("/")[0]
+        exists = lambda p: not p.startswith("..") and self.read(p) is not None
+        whole = lambda m: m[0] if m[1] else f"{m[2]}@/{named(base, m[3])}"
+        return [f"{base}\0{x.rstrip()}" if is_tied(x, base, exists) else LINK.sub(whole, x.rstrip()) for x in text.splitlines() if x.strip()]
+
     def validate(self, changes: list[Change]) -> None:
         if not 1 <= len(changes) <= MOST_CHANGES or len({c.path for c in changes}) != len(changes):
             raise Rejected("1 to 100 changes, each to its own page")
@@ -102,8 +111,8 @@ class Store:
                 if self.revision(e["path"]) != e["sha256"]:
                     raise Conflict(e["path"])
         if moves:
-            lines = lambda texts: Counter(x.rstrip() for t in texts for x in t.splitlines() if x.strip())
-            lost = lines(self.read(c.path) or "" for c in moves) - lines(c.text for c in moves)
+            lines = lambda pairs: Counter(x for path, t in pairs for x in self._lines(path, t))
+            lost = lines((c.path, self.read(c.path) or "") for c in moves) - lines((c.path, c.text) for c in moves)
             if lost:
                 raise Rejected(f"lost lines: {sorted(lost)[:3]}")
 
