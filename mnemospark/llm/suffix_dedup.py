@@ -42,7 +42,7 @@ BLOCK_BYTES = 400_000
 SHARD_RUNS = 250_000
 BYTES_A_RUN = 16
 #: Arrays have 2**FINER times as many shards: a text of one takes some hundred bytes of memory for each of its own.
-FINER = 1
+FINER = 3
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 RUN = 4096
 
@@ -55,13 +55,13 @@ def _anchors(data: np.ndarray) -> np.ndarray:
     part, h, have, n = BYTE_HASH[data], None, 0, 1
     while True:  # a gram is put together from parts of 1, 2, 4, ... bytes
         if GRAM & n:
-            h = part if h is None else mix64(h[: len(part) - have] * np.uint64(0x9E3779B97F4A7C15) + part[have : have + len(h)][: len(part) - have])
+            h = part if h is None else h[: len(part) - have] * np.uint64(0x9E3779B97F4A7C15) + part[have : have + len(h)][: len(part) - have]
             have += n
         if 2 * n > GRAM:
             break
-        part = mix64(part[:-n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n) + part[n:])
+        part = part[:-n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n) + part[n:]
         n *= 2
-    h = h[: len(data) - GRAM + 1]
+    h = mix64(h[: len(data) - GRAM + 1])
     width, n = LENGTH - GRAM + 1, 1
     while 2 * n <= width:
         h = np.minimum(h[:-n], h[n:])
