@@ -1,17 +1,21 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A context is up to DEPTH words. Candidates are the word sequences that make up at least P_MIN of all training
-tokens, found level by level: a sequence counts only if both its shorter halves were found. A candidate is
-retained if its next-word distribution diverges from that of the longest retained context it ends with by more
-than DIVERGENCE (nats times its count). A retained context keeps the next
-words that are frequent behind it and spreads the rest of its mass, smoothed by the number of those words
-(Witten-Bell), as the next shorter retained context does; the empty context has the words' own shares. Words
-that were never seen are one symbol, with the mass that Good and Turing give to the unseen (words seen once, by
-all tokens). A text is scored in the state of the longest retained suffix before each word and its end.
+A context is up to DEPTH words. Candidates are the word sequences that training texts hold LEAST times or more,
+found level by level: a sequence counts only if both its shorter halves were found, which drops none. LEAST is
+the same for every input, so the tree grows with the corpus. A context is retained if its next-word distribution
+diverges from that of the longest retained context it ends with by more than DIVERGENCE (nats times its count).
+A retained context keeps the next words that were found behind it and spreads the rest of its mass, smoothed by
+the number of those words (Witten-Bell), as the next shorter retained context does; the empty context has the
+words' own shares. Words that were never seen are one symbol, with the mass that Good and Turing give to the
+unseen (words seen once, by all tokens). A text is scored in the state of the longest retained suffix before
+each word and its end.
 
 Documents are read once, in blocks: each block's distinct words and their counts go, packed, to hash shards and
-back, and its tokens (numbers of its words) wait in the shared folder. P_MIN bounds the tree (1/P_MIN sequences
-of each length) whatever the input; nothing else is broadcast. Words are told apart by a 64-bit hash.
+back, and its tokens (numbers of its words) wait in the shared folder. The tree is never in one place: for each
+length a block sends its distinct sequences to hash shards, which answer with their counts in all training texts
+and name one block that speaks for each; then it sends its contexts, with the sums over the sequences it speaks
+for, and the shards answer which are retained. Nothing is broadcast. Words and sequences are told apart by a
+64-bit hash.
 
 Defined results: a null or empty text is one end; repeated rows count as often as they occur; an empty table
 gives an empty result; where nothing is learned every word is unseen with probability one half; other columns
@@ -30,19 +34,26 @@ from .common import crc_fold, keyed, mix64, unkeyed, written
 from .jaccard import PLACE, word_hashes
 
 DEPTH = 3
-P_MIN = 1e-5
+#: Times that training texts must hold a sequence, whatever the input.
+LEAST = 2
 #: Count times Kullback-Leibler divergence (nats) from the shorter context.
 DIVERGENCE = 12.0
 SHARD_ENTRIES = 600_000
 #: Text bytes of one block: its packed columns stay below half a megabyte.
 BLOCK_BYTES = 1_000_000
-#: Sequences that a task sums up before it sends them.
-SUMMED = 400_000
+#: Tokens for each shard of sequences.
+SHARD_TOKENS = 2_000_000
 #: The hash that stands for the end of a text, and for its beginning as a context.
 END = np.uint64(0)
 
 PARTS = "block long, a binary, b binary, c binary, d binary, e binary"
 PARTS_SCHEMA = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in "abcde")])
+#: What blocks tell shards: sequences of n words (kind n) or contexts before an n-th word (kind -n).
+TOLD = "kind int, shard int, block long, a binary, b binary, c binary, d binary"
+TOLD_SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in "abcd")])
+#: What a block is told: beside its own row (kind 0) and its words' counts (kind 1), the answers to what it told.
+REPLY = "block long, kind int, shard int, a binary"
+REPLY_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.binary())])
 PACKS = "shard int, block long, a binary, b binary"
 PACKS_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -98,7 +109,9 @@ def _dealt(keys: np.ndarray, bits: int):
     """Shards by the keys' high bits, each with the places of its keys."""
     shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) > 0))) if len(order) else []
+    if not len(order):
+        return
+    at = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) > 0)))
     for i, j in zip(at, [*at[1:], len(order)], strict=True):
         yield int(shard[order[i]]), order[i:j]
 
@@ -114,31 +127,6 @@ class Block:
         self.stream = np.frombuffer(c[: 2 * n], "<u2").astype(np.int64) | np.frombuffer(c[2 * n :], "u1").astype(np.int64) << 16
         self.known = np.frombuffer(d, "<u8")
 
-    def sequences(self, found: list[np.ndarray], depth: int):
-        """For n of 1 to depth: places (of the last token) and keys of the n-token sequences whose halves, of
-        n - 1 tokens, are in found[n - 2]; a beginning may only come first. n = 1: every token."""
-        tokens = np.concatenate(([0], self.stream))  # with the beginning before the first text
-        h, ends = self.known[tokens], tokens == 0
-        keys, at = h, np.arange(len(tokens))
-        yield at, keys
-        for n in range(2, depth + 1):
-            inside = member(keys, found[n - 2])
-            whole = np.zeros(len(tokens), dtype=bool)
-            whole[at[inside]] = True
-            at = np.flatnonzero(whole[1:] & whole[:-1]) + 1
-            if n > 2:
-                at = at[at >= n - 1]
-            at = at[~ends[at - 1]] if n > 2 else at
-            keys = sequence_keys(h, at, n)
-            yield at, keys
-
-
-def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Whether each key is in the sorted array among."""
-    if not len(among):
-        return np.zeros(len(keys), dtype=bool)
-    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
-
 
 def sequence_keys(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Keys of the n-token sequences that end at the given places; of one token, its hash."""
@@ -168,83 +156,188 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(rows, ANSWER_SCHEMA)])
 
 
-def frequent_words(answers: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the words with at least the least count."""
-
-    def rows(batches):
-        for b in batches:
-            for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = np.frombuffer(n, "<i8")
-                keep = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<u8")[keep].view(np.int64)), pa.array(n[keep])], names=["key", "n"])
-
-    found = answers.where("block is null").select("a", "b").mapInArrow(rows, "key long, n long").toPandas()
-    return _by_key(found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
-
-
-def _by_key(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys)
-    return keys[order], *(x[order] for x in more)
-
-
-SUMS = "shard int, a binary, b binary, c binary, d binary"
-SUMS_SCHEMA = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in "abcd")])
-
-
-def frequent_sequences(blocks: DataFrame, found: list[np.ndarray], length: int, least: int, bits: int) -> tuple[np.ndarray, ...]:
-    """Sorted keys, counts, keys of all but the last token and of all but the first, of the sequences of the
-    given length that training texts hold at least the least times. found: sorted keys of the shorter ones.
-
-    Each block counts its own and sends the sums, packed, to hash shards. At most 1/P_MIN come to the driver.
-    """
-    shared = blocks.sparkSession.sparkContext.broadcast(found)
-
-    def packed(some: list[tuple]):
-        keys, n, context, rest = (np.concatenate(x) for x in zip(*some, strict=True))
-        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        n = np.bincount(which, weights=n, minlength=len(keys)).astype("<i8")
-        return _table([(s, *(y[o].tobytes() for y in (keys, n, context[first], rest[first]))) for s, o in _dealt(keys, bits)], SUMS_SCHEMA)
-
-    def sums(batches):
-        some, size = [], 0
-        for b in batches:
-            for row in zip(*(b.column(i) for i in range(4)), strict=True):
-                x = Block(*(y.as_py() for y in row))
-                at, keys = list(x.sequences(shared.value, length))[-1]
-                learned = np.concatenate(([False], np.repeat(x.learned, x.sizes)))
-                keep = learned[at]
-                at, keys = at[keep], keys[keep]
-                if not len(at):
-                    continue
-                keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-                h = x.known[np.concatenate(([0], x.stream))]
-                some.append((keys, n, sequence_keys(h, at[first] - 1, length - 1), sequence_keys(h, at[first], length - 1)))
-                size += len(keys)
-                if size >= SUMMED:
-                    yield packed(some)
-                    some, size = [], 0
-        if some:
-            yield packed(some)
-
-    def folded(table: pa.Table) -> pa.Table:
-        a, n, c, d = (np.frombuffer(b"".join(table[x].to_pylist()), k) for x, k in zip("abcd", ("<u8", "<i8", "<u8", "<u8"), strict=True))
-        keys, first, which = np.unique(a, return_index=True, return_inverse=True)
-        total = np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64)
-        keep = total >= least
-        at = first[keep]
-        return pa.table({"key": keys[keep].view(np.int64), "n": total[keep], "context": c[at].view(np.int64), "rest": d[at].view(np.int64)})
-
-    out = written(blocks.mapInArrow(sums, SUMS).groupBy("shard").applyInArrow(folded, "key long, n long, context long, rest long"), "lm-sequences").toPandas()
-    k, c, r = (out[x].to_numpy(np.int64).view(np.uint64) for x in ("key", "context", "rest"))
-    return _by_key(k, out["n"].to_numpy(np.int64), c, r)
+def _by(which: np.ndarray, n: int, of: np.ndarray) -> np.ndarray:
+    return np.bincount(which, weights=of, minlength=n)
+
+
+def retained(total: np.ndarray, kinds: np.ndarray, kept: np.ndarray, low: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Whether each context is retained. total: its count; of the sequences found that begin with it, kinds: how
+    many, kept: their counts, low: what the shorter context gives their last words, gain: n (ln n - ln low)."""
+    left, t = total - kept, np.maximum(total, 1)
+    others = np.clip(1 - low, 1e-9, 1)
+    gain = gain - kept * np.log(t) + np.where(left > 0, left * (np.log(np.maximum(left, 1) / t) - np.log(others)), 0)
+    return (kinds > 0) & (gain > DIVERGENCE)
+
+
+def mass_left(total: np.ndarray, kinds: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    return np.log((total - kept + kinds) / (total + kinds))
+
+
+def smoothed(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, mass: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """ln P of the last words of sequences behind their retained contexts."""
+    return np.logaddexp(np.log(n / (total + kinds)), mass + low)
+
+
+class Walk:
+    """A block's tokens, length by length: of the sequence of each length that ends at each token the count (0 if
+    it wasn't found), and ln P of each token behind the contexts so far."""
+
+    def __init__(self, block: Block, words: np.ndarray | None = None, root: np.ndarray | None = None):
+        """words, root: of each of the block's words the count and ln P in the empty context, once known."""
+        self.block, self.n = block, 1
+        self.tokens = np.concatenate(([0], block.stream))  # with the beginning before the first text
+        self.h, self.ends = block.known[self.tokens], self.tokens == 0
+        self.learned = np.concatenate(([False], np.repeat(block.learned, block.sizes)))
+        self.count = None if words is None else np.where(words >= LEAST, words, 0)[self.tokens]
+        self.logs = None if root is None else root[self.tokens]
+
+    def step(self) -> np.ndarray:
+        """The block's distinct sequences (sorted keys) of the next length whose halves were found; at length 2,
+        where they are asked for before words are counted, all."""
+        self.n += 1
+        whole = np.arange(len(self.tokens)) >= self.n - 1
+        if self.n > 2:
+            whole[1:] &= (self.count[1:] > 0) & (self.count[:-1] > 0) & ~self.ends[:-1]  # a beginning may only come first
+        self.at = np.flatnonzero(whole)
+        self.keys, self.first, self.which = np.unique(sequence_keys(self.h, self.at, self.n), return_index=True, return_inverse=True)
+        return self.keys
+
+    def own_counts(self) -> np.ndarray:
+        return np.bincount(self.which, weights=self.learned[self.at], minlength=len(self.keys)).astype("<i8")
+
+    def counted(self, answer: np.ndarray):
+        """answer: of each sequence twice the count, and one more where this block speaks for it."""
+        self.found, self.speaks = answer >> 1, (answer & 1).astype(bool)
+        self.before = self.count
+        self.count = np.zeros(len(self.tokens), dtype=np.int64)
+        self.count[self.at] = self.found[self.which]
+
+    def contexts(self) -> np.ndarray:
+        """The block's distinct contexts (sorted keys) that were found."""
+        there = np.arange(len(self.tokens)) >= self.n - 1
+        there[1:] &= self.before[:-1] > 0
+        if self.n > 2:
+            there[1:] &= ~self.ends[:-1]
+        self.behind = np.flatnonzero(there)
+        self.names, first, self.name = np.unique(sequence_keys(self.h, self.behind - 1, self.n - 1), return_index=True, return_inverse=True)
+        self.total = self.before[self.behind[first] - 1]
+        return self.names
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """Of each context the sums over the found sequences that this block speaks for, as ``retained`` has them."""
+        speaks = self.speaks & (self.found > 0)
+        at, n, size = self.at[self.first[speaks]], self.found[speaks], len(self.names)
+        of = self.name[np.searchsorted(self.behind, at)]
+        low = self.logs[at]
+        return _by(of, size, None), _by(of, size, n), _by(of, size, np.exp(low)), _by(of, size, n * (np.log(np.maximum(n, 1)) - low))
+
+    def judged(self, kinds: np.ndarray, kept: np.ndarray):
+        """kinds, kept: of each context, kinds 0 where it is not retained."""
+        mass = mass_left(self.total, kinds, kept)
+        low = self.logs
+        self.logs = low.copy()
+        on = kinds[self.name] > 0
+        at, name = self.behind[on], self.name[on]
+        self.logs[at] += mass[name]
+        hit = self.count[at] > 0
+        at, name = at[hit], name[hit]
+        self.logs[at] = smoothed(self.count[at], self.total[name], kinds[name], mass[name], low[at])
+
+
+def _told_keys(walk: Walk, block: int, bits: int) -> list[tuple]:
+    keys = walk.step()
+    own = walk.own_counts()
+    return [(walk.n, s, block, keys[o].tobytes(), own[o].tobytes(), None, None) for s, o in _dealt(keys, bits)]
+
+
+def _told_contexts(walk: Walk, block: int, bits: int) -> list[tuple]:
+    names = walk.contexts()
+    kinds, kept, low, gain = walk.sums()
+    counts = np.stack((walk.total, kinds.astype("<i8"), kept.astype("<i8")))
+    reals = np.stack((low, gain))
+    return [(-walk.n, s, block, names[o].tobytes(), counts[:, o].tobytes(), reals[:, o].tobytes(), None) for s, o in _dealt(names, bits)]
+
+
+def _pairs(batches, bits: int):
+    """The two-word sequences of blocks."""
+    for b in batches:
+        for row in zip(*(b.column(i) for i in range(5)), strict=True):
+            block, *parts = (x.as_py() for x in row)
+            yield _table(_told_keys(Walk(Block(*parts)), block, bits), TOLD_SCHEMA)
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """A shard's answers to the blocks, in the order of what each told."""
+    kind, shard, block = (table[n].to_pylist() for n in ("kind", "shard", "block"))
+    a, b, c = (table[n].to_pylist() for n in "abc")
+    keys, first, which = np.unique(np.frombuffer(b"".join(a), "<u8"), return_index=True, return_inverse=True)
+    cut = np.cumsum([0] + [len(x) // 8 for x in a])
+    if kind[0] > 0:
+        n = _by(which, len(keys), np.frombuffer(b"".join(b), "<i8")).astype("<i8")
+        answer = np.where(n >= LEAST, n, 0)[which] * 2
+        answer[first] += 1
+        out = [answer[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+    else:
+        counts = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in b], axis=1)
+        reals = np.concatenate([np.frombuffer(x, "<f8").reshape(2, -1) for x in c], axis=1)
+        total = counts[0][first]
+        kinds, kept, low, gain = (_by(which, len(keys), x) for x in (counts[1], counts[2], reals[0], reals[1]))
+        answer = (np.stack((kinds, kept)) * retained(total, kinds, kept, low, gain)).astype("<i8")[:, which]
+        out = [answer[:, i:j].tobytes() for i, j in zip(cut, cut[1:])]
+    return pa.Table.from_batches([_table(list(zip(block, kind, shard, out, strict=True)), REPLY_SCHEMA)])
+
+
+def _walked(table: pa.Table, bits: int, tokens: int, unseen: float) -> tuple[int, Walk, np.ndarray, dict[int, np.ndarray]]:
+    """A block, the walk at its start, its words' counts and the shards' answers by kind."""
+    kind, shard = table["kind"].to_pylist(), table["shard"].to_pylist()
+    a, b, c, d = (table[n].to_pylist() for n in "abcd")
+    meta = kind.index(0)
+    x = Block(a[meta], b[meta], c[meta], d[meta])
+    count = np.zeros(len(x.known), dtype=np.int64)
+    counts = {shard[i]: a[i] for i in range(len(kind)) if kind[i] == 1}
+    for s, o in _dealt(x.known, bits):
+        count[o] = np.frombuffer(counts[s], "<i8")
+    parts: dict[int, list] = {}
+    for k, s, y in sorted((k, s, i) for i, (k, s) in enumerate(zip(kind, shard, strict=True)) if k not in (0, 1)):
+        parts.setdefault(k, []).append(np.frombuffer(a[y], "<i8").reshape(1 if k > 0 else 2, -1))
+    answers = {k: np.concatenate(v, axis=1) for k, v in parts.items()}
+    root = np.where(count > 0, np.log((1 - unseen) * np.maximum(count, 1) / max(tokens, 1)), np.log(unseen))
+    return table["block"][0].as_py(), Walk(x, count, root), count, answers
+
+
+def _walk_to(walk: Walk, answers: dict[int, np.ndarray], n: int, judged: bool):
+    """Walk to the sequences of n words, which were counted; judged: whether their contexts are known too."""
+    none = np.zeros((2, 0), dtype=np.int64)
+    while walk.n < n:
+        walk.step()
+        walk.counted(answers.get(walk.n, none)[0])
+        if walk.n < n or judged:
+            walk.contexts()
+            walk.judged(*answers.get(-walk.n, none))
+
+
+def _onward(n: int, bits: int, key_bits: int, tokens: int, unseen: float):
+    """What a block tells once its sequences of n words were counted: their contexts and the next longer ones."""
+
+    def told(table: pa.Table) -> pa.Table:
+        block, walk, _, answers = _walked(table, bits, tokens, unseen)
+        _walk_to(walk, answers, n, False)
+        rows = _told_contexts(walk, block, key_bits)
+        if n <= DEPTH:
+            rows += _told_keys(walk, block, key_bits)
+        return pa.Table.from_batches([_table(rows, TOLD_SCHEMA)])
+
+    return told
 
 
 class SuffixTree:
-    """Retained contexts of each length with the logarithm of the mass they leave to shorter ones, and the
-    smoothed log probabilities of the words kept behind them. All keys are sorted."""
+    """The same tree in one place, for a few sequences: retained contexts of each length with the logarithm of the
+    mass they leave to shorter ones, and the smoothed log probabilities of the words kept behind them. All keys are
+    sorted."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, unseen: float, levels: list[tuple[np.ndarray, ...]]):
-        """words, counts: the frequent words. levels: by length from 2 on, as frequent_sequences gives them."""
+        """words, counts: the words found. levels: by length from 2 on, the sequences' sorted keys, counts, keys of
+        all but the last word and of all but the first."""
         self.words = words
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         self.entries: list[tuple[np.ndarray, np.ndarray]] = []
@@ -260,16 +353,11 @@ class SuffixTree:
             total = totals[np.minimum(np.searchsorted(total_keys, names), len(total_keys) - 1)] if len(total_keys) else np.zeros(0)
             kinds = np.bincount(which, minlength=len(names))
             kept = np.bincount(which, weights=n, minlength=len(names))
-            total = np.maximum(total, kept)
             # what the context one shorter says of the same words: rest is the same sequence without its first token
             low = below[1][np.searchsorted(below[0], rest)] if len(rest) else np.zeros(0)
-            others = np.clip(1 - np.bincount(which, weights=np.exp(low), minlength=len(names)), 1e-9, 1)
-            gain = np.bincount(which, weights=n * (np.log(n / total[which]) - low), minlength=len(names))
-            left = total - kept
-            gain += np.where(left > 0, left * (np.log(np.maximum(left, 1) / total) - np.log(others)), 0)
-            mass = np.log((left + kinds) / (total + kinds))
-            logs = np.logaddexp(np.log(n / (total + kinds)[which]), mass[which] + low)
-            keep = gain > DIVERGENCE
+            keep = retained(total, kinds, kept, _by(which, len(names), np.exp(low)), _by(which, len(names), n * (np.log(n) - low)))
+            mass = mass_left(total, kinds, kept)
+            logs = smoothed(n, total[which], kinds[which], mass[which], low)
             self.contexts.append((names[keep], mass[keep]))
             self.entries.append((keys[keep[which]], logs[keep[which]]))
             # a context that is not retained says what the shorter one says
@@ -280,85 +368,40 @@ class SuffixTree:
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def token_logs(block: Block, tree: SuffixTree, root: np.ndarray) -> np.ndarray:
-    """ln P of each token of a block in its state; root: of each of its words in the empty context."""
-    tokens = np.concatenate(([0], block.stream))
-    h, ends = block.known[tokens], tokens == 0
-    out = root[tokens].copy()
-    for length, ((names, mass), (keys, logs)) in enumerate(zip(tree.contexts, tree.entries, strict=True), 1):
-        at = np.arange(length, len(tokens))
-        if not len(names) or not len(at):
-            continue
-        if length == 1:
-            known = member(block.known, names)
-            at = at[known[tokens[at - 1]]]
-        else:
-            inner = np.zeros(len(tokens), dtype=bool)  # only a context's first token may be a beginning
-            inner[at] = ~ends[at - 1]
-            for j in range(2, length):
-                inner[at] &= ~ends[at - j]
-            both = member(block.known, tree.words)
-            at = at[inner[at]]
-            for j in range(1, length + 1):
-                at = at[both[tokens[at - j]]]
-        context = sequence_keys(h, at - 1, length)
-        i = np.minimum(np.searchsorted(names, context), len(names) - 1)
-        there = names[i] == context
-        at, i = at[there], i[there]
-        out[at] += mass[i]
-        if len(keys):
-            k = sequence_keys(h, at, length + 1)
-            e = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = keys[e] == k
-            out[at[hit]] = logs[e[hit]]
-    return out[1:]
-
-
-def _scored(table: pa.Table, tree: SuffixTree, bits: int, tokens: int, words: int, unseen: float) -> pa.Table:
+def _scored(table: pa.Table, bits: int, tokens: int, words: int, unseen: float) -> pa.Table:
     """A block's documents with their scores, from its tokens and the shards' answers."""
-    shard = table["shard"].to_pylist()
-    a, b, c, d = (table[n].to_pylist() for n in "abcd")
-    meta = shard.index(-1)
-    x = Block(a[meta], b[meta], c[meta], d[meta])
-    count = np.zeros(len(x.known), dtype=np.int64)
-    counts = {s: b[i] for i, s in enumerate(shard) if s >= 0}
-    for s, o in _dealt(x.known, bits):
-        count[o] = np.frombuffer(counts[s], "<i8")
+    _, walk, count, answers = _walked(table, bits, tokens, unseen)
+    _walk_to(walk, answers, DEPTH + 1, True)
+    x = walk.block
     base = np.log10((count + 0.5) / (tokens + 0.5 * (words + 1)))
-    root = np.where(count > 0, np.log((1 - unseen) * np.maximum(count, 1) / max(tokens, 1)), np.log(unseen))
-    model = token_logs(x, tree, root) / np.log(10)
+    model = walk.logs[1:] / np.log(10)
     at = np.concatenate(([0], np.cumsum(x.sizes)[:-1]))
     known, base, model = (np.add.reduceat(y, at) for y in ((count > 0).astype(np.int64)[x.stream], base[x.stream], model))
     return pa.table({"doc_id": pa.array(x.ids), "n_tokens": pa.array(x.sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(model)})
 
 
-def grow_tree(blocks: DataFrame, answers: DataFrame, tokens: int, unseen: float, bits: int) -> SuffixTree:
-    least = max(2, int(np.ceil(P_MIN * tokens)))
-    words, counts = frequent_words(answers, least)
-    found, levels = [words], []
-    for length in range(2, DEPTH + 2):
-        level = frequent_sequences(blocks, found, length, least, bits)
-        levels.append(level)
-        found.append(level[0])
-    return SuffixTree(words, counts, tokens, unseen, levels)
-
-
 def language_model_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     fold = F.coalesce(crc_fold(key, folds), F.lit(0))
     rows = docs.select(keyed(key), F.coalesce(F.col(text), F.lit("")).cast("binary"), fold != held)
     parts = written(rows.mapInArrow(_blocks, PARTS), "lm-blocks")
-    entries = parts.agg(F.sum(F.octet_length("e") / 4)).first()[0] or 0
+    entries, size = (x or 0 for x in parts.agg(F.sum(F.octet_length("e") / 4), F.sum(F.octet_length("c"))).first())
     bits = max(3, int(np.ceil(np.log2(max(1, entries / SHARD_ENTRIES)))))
-    blocks = parts.select(*"abcd")
     packs = parts.select("block", "d", "e").mapInArrow(lambda it: _packs(it, bits), PACKS)
     answers = written(packs.groupBy("shard").applyInArrow(_counted, ANSWER), "lm-counts")
     tokens, words, once = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("words"), F.sum("once")).first())
     unseen = min(0.5, (once + 1) / (tokens + 2))
-    shared = docs.sparkSession.sparkContext.broadcast(grow_tree(blocks, answers, tokens, unseen, bits))
+    key_bits = max(3, int(np.ceil(np.log2(max(1, size / 3 / SHARD_TOKENS)))))
     none = F.lit(None).cast("binary")
-    met = parts.select("block", F.lit(-1).alias("shard"), *"abcd").unionByName(answers.where("block is not null").select("block", "shard", none.alias("a"), "b", none.alias("c"), none.alias("d")))
-    scored = met.groupBy("block").applyInArrow(lambda t: _scored(t, shared.value, bits, tokens, words, unseen), SCORES)
+    met = parts.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), *"abcd")
+    met = met.unionByName(answers.where("block is not null").select("block", F.lit(1).alias("kind"), "shard", F.col("b").alias("a"), none.alias("b"), none.alias("c"), none.alias("d")))
+    told = parts.select("block", *"abcd").mapInArrow(lambda it: _pairs(it, key_bits), TOLD)
+    for n in range(2, DEPTH + 3):
+        reply = written(told.groupBy("kind", "shard").applyInArrow(_answered, REPLY), "lm-answers")
+        met = met.unionByName(reply.select("*", none.alias("b"), none.alias("c"), none.alias("d")))
+        if n <= DEPTH + 1:
+            told = met.groupBy("block").applyInArrow(_onward(n, bits, key_bits, tokens, unseen), TOLD)
+    scored = met.groupBy("block").applyInArrow(lambda t: _scored(t, bits, tokens, words, unseen), SCORES)
     scored = scored.withColumn("doc_id", unkeyed("doc_id"))
     return scored.select(
         F.col("doc_id").alias(key), (F.coalesce(crc_fold("doc_id", folds), F.lit(0)) == held).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"

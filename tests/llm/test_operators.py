@@ -277,6 +277,56 @@ def test_lm_learns_contexts_and_is_a_distribution(spark):
     assert total == pytest.approx(1.0)
 
 
+def _suffix_tree_scores_by_brute_force(pairs, depth=3, least=2, divergence=12.0):
+    texts = {i: ["<s>", *WORDS.findall(t.translate(LOWER)), "<s>"] for i, t in pairs}
+    count = collections.Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update((w,) for w in t[1:])
+            for n in range(2, depth + 2):
+                count.update(tuple(t[j : j + n]) for j in range(len(t) - n + 1))
+    tokens = sum(c for k, c in count.items() if len(k) == 1)
+    unseen = min(0.5, (sum(c == 1 for k, c in count.items() if len(k) == 1) + 1) / (tokens + 2))
+    root = lambda w: math.log((1 - unseen) * count[w,] / tokens) if count[w,] else math.log(unseen)
+    below, levels = {k: root(k[0]) for k, c in count.items() if len(k) == 1 and c >= least}, []
+    for n in range(2, depth + 2):
+        behind = collections.defaultdict(list)
+        for k, c in count.items():
+            if len(k) == n and c >= least:
+                behind[k[:-1]].append(k)
+        mass, here = {}, {}
+        for ctx, ks in behind.items():
+            total, kinds, kept = count[ctx], len(ks), sum(count[k] for k in ks)
+            left = total - kept
+            others = min(1, max(1e-9, 1 - sum(math.exp(below[k[1:]]) for k in ks)))
+            gain = sum(count[k] * (math.log(count[k] / total) - below[k[1:]]) for k in ks) + (left * (math.log(left / total) - math.log(others)) if left else 0)
+            if gain > divergence:
+                mass[ctx] = math.log((left + kinds) / (total + kinds))
+            for k in ks:
+                here[k] = math.log(count[k] / (total + kinds) + math.exp(mass[ctx] + below[k[1:]])) if ctx in mass else below[k[1:]]
+        levels.append((mass, here))
+        below = here
+    out = {}
+    for i, t in texts.items():
+        s = 0.0
+        for j in range(1, len(t)):
+            p = root(t[j])
+            for n, (mass, here) in enumerate(levels, 2):
+                ctx = tuple(t[j - n + 1 : j]) if j - n + 1 >= 0 else None
+                if ctx in mass:
+                    p = here.get((*ctx, t[j]), p + mass[ctx])
+            s += p
+        out[i] = s / math.log(10)
+    return out
+
+
+def test_lm_score_keeps_every_sequence_seen_twice(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = _suffix_tree_scores_by_brute_force([(r[0], r[1] or "") for r in d.collect()])
+    got = {r.doc_id: r.score for r in lm_score.language_model_scores(d.repartition(3)).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def _components_by_brute_force(pairs):
     sets = {}
     for i, t in pairs:
