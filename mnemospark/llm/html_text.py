@@ -2,7 +2,8 @@
 
 The pages of a host are merged into one tree: elements on the same path of tags and classes are one node. For
 each node, the entropy over the host's pages of its presentation (the tags below it) and of its content (the
-text below it) measure how much it varies. Importance is the presentation's entropy, and for leaves the
+text below it) measure how much it varies. Rows of a host with the same main text are one page, however often they
+occur, and a branch is judged only if at least SHARE of the host's distinct pages have it. Importance is the presentation's entropy, and for leaves the
 content's, composed from below with attenuation. A branch that stays the same on pages whose articles differ
 is furniture: it has low importance and is removed from each page of the host.
 
@@ -27,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that a decision by entropy needs.
+#: Distinct pages of a host that a decision by entropy needs.
 LEAST_PAGES = 8
+#: Share of a host's distinct pages that must have a branch before it can be furniture of the host.
+SHARE = 0.5
 #: Composite importance and content entropy below which a branch goes, if the articles' entropy is above VARIED.
 LOW, SAME, VARIED = 0.2, 0.1, 0.8
 #: Attenuation of what lies below a node for each of its presentations.
@@ -213,9 +216,9 @@ def features(page: Page) -> list[tuple[str, int, int]]:
     return [(p, _hash(" ".join(shape[p])), _hash("\n".join(t))) for p, t in text.items()]
 
 
-def unimportant(nodes: dict[str, tuple[int, float, float]]) -> list[str]:
+def unimportant(nodes: dict[str, tuple[int, float, float]], distinct: int) -> list[str]:
     """Paths of a host's tree to remove, topmost first. nodes: by path, pages and the entropies (0 to 1) of
-    presentation and content."""
+    presentation and content; distinct: the host's distinct pages."""
     below: dict[str, list[str]] = {}
     for p in nodes:
         below.setdefault(p.rpartition(">")[0], []).append(p)
@@ -236,7 +239,7 @@ def unimportant(nodes: dict[str, tuple[int, float, float]]) -> list[str]:
     for p in sorted(nodes, key=lambda p: (p.count(">"), p)):
         pages, _, content = nodes[p]
         holds_root = any(r == p or r.startswith(p + ">") for r in roots)
-        if pages >= LEAST_PAGES and content <= SAME and composite[p] <= LOW and not holds_root and not any(p.startswith(q + ">") for q in out):
+        if pages >= max(LEAST_PAGES, SHARE * distinct) and content <= SAME and composite[p] <= LOW and not holds_root and not any(p.startswith(q + ">") for q in out):
             out.append(p)
     return out
 
@@ -244,21 +247,26 @@ def unimportant(nodes: dict[str, tuple[int, float, float]]) -> list[str]:
 def site_trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """host and removed (paths) of the hosts whose tree has unimportant branches. pages: host, html.
 
-    Presentations and contents are counted by (host, path, value), so a host with many pages is spread
-    over tasks; only sums of a node come together, and a host's nodes are as many as its styles.
+    Rows of the same main text are folded by (host, path, page), so a page counts once, and presentations and
+    contents are counted by (host, path, value): a host with many pages is spread over tasks. Only sums of a node
+    come together, and a host's nodes are as many as its styles.
     """
 
     def rows(batches):
         for b in batches:
             out = []
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for path, shape, content in features(parse(html.as_py())):
-                    out.append((host, path, 0, shape))
-                    out.append((host, path, 1, content))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "kind", "value"])
-
-    counted = pages.select("host", "html").mapInArrow(rows, "host string, path string, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+                page = parse(html.as_py())
+                if found := features(page):
+                    text = _hash(main_text(page))
+                    out.append((host, "", text, text, text))  # the root counts the host's pages
+                    out.extend((host, path, text, shape, content) for path, shape, content in found)
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "path", "page", "shape", "content"])
+
+    each = pages.select("host", "html").mapInArrow(rows, "host string, path string, page long, shape long, content long").groupBy("host", "path", "page").agg(F.min("shape").alias("shape"), F.min("content").alias("content"))
+    values = each.select("host", "path", F.posexplode(F.array("shape", "content")).alias("kind", "value"))
+    counted = values.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     nodes = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s")).where(F.col("m") >= LEAST_PAGES)
     entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
 
@@ -268,7 +276,8 @@ def site_trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
             x = found.setdefault(path, [0, 0.0, 0.0])
             x[0] = m
             x[1 + kind] = e
-        removed = unimportant({p: tuple(x) for p, x in found.items()})
+        distinct = found.pop("", [0])[0]
+        removed = unimportant({p: tuple(x) for p, x in found.items()}, distinct)
         hosts = table["host"].to_pylist()[:1] if removed else []
         return pa.table({"host": pa.array(hosts, pa.string()), "removed": pa.array([removed] if removed else [], pa.list_(pa.string()))})
 

@@ -208,6 +208,17 @@ def test_site_style_tree_finds_furniture_without_a_name(spark):
     assert html_text.main_texts(few).first().text == "T1\ntext 1 of this page\nWritten for the same paper"
 
 
+def test_copies_of_a_page_are_one_page_of_its_host(spark):
+    page = "<html><body><article><h1>T{0}</h1><p>text {0} of this page</p>{1}<div class=zz>Written for the same paper</div></article></body></html>"
+    html = [page.format(i, "") for i in range(12)] + [page.format(50, "<table><tr><td>cell of 50</table>")] * 40 + [page.format(51, "<table><tr><td>cell of 51</table>")]
+    html += [page.format(i, "<blockquote>the same quotation</blockquote>") for i in range(60, 69)]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    assert got[3] == "T3\ntext 3 of this page"
+    assert {got[i] for i in range(12, 52)} == {"T50\ntext 50 of this page\ncell of 50"} and got[52].endswith("cell of 51")
+    assert all(got[i].endswith("the same quotation") for i in range(53, 62))  # on 9 of 23 distinct pages
+
+
 def test_bpe_is_the_library_on_odd_texts():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     codec = bpe.Codec(*bpe.read_codec(public_tokenizers.path("byte_bpe_50k.json")))
