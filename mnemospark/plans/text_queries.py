@@ -183,6 +183,14 @@ WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.
 def similar_names(spark, sf):
     from ..operators.quality import similar_names as similar
 
+    return similar(table(spark, sf, "part"), "p_partkey", "p_name", head=4)
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name), 1), 6) AS similarity
+FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name), 1) >= 0.85""")
+def similar_names_any_head(spark, sf):
+    from ..operators.quality import similar_names as similar
+
     return similar(table(spark, sf, "part"), "p_partkey", "p_name")
 
 

@@ -133,3 +133,32 @@ def test_fold_agrees_with_unicode(spark):
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold(F.col("t")).alias("f")).collect():
         if r.t not in ("İstanbul ŁÓDŹ Ǆ", "ﬁne"):
             assert r.f == P.fold(r.t)
+
+
+def test_similar_names_are_all_pairs(spark):
+    from mnemospark.operators.quality import sibling_names, similar_names
+
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("ab- ") for _ in range(n)) for n in (0, 1, 6, 7, 10, 13, 14, 20, 27, 40) for _ in range(2)]
+    names = [*base, *base[:3], "xclaude-memory", "claude-memory", "claude-memories-of", None]
+    for b in base * 4:
+        w = list(b)
+        for _ in range(rnd.randint(1, 5)):
+            i = rnd.randint(0, len(w))
+            w[i : i + rnd.randint(0, 1)] = rnd.choice([[], ["a"], ["b"], ["é"]])
+        names.append("".join(w))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rows = [(i, n) for i, n in enumerate(names)]
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and None not in (a, b) and 1 - distance(a, b) / max(len(a), len(b), 1) >= 0.85}
+    got = [(r.a, r.b) for r in similar_names(spark.createDataFrame(rows, "id long, name string"), "id", "name").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(names[i] == "xclaude-memory" for i, _ in want)
+    stores = spark.createDataFrame([("-w-app-infra",), ("-w-app",), ("-wx-app",)], "name string")
+    assert [tuple(r) for r in sibling_names(stores, spark.createDataFrame([("/w/app", "-w-app"), ("/app", "-app")], "dir string, name string")).collect() if r.dir == "/w/app"] == [("/w/app", "-w-app-infra")]
