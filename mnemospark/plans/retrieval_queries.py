@@ -229,6 +229,15 @@ def cosine_pairs(spark, sf):
     return x.join(y, "label").where("a < b").select("a", "b", F.round(vector.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
+@query(f"""SELECT x.vec_id AS a, y.vec_id AS b, {_COS.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')} AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id
+WHERE x.vec_id IN (SELECT 100 * unnest(range(0, (SELECT max(vec_id) // 100 + 1 FROM embeddings))))""")
+def cosine_of_query_set(spark, sf):
+    """The stated query set (ids divisible by 100) against all rows of the same label, smaller and larger ids alike."""
+    e = table(spark, sf, "embeddings")
+    x, y = e.where("vec_id % 100 = 0").toDF("a", "va", "label"), e.toDF("b", "vb", "label")
+    return x.join(y, "label").where("a <> b").select("a", "b", F.round(vector.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+
+
 _LEGS = f"""WITH q AS (SELECT vec_id, {_COS.replace('a::', 'embedding::').replace('b::', '(' + _QUERY0 + ')::')} AS s FROM embeddings),
 v AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS rank FROM (SELECT * FROM q ORDER BY s DESC, vec_id LIMIT 50)),
 l AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM (SELECT * FROM embeddings ORDER BY label, vec_id LIMIT 50)),

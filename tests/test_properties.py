@@ -162,3 +162,13 @@ def test_similar_names_are_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want and any(names[i] == "xclaude-memory" for i, _ in want)
     stores = spark.createDataFrame([("-w-app-infra",), ("-w-app",), ("-wx-app",)], "name string")
     assert [tuple(r) for r in sibling_names(stores, spark.createDataFrame([("/w/app", "-w-app"), ("/app", "-app")], "dir string, name string")).collect() if r.dir == "/w/app"] == [("/w/app", "-w-app-infra")]
+
+
+def test_query_ids_get_partners_of_smaller_and_larger_id(spark):
+    from mnemospark.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    got = [(r.a, r.b) for r in QUERIES["cosine_of_query_set"](spark, sf).collect()]
+    want = {(a, b) for a in label for b in label if a % 100 == 0 and a != b and label[a] == label[b]}
+    assert len(got) == len(want) and set(got) == want and any(a > b for a, b in got) and any(a < b for a, b in got)
