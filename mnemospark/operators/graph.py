@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_folder
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node of everything that the roots reach over edges (src, dst). Breadth first: each round joins the new
-    nodes alone, so a round costs what it finds; cycles end by themselves. Rounds are checkpointed, so a plan
+    nodes alone, so a round costs what it finds; cycles end by themselves, and the search ends only when a round
+    finds nothing. Rounds are checkpointed, so a plan
     does not grow with the depth."""
     checkpoint_folder(edges.sparkSession)
     seen = new = roots.select("node").distinct().checkpoint()
-    for _ in range(most):
+    while True:
         step = edges.join(new.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
         new = step.join(seen, "node", "left_anti").checkpoint()
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new).checkpoint()
-    return seen
 
 
 def archive_chain(pages: DataFrame, edges: DataFrame, start: str) -> DataFrame:

@@ -219,6 +219,14 @@ def reachable_nodes(spark, sf):
     return graph.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
+@query("""WITH RECURSIVE edges AS (SELECT c_custkey AS src, c_custkey * 3 AS dst FROM customer UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer UNION SELECT c_custkey, 1 FROM customer),
+r AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node) SELECT node FROM r""")
+def reachable_over_all_links(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"))
+    edges = c.select("src", (F.col("src") * 3).alias("dst")).union(c.select("src", F.col("src") * 3 + 1)).union(c.select("src", F.lit(1).cast("long"))).distinct()
+    return graph.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
+
+
 PAGES = Fixture("store_pages", "page string, text string", [("index", "x"), ("a", "y" * 30), ("b", "z"), ("lost", "w"), ("big", "v" * 50)])
 LINKS = Fixture("store_links", "src string, dst string", [("index", "a"), ("a", "b"), ("b", "index"), ("a", "gone"), ("index", "big")])
 

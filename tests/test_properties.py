@@ -172,3 +172,37 @@ def test_query_ids_get_partners_of_smaller_and_larger_id(spark):
     got = [(r.a, r.b) for r in QUERIES["cosine_of_query_set"](spark, sf).collect()]
     want = {(a, b) for a in label for b in label if a % 100 == 0 and a != b and label[a] == label[b]}
     assert len(got) == len(want) and set(got) == want and any(a > b for a, b in got) and any(a < b for a, b in got)
+
+
+def test_reachability_follows_all_links_and_every_depth(spark, monkeypatch):
+    from mnemospark.operators import graph
+    from mnemospark.plans.catalogue import QUERIES
+
+    assert QUERIES["reachable_over_all_links"](spark, "/root/testdata/sf0.01").count() == 255
+
+    class Chain:
+        """A frame of one number, each round the next one: 1,500 links, without Spark's time for each round."""
+
+        def __init__(self, n, seen=1):
+            self.n, self.seen = n, seen
+
+        select = join = withColumnRenamed = lambda self, *x: self
+        distinct = checkpoint = lambda self: self
+        sparkSession = None
+
+        def unionByName(self, new):
+            return Chain(new.n, self.seen + 1)
+
+        def isEmpty(self):
+            return self.n > 1500
+
+    class Links(Chain):
+        def join(self, new, on, how="inner"):
+            return Step(new.n + 1)
+
+    class Step(Chain):
+        def join(self, seen, on, how):
+            return Chain(self.n)
+
+    monkeypatch.setattr(graph, "checkpoint_folder", lambda spark: None)
+    assert graph.reachable(Links(0), Chain(0)).seen == 1501
