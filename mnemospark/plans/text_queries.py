@@ -229,4 +229,12 @@ SELECT q.item_id, d.doc_id FROM q JOIN documents d ON contains(lower({SQUEEZE.fo
 def quotes_in_documents(spark, sf):
     from ..operators.quality import quotes_found
 
+    return quotes_found(table(spark, sf, "benchmark"), table(spark, sf, "documents"), chars=60)
+
+
+@query(f"""SELECT q.item_id, d.doc_id FROM benchmark q JOIN documents d ON contains(lower({SQUEEZE.format(x='d.text')}), lower({SQUEEZE.format(x='q.text')}))
+WHERE length({SQUEEZE.format(x='q.text')}) >= 12""")
+def whole_quotes_in_documents(spark, sf):
+    from ..operators.quality import quotes_found
+
     return quotes_found(table(spark, sf, "benchmark"), table(spark, sf, "documents"))

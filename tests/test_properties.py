@@ -206,3 +206,12 @@ def test_reachability_follows_all_links_and_every_depth(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "checkpoint_folder", lambda spark: None)
     assert graph.reachable(Links(0), Chain(0)).seen == 1501
+
+
+def test_quotes_are_found_whole(spark):
+    from mnemospark.operators.quality import quotes_found
+
+    opening = "the same sixty characters open both of these two long items, "
+    quotes = spark.createDataFrame([(1, opening + "and this is the first"), (2, opening + "and this  the\nsecond"), (3, "Short  quotes"), (4, "too short")], "item_id long, text string")
+    found = spark.createDataFrame([(7, f"x {opening}and this the second."), (8, "has short quotes, too short"), (9, None)], "doc_id long, text string")
+    assert {tuple(r) for r in quotes_found(quotes, found).collect()} == {(2, 7), (3, 8)}
