@@ -55,7 +55,7 @@ def fingerprint(spark, sf):
 
 @query(f"SELECT doc_id, substr(regexp_replace(regexp_replace({FOLD.format(x='substr(text, 1, 200)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM documents")
 def slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '/+$', ''), '\\.git$', ''), '(?i)^[a-z][a-z0-9+.-]*://(?:[^@/]+@)?([^/:]+)(?::\\d+)?/+(.+)$', '\\1/\\2')) AS remote FROM pages WHERE regexp_matches(regexp_replace(trim(url), '/+$', ''), '^[a-z]+://[^/]+/.')")

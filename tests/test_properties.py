@@ -215,3 +215,10 @@ def test_quotes_are_found_whole(spark):
     quotes = spark.createDataFrame([(1, opening + "and this is the first"), (2, opening + "and this  the\nsecond"), (3, "Short  quotes"), (4, "too short")], "item_id long, text string")
     found = spark.createDataFrame([(7, f"x {opening}and this the second."), (8, "has short quotes, too short"), (9, None)], "doc_id long, text string")
     assert {tuple(r) for r in quotes_found(quotes, found).collect()} == {(2, 7), (3, 8)}
+
+
+def test_slugify_reads_the_whole_text(spark, tmp_path):
+    from mnemospark.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, "- " * 150 + "Title of it"), (2, "日" * 300 + " late"), (3, "Plain one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.slug for r in QUERIES["slugify"](spark, str(tmp_path)).collect()} == {1: "title-of-it", 2: "late", 3: "plain-one"}
