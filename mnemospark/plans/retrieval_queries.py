@@ -150,6 +150,16 @@ def section_chunks(spark, sf):
     return chunks(CHUNKS.df(spark), "source", "body").select("source", "line", "end_line", "heading")
 
 
+@query()
+def section_chunks_of_documents(spark, sf):
+    """All documents, whole, beside the fixture; its rows have a null doc_id."""
+    from ..operators.sections import section_chunks as chunks
+
+    pages = _docs(spark, sf).select("doc_id", F.lit(None).cast("string").alias("source"), F.col("text").alias("body"))
+    both = pages.unionByName(CHUNKS.df(spark).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("page", F.struct("doc_id", "source"))
+    return chunks(both, "page", "body").select("page.doc_id", "page.source", "line", "end_line", "heading", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(f"WITH {WINDOWS}, b AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos FROM lines) SELECT w.doc_id, w.line, count(*) AS blocks FROM w JOIN b ON b.doc_id = w.doc_id AND b.pos < w.end_line AND b.pos + 1 > w.line - 1 GROUP BY w.doc_id, w.line")
 def interval_overlap(spark, sf):
     from ..operators.sections import overlapping

@@ -222,3 +222,17 @@ def test_slugify_reads_the_whole_text(spark, tmp_path):
 
     spark.createDataFrame([(1, "- " * 150 + "Title of it"), (2, "日" * 300 + " late"), (3, "Plain one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.slug for r in QUERIES["slugify"](spark, str(tmp_path)).collect()} == {1: "title-of-it", 2: "late", 3: "plain-one"}
+
+
+def test_section_chunks_cover_all_documents(spark):
+    from mnemospark.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["section_chunks_of_documents"](spark, sf).toPandas()
+    assert got["doc_id"].isna().sum() == 7 and set(got["source"].dropna()) == {"a.md", "b.md", "d.md"}
+    covered = {}
+    for r in got.dropna(subset="doc_id").itertuples():
+        covered.setdefault(int(r.doc_id), set()).update(range(r.line, r.end_line + 1))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        lines = (r.text or "").split("\n")
+        assert all(i in covered.get(r.doc_id, ()) for i, x in enumerate(lines, 1) if x.strip() and not x.startswith(("#", "---"))), r.doc_id
