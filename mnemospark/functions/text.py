@@ -33,14 +33,15 @@ FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_table()
 
 def fold(x: Column) -> Column:
     """Case and accents removed: exact for Latin, Greek and Cyrillic letters; see python_text.fold for all of Unicode."""
-    x = F.lower(x)
+    raw, x = x, F.lower(x)
     several = [(c, plain) for c, plain in FOLD_MANY if c == c.lower()]
     y = x
     for c, plain in several:
         y = F.replace(y, F.lit(c), F.lit(plain))
     x = F.when(x.rlike("[" + "".join(c for c, _ in several) + "]"), y).otherwise(x)
     x = F.translate(x, FOLD_FROM, FOLD_TO)
-    return F.when(x.rlike(r"\p{M}"), F.regexp_replace(x, r"\p{M}+", "")).otherwise(x)
+    x = F.when(x.rlike(r"\p{M}"), F.regexp_replace(x, r"\p{M}+", "")).otherwise(x)
+    return F.when(F.octet_length(raw) == F.length(raw), F.lower(raw)).otherwise(x)  # ASCII has nothing else to fold
 
 
 def tokens(x: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
@@ -89,7 +90,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 # What counts as a secret, in this order, and what replaces it.
-_VALUE = r"""(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|%s)"""
+# Every repeated group is possessive: what follows one can never begin inside it, and Java then needs no stack.
+_VALUE = r"""(?:"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|%s)"""
 REDACTIONS = (
     (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]"),
     (r"\b(?:glpat-|gh[pousr]_|sk-|(?:sk|pk|rk)_(?:live|test)_|npm_|xox[baprs]-)[A-Za-z0-9_.-]{8,}", "[REDACTED]"),
@@ -98,16 +100,33 @@ REDACTIONS = (
     (r"(://[^/\s:@]+):[^/\s]+@", "$1:[REDACTED]@"),
     (r"(?i)\bBearer\s+\S+", "Bearer [REDACTED]"),
     (r"(?i)(Authorization\s*:\s*Basic\s+)\S+", "$1[REDACTED]"),
-    (r"""(?i)(?<![A-Za-z])((?:PASSWD|PWD)(?:[_-][A-Za-z0-9]+)*["']?\s*[=:]\s*)""" + _VALUE % r"[^\s;]+", "$1[REDACTED]"),
-    (r"""(?<![A-Za-z])((?:PASS|CREDENTIALS?)(?:[_-][A-Za-z0-9]+)*["']?\s*[=:]\s*)""" + _VALUE % r"\S+", "$1[REDACTED]"),
-    (r"""(?i)((?:TOKEN|SECRET|PASSWORD|SENHA|SEGREDO|API_KEY|APIKEY)(?:[_-][A-Za-z0-9]+)*["']?\s*[=:]\s*)""" + _VALUE % r"\S+", "$1[REDACTED]"),
+    (r"""(?i)(?<![A-Za-z])((?:PASSWD|PWD)(?:[_-][A-Za-z0-9]++)*+["']?\s*[=:]\s*)""" + _VALUE % r"[^\s;]+", "$1[REDACTED]"),
+    (r"""(?<![A-Za-z])((?:PASS|CREDENTIALS?)(?:[_-][A-Za-z0-9]++)*+["']?\s*[=:]\s*)""" + _VALUE % r"\S+", "$1[REDACTED]"),
+    (r"""(?i)((?:TOKEN|SECRET|PASSWORD|SENHA|SEGREDO|API_KEY|APIKEY)(?:[_-][A-Za-z0-9]++)*+["']?\s*[=:]\s*)""" + _VALUE % r"\S+", "$1[REDACTED]"),
 )
 
 
+# A text without any of these strings (the second list: in any case) has nothing that REDACTIONS match.
+_HINTS = "PRIVATE KEY-----|glpat-|ghp_|gho_|ghu_|ghs_|ghr_|sk-|k_live_|k_test_|npm_|xox|eyJ|AKIA|PASS|CREDENTIAL".split("|")
+_HINTS_ANY_CASE = "bearer authorization passwd pwd token secret password senha segredo api_key apikey".split()
+
+
+def may_have_secret(x: Column) -> Column:
+    """A cheap test that is true wherever redact changes anything."""
+    low = F.lower(x)
+    hints = [F.contains(x, F.lit(h)) for h in _HINTS] + [F.contains(low, F.lit(h)) for h in _HINTS_ANY_CASE]
+    found = F.contains(x, F.lit("://")) & F.contains(x, F.lit("@"))
+    for h in hints:
+        found = found | h
+    return found
+
+
 def redact(x: Column) -> Column:
+    """x without secrets; texts that can hold none pass without a pattern."""
+    y = x
     for pattern, plain in REDACTIONS:
-        x = F.regexp_replace(x, pattern, plain)
-    return x
+        y = F.regexp_replace(y, pattern, plain)
+    return F.when(may_have_secret(x), y).otherwise(x)
 
 
 def has_secret(x: Column) -> Column:
