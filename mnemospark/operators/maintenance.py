@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import python_text as P
 from ..functions import text as T
 
 
@@ -97,3 +98,13 @@ def serving(demands: DataFrame, anchors: DataFrame) -> DataFrame:
     down = anchors.select("anchor", above("anchor").alias("workdir")).join(demands, "workdir").select("name", "anchor")
     up = demands.select("name", above("workdir").alias("anchor")).join(anchors, "anchor").select("name", "anchor")
     return down.unionByName(up).distinct()
+
+
+def rebased(texts: DataFrame, pages: DataFrame, key: str, text: str) -> DataFrame:
+    """texts (key, text, source and target folder) with links to real pages as they read from the target folder.
+
+    The pages that a text names are looked up by a join, so there may be any number of pages.
+    """
+    named = texts.select(key, F.explode(P.link_targets_column()(text, "source")).alias("page"))
+    there = named.join(pages.select("page").distinct(), "page", "left_semi").groupBy(key).agg(F.collect_set("page").alias("there"))
+    return texts.join(there, key, "left").withColumn(text, P.rebase_column()(text, "source", "target", "there")).drop("there")
