@@ -27,21 +27,21 @@ def _count(words_column: str, term: str):
     return F.size(F.filter(words_column, lambda x: x == F.lit(term)))
 
 
-def bm25(chunks: DataFrame, terms: Sequence[str], chunk: str = "chunk_id", text: str = "content") -> DataFrame:
-    """chunk and score (greater is better) of the chunks that hold any of the terms; frequencies are counted in the
-    row, so only the hits are left to aggregate."""
+def bm25(chunks: DataFrame, terms: Sequence[str], chunk: str = "chunk_id", text: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """chunk, the columns to keep and score (greater is better) of the chunks that hold any of the terms.
+
+    Every chunk's length is needed for the mean, so all are read into words, once: the numbers of each chunk are dealt
+    by chunk, and that exchange serves the collection's figures and the ranking.
+    """
     terms = sorted(set(terms))
-    # every chunk's length is needed for the mean, so all are read into words, once
-    have = chunks.select(chunk, words(F.col(text)).alias("w"))
-    counted = have.select(chunk, F.size("w").alias("n"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    row = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        weight = F.log(F.lit((row["docs"] - row[f"df{i}"] + 0.5) / (row[f"df{i}"] + 0.5) + 1.0))
-        tf = F.col(f"tf{i}")
-        score = score + weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(row["avg"] or 1.0)))
-    hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
-    return hits.select(chunk, F.round(score, 6).alias("score"))
+    have = chunks.select(chunk, *keep, words(F.col(text)).alias("w"))
+    counted = have.select(chunk, *keep, F.size("w").alias("n"), F.array(*[_count("w", t) for t in terms]).alias("tf")).repartition(chunk)
+    figures = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("av"), F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df"))
+    weights = figures.select("av", F.transform("df", lambda d: F.log((F.col("docs") - d + 0.5) / (d + 0.5) + 1.0)).alias("weights"))
+    hits = counted.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(weights))
+    length = K1 * (1 - B + B * F.col("n") / F.when(F.col("av") > 0, F.col("av")).otherwise(1.0))
+    each = F.zip_with("weights", "tf", lambda w, tf: w * tf * (K1 + 1) / (tf + length))
+    return hits.select(chunk, *keep, F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
 
 def best_chunk_per_source(hits: DataFrame, source: str, limit: int | None = None, chunk: str = "chunk_id") -> DataFrame:

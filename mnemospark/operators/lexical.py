@@ -36,7 +36,7 @@ def page_windows(pages: DataFrame, text: str, terms: Sequence[str], stop_words:
     of the others, folded as a whole, lines are read once and windows slice them.
     """
     # a condition, not a filter: Catalyst would push a filter below the folding and fold again for it
-    pages = pages.withColumn("__folded", T.fold(F.col(text)))
+    pages = pages.withColumn("__folded", F.when(_may_hold_any(text, terms), T.fold(F.col(text))))
     words = F.when(_holds_any("__folded", terms), F.transform(T.lines(F.col("__folded")), lambda x: T.folded_tokens(x, stop_words)))
     wanted = F.array(*[F.lit(t) for t in terms])
 
@@ -56,17 +56,45 @@ def page_windows(pages: DataFrame, text: str, terms: Sequence[str], stop_words:
     return out.drop("__words", "__folded")
 
 
+def _may_hold_any(text: str, terms: Sequence[str]) -> Column:
+    """Whether a text can hold a term once it is folded: folding changes letters outside ASCII alone, so one within
+    ASCII must hold the term as it is."""
+    low = F.lower(F.col(text))
+    found = F.octet_length(F.col(text)) > F.length(F.col(text))
+    for t in terms:
+        found = found | F.contains(low, F.lit(t))
+    return found
+
+
 def _holds_any(column: str, terms: Sequence[str]) -> Column:
     """Whether a text holds the letters of a term: a cheap test before it is read into words."""
     return F.col(column).rlike("|".join(rf"\Q{t}\E" for t in terms))
 
 
-def term_stats(pages: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str]) -> tuple[int, dict[str, int]]:
-    """Pages with text in scope, and how many of them hold each term; one pass, one row back."""
-    folded = pages.where(F.trim(text) != "").select(T.fold(F.col(text)).alias("__folded"))
-    have = F.when(_holds_any("__folded", terms), T.folded_tokens(F.col("__folded"), stop_words))
-    row = folded.select(have.alias("w")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
-    return row["n"], {t: row[f"df{i}"] for i, t in enumerate(terms)}
+def term_stats(pages: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str], key: str = "source") -> tuple[int, dict[str, int]]:
+    """Pages with text in scope, and how many of them hold each term; one row back."""
+    row = _frequencies(found_windows(pages, [key], text, terms, stop_words), key, len(terms)).crossJoin(_scope(pages, text)).first()
+    return row["n"], {t: row["df"][i] for i, t in enumerate(terms)}
+
+
+def found_windows(pages: DataFrame, keep: list[str], text: str, terms: Sequence[str], stop_words: Sequence[str]) -> DataFrame:
+    """The columns to keep (the key first) and w, for each window that holds a term, dealt by key.
+
+    explode_outer: explode would add a filter on the windows, pushed below, that computes them again.
+    """
+    w = page_windows(pages, text, terms, stop_words).select(*keep, F.explode_outer("windows").alias("w")).where("w is not null")
+    return w.repartition(keep[0])
+
+
+def _frequencies(found: DataFrame, key: str, terms: int) -> DataFrame:
+    """df: how many pages hold each term; a page's windows have all of its lines, and lie in one task already."""
+    has = found.groupBy(key).agg(*[F.max(F.get("w.tf", F.lit(i)) > 0).alias(f"has{i}") for i in range(terms)])
+    return has.agg(F.array(*[F.count_if(F.col(f"has{i}")) for i in range(terms)]).alias("df"))
+
+
+def _scope(pages: DataFrame, text: str) -> DataFrame:
+    """n, the pages with text: a count that folds nothing."""
+    return pages.where(F.trim(text) != "").agg(F.count(F.lit(1)).alias("n"))
 
 
 def idf(n_docs: int, df: int) -> float:
@@ -94,11 +122,12 @@ def scored_windows(pages: DataFrame, query: str, key: str = "source", text: str
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, line long, end_line long, score double, matched_terms array<string>"
     if not terms:
         return pages.sparkSession.createDataFrame([], schema)
-    n, df = term_stats(pages, text, terms, config.stop_words)
-    weights = F.array(*[F.lit(idf(n, df[t])) for t in terms])
-    # explode_outer: explode would add a filter on the windows, pushed below, that computes them again
-    w = page_windows(pages, text, terms, config.stop_words).select(key, *([kind] if kind else []), F.explode_outer("windows").alias("w")).where("w is not null")
-    gain = F.zip_with(weights, F.col("w.tf"), lambda i, tf: F.when(tf > 0, i * (1 + F.log1p(tf))).otherwise(0.0))
+    # pages are folded once: the exchange of their windows serves both the frequencies and the ranking
+    kept = [key, *([kind] if kind else [])]
+    found = found_windows(pages, kept, text, terms, config.stop_words)
+    weights = _frequencies(found, key, len(terms)).crossJoin(_scope(pages, text)).select(F.transform("df", lambda d: F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))).alias("weights"))
+    w = found.crossJoin(F.broadcast(weights))
+    gain = F.zip_with("weights", F.col("w.tf"), lambda i, tf: F.when(tf > 0, i * (1 + F.log1p(tf))).otherwise(0.0))
     w = w.withColumn("gain", gain).withColumn("matched", F.size(F.filter("gain", lambda g: g > 0)))
     norm = F.sqrt(F.greatest(F.lit(1), F.col("w.n_words")) / 50)
     score = F.aggregate("gain", F.lit(0.0), lambda a, g: a + g) / norm * F.col("matched") / len(terms)

@@ -1,0 +1,105 @@
+"""A persisted inverted index of pages: built once, refreshed by revision, searched by the query's words alone.
+
+Two tables in one folder. ``postings``: term, page, at (lines that hold the term, from 0, with their counts), in shards by
+a hash of the term and sorted by term, so a search reads the row groups of its words. ``pages``: page, revision, words
+(search words of each line), kind. A search touches no text: its score needs the postings of its words, the words in
+each window, and how many pages there are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from ..config import KNOWLEDGE_BOOST, WINDOW_LINES, WINDOW_STRIDE, EngineConfig
+from ..functions import text as T
+from . import lexical, maintenance
+
+SHARDS = 64
+
+
+def _shard(term):
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+
+
+def build(pages: DataFrame, key: str = "source", text: str = "text", kind: str | None = None, stop_words: Sequence[str] = EngineConfig().stop_words) -> tuple[DataFrame, DataFrame]:
+    """(postings, pages) of all pages with text; a page is folded and read into words once for each table."""
+    some = pages.where(F.trim(text) != "").select(F.col(key).alias("page"), T.digest(F.col(text)).alias("revision"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), F.col(text).alias("text"))
+    lines = F.transform(T.lines(T.fold(F.col("text"))), lambda x: T.folded_tokens(x, stop_words))
+    read = some.select("page", "revision", "kind", lines.alias("lines"))
+    table = read.select("page", "revision", "kind", F.transform("lines", F.size).alias("words"))
+    each = read.select("page", F.posexplode("lines").alias("line", "ws")).select("page", "line", F.explode("ws").alias("term"))
+    counts = each.groupBy("term", "page", "line").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    postings = counts.groupBy("term", "page").agg(F.array_sort(F.collect_list(F.struct("line", "n"))).alias("at"))
+    return postings.withColumn("shard", _shard(F.col("term"))), table
+
+
+def write(postings: DataFrame, pages: DataFrame, folder: str) -> None:
+    postings.repartition("shard").sortWithinPartitions("shard", "term", "page").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
+    pages.write.mode("overwrite").parquet(f"{folder}/pages")
+
+
+def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables; a missing index is an error, not an empty result."""
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/pages")
+
+
+def refresh(spark: SparkSession, pages: DataFrame, folder: str, target: str, key: str = "source", text: str = "text", kind: str | None = None) -> DataFrame:
+    """Write the index of pages to the folder target: what the index in ``folder`` has of unchanged pages, and new
+    entries of added and changed ones. The counts of the delta come back."""
+    seen = pages.where(F.trim(text) != "").select(F.col(key).alias("page"), T.digest(F.col(text)).alias("revision"))
+    try:
+        postings, known = read(spark, folder)
+    except AnalysisException:
+        write(*build(pages, key, text, kind), target)
+        return maintenance.delta_counts(maintenance.index_delta(seen.limit(0), seen, "page"))
+    delta = maintenance.index_delta(known, seen, "page")
+    touched = delta.where("change in ('added', 'changed')").select("page")
+    fresh_postings, fresh_pages = build(pages.join(touched.withColumnRenamed("page", key), key, "left_semi"), key, text, kind)
+    write(maintenance.refreshed(postings, fresh_postings.select(*postings.columns), delta, "page"), maintenance.refreshed(known, fresh_pages, delta, "page"), target)
+    return maintenance.delta_counts(delta)
+
+
+def scored_windows(index: tuple[DataFrame, DataFrame], query: str, config: EngineConfig = EngineConfig(), scope: DataFrame | None = None) -> DataFrame:
+    """page, line, end_line, score, matched_terms as ``lexical.scored_windows`` has them. scope: the pages that count,
+    before any frequency is taken."""
+    postings, pages = index
+    spark = pages.sparkSession
+    sequence = lexical.query_terms(spark, query, config.stop_words)
+    terms = sorted(set(sequence))
+    if not terms:
+        return pages.select("page", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("end_line"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_terms")).limit(0)
+    shards = [r["s"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_shard(F.col("t")).alias("s")).distinct().collect()]
+    hits = postings.where(F.col("shard").isin(shards) & F.col("term").isin(terms)).select("term", "page", "at")
+    if scope is not None:
+        pages, hits = pages.join(scope.select("page"), "page", "left_semi"), hits.join(scope.select("page"), "page", "left_semi")
+    # the postings of a query's words come together by page, once; that exchange serves frequencies and ranking
+    tf = lambda t: F.max(F.when(F.col("term") == t, F.col("at")))
+    met = hits.repartition("page").groupBy("page").agg(*[tf(t).alias(f"at{i}") for i, t in enumerate(terms)])
+    df = met.agg(F.array(*[F.count(f"at{i}") for i in range(len(terms))]).alias("df"))
+    weights = df.crossJoin(pages.agg(F.count(F.lit(1)).alias("n"))).select(F.transform("df", lambda d: F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))).alias("weights"))
+    rows = met.join(pages.select("page", "kind", "words"), "page").crossJoin(F.broadcast(weights))
+    every = F.flatten(F.array(*[F.coalesce(f"at{i}", F.array().cast("array<struct<line:int,n:int>>")) for i in range(len(terms))]))
+    windows = F.array_distinct(F.flatten(F.transform(every, lambda x: lexical.window_starts(x["line"]))))
+    w = rows.withColumn("k", F.explode(windows))
+    inside = lambda x: (x["line"] >= F.col("k") * WINDOW_STRIDE) & (x["line"] < F.col("k") * WINDOW_STRIDE + WINDOW_LINES)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x))
+    w = w.withColumn("tf", F.array(*[F.coalesce(total(F.filter(f"at{i}", inside), lambda x: x["n"]), F.lit(0).cast("long")) for i in range(len(terms))]))
+    w = w.withColumn("n_words", total(F.slice("words", (F.col("k") * WINDOW_STRIDE + 1).cast("int"), WINDOW_LINES), lambda n: n))
+    gain = F.zip_with("weights", "tf", lambda i, n: F.when(n > 0, i * (1 + F.log1p(n))).otherwise(0.0))
+    w = w.withColumn("gain", gain).withColumn("matched", F.size(F.filter("gain", lambda g: g > 0)))
+    norm = F.sqrt(F.greatest(F.lit(1), F.col("n_words")) / 50)
+    score = F.aggregate("gain", F.lit(0.0), lambda a, g: a + g) / norm * F.col("matched") / len(terms)
+    if config.span_discount and len(terms) > lexical.SPAN_WIDTH:
+        score = F.when(F.col("matched") >= lexical.SPAN_TERMS, F.greatest(score, config.span_discount * lexical.best_span(sequence, F.col("gain"), terms) / norm)).otherwise(score)
+    score = F.when(F.col("kind") == "knowledge", score * KNOWLEDGE_BOOST).otherwise(score)
+    names = F.filter(F.zip_with(F.array(*[F.lit(t) for t in terms]), "gain", lambda t, g: F.when(g > 0, t)), lambda t: t.isNotNull())
+    end = F.least(F.col("k") * WINDOW_STRIDE + WINDOW_LINES, F.size("words")).cast("long")
+    return w.select("page", (F.col("k") * WINDOW_STRIDE + 1).cast("long").alias("line"), end.alias("end_line"), F.round(score, 4).alias("score"), names.alias("matched_terms"))
+
+
+def search(index: tuple[DataFrame, DataFrame], query: str, limit: int = 5, min_terms: int = 1, config: EngineConfig = EngineConfig(), scope: DataFrame | None = None) -> DataFrame:
+    return lexical.best_per_source(scored_windows(index, query, config, scope), "page", limit, min_terms)

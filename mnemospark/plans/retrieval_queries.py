@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..operators import bm25, lexical, vector
+from ..operators import bm25, lexical, postings, vector
+from ..session import shared_folder
 from .base import Fixture, query, table
 from .text_queries import TOKENS
 
@@ -37,6 +40,41 @@ def lexical_search(spark, sf):
     return lexical.search(_docs(spark, sf), PROMPT, limit=20, key="doc_id")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf):
+    """The documents' index in the shared folder: built by the first query of an application that asks for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        postings.write(*postings.build(_docs(spark, sf), "doc_id"), folder)
+        _INDEXES[key] = folder
+    return postings.read(spark, _INDEXES[key])
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, line, end_line, score, matched_terms FROM best ORDER BY score DESC, doc_id, line LIMIT 20")
+def indexed_search(spark, sf):
+    """The same search from persisted postings."""
+    return postings.search(_index(spark, sf), PROMPT, limit=20).withColumnRenamed("page", "doc_id")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format(x='text')})) AS term FROM documents WHERE trim(text) <> '') SELECT term, count(*) AS pages FROM t GROUP BY term")
+def index_terms(spark, sf):
+    """How many pages hold each term, from the persisted postings."""
+    return _index(spark, sf)[0].groupBy("term").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(f"""WITH known AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' || text ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0 AND trim(text) <> ''), seen AS (SELECT doc_id, text AS t FROM documents WHERE doc_id % 11 <> 0 AND trim(text) <> '')
+SELECT count(*) FILTER (WHERE s.t IS NOT NULL) AS indexed, count(*) FILTER (WHERE s.t IS NOT NULL AND s.t IS DISTINCT FROM k.t) AS changed, count(*) FILTER (WHERE s.t IS NULL) AS removed FROM known k FULL JOIN seen s USING (doc_id)""")
+def index_refresh(spark, sf):
+    """An index of other revisions is brought up to date; the counts of what changed."""
+    d, folder = _docs(spark, sf), f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    known = d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text")))
+    postings.write(*postings.build(known, "doc_id"), f"{folder}-a")
+    return postings.refresh(spark, d.where("doc_id % 11 <> 0"), f"{folder}-a", f"{folder}-b", "doc_id")
+
+
 @query(f"WITH l AS ({_LINES}), p AS (SELECT doc_id, unnest(range(0, len(ls))) AS line FROM l), k AS (SELECT doc_id, line, unnest(range(0, line // 24 + 1)) AS k FROM p) SELECT doc_id, k, line FROM k WHERE line >= 24 * k AND line < 24 * k + 32")
 def line_windows(spark, sf):
     return lexical.line_windows(_docs(spark, sf), "doc_id", "text").select("doc_id", "k", F.col("line").cast("long").alias("line"))
@@ -51,7 +89,7 @@ def term_tf(spark, sf):
 
 
 def _stats(spark, sf):
-    n, df = lexical.term_stats(_docs(spark, sf), "text", TERMS, EngineConfig().stop_words)
+    n, df = lexical.term_stats(_docs(spark, sf), "text", TERMS, EngineConfig().stop_words, "doc_id")
     return [(t, df[t], n, lexical.idf(n, df[t])) for t in TERMS]
 
 
@@ -128,7 +166,7 @@ s AS (SELECT doc_id, source, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1.0)
 
 @query(FTS + "SELECT source, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1")
 def fts_bm25(spark, sf):
-    hits = bm25.bm25(_docs(spark, sf), ["license", "apache", "onre"], "doc_id", "text").join(_docs(spark, sf).select("doc_id", "source"), "doc_id")
+    hits = bm25.bm25(_docs(spark, sf), ["license", "apache", "onre"], "doc_id", "text", ["source"])
     return bm25.best_chunk_per_source(hits, "source", chunk="doc_id").select("source", "doc_id", "score")
 
 
@@ -232,20 +270,12 @@ def vector_topk(spark, sf):
     return vector.rank(table(spark, sf, "embeddings"), _query0(spark, sf), "vec_id", limit=20)
 
 
-@query(f"SELECT x.vec_id AS a, y.vec_id AS b, {_COS.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')} AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE x.vec_id % 10 = 0")
+@query(f"""SELECT x.vec_id AS query, y.vec_id, {_COS.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')} AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0
+QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY similarity DESC, y.vec_id) <= 10""")
 def cosine_pairs(spark, sf):
+    """The stated query set (ids divisible by 100) against all rows: the ten nearest of each, whatever their label."""
     e = table(spark, sf, "embeddings")
-    x, y = e.where("vec_id % 10 = 0").toDF("a", "va", "label"), e.toDF("b", "vb", "label")
-    return x.join(y, "label").where("a < b").select("a", "b", F.round(vector.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
-
-
-@query(f"""SELECT x.vec_id AS a, y.vec_id AS b, {_COS.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')} AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id
-WHERE x.vec_id IN (SELECT 100 * unnest(range(0, (SELECT max(vec_id) // 100 + 1 FROM embeddings))))""")
-def cosine_of_query_set(spark, sf):
-    """The stated query set (ids divisible by 100) against all rows of the same label, smaller and larger ids alike."""
-    e = table(spark, sf, "embeddings")
-    x, y = e.where("vec_id % 100 = 0").toDF("a", "va", "label"), e.toDF("b", "vb", "label")
-    return x.join(y, "label").where("a <> b").select("a", "b", F.round(vector.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    return vector.search_blocks(e.where("vec_id % 100 = 0"), e, "vec_id").select("query", F.col("key").alias("vec_id"), "similarity")
 
 
 _LEGS = f"""WITH q AS (SELECT vec_id, {_COS.replace('a::', 'embedding::').replace('b::', '(' + _QUERY0 + ')::')} AS s FROM embeddings),
@@ -278,12 +308,10 @@ def missing_vectors(spark, sf):
     return vector.missing(table(spark, sf, "documents").select("doc_id"), v, "doc_id", "m")
 
 
-LENGTHS = Fixture("lengths", "id long, n long", [*[(i, 100) for i in range(10)], *[(i, 900) for i in range(10, 30)], *[(i, 5000) for i in range(30, 50)]])
-
-
-@query(f"""WITH RECURSIVE {LENGTHS.sql}, o AS (SELECT id, n, row_number() OVER (ORDER BY n, id) AS k FROM lengths),
-g AS (SELECT k, id, 1 AS batch, 1 AS size FROM o WHERE k = 1 UNION ALL
-SELECT o.k, o.id, CASE WHEN g.size + 1 > 64 OR (g.size + 1) * least(1024, o.n) > 8192 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.size + 1 > 64 OR (g.size + 1) * least(1024, o.n) > 8192 THEN 1 ELSE g.size + 1 END FROM g JOIN o ON o.k = g.k + 1)
-SELECT id, batch::BIGINT AS batch FROM g""")
+@query("""WITH RECURSIVE o AS (SELECT doc_id, source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS k FROM documents),
+g AS (SELECT k, doc_id, source, 1 AS batch, 1 AS size FROM o WHERE k = 1 UNION ALL
+SELECT o.k, o.doc_id, o.source, CASE WHEN g.size + 1 > 64 OR (g.size + 1) * least(1024, o.n) > 8192 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.size + 1 > 64 OR (g.size + 1) * least(1024, o.n) > 8192 THEN 1 ELSE g.size + 1 END
+FROM g JOIN o ON o.source = g.source AND o.k = g.k + 1) SELECT doc_id, source, batch::BIGINT AS batch FROM g""")
 def padded_batches(spark, sf):
-    return vector.padded_batches(LENGTHS.df(spark), "id", "n")
+    """All documents; each source is an embedding job."""
+    return vector.padded_batches(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "doc_id", "n_chars", "source")
