@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TRANSCRIPT_CAP
+from . import greedy
 
 # What a session log holds besides the conversation.
 SKIP_TYPES = ("attachment", "last-prompt", "queue-operation", "system")
@@ -88,14 +89,23 @@ def prompt_reply_pairs(df: DataFrame, group: str, order: str) -> DataFrame:
     return said.groupBy(group).agg(F.max_by(F.struct("prompt", "text"), order).alias("x")).select(group, "x.prompt", F.col("x.text").alias("reply"))
 
 
-def transcript_days(messages: DataFrame, cap: int = TRANSCRIPT_CAP) -> DataFrame:
-    """store, day, text: a day's messages in order, up to the first that would pass the cap (in characters)."""
-    entry = F.concat(F.lit("["), "role", F.lit("] "), "text", F.lit("\n"))
-    m = messages.withColumn("entry", entry)
+# The first line of a complete transcript, and the last one of a cut one.
+TRANSCRIPT_MARK = "<!-- auto-extracted from native session jsonl -->"
+TRUNCATED = "\n<!-- truncated at %d chars -->"
+
+
+def transcript_days(messages: DataFrame, cap: int = TRANSCRIPT_CAP, today: str | None = None) -> DataFrame:
+    """store, day, text: a day's messages (ts, file, line_no, role, text) in order, up to the first that would pass the
+    cap (in characters), which leaves a mark. Today is never written, as it is not over. What is gathered of a day
+    keeps to the cap."""
+    entry = F.concat(F.lit("\n## "), F.date_format("ts", "HH:mm:ss"), F.lit("\n**"), "role", F.lit(":** "), "text")
+    m = messages.where(F.col("day") != today) if today else messages
     w = Window.partitionBy("store", "day").orderBy("ts", "file", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = m.withColumn("__used", F.sum(F.length("entry")).over(w)).where(F.col("__used") <= cap)
-    listed = F.array_sort(F.collect_list(F.struct("ts", "file", "line_no", "entry")))
-    return kept.groupBy("store", "day").agg(listed.alias("l")).select("store", "day", F.array_join(F.transform("l", lambda x: x["entry"]), "").alias("text"))
+    m = m.withColumn("entry", entry).withColumn("fits", F.sum(F.length("entry")).over(w) <= cap)
+    listed = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("ts", "file", "line_no", "entry"))))
+    days = m.groupBy("store", "day").agg(listed.alias("l"), F.every("fits").alias("whole"))
+    parts = F.concat(F.array(F.lit(TRANSCRIPT_MARK)), F.transform("l", lambda x: x["entry"]), F.when(F.col("whole"), F.array().cast("array<string>")).otherwise(F.array(F.lit(TRUNCATED % cap))))
+    return days.select("store", "day", F.concat(F.array_join(parts, "\n"), F.lit("\n")).alias("text"))
 
 
 def transcript_merge(old: DataFrame, new: DataFrame, marker: str, force: bool = False) -> DataFrame:
@@ -116,17 +126,13 @@ def running_budget(df: DataFrame, group: str, order: list[str], size: Column, bu
 
 
 def budget_fill(df: DataFrame, group: str, order: str, size: str, key: str, budget: int) -> DataFrame:
-    """Rows taken in order of priority; one that doesn't fit is skipped and the next is tried.
-
-    Each choice depends on the ones before, so a group's candidates (a store's blocks, a prompt's hits) are
-    folded in one row.
-    """
-    kind, size_kind = df.schema[key].dataType.simpleString(), "bigint"
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("key"), F.col(size).cast("long").alias("size"))))
+    """Rows taken in order of priority; one that doesn't fit is skipped and the next is tried."""
 
-    def step(s, x):
-        fits = s["used"] + x["size"] <= budget
-        return F.struct(F.when(fits, s["used"] + x["size"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["kept"], F.array(x["key"]))).otherwise(s["kept"]).alias("kept"))
+    def fill(sizes, used):
+        used, kept = used or 0, []
+        for n in sizes:
+            kept.append(used + n <= budget)
+            used += n if kept[-1] else 0
+        return kept, used
 
-    start = F.struct(F.lit(0).cast(size_kind).alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
-    return df.groupBy(group).agg(listed.alias("l")).select(group, F.explode(F.aggregate("l", start, step, lambda s: s["kept"])).alias(key))
+    return greedy.fold(df, group, [order, key], size, fill, "kept boolean").where("kept").select(group, key)

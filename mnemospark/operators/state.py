@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,18 +20,19 @@ def alert_step(state: Column, since: Column, call: Column, day: Column) -> tuple
 def alert_transitions(calls: DataFrame) -> DataFrame:
     """n, marker, state of the calls that are written. calls: n (their order), day, marker, call.
 
-    A marker's calls are folded inside one row; markers are many and calls of one marker few.
+    The state needs no fold: an alert always opens, and so does ``once`` as long as nothing was closed. So a marker is
+    open since its last alert (or, before any, its first ``once``), unless an OK came after that. A call repeats the
+    one before if both leave the marker open on the same day.
     """
-    listed = F.array_sort(F.collect_list(F.struct("n", "day", "call")))
-
-    def step(s, c):
-        state, since, told = alert_step(s["state"], s["since"], c["call"], c["day"])
-        out = F.when(told, F.concat(s["out"], F.array(F.struct(c["n"].alias("n"), state.alias("state"))))).otherwise(s["out"])
-        return F.struct(state.alias("state"), since.alias("since"), out.alias("out"))
-
-    start = F.struct(F.lit("").alias("state"), F.lit("").alias("since"), F.array().cast("array<struct<n:bigint,state:string>>").alias("out"))
-    folded = calls.groupBy("marker").agg(listed.alias("l")).select("marker", F.aggregate("l", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("marker", F.explode("out").alias("o")).select("o.n", "marker", "o.state")
+    order = Window.partitionBy("marker").orderBy("n")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = lambda call: F.when(F.col("call") == call, F.col("n"))
+    opened = F.coalesce(F.max(place("alert")).over(so_far), F.min(place("once")).over(so_far))
+    closed = F.max(place("ok")).over(so_far)
+    c = calls.select("n", "day", "marker", "call", F.when(opened.isNull(), "").when(closed > opened, "OK").otherwise("!").alias("state"))
+    before, same_day = F.coalesce(F.lag("state").over(order), F.lit("")), F.lag("day").over(order) == F.col("day")
+    told = F.when(F.col("call") == "ok", before == "!").otherwise(((F.col("call") != "once") | (before != "OK")) & ~((before == "!") & same_day))
+    return c.withColumn("told", F.coalesce(told, F.lit(True))).where("told").select("n", "marker", "state")
 
 
 def last_state(df: DataFrame, key: str, state: str, order: Sequence[str]) -> DataFrame:

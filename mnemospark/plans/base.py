@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Derived:
+    """A table made from the given ones: as a DataFrame, and as SQL for a WITH clause."""
+
+    def __init__(self, name: str, sql: str, build):
+        self.name, self.body, self.df = name, sql, build
+
+    @property
+    def sql(self) -> str:
+        return f"{self.name} AS ({self.body})"
+
+
 class Fixture:
     """A few literal rows as a DataFrame and as a VALUES clause."""
 

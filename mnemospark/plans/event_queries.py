@@ -8,22 +8,65 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import state
-from .base import Fixture, query, table
-
-LOG = Fixture("log", "at string, event string, request_id string, session string, query_hash string, elapsed_ms long, injected_bytes long, result_id string, outcome string, automatic boolean", [
-    ("2026-09-20T08:00", "recall", "r0", "s1", None, 5, 900, None, None, None), ("2026-09-25T08:00", "recall", "r1", "s1", None, 100, 0, None, None, None), ("2026-09-26T08:00", "recall", "r2", "s1", None, 300, 700, None, None, None),
-    ("2026-09-26T09:00", "recall", "r3", "s2", None, 50, 260, None, None, None), ("2026-09-19T10:00", "search", "r0", "s1", "q0", 9, None, None, None, None), ("2026-09-25T07:59", "search", "r1", "s1", "q1", 9, None, None, None, None),
-    ("2026-09-26T07:59", "search", "r2", "s1", "q2", 9, None, None, None, None), ("2026-09-26T08:01", "search", "r2", "s1", "q2", 9, None, None, None, None), ("2026-09-26T08:30", "open", "r2", "s1", None, None, None, "b", None, None),
-    ("2026-09-26T08:31", "open", "r2", "s1", None, None, None, "c", None, None), ("2026-09-26T08:32", "open", "r9", "s1", None, None, None, "a", None, None), ("2026-09-27T01:00", "rag_edit", None, "s1", None, None, 400, None, None, None),
-    ("2026-09-27T01:01", "rag_edit", None, "s1", None, None, 0, None, None, None), ("2026-09-27T01:02", "rag_edit", None, "s1", None, None, 600, None, None, None), ("2026-09-27T02:00", "feedback", "r2", "s1", None, None, None, "b", "useful", False),
-    ("2026-09-27T02:01", "feedback", "r2", "s1", None, None, None, "b", "code_failed", True), ("2026-09-27T02:02", "feedback", "r2", "s1", None, None, None, "b", "code_passed", True), ("2026-09-27T02:03", "feedback", "r1", "s2", None, None, None, "a", "wrong", False),
-])
-#: Hits of the log's searches and, with rank 0, what a recall showed first.
-HITS = Fixture("hits", "request_id string, at string, id string, source string, line long, score double, block string", [
-    ("r0", "2026-09-19T10:00", "a", "p/a.md", 1, 8.0, "x1"), ("r1", "2026-09-25T07:59", "a", "p/a.md", 1, 7.5, "x1"), ("r1", "2026-09-25T07:59", "b", "p/b.md", 3, 6.0, "x2"), ("r2", "2026-09-26T07:59", "b", "p/b.md", 3, 9.0, "x2"),
-    ("r2", "2026-09-26T07:59", "c", "p/c.md", 5, 9.5, "x3"), ("r2", "2026-09-26T08:01", "b", "p/b2.md", 7, 4.0, "x2"), ("r2", "2026-09-26T08:01", "d", "p/d.md", 9, 3.0, None),
-])
-SHOWN = Fixture("shown", "request_id string, pos long, id string", [("r0", 0, "a"), ("r2", 0, "b"), ("r2", 1, "d"), ("r3", 0, "zz")])
+from .base import Derived, Fixture, query, table
+
+# A log of the engine's own events made of the events table: a click stands for a search, a view for a recall, a
+# purchase for an opened hit, a signup for a note on an edit, an error for feedback. Six events in a row are a request.
+_KINDS = {"click": "search", "view": "recall", "purchase": "open", "signup": "rag_edit", "error": "feedback"}
+_OUTCOMES = ["useful", "wrong", "code_failed", "code_passed"]
+_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " END"
+_AT = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
+_OUTCOME = f"CASE WHEN event_type = 'error' THEN {_OUTCOMES}[1 + event_id % 4] END"
+
+
+def _events(spark, sf):
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    request = F.floor(F.col("event_id") / 6)
+    return table(spark, sf, "events").select("*", at.alias("at"), request.alias("q"), F.concat(F.lit("r"), request.cast("string")).alias("request_id"))
+
+
+def _log_table(spark, sf):
+    e, n = _events(spark, sf), F.col("event_id")
+    kind = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])[F.col("event_type")]
+    when = lambda *kinds: F.col("event_type").isin(*kinds)
+    outcome = F.when(when("error"), F.element_at(F.array(*map(F.lit, _OUTCOMES)), (1 + n % 4).cast("int")))
+    return e.select(
+        "at", kind.alias("event"), "request_id", F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("s"), F.col("user_id").cast("string"))).alias("session"),
+        F.when(when("click"), F.concat(F.lit("q"), F.floor(n / 12).cast("string"))).alias("query_hash"), F.when(when("view"), F.floor(F.col("value") * 10)).alias("elapsed_ms"),
+        F.when(when("view", "signup"), F.when(n % 3 == 0, 0).otherwise(F.floor(F.col("value") * 20))).cast("long").alias("injected_bytes"),
+        F.when(when("purchase"), F.concat(F.lit("h"), (n % 50).cast("string"))).alias("result_id"), outcome.alias("outcome"), F.when(when("error"), n % 4 >= 2).alias("automatic"),
+    )
+
+
+LOG = Derived("log", f"""SELECT {_AT} AS at, {_CASE} AS event, 'r' || event_id // 6 AS request_id, CASE WHEN user_id % 10 <> 0 THEN 's' || user_id END AS session,
+CASE WHEN event_type = 'click' THEN 'q' || event_id // 12 END AS query_hash, CASE WHEN event_type = 'view' THEN floor(value * 10)::BIGINT END AS elapsed_ms,
+CASE WHEN event_type IN ('view', 'signup') THEN CASE WHEN event_id % 3 = 0 THEN 0 ELSE floor(value * 20) END END::BIGINT AS injected_bytes, CASE WHEN event_type = 'purchase' THEN 'h' || event_id % 50 END AS result_id,
+{_OUTCOME} AS outcome, CASE WHEN event_type = 'error' THEN event_id % 4 >= 2 END AS automatic FROM events""", _log_table)
+
+
+def _hits_table(spark, sf):
+    """Three hits for each search: ids that differ, scores that differ, every fourth without a block."""
+    e = _events(spark, sf).where("event_type = 'click'").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    text = lambda head, n, tail="": F.concat(F.lit(head), n.cast("string"), F.lit(tail))
+    n, j = F.col("event_id"), F.col("j")
+    return e.select(
+        "request_id", "at", text("h", (13 * F.col("q") + n + 13 * j) % 50).alias("id"), text("p/", (n + 7 * j) % 40, ".md").alias("source"), (24 * j + 1).cast("long").alias("line"),
+        (F.col("value") * 10 + (n + 2 * j) % 5).alias("score"), F.when((n + j) % 4 != 0, text("b", (n + 3 * j) % 30)).alias("block"),
+    )
+
+
+HITS = Derived("hits", f"""SELECT 'r' || event_id // 6 AS request_id, {_AT} AS at, 'h' || (13 * (event_id // 6) + event_id + 13 * j) % 50 AS id, 'p/' || (event_id + 7 * j) % 40 || '.md' AS source, (24 * j + 1)::BIGINT AS line,
+value * 10 + (event_id + 2 * j) % 5 AS score, CASE WHEN (event_id + j) % 4 <> 0 THEN 'b' || (event_id + 3 * j) % 30 END AS block FROM (SELECT *, unnest([0, 1, 2]) AS j FROM events WHERE event_type = 'click')""", _hits_table)
+
+
+def _shown_table(spark, sf):
+    """What a request's recalls showed: none to two hits, some of its own searches' and some of others'."""
+    q = _events(spark, sf).select("q", "request_id").distinct().where("q % 3 > 0")
+    q = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") % 3 - 1)).alias("pos"))
+    return q.select("request_id", "pos", F.concat(F.lit("h"), ((19 * F.col("q") + 13 * F.col("pos")) % 50).cast("string")).alias("id"))
+
+
+SHOWN = Derived("shown", "SELECT 'r' || q AS request_id, pos, 'h' || (19 * q + 13 * pos) % 50 AS id FROM (SELECT q, unnest(range(0, q % 3)) AS pos FROM (SELECT DISTINCT event_id // 6 AS q FROM events))", _shown_table)
 _SQL = f"WITH {LOG.sql}, {HITS.sql}, {SHOWN.sql}"
 
 
@@ -32,31 +75,31 @@ def _named(sql: str) -> str:
     return re.sub(r"""(?<!["'\w])at(?!["'\w])""", '"at"', sql)
 
 
-def _log(spark):
-    """The three fixtures as one log of the engine's events."""
-    h = HITS.df(spark).groupBy("request_id", "at").agg(
+def _log(spark, sf):
+    """The three as one log of the engine's events."""
+    h = HITS.df(spark, sf).groupBy("request_id", "at").agg(
         F.array_sort(F.collect_list(F.struct("id", "source", "line", "score", F.array().cast("array<string>").alias("matched_terms"), F.lit(True).alias("own"), F.when(F.col("block").isNotNull(), F.array("block")).otherwise(F.array().cast("array<string>")).alias("blocks")))).alias("hits")
     )
-    s = SHOWN.df(spark).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("hit_ids"))
-    log = LOG.df(spark).join(h, ["request_id", "at"], "left").withColumn("hits", F.when(F.col("event") == "search", F.col("hits")))
+    s = SHOWN.df(spark, sf).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("hit_ids"))
+    log = LOG.df(spark, sf).join(h, ["request_id", "at"], "left").withColumn("hits", F.when(F.col("event") == "search", F.col("hits")))
     return log.join(s, "request_id", "left").withColumn("hit_ids", F.when(F.col("event") == "recall", F.col("hit_ids")))
 
 
 _PCT = "list_sort(list({x}))[1 + least(count(*) - 1, floor(count(*) * {q}))::BIGINT]"
 
 
-@query(_named(_SQL + f", r AS (SELECT l.*, (SELECT count(*) FROM shown s WHERE s.request_id = l.request_id) AS n FROM log l WHERE event = 'recall' AND at >= '2026-09-21') SELECT count(*) AS recalls, count(*) FILTER (WHERE n > 0) AS injected, round(count(*) FILTER (WHERE n > 0) / count(*)::DOUBLE, 3) AS injection_rate, {_PCT.format(x='elapsed_ms', q=0.5)} AS p50_ms, {_PCT.format(x='elapsed_ms', q=0.95)} AS p95_ms FROM r"))
+@query(_named(_SQL + f", r AS (SELECT l.*, (SELECT count(*) FROM shown s WHERE s.request_id = l.request_id) AS n FROM log l WHERE event = 'recall' AND at >= '2024-01-15') SELECT count(*) AS recalls, count(*) FILTER (WHERE n > 0) AS injected, round(count(*) FILTER (WHERE n > 0) / count(*)::DOUBLE, 3) AS injection_rate, {_PCT.format(x='elapsed_ms', q=0.5)} AS p50_ms, {_PCT.format(x='elapsed_ms', q=0.95)} AS p95_ms FROM r"))
 def recall_stats(spark, sf):
-    return E.recall_stats(_log(spark), "2026-09-21")
+    return E.recall_stats(_log(spark, sf), "2024-01-15")
 
 
 @query(_named(_SQL + """, s AS (SELECT request_id, max(at) AS at, arg_max(query_hash, at) AS query_hash FROM log WHERE event = 'search' GROUP BY request_id),
 h AS (SELECT h.* FROM hits h JOIN s USING (request_id, at)), top AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC) = 1),
 f AS (SELECT request_id, id FROM shown WHERE pos = 0)
 SELECT l.request_id, s.query_hash AS hash, top.score AS top_score, coalesce(o.source, top.source) AS source, coalesce(o.line, top.line) AS line, f.id IS NOT NULL AS injected, f.id IS NULL OR o.id IS NOT NULL AS opener_found
-FROM log l JOIN s USING (request_id) JOIN top USING (request_id) LEFT JOIN f USING (request_id) LEFT JOIN h o ON o.request_id = l.request_id AND o.id = f.id WHERE l.event = 'recall' AND l.at >= '2026-09-01'"""))
+FROM log l JOIN s USING (request_id) JOIN top USING (request_id) LEFT JOIN f USING (request_id) LEFT JOIN h o ON o.request_id = l.request_id AND o.id = f.id WHERE l.event = 'recall' AND l.at >= '2024-01-05'"""))
 def recall_rows(spark, sf):
-    return E.recall_rows(_log(spark), "2026-09-01")
+    return E.recall_rows(_log(spark, sf), "2024-01-05")
 
 
 @query("SELECT event_type, " + _PCT.format(x="value", q=0.5) + " AS p50, " + _PCT.format(x="value", q=0.95) + " AS p95 FROM events GROUP BY event_type")
@@ -71,12 +114,12 @@ def interpolated_median(spark, sf):
 
 @query(_named(_SQL + " SELECT (SELECT count(DISTINCT request_id) FROM log WHERE event = 'search') AS searches, count(DISTINCT h.request_id) AS with_open FROM hits h WHERE EXISTS (SELECT 1 FROM log o WHERE o.event = 'open' AND o.request_id = h.request_id AND o.result_id = h.id)"))
 def usage_report(spark, sf):
-    return E.usage_report(_log(spark))
+    return E.usage_report(_log(spark, sf))
 
 
 @query(_named(_SQL + " SELECT DISTINCT h.request_id FROM hits h JOIN log o ON o.event = 'open' AND o.request_id = h.request_id AND o.result_id = h.id"))
 def searches_with_open(spark, sf):
-    return E.searches_with_open(_log(spark))
+    return E.searches_with_open(_log(spark, sf))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id")
@@ -86,13 +129,13 @@ def feedback_pivot(spark, sf):
 
 @query(_named(_SQL + f", r AS (SELECT * FROM log WHERE event = 'rag_edit'), f AS (SELECT * FROM log WHERE event = 'feedback' AND automatic) SELECT (SELECT count(*) FROM r) AS fired, (SELECT count(*) FROM r WHERE injected_bytes > 0) AS injected, (SELECT {_PCT.format(x='injected_bytes', q=0.5)} FROM r WHERE injected_bytes > 0) AS injected_bytes_p50, (SELECT round(count(*) FILTER (WHERE outcome = 'code_failed') / nullif(count(*) FILTER (WHERE outcome IN ('code_passed', 'code_failed')), 0)::DOUBLE, 3) FROM f) AS code_failed_share"))
 def rag_report(spark, sf):
-    return E.rag_report(_log(spark))
+    return E.rag_report(_log(spark, sf))
 
 
 @query(_named(_SQL + """, e AS (SELECT request_id, id, arg_max(source, at || source) AS source FROM hits GROUP BY request_id, id), a AS (SELECT id, arg_max(source, at || request_id || source) AS source FROM hits GROUP BY id)
 SELECT s.request_id, s.id, coalesce(e.source, a.source) AS source FROM shown s LEFT JOIN e USING (request_id, id) LEFT JOIN a ON a.id = s.id"""))
 def ref_resolution(spark, sf):
-    return E.resolve_refs(SHOWN.df(spark).select("request_id", "id"), HITS.df(spark))
+    return E.resolve_refs(SHOWN.df(spark, sf).select("request_id", "id"), HITS.df(spark, sf))
 
 
 @query("SELECT CASE WHEN value < 30 THEN 'below' WHEN value < 50 THEN 'near' ELSE 'above' END AS bin, count(*) AS n FROM events WHERE value >= 0 GROUP BY bin")
@@ -122,7 +165,7 @@ def horizon_filter(spark, sf):
 
 @query(_named(_SQL + " SELECT DISTINCT l.session, coalesce(l.query_hash, l.request_id) AS query, h.block FROM log l JOIN hits h ON h.request_id = l.request_id AND h.at = l.at WHERE l.event = 'search' AND l.session IS NOT NULL AND h.block IS NOT NULL"))
 def distinct_uses(spark, sf):
-    return E.distinct_uses(_log(spark))
+    return E.distinct_uses(_log(spark, sf))
 
 
 @query("""SELECT user_id, round(ln(sum(CASE WHEN event_type = 'click' THEN 2.0::DOUBLE ELSE 1.0 END * power(greatest(0.5::DOUBLE, (epoch((SELECT max(ts) FROM events)) - epoch(ts)) / 86400.0), -0.5::DOUBLE))), 6) AS activation FROM events GROUP BY user_id""")
@@ -150,9 +193,6 @@ def weekly_summary(spark, sf):
     )
 
 
-PROMPTS = Fixture("prompts", "hash string", [("nothing",)])
-
-
 @query("WITH wanted AS (SELECT sha256(text) AS hash FROM conversations WHERE turn = 0) SELECT DISTINCT conv_id, turn FROM conversations c JOIN wanted w ON w.hash = sha256(c.text)")
 def hash_semi_join(spark, sf):
     c = table(spark, sf, "conversations").withColumn("hash", F.sha2("text", 256))
@@ -161,15 +201,21 @@ def hash_semi_join(spark, sf):
 
 @query(_named(f"WITH {HITS.sql} SELECT request_id, sha256('q-' || request_id) AS query_hash, id, source, score FROM hits"))
 def telemetry(spark, sf):
-    h = HITS.df(spark).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "source", "score"))), lambda x: F.struct(x["id"].alias("id"), x["source"].alias("source"), x["score"].alias("score"))).alias("hits"))
+    h = HITS.df(spark, sf).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "source", "score"))), lambda x: F.struct(x["id"].alias("id"), x["source"].alias("source"), x["score"].alias("score"))).alias("hits"))
     logged = E.telemetry(h.withColumn("query", F.concat(F.lit("q-"), "request_id")))
     return logged.select("request_id", "query_hash", F.inline("hits"))
 
 
-ALERTS = Fixture("alerts", "n long, day string, marker string, call string", [
-    (1, "2026-01-01", "disk", "alert"), (2, "2026-01-01", "disk", "alert"), (3, "2026-01-02", "disk", "alert"), (4, "2026-01-02", "disk", "ok"), (5, "2026-01-02", "disk", "ok"), (6, "2026-01-02", "disk", "alert"),
-    (7, "2026-01-01", "nag", "once"), (8, "2026-01-03", "nag", "ok"), (9, "2026-01-04", "nag", "once"), (10, "2026-01-04", "new", "ok"), (11, "2026-01-05", "job", "once"), (12, "2026-01-05", "job", "once"), (13, "2026-01-06", "job", "alert"),
-])
+# Alert calls made of the events table: a user's events are the calls of one marker.
+_CALLS = {"click": "alert", "view": "ok", "purchase": "ok", "signup": "alert", "error": "once"}
+
+
+def _alerts_table(spark, sf):
+    call = F.create_map(*[F.lit(x) for kv in _CALLS.items() for x in kv])[F.col("event_type")]
+    return table(spark, sf, "events").select(F.col("event_id").alias("n"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("marker"), call.alias("call"))
+
+
+ALERTS = Derived("alerts", "SELECT event_id AS n, strftime(ts, '%Y-%m-%d') AS day, 'm' || user_id AS marker, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CALLS.items()) + " END AS call FROM events", _alerts_table)
 _FSM = f"""WITH RECURSIVE {ALERTS.sql}, o AS (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY n) AS k FROM alerts),
 step AS (SELECT n, day, marker, call, k, CASE WHEN call = 'ok' THEN '' ELSE '!' END AS state, CASE WHEN call = 'ok' THEN '' ELSE day END AS since, call <> 'ok' AS written FROM o WHERE k = 1
 UNION ALL SELECT o.n, o.day, o.marker, o.call, o.k,
@@ -181,7 +227,7 @@ FROM step s JOIN o ON o.marker = s.marker AND o.k = s.k + 1)"""
 
 @query(_FSM + " SELECT n, marker, state FROM step WHERE written")
 def alert_transitions(spark, sf):
-    return state.alert_transitions(ALERTS.df(spark))
+    return state.alert_transitions(ALERTS.df(spark, sf))
 
 
 @query("SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS state FROM events GROUP BY user_id".replace("(epoch_us(ts), event_id)", "struct_pack(a := ts, b := event_id)"))
@@ -191,4 +237,4 @@ def last_state(spark, sf):
 
 @query(_FSM + ", w AS (SELECT marker, state, n FROM step WHERE written QUALIFY row_number() OVER (PARTITION BY marker ORDER BY n DESC) = 1) SELECT marker, n FROM w WHERE state = '!'")
 def open_alerts(spark, sf):
-    return state.open_alerts(state.alert_transitions(ALERTS.df(spark)))
+    return state.open_alerts(state.alert_transitions(ALERTS.df(spark, sf)))

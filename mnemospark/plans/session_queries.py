@@ -23,54 +23,85 @@ def _line(**x):
     return json.dumps(x)
 
 
-RAW = Fixture("raw", "file string, line_no long, value string", [
-    ("a.jsonl", 0, _line(type="user", message={"role": "user", "content": "typed here"}, timestamp="2026-01-05T08:00:00Z", cwd="/home/p")),
-    ("a.jsonl", 1, _line(type="assistant", message={"role": "assistant", "content": [{"type": "text", "text": "an answer"}, {"type": "tool_use", "name": "x"}]}, timestamp="2026-01-05T08:01:00Z")),
-    ("a.jsonl", 2, _line(type="user", isMeta=True, message={"role": "user", "content": "meta"}, timestamp="2026-01-05T08:02:00Z")),
-    ("a.jsonl", 3, _line(type="user", message={"role": "user", "content": [{"type": "tool_result", "text": "out"}]}, timestamp="2026-01-05T08:03:00Z")),
-    ("a.jsonl", 4, _line(type="user", message={"role": "user", "content": "<bash-stdout>x"}, timestamp="2026-01-05T08:04:00Z")),
-    ("a.jsonl", 5, "{broken"), ("a.jsonl", 6, _line(type="user", isSidechain=True, message={"role": "user", "content": "side"}, timestamp="2026-01-06T08:00:00Z")),
-    ("a.jsonl", 7, _line(type="user", promptSource="system", message={"role": "user", "content": "task notice"}, timestamp="2026-01-06T08:01:00Z")),
-    ("b.jsonl", 0, _line(type="user", message={"role": "user", "content": "<system-reminder> no"}, timestamp="2026-01-05T07:00:00Z", cwd="relative")),
-    ("b.jsonl", 1, _line(type="user", message={"role": "user", "content": [{"type": "text", "text": "early one"}]}, timestamp="2026-01-05T07:30:00Z", cwd="/home/q")),
-    ("b.jsonl", 2, _line(type="system", message={"role": "user", "content": "skipped type"}, timestamp="2026-01-05T07:31:00Z")), ("b.jsonl", 3, _line(type="user", message={"role": "user", "content": "no time"})),
-])
-
-
-@query("SELECT * FROM (VALUES ('a.jsonl', 1), ('b.jsonl', 3)) AS v(file, n)".replace("*", "file, CAST(n AS BIGINT) AS turns"))
+def _raw_lines(spark, sf):
+    """Session logs made of the conversations: a file for each, a line for each turn. Odd turns have block content, some
+    lines are meta, synthetic, sidechains or broken."""
+    c = _conv(spark, sf).withColumn("n", F.col("conv_id") + F.col("turn"))
+    said = F.when(F.col("n") % 13 == 4, F.concat(F.lit("<bash-stdout>"), "text")).otherwise(F.col("text"))
+    quoted = F.regexp_replace(F.to_json(F.struct(said.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+    blocks = F.concat(F.lit('[{"type":"text","text":'), quoted, F.lit('},{"type":"tool_use","name":"x"}]'))
+    flag = lambda name, when: F.when(when, F.lit(f'"{name}":true,')).otherwise("")
+    line = F.concat(
+        F.lit('{"type":"'), "role", F.lit('",'), flag("isMeta", F.col("n") % 7 == 3), flag("isSidechain", F.col("n") % 17 == 5), F.lit('"timestamp":"'), _stamp(), F.lit('Z","cwd":"/home/c'), F.col("conv_id").cast("string"),
+        F.lit('","message":{"role":"'), "role", F.lit('","content":'), F.when(F.col("turn") % 2 == 1, blocks).otherwise(quoted), F.lit("}}"),
+    )
+    value = F.when(F.col("n") % 19 == 6, F.substring(line, 1, 30)).otherwise(line)
+    return c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("turn").cast("long").alias("line_no"), value.alias("value"))
+
+
+def _stamp():
+    """Turns are a minute apart, conversations seven hours."""
+    return F.date_format(F.timestamp_add("MINUTE", (420 * F.col("conv_id") + F.col("turn")).cast("int"), F.lit("2026-01-01T00:00:00").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+_N = "(conv_id + turn)"
+_SAID = f"CASE WHEN {_N} % 13 = 4 THEN '<bash-stdout>' || text ELSE text END"
+_TS = "(TIMESTAMP '2026-01-01' + to_minutes((420 * conv_id + turn)::INTEGER))"
+#: What the lines say, from the table itself.
+_SPOKEN = f"""spoken AS (SELECT conv_id, turn, role, {_TS} AS ts, CASE WHEN turn % 2 = 1 THEN trim({_SAID}, ' ') ELSE {_SAID} END AS said FROM conversations
+WHERE {_N} % 19 <> 6 AND {_N} % 7 <> 3 AND {_N} % 17 <> 5 AND role IN ('user', 'assistant') AND trim(text) <> '')"""
+
+
+@query(f"SELECT 'c' || conv_id || '.jsonl' AS file, count(*) AS turns FROM conversations WHERE role = 'user' AND {_N} % 19 <> 6 AND {_N} % 7 <> 3 AND {_N} % 17 <> 5 AND {_N} % 13 <> 4 GROUP BY conv_id")
 def user_turn_counts(spark, sf):
-    e = sessions.parse_lines(RAW.df(spark))
+    e = sessions.parse_lines(_raw_lines(spark, sf))
     return e.where(sessions.is_user_turn(e)).groupBy("file").agg(F.count(F.lit(1)).alias("turns"))
 
 
-@query("SELECT day, body FROM (VALUES ('2026-01-05', '[user] early one' || chr(10) || '[user] typed here' || chr(10) || '[assistant] an answer' || chr(10) || '[user] <bash-stdout>x' || chr(10)), ('2026-01-06', '[user] task notice' || chr(10))) AS v(day, body)")
+def _days(spark, sf):
+    m = sessions.conversation(sessions.parse_lines(_raw_lines(spark, sf))).where("ts is not null")
+    return m.select(F.lit("p").alias("store"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "file", "line_no", "role", "text")
+
+
+_ENTRY = "chr(10) || '## ' || strftime(ts, '%H:%M:%S') || chr(10) || '**' || role || ':** ' || said"
+_HEAD = "'<!-- auto-extracted from native session jsonl -->'"
+
+
+@query(f"""WITH {_SPOKEN}, e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, ts, {_ENTRY} AS entry FROM spoken), u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY day ORDER BY ts) <= 6000 AS fits FROM e)
+SELECT day, {_HEAD} || coalesce(chr(10) || string_agg(entry, chr(10) ORDER BY ts) FILTER (WHERE fits), '') || CASE WHEN bool_and(fits) THEN '' ELSE chr(10) || chr(10) || '<!-- truncated at 6000 chars -->' END || chr(10) AS body FROM u WHERE day <> '2026-01-03' GROUP BY day""")
 def transcript_day(spark, sf):
-    m = sessions.conversation(sessions.parse_lines(RAW.df(spark))).where("ts is not null")
-    m = m.select(F.lit("p").alias("store"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "file", "line_no", "role", "text")
-    return sessions.transcript_days(m).select("day", F.col("text").alias("body"))
+    """Every day but the one that is today, cut at 6,000 characters."""
+    return sessions.transcript_days(_days(spark, sf), cap=6000, today="2026-01-03").select("day", F.col("text").alias("body"))
 
 
-@query("SELECT conv_id, string_agg('[' || role || '] ' || text || chr(10), '' ORDER BY turn) AS body FROM (SELECT *, sum(length(role) + length(text) + 4) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 4000 GROUP BY conv_id")
+@query(f"""WITH e AS (SELECT conv_id, turn, chr(10) || '## ' || strftime({_TS}, '%H:%M:%S') || chr(10) || '**' || role || ':** ' || text AS entry FROM conversations), u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY conv_id ORDER BY turn) <= 4000 AS fits FROM e)
+SELECT conv_id, {_HEAD} || coalesce(chr(10) || string_agg(entry, chr(10) ORDER BY turn) FILTER (WHERE fits), '') || CASE WHEN bool_and(fits) THEN '' ELSE chr(10) || chr(10) || '<!-- truncated at 4000 chars -->' END || chr(10) AS body FROM u GROUP BY conv_id""")
 def conversation_transcripts(spark, sf):
-    m = _conv(spark, sf).select(F.col("conv_id").alias("store"), F.lit(0).alias("day"), F.col("turn").alias("ts"), F.lit("").alias("file"), F.lit(0).alias("line_no"), "role", "text")
+    m = _conv(spark, sf).select(F.col("conv_id").alias("store"), F.lit("d").alias("day"), _stamp().cast("timestamp").alias("ts"), F.lit("").alias("file"), F.col("turn").alias("line_no"), "role", "text")
     return sessions.transcript_days(m, cap=4000).select(F.col("store").alias("conv_id"), F.col("text").alias("body"))
 
 
-SECOND = Fixture("second", "file string, line_no long, value string", [
-    ("c.jsonl", 0, _line(type="session_meta", timestamp="2026-01-05T09:00:00Z", payload={"cwd": "/old"})), ("c.jsonl", 1, _line(type="session_meta", timestamp="2026-01-05T09:00:01Z", payload={"cwd": "/new"})),
-    ("c.jsonl", 2, _line(type="event_msg", timestamp="2026-01-05T09:01:00Z", payload={"type": "user_message", "message": "hello"})), ("c.jsonl", 3, _line(type="event_msg", timestamp="2026-01-05T09:02:00Z", payload={"type": "token_count"})),
-    ("c.jsonl", 4, _line(type="event_msg", timestamp="2026-01-05T09:03:00Z", payload={"type": "agent_message", "message": "hi"})),
-])
+def _second_lines(spark, sf):
+    """Logs of the second kind made of the conversations: a session's directory, its messages, and counts between."""
+    c = _conv(spark, sf).where("role <> 'system'")
+    kind = F.when(F.col("role") == "user", "user_message").otherwise("agent_message")
+    said = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(kind.alias("type"), F.col("text").alias("message")).alias("payload")))
+    noise = F.lit('{"type":"event_msg","payload":{"type":"token_count"}}')
+    moved = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/w/"), (F.col("conv_id") % 5).cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("cwd")).alias("payload")))
+    lines = c.select("conv_id", "turn", F.posexplode(F.array(moved, said, noise)).alias("i", "value"))
+    return lines.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), (3 * F.col("turn") + F.col("i")).cast("long").alias("line_no"), "value")
 
 
-@query("SELECT * FROM (VALUES ('user', 'hello', '/new'), ('assistant', 'hi', '/new')) AS v(role, body, cwd)".replace("*", "role, body, cwd"))
+@query("SELECT 'c' || conv_id AS file, role, text AS body, '/w/' || conv_id % 5 || '/' || max(turn) OVER (PARTITION BY conv_id) AS cwd FROM conversations WHERE role <> 'system'")
 def second_source(spark, sf):
-    return sessions.parse_event_lines(SECOND.df(spark)).select("role", F.col("text").alias("body"), "cwd")
+    return sessions.parse_event_lines(_second_lines(spark, sf)).select("file", "role", F.col("text").alias("body"), "cwd")
 
 
-@query("SELECT '/home/p' AS cwd")
+@query(f"SELECT conv_id % 5 AS dir, arg_min('/home/c' || conv_id, 'c' || conv_id || '.jsonl') AS cwd FROM conversations WHERE {_N} % 19 <> 6 GROUP BY 1")
 def first_value_per_group(spark, sf):
-    return sessions.first_value(sessions.parse_lines(RAW.df(spark)).withColumn("dir", F.lit("d")), "dir", "cwd").select("cwd")
+    """A directory's first recorded working directory, in the order of its files."""
+    e = sessions.parse_lines(_raw_lines(spark, sf)).withColumn("dir", F.regexp_extract("file", "[0-9]+", 0).cast("long") % 5)
+    return sessions.first_value(e, "dir", "cwd").select("dir", "cwd")
 
 
 @query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
@@ -84,14 +115,18 @@ def prompt_reply_pairs(spark, sf):
     return sessions.prompt_reply_pairs(_conv(spark, sf), "conv_id", "turn")
 
 
-HAVE = Fixture("have", "store string, day string, text string", [("p", "d1", "short"), ("p", "d2", "DONE short"), ("p", "d3", "DONE this one is longer"), ("p", "d5", "DONE only old")])
-GOT = Fixture("got", "store string, day string, text string", [("p", "d1", "x"), ("p", "d2", "DONE short and more"), ("p", "d3", "DONE less"), ("p", "d4", "DONE first")])
+# Days that are there (some without the mark of a complete one, some shorter) and days that come, from the documents.
+_HAVE = "have AS (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 50) ELSE 'DONE ' || CASE WHEN doc_id % 3 = 1 THEN left(text, 100) ELSE text || '!' END END AS body FROM documents WHERE doc_id % 5 <> 0)"
+_GOT = "got AS (SELECT source, doc_id, 'DONE ' || text AS body FROM documents WHERE doc_id % 7 <> 0)"
 
 
-@query(f"""WITH {HAVE.sql}, {GOT.sql} SELECT coalesce(h.day, g.day) AS day, CASE WHEN g.text IS NULL THEN 'keep' WHEN h.text IS NULL THEN 'write' WHEN NOT contains(h.text, 'DONE') THEN 'overwrite' WHEN length(g.text) > length(h.text) THEN 'rewrite' ELSE 'skip' END AS action
-FROM have h FULL JOIN got g ON h.store = g.store AND h.day = g.day""")
+@query(f"""WITH {_HAVE}, {_GOT} SELECT coalesce(h.source, g.source) AS store, coalesce(h.doc_id, g.doc_id) AS day, CASE WHEN g.body IS NULL THEN 'keep' WHEN h.body IS NULL THEN 'write' WHEN NOT contains(h.body, 'DONE') THEN 'overwrite'
+WHEN length(g.body) > length(h.body) THEN 'rewrite' ELSE 'skip' END AS action FROM have h FULL JOIN got g ON h.source = g.source AND h.doc_id = g.doc_id""")
 def transcript_merge(spark, sf):
-    return sessions.transcript_merge(HAVE.df(spark), GOT.df(spark), "DONE").select("day", "action")
+    d = table(spark, sf, "documents").select(F.col("source").alias("store"), F.col("doc_id").alias("day"), "text")
+    n, done = F.col("day"), lambda x: F.concat(F.lit("DONE "), x)
+    have = F.when(n % 3 == 0, F.substring("text", 1, 50)).when(n % 3 == 1, done(F.substring("text", 1, 100))).otherwise(done(F.concat("text", F.lit("!"))))
+    return sessions.transcript_merge(d.where(n % 5 != 0).withColumn("text", have), d.where(n % 7 != 0).withColumn("text", done(F.col("text"))), "DONE").select("store", "day", "action")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(used AS BIGINT) AS used FROM (SELECT l_orderkey, l_linenumber, sum(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS used FROM (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE used <= 60")
@@ -211,27 +246,36 @@ def first_per_section(spark, sf):
 _EDGES = "edges AS (SELECT c_custkey AS src, c_custkey * 3 AS dst FROM customer WHERE c_custkey < 500 UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer WHERE c_custkey < 500 UNION SELECT c_custkey, 1 FROM customer)"
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node) SELECT node FROM r")
-def reachable_nodes(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"))
-    low = c.where("src < 500")
-    edges = low.select("src", (F.col("src") * 3).alias("dst")).union(low.select("src", F.col("src") * 3 + 1)).union(c.select("src", F.lit(1).cast("long"))).distinct()
-    return graph.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
-
-
 @query("""WITH RECURSIVE edges AS (SELECT c_custkey AS src, c_custkey * 3 AS dst FROM customer UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer UNION SELECT c_custkey, 1 FROM customer),
 r AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node) SELECT node FROM r""")
-def reachable_over_all_links(spark, sf):
+def reachable_nodes(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"))
     edges = c.select("src", (F.col("src") * 3).alias("dst")).union(c.select("src", F.col("src") * 3 + 1)).union(c.select("src", F.lit(1).cast("long"))).distinct()
     return graph.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
-PAGES = Fixture("store_pages", "page string, text string", [("index", "x"), ("a", "y" * 30), ("b", "z"), ("lost", "w"), ("big", "v" * 50)])
-LINKS = Fixture("store_links", "src string, dst string", [("index", "a"), ("a", "b"), ("b", "index"), ("a", "gone"), ("index", "big")])
+# A store of pages made of the documents: its links, archives, journal and installed files.
+_STORE = """pages_ AS (SELECT 'p' || doc_id AS page, doc_id AS n, text, doc_id % 97 = 5 AS link FROM documents),
+edges AS (SELECT 'p' || doc_id AS src, 'p' || doc_id * 2 AS dst FROM documents WHERE doc_id % 13 <> 0 UNION ALL SELECT 'p' || doc_id, 'p' || (doc_id * 2 + 1) FROM documents WHERE doc_id % 13 <> 0
+UNION ALL SELECT 's' || doc_id % 3 || '/MEMORY.md', 'p' || doc_id FROM documents WHERE doc_id % 18 = 0)"""
 
 
-@query("SELECT * FROM (VALUES ('over_cap', 'big', '50/40'), ('broken_link', 'a', 'gone'), ('orphan_page', 'lost', '')) AS v(type, page, detail)".replace("*", "type, page, detail"))
+@query(f"""WITH RECURSIVE {_STORE}, r AS (SELECT 'p1' AS node UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node)
+SELECT 'over_cap' AS type, page, length(text) || '/' || CASE WHEN n % 5 = 0 THEN 900 ELSE 2500 END AS detail FROM pages_ WHERE length(text) > CASE WHEN n % 5 = 0 THEN 900 ELSE 2500 END
+UNION ALL SELECT 'broken_link', src, dst FROM edges WHERE dst NOT IN (SELECT page FROM pages_) UNION ALL SELECT 'orphan_page', page, '' FROM pages_ WHERE page NOT IN (SELECT node FROM r)
+UNION ALL SELECT 'archive_not_in_index', page, '' FROM pages_ WHERE n % 9 = 0 AND NOT n % 18 = 0 UNION ALL SELECT 'symlink_in_store', page, '' FROM pages_ WHERE link
+UNION ALL SELECT 'pending_transaction', 'j' || n, 'prepared' FROM pages_ WHERE n % 50 = 7 UNION ALL SELECT 'installation_drift', 'f' || n, '' FROM pages_ WHERE n % 40 = 3""")
 def corpus_issues(spark, sf):
-    p = PAGES.df(spark)
-    return quality.corpus_issues(p, p.where("page = 'a'").select("page", F.lit(35).alias("cap")), LINKS.df(spark), p.where("page = 'index'").select("page"), 40)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("n"), "text")
+    name = lambda head, n=F.col("n"): F.concat(F.lit(head), n.cast("string"))
+    pages = d.select(name("p").alias("page"), "n", "text", (F.col("n") % 97 == 5).alias("link"))
+    linked = d.where("n % 13 <> 0").select(name("p").alias("src"), F.explode(F.array(2 * F.col("n"), 2 * F.col("n") + 1)).alias("to")).select("src", name("p", F.col("to")).alias("dst"))
+    store = name("s", F.col("n") % 3)
+    edges = linked.unionByName(d.where("n % 18 = 0").select(F.concat(store, F.lit("/MEMORY.md")).alias("src"), name("p").alias("dst")))
+    installed = d.select(name("f").alias("path"), F.sha2("text", 256).alias("digest"))
+    files = d.where("n % 80 <> 43").select(name("f").alias("path"), F.when(F.col("n") % 80 == 3, "other").otherwise(F.sha2("text", 256)).alias("digest"))
+    return quality.corpus_issues(
+        pages, pages.where("n % 5 = 0").select("page", F.lit(900).alias("cap")), edges, spark.createDataFrame([("p1",)], "page string"), 2500,
+        archives=d.where("n % 9 = 0").select(name("p").alias("page"), store.alias("store")), journal=d.where("n % 25 = 7").select(name("j").alias("path"), F.when(F.col("n") % 50 == 7, "prepared").otherwise("committed").alias("status")),
+        installed=installed, files=files,
+    )
