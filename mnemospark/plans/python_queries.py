@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import python_text as P
 from ..functions import text as T
-from ..operators import salience, state
+from ..operators import maintenance, salience
 from .base import Fixture, query, table
-from .event_queries import _FSM, ALERTS
+from .event_queries import _FSM, ALERTS, HITS, LOG, SHOWN, _log
 
 
 @query("SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
@@ -44,33 +44,63 @@ MOVES = Fixture("moves", "id int, body string, want string", [(1, "see [a](topic
 
 @query(f"WITH {MOVES.sql} SELECT id, want AS body FROM moves")
 def rebase_links(spark, sf):
-    return MOVES.df(spark).select("id", P.rebase_column(frozenset(["c/topics/a.md"]))("body", F.lit("c"), F.lit("c/sub")).alias("body"))
+    pages = spark.createDataFrame([("c/topics/a.md",)], "page string")
+    moves = MOVES.df(spark).withColumns({"source": F.lit("c"), "target": F.lit("c/sub")})
+    return maintenance.rebased(moves, pages, "id", "body").select("id", "body")
 
 
-BLOCKS = Fixture("blocks", "ctx string, fp string, chars int, strength double, cold int, protected boolean, pos int, want string", [
-    ("c1", "head", 20, 0.0, 0, True, 0, "warm"), ("c1", "old", 30, -2.0, 0, False, 1, "cold"), ("c1", "new", 30, 1.0, 0, False, 2, "warm"), ("c2", "warm", 40, 0.0, 0, False, 0, "warm"), ("c2", "cold", 40, 0.4, 1, False, 1, "cold"),
-    ("c3", "weak", 50, -1.0, 0, False, 0, "cold"), ("c3", "strong", 50, 3.0, 1, False, 1, "warm"),
-])
-
-
-@query(f"WITH {BLOCKS.sql} SELECT ctx, fp, want AS tier FROM blocks")
+@query()
 def salience_tiers(spark, sf):
-    return salience.tiers(BLOCKS.df(spark).withColumn("cold", F.col("cold").cast("boolean")), 60)
+    """The documents as blocks of their source's index: a third of its characters may stay warm."""
+    d = table(spark, sf, "documents")
+    blocks = d.selectExpr("source AS ctx", "doc_id AS pos", "concat('fp', doc_id) AS fp", "n_chars AS chars", "doc_id * 37 % 101 / 10.0D AS strength", "doc_id % 4 = 0 AS cold", "doc_id % 23 = 1 AS protected", "doc_id % 8 <> 0 AS open")
+    return salience.tiers(blocks, 20_000, pointer=salience.POINTER_CHARS)
+
+
+@query(f"""WITH {LOG.sql}, {HITS.sql}, {SHOWN.sql},
+s AS (SELECT l."at", l.request_id, l.session, l.query_hash, h.id, h.source, h.block FROM log l JOIN hits h ON h.request_id = l.request_id AND h."at" = l."at" WHERE l.event = 'search'),
+refs AS (SELECT l."at", l.request_id, s.id FROM log l JOIN shown s USING (request_id) WHERE l.event = 'recall' AND l.session IS NOT NULL UNION ALL SELECT "at", request_id, result_id FROM log WHERE event = 'open' AND session IS NOT NULL),
+e AS (SELECT request_id, id, arg_max(source, "at") AS source FROM s GROUP BY request_id, id), a AS (SELECT id, arg_max(source, "at") AS source FROM s GROUP BY id),
+seen AS (SELECT r."at", coalesce(e.source, a.source) AS source FROM refs r LEFT JOIN e USING (request_id, id) LEFT JOIN a ON a.id = r.id)
+SELECT source, count(*) AS shown FROM seen WHERE source IS NOT NULL GROUP BY source""")
+def shown_pages(spark, sf):
+    """How often readers were shown each page, by whatever way."""
+    log = _log(spark, sf).withColumns({"origin": F.lit(None).cast("string"), "refs": F.lit(None).cast("array<string>")})
+    return salience.shown_hits(log).groupBy("source").agg(F.count(F.lit(1)).alias("shown"))
+
+
+@query(f"""WITH {LOG.sql}, {HITS.sql}, {SHOWN.sql},
+s AS (SELECT l."at", l.request_id, l.session, l.query_hash, h.id, h.source, h.block FROM log l JOIN hits h ON h.request_id = l.request_id AND h."at" = l."at" WHERE l.event = 'search'),
+refs AS (SELECT l."at", l.request_id, s.id FROM log l JOIN shown s USING (request_id) WHERE l.event = 'recall' AND l.session IS NOT NULL UNION ALL SELECT "at", request_id, result_id FROM log WHERE event = 'open' AND session IS NOT NULL),
+e AS (SELECT request_id, id, arg_max(source, "at") AS source FROM s GROUP BY request_id, id), a AS (SELECT id, arg_max(source, "at") AS source FROM s GROUP BY id),
+seen AS (SELECT r."at", coalesce(e.source, a.source) AS source FROM refs r LEFT JOIN e USING (request_id, id) LEFT JOIN a ON a.id = r.id),
+talked AS (SELECT block, session, query_hash, min("at") AS "at" FROM s WHERE session IS NOT NULL AND block IS NOT NULL GROUP BY block, session, query_hash),
+u AS (SELECT block AS fp, "at" FROM talked UNION ALL SELECT 'b' || p, seen."at" FROM range(0, 30) AS r(p) JOIN seen ON seen.source = 'p/' || p || '.md'),
+t AS (SELECT 'b' || p AS fp, TIMESTAMP '2023-12-01' AS t FROM range(0, 30) AS r(p) UNION ALL SELECT fp, CAST("at" AS TIMESTAMP) FROM u)
+SELECT fp, round(ln(sum(power(greatest(0.5::DOUBLE, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(t)) / 86400000000.0), -0.5::DOUBLE))), 6) AS strength FROM t GROUP BY fp""")
+def block_strengths(spark, sf):
+    """Thirty blocks of one store, each linking to a page: their births, prompts that talked about them, and readers who
+    were shown their page."""
+    log = _log(spark, sf).withColumns({"origin": F.lit(None).cast("string"), "refs": F.lit(None).cast("array<string>")})
+    n = spark.range(30).select(F.lit("p").alias("ctx"), F.concat(F.lit("b"), "id").alias("fp"), F.lit("p/MEMORY.md").alias("index"), F.lit("2023-12-01").alias("first_seen"), F.concat(F.lit("p/"), "id", F.lit(".md")).alias("page"))
+    used = salience.uses(log, n.select("ctx", "fp", "index"), n.select("ctx", "fp", "page"))
+    return salience.strengths(n, used, "2024-02-01").select("fp", "strength")
 
 
 @query(_FSM + " SELECT n, marker, state FROM step WHERE written")
 def alert_stream(spark, sf):
     """The streaming state machine over the same calls as its batch twin."""
-    import tempfile
+    import uuid
 
+    from ..session import shared_folder
     from ..streaming.jobs import alert_stream as stream
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-alerts-")
-    ALERTS.df(spark).coalesce(1).write.mode("overwrite").json(f"{folder}/alert-calls")
-    calls = spark.readStream.schema(ALERTS.ddl).json(f"{folder}/alert-calls")
-    q = stream(calls).writeStream.format("memory").queryName("alert_stream_result").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("alert_stream_result")
+    folder = f"{shared_folder(spark)}/alert-calls-{uuid.uuid4().hex}"
+    ALERTS.df(spark, sf).coalesce(1).write.json(folder)
+    calls = spark.readStream.schema("n long, day string, marker string, call string").json(folder)
+    name = f"alert_stream_{uuid.uuid4().hex}"
+    stream(calls).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
 
 @query("SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY start, event_type".replace("AS start", 'AS "start"').replace("GROUP BY start", "GROUP BY 1"))
