@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
 
+#: Rounds of a search after which what was found is put together.
+MERGED = 12
+
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node of everything that the roots reach over edges (src, dst). Breadth first: each round joins the new
     nodes alone, so a round costs what it finds; cycles end by themselves, and the search ends only when a round
-    finds nothing. Rounds are checkpointed, so a plan
-    does not grow with the depth."""
+    finds nothing. Rounds are checkpointed, and MERGED of them become one, so a plan does not grow with the depth."""
     checkpoint_folder(edges.sparkSession)
-    seen = new = roots.select("node").distinct().checkpoint()
+    rounds = [roots.select("node").distinct().checkpoint()]
     while True:
-        step = edges.join(new.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        new = step.join(seen, "node", "left_anti").checkpoint()
+        step = edges.join(rounds[-1].withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+        for seen in rounds:
+            step = step.join(seen, "node", "left_anti")
+        new = step.checkpoint()
         if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new).checkpoint()
+            return reduce(DataFrame.unionByName, rounds)
+        if len(rounds) == MERGED:
+            rounds = [reduce(DataFrame.unionByName, rounds).checkpoint()]
+        rounds.append(new)
 
 
 def archive_chain(pages: DataFrame, edges: DataFrame, start: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -41,8 +43,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may leave it unset and gets one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        path = _folders.get(app) or _folders.setdefault(app, tempfile.mkdtemp(prefix="mnemospark-shared-"))
+    return path.rstrip("/")
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Where spark.checkpoint.dir names no shared folder (a local session), set one for checkpoint()."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-checkpoints-"))
+    """Let checkpoint() write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
