@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: A usage event, whatever its kind; fields that a kind lacks are null.
 SCHEMA = """at string, event string, request_id string, session string, query_hash string, scope string, collection string, engine string, origin string,
 elapsed_ms long, injected_bytes long, result_id string, outcome string, automatic boolean, file_path string, refs array<string>, hit_ids array<string>,
-hits array<struct<id: string, source: string, line: long, score: double, matched_terms: array<string>, own: boolean, blocks: array<string>>>"""
+hits array<struct<id: string, source: string, line: long, score: double, matched_terms: array<string>, own: boolean, blocks: array<string>, revision: string>>"""
 
 
 def nearest_rank(df: DataFrame, groups: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
