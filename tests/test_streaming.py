@@ -3,10 +3,16 @@
 import json
 
 from mnemospark.operators import state
-from mnemospark.plans.event_queries import ALERTS
+from mnemospark.plans.base import Fixture
 from mnemospark.streaming.jobs import alert_stream, capture_stream, exactly_once, once, rolling
 
 
+ALERTS = Fixture("alerts", "n long, day string, marker string, call string", [
+    (1, "2026-01-01", "disk", "alert"), (2, "2026-01-01", "disk", "alert"), (3, "2026-01-02", "disk", "alert"), (4, "2026-01-02", "disk", "ok"), (5, "2026-01-02", "disk", "ok"), (6, "2026-01-02", "disk", "alert"),
+    (7, "2026-01-01", "nag", "once"), (8, "2026-01-03", "nag", "ok"), (9, "2026-01-04", "nag", "once"), (10, "2026-01-04", "new", "ok"), (11, "2026-01-05", "job", "once"), (12, "2026-01-05", "job", "once"), (13, "2026-01-06", "job", "alert"),
+])
+
+
 def _line(text, ts, **more):
     return json.dumps({"type": "user", "message": {"role": "user", "content": text}, "timestamp": ts, **more})
 
