@@ -35,6 +35,12 @@ class Derived:
         return f"{self.name} AS ({self.body})"
 
 
+def shared(name: str, source: str, /, **columns: str) -> Derived:
+    """A table made of a given one by expressions that both dialects read."""
+    body = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {source}"
+    return Derived(name, body, lambda spark, sf: table(spark, sf, source).selectExpr(*(f"{e} AS {c}" for c, e in columns.items())))
+
+
 class Fixture:
     """A few literal rows as a DataFrame and as a VALUES clause."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import state
-from .base import Derived, Fixture, query, table
+from .base import Derived, query, shared, table
 
 # A log of the engine's own events made of the events table: a click stands for a search, a view for a recall, a
 # purchase for an opened hit, a signup for a note on an edit, an error for feedback. Six events in a row are a request.
@@ -176,18 +176,20 @@ def activation(spark, sf):
     return E.activation(e, "user_id", days, F.when(F.col("event_type") == "click", 2.0).otherwise(1.0))
 
 
-WEEK = Fixture("week", "id string, kind string, rank long, top_score double, error string", [("h1", "prose", 1, 9.0, None), ("h2", "prose", None, 8.0, None), ("a1", "absent", None, 7.22, None), ("a2", "absent", None, 2.0, None), ("a3", "absent", None, 9.9, None), ("e1", "prose", None, None, "timeout")])
+WEEK = shared(
+    "week", "events", id="'e' || event_id", kind="CASE WHEN event_type IN ('click', 'view') THEN 'prose' ELSE 'absent' END", rank="nullif(event_id % 4, 0)", top_score="CASE WHEN event_id % 17 > 0 THEN value END", error="CASE WHEN event_id % 17 = 0 THEN 'timeout' END"
+)
 
 
 @query(f"""WITH {WEEK.sql} SELECT round(count(*) FILTER (WHERE kind = 'prose' AND error IS NULL AND rank = 1) / count(*) FILTER (WHERE kind = 'prose' AND error IS NULL)::DOUBLE, 4) AS recall_1,
-round(count(*) FILTER (WHERE kind = 'absent' AND id <> 'a3' AND top_score < 7.17) / count(*) FILTER (WHERE kind = 'absent' AND id <> 'a3')::DOUBLE, 4) AS absent_ok, count(*) FILTER (WHERE error IS NOT NULL) AS errors,
-list(id ORDER BY id) FILTER (WHERE kind = 'absent' AND id <> 'a3' AND top_score >= 7.17) AS over FROM week""")
+round(count(*) FILTER (WHERE kind = 'absent' AND id <> 'e3' AND top_score < 7.17) / count(*) FILTER (WHERE kind = 'absent' AND id <> 'e3')::DOUBLE, 4) AS absent_ok, count(*) FILTER (WHERE error IS NOT NULL) AS errors,
+list(id ORDER BY id) FILTER (WHERE kind = 'absent' AND id <> 'e3' AND top_score >= 7.17) AS over FROM week""")
 def weekly_summary(spark, sf):
-    known = ["a3"]
+    known = ["e3"]
     kind, ok = F.col("kind"), F.col("error").isNull()
     absent = (kind == "absent") & ~F.col("id").isin(known)
     share = lambda hit, of: F.round(F.count_if(of & hit) / F.count_if(of), 4)
-    return WEEK.df(spark).agg(
+    return WEEK.df(spark, sf).agg(
         share(F.col("rank") == 1, (kind == "prose") & ok).alias("recall_1"), share(F.col("top_score") < 7.17, absent).alias("absent_ok"), F.count_if(~ok).alias("errors"),
         F.array_sort(F.collect_list(F.when(absent & (F.col("top_score") >= 7.17), F.col("id")))).alias("over"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import python_text as P
 from ..functions import text as T
 from ..operators import maintenance, salience
-from .base import Fixture, query, table
+from .base import Fixture, query, shared, table
 from .event_queries import _FSM, ALERTS, HITS, LOG, SHOWN, _log
 
 
@@ -16,12 +16,10 @@ def fold_any(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.fold_column()("text").alias("folded"))
 
 
-BYTES = Fixture("bytes", "id int, body string, want string", [(1, "abcdef", "abcde"), (2, "éééé", "éé"), (3, "a😀b", "a😀"), (4, "", "")])
-
-
-@query(f"WITH {BYTES.sql} SELECT id, want AS cut FROM bytes")
+@query("SELECT doc_id, left(text, list_max(list_filter(range(0, 61), lambda k: strlen(left(text, k)) <= 60))::BIGINT) AS cut FROM documents")
 def bounded(spark, sf):
-    return BYTES.df(spark).select("id", P.bounded_column(5)("body").alias("cut"))
+    """The first sixty bytes of each text, with no torn character."""
+    return table(spark, sf, "documents").select("doc_id", P.bounded_column(60)("text").alias("cut"))
 
 
 @query()
@@ -39,13 +37,14 @@ def block_units(spark, sf):
     return INDEX.df(spark).select("id", F.posexplode(P.units_column()("body")).alias("pos", "u")).select("id", "pos", "u.section", "u.kind")
 
 
-MOVES = Fixture("moves", "id int, body string, want string", [(1, "see [a](topics/a.md) and `[a](topics/a.md)`", "see [a](../topics/a.md) and `[a](topics/a.md)`"), (2, "[gone](topics/no.md) [w](https://x.y)", "[gone](topics/no.md) [w](https://x.y)")])
+MOVES = shared("moves", "documents", id="doc_id", body="'see [a](topics/' || doc_id || '.md#x) and `[a](topics/' || doc_id || '.md)` [gone](topics/no.md) [w](https://x.y) ' || coalesce(text, '')")
 
 
-@query(f"WITH {MOVES.sql} SELECT id, want AS body FROM moves")
+@query("SELECT doc_id AS id, 'see [a](' || CASE WHEN doc_id % 2 = 0 THEN '../topics/' ELSE 'topics/' END || doc_id || '.md#x) and `[a](topics/' || doc_id || '.md)` [gone](topics/no.md) [w](https://x.y) ' || coalesce(text, '') AS body FROM documents")
 def rebase_links(spark, sf):
-    pages = spark.createDataFrame([("c/topics/a.md",)], "page string")
-    moves = MOVES.df(spark).withColumns({"source": F.lit("c"), "target": F.lit("c/sub")})
+    """Links of pages that move to a folder below, where their targets are among the pages (every second one is)."""
+    moves = MOVES.df(spark, sf).withColumns({"source": F.lit("c"), "target": F.lit("c/sub")})
+    pages = moves.where("id % 2 = 0").select(F.concat(F.lit("c/topics/"), F.col("id").cast("string"), F.lit(".md")).alias("page"))
     return maintenance.rebased(moves, pages, "id", "body").select("id", "body")
 
 

@@ -10,7 +10,7 @@ from ..config import EngineConfig
 from ..functions import text as T
 from ..operators import bm25, lexical, postings, vector
 from ..session import shared_folder
-from .base import Fixture, query, table
+from .base import Derived, Fixture, query, shared, table
 from .text_queries import TOKENS
 
 PROMPT = "license version onre thble apache"
@@ -221,10 +221,13 @@ def set_except(spark, sf):
     return e.where("event_type = 'view'").select("user_id").subtract(e.where("event_type = 'error' and value > 90").select("user_id"))
 
 
-CASES = Fixture("cases", "id string, kind string, expected string, held_out boolean", [("t1", "identifier", "projects/a/notes", False), ("t2", "prose", "projects/b", True), ("t3", "absent", None, False), ("t4", "scope", "projects/c/x.md", False), ("t5", "prose", "projects/zz", False)])
-RESULTS = Fixture("results", "id string, rank long, source string, score double", [
-    ("t1", 1, "projects/x/y.md", 9.0), ("t1", 2, "projects/a/notes/deep.md", 8.0), ("t2", 1, "projects/b/c.md", 7.5), ("t3", 1, "projects/q.md", 7.22), ("t4", 1, "projects/c/x.md", 5.0), ("t5", 1, "projects/none.md", 2.0),
-])
+CASES = shared(
+    "cases", "documents", id="'t' || doc_id", kind="CASE doc_id % 4 WHEN 0 THEN 'identifier' WHEN 1 THEN 'prose' WHEN 2 THEN 'absent' ELSE 'scope' END", expected="CASE WHEN doc_id % 4 <> 2 THEN 'projects/p' || doc_id % 7 || '/notes' END", held_out="doc_id % 5 = 0"
+)
+RESULTS = Derived("results", "SELECT 't' || doc_id AS id, k AS rank, 'projects/p' || (doc_id * k) % 7 || CASE WHEN k % 2 = 0 THEN '' ELSE '/notes/x' || k || '.md' END AS source, (doc_id * 13 % 90) / 10.0::DOUBLE + 1.0::DOUBLE / k AS score FROM (SELECT doc_id, unnest(range(1, 8)) AS k FROM documents WHERE doc_id % 11 <> 0)", lambda spark, sf: (
+    _docs(spark, sf).where("doc_id % 11 <> 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    .selectExpr("'t' || doc_id AS id", "k AS rank", "'projects/p' || (doc_id * k) % 7 || CASE WHEN k % 2 = 0 THEN '' ELSE '/notes/x' || k || '.md' END AS source", "(doc_id * 13 % 90) / 10.0D + 1.0D / k AS score")
+))
 _RANKED = f"""WITH {CASES.sql}, {RESULTS.sql}, r AS (SELECT c.id, c.kind, c.held_out, max(score) FILTER (WHERE r.rank = 1) AS top_score,
 min(r.rank) FILTER (WHERE r.source = c.expected OR starts_with(r.source, c.expected) OR starts_with(c.expected, r.source)) AS rank FROM cases c LEFT JOIN results r USING (id) GROUP BY c.id, c.kind, c.held_out)"""
 
@@ -233,7 +236,7 @@ min(r.rank) FILTER (WHERE r.source = c.expected OR starts_with(r.source, c.expec
 def bench_rank(spark, sf):
     from ..operators.bench import bench_rank as rank
 
-    return rank(CASES.df(spark), RESULTS.df(spark)).select("id", "kind", "rank", "top_score")
+    return rank(CASES.df(spark, sf), RESULTS.df(spark, sf)).select("id", "kind", "rank", "top_score")
 
 
 @query(_RANKED + """ SELECT round(count(*) FILTER (WHERE kind IN ('identifier', 'prose') AND rank = 1) / nullif(count(*) FILTER (WHERE kind IN ('identifier', 'prose')), 0)::DOUBLE, 4) AS recall_1,
@@ -243,18 +246,18 @@ def bench_summary(spark, sf):
     from ..operators.bench import bench_rank as rank
     from ..operators.bench import bench_summary as summary
 
-    return summary(rank(CASES.df(spark), RESULTS.df(spark)).where("not held_out"), 7.17)
+    return summary(rank(CASES.df(spark, sf), RESULTS.df(spark, sf)).where("not held_out"), 7.17)
 
 
-OLD = Fixture("old", "id string, rank long", [("h1", 1), ("h2", 2)])
-NEW = Fixture("new", "id string, rank long", [("h1", 1), ("h2", None), ("h3", 1)])
+OLD = shared("old", "documents", id="doc_id", rank="nullif(doc_id % 9, 0)")
+NEW = Derived("new", "SELECT doc_id AS id, nullif(doc_id * 7 % 11, 0) AS rank FROM documents WHERE doc_id % 5 <> 0", lambda spark, sf: _docs(spark, sf).where("doc_id % 5 <> 0").selectExpr("doc_id AS id", "nullif(doc_id * 7 % 11, 0) AS rank"))
 
 
-@query(f"WITH {OLD.sql}, {NEW.sql} SELECT avg((o.rank <= 5)::INT) AS before, avg(coalesce(n.rank <= 5, FALSE)::INT) AS after, count(*) AS shared FROM old o JOIN new n USING (id)")
+@query(f"WITH {OLD.sql}, {NEW.sql} SELECT avg(coalesce(o.rank <= 5, FALSE)::INT) AS before, avg(coalesce(n.rank <= 5, FALSE)::INT) AS after, count(*) AS shared FROM old o JOIN new n USING (id)")
 def recall_drop(spark, sf):
     from ..operators.bench import recall_drop as drop
 
-    return drop(OLD.df(spark), NEW.df(spark))
+    return drop(OLD.df(spark, sf), NEW.df(spark, sf))
 
 
 _QUERY0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"

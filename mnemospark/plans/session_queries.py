@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import graph, maintenance, quality, sessions
-from .base import Fixture, query, table
+from .base import query, shared, table
 
 
 def _conv(spark, sf):
@@ -176,13 +176,16 @@ def lossless_move(spark, sf):
     return maintenance.lost_lines(d, d.where("doc_id % 3 <> 0"))
 
 
-MEMORIES = Fixture("memories", "id string, project string, scope string, title string, status string", [("1", "Ação X", "project", "t1", "active"), ("2", "b", "global", "t2", "active"), ("3", "b", "project", "t3", "archived"), ("4", "b", "project", "t4", "active")])
+MEMORIES = shared(
+    "memories", "customer", id="CAST(c_custkey AS STRING)", n="c_custkey", project="'Ação ' || c_mktsegment || ' ' || c_nationkey", slug="'acao-' || lower(c_mktsegment) || '-' || c_nationkey",
+    scope="CASE WHEN c_custkey % 3 = 0 THEN 'global' ELSE 'project' END", title="c_name", status="CASE WHEN c_custkey % 4 = 3 THEN 'archived' ELSE 'active' END",
+)
 
 
-@query(f"""WITH {MEMORIES.sql} SELECT id, CASE WHEN scope = 'global' THEN 'context/MEMORY.md' ELSE 'projects/' || CASE id WHEN '1' THEN 'acao-x' ELSE 'b' END || '/context/MEMORY.md' END AS target FROM memories WHERE status = 'active' AND id <> '4'""")
+@query(f"WITH {MEMORIES.sql} SELECT id, CASE WHEN scope = 'global' THEN 'context/MEMORY.md' ELSE 'projects/' || slug || '/context/MEMORY.md' END AS target FROM memories WHERE status = 'active' AND n % 7 <> 0")
 def import_active(spark, sf):
-    m, fields = MEMORIES.df(spark), ["id", "project", "scope", "title", "status"]
-    done = m.where("id = '4'").select(F.sha2(F.to_json(F.struct(*fields)), 256).alias("marker"))
+    m, fields = MEMORIES.df(spark, sf), ["id", "project", "scope", "title", "status"]
+    done = m.where("n % 7 = 0").select(F.sha2(F.to_json(F.struct(*fields)), 256).alias("marker"))
     return maintenance.import_active(m, done, fields).select("id", "target")
 
 
@@ -208,33 +211,38 @@ def merge_plan(spark, sf):
     return maintenance.merge_plan(a, b, F.col("path") % 12 == 0).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-REGISTRY = Fixture("registry", "remote string, name string, store string", [("r1", "demo", "s1"), ("r1", "other", "s2"), ("r2", "demo", "s3")])
-ASKED = Fixture("asked", "dir string, remote string, name string", [("/w/demo", "r1", "demo"), ("/w/x", "r1", "nope"), ("/w/pinned/deep/er", "r9", "z"), ("/own", "r9", "own"), ("/w/new", None, None)])
-BINDINGS = Fixture("bindings", "prefix string, value string", [("/w/pinned", "b1"), ("/w/pinned/deep", "b2")])
-STORES = Fixture("stores", "store string", [("-own",), ("s1",)])
+# Stores, directories and their remotes, made of the customers; bindings of the nations' directories.
+REGISTRY = shared("registry", "customer", remote="'r' || c_nationkey", name="'n' || c_custkey % 40", store="'s' || c_custkey")
+ASKED = shared("asked", "customer", dir="'/w/' || c_nationkey || '/' || c_mktsegment || '/c.' || c_custkey", remote="CASE WHEN c_custkey % 5 > 0 THEN 'r' || c_custkey % 30 END", name="'n' || c_custkey % 50", n="c_custkey")
+BINDINGS = shared("bindings", "nation", prefix="CASE WHEN n_nationkey % 3 = 0 THEN '/w/' || n_nationkey ELSE '/w/' || n_nationkey || '/MACHINERY' END", value="'b' || n_nationkey")
+STORES = shared("stores", "customer", store="'-w-' || c_nationkey || '-' || c_mktsegment || '-c-' || c_custkey * 2")
+_FOUND = f"""{REGISTRY.sql}, {ASKED.sql}, exact AS (SELECT remote, name, min(store) AS store FROM registry GROUP BY remote, name), others AS (SELECT remote, list(DISTINCT store ORDER BY store) AS all_stores FROM registry GROUP BY remote)"""
 
 
-@query(f"WITH {REGISTRY.sql}, {ASKED.sql} SELECT a.remote, a.name, r.store, CASE WHEN r.store IS NULL THEN coalesce((SELECT list(store ORDER BY store) FROM registry g WHERE g.remote = a.remote), []) ELSE [] END AS candidates FROM asked a LEFT JOIN registry r ON r.remote = a.remote AND r.name = a.name")
+@query(f"WITH {_FOUND} SELECT DISTINCT a.remote, a.name, e.store, CASE WHEN e.store IS NULL THEN coalesce(o.all_stores, []) ELSE [] END AS candidates FROM asked a LEFT JOIN exact e ON e.remote = a.remote AND e.name = a.name LEFT JOIN others o ON o.remote = a.remote")
 def registry_lookup(spark, sf):
-    return maintenance.registry_lookup(ASKED.df(spark).select("remote", "name"), REGISTRY.df(spark))
+    return maintenance.registry_lookup(ASKED.df(spark, sf).select("remote", "name").distinct(), REGISTRY.df(spark, sf))
 
 
 @query(f"WITH {ASKED.sql}, {BINDINGS.sql} SELECT a.dir AS path, arg_max(b.value, length(b.prefix)) AS value FROM asked a LEFT JOIN bindings b ON a.dir = b.prefix OR starts_with(a.dir, b.prefix || '/') GROUP BY a.dir")
 def longest_prefix_join(spark, sf):
-    return maintenance.longest_prefix(ASKED.df(spark).select(F.col("dir").alias("path")), BINDINGS.df(spark)).select("path", "value")
+    return maintenance.longest_prefix(ASKED.df(spark, sf).select(F.col("dir").alias("path")), BINDINGS.df(spark, sf)).select("path", "value")
 
 
-@query("SELECT * FROM (VALUES ('/w/demo', 's1', 'remote'), ('/w/x', '-w-x', 'new'), ('/w/pinned/deep/er', 'b2', 'binding'), ('/own', '-own', 'path'), ('/w/new', '-w-new', 'new')) AS v(dir, store, identity)".replace("*", "dir, store, identity"))
+@query(f"""WITH {_FOUND}, {BINDINGS.sql}, {STORES.sql}, b AS (SELECT a.dir, arg_max(b.value, length(b.prefix)) AS value FROM asked a JOIN bindings b ON a.dir = b.prefix OR starts_with(a.dir, b.prefix || '/') GROUP BY a.dir),
+p AS (SELECT DISTINCT a.dir, s.store FROM asked a JOIN stores s ON s.store = regexp_replace(a.dir, '[^A-Za-z0-9-]', '-', 'g'))
+SELECT a.dir, coalesce(b.value, p.store, e.store, regexp_replace(a.dir, '[^A-Za-z0-9-]', '-', 'g')) AS store, CASE WHEN b.value IS NOT NULL THEN 'binding' WHEN p.store IS NOT NULL THEN 'path' WHEN e.store IS NOT NULL THEN 'remote' ELSE 'new' END AS identity
+FROM asked a LEFT JOIN b USING (dir) LEFT JOIN p USING (dir) LEFT JOIN exact e ON e.remote = a.remote AND e.name = a.name""")
 def identity_cascade(spark, sf):
-    return maintenance.identity_cascade(ASKED.df(spark), BINDINGS.df(spark), STORES.df(spark), REGISTRY.df(spark))
+    return maintenance.identity_cascade(ASKED.df(spark, sf).drop("n"), BINDINGS.df(spark, sf), STORES.df(spark, sf).distinct(), REGISTRY.df(spark, sf)).select("dir", "store", "identity")
 
 
-DEMANDS = Fixture("demands", "name string, workdir string", [("d1", "/w"), ("d2", "/w/pinned/deep/er/more"), ("d3", "/wx")])
+DEMANDS = shared("demands", "nation", name="n_name", workdir="CASE n_nationkey % 3 WHEN 0 THEN '/w/' || n_nationkey WHEN 1 THEN '/w/' || n_nationkey || '/BUILDING' ELSE '/wx/' || n_nationkey END")
 
 
 @query(f"WITH {DEMANDS.sql}, {ASKED.sql} SELECT DISTINCT d.name, a.dir AS anchor FROM demands d JOIN asked a ON d.workdir = a.dir OR starts_with(d.workdir, a.dir || '/') OR starts_with(a.dir, d.workdir || '/')")
 def demands_served(spark, sf):
-    return maintenance.serving(DEMANDS.df(spark), ASKED.df(spark).select(F.col("dir").alias("anchor")))
+    return maintenance.serving(DEMANDS.df(spark, sf), ASKED.df(spark, sf).select(F.col("dir").alias("anchor")))
 
 
 @query("SELECT p_brand AS section, min(p_partkey) AS pos FROM part GROUP BY p_brand")
@@ -243,9 +251,6 @@ def first_per_section(spark, sf):
     return quality.first_per_section(b).select("section", "pos")
 
 
-_EDGES = "edges AS (SELECT c_custkey AS src, c_custkey * 3 AS dst FROM customer WHERE c_custkey < 500 UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer WHERE c_custkey < 500 UNION SELECT c_custkey, 1 FROM customer)"
-
-
 @query("""WITH RECURSIVE edges AS (SELECT c_custkey AS src, c_custkey * 3 AS dst FROM customer UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer UNION SELECT c_custkey, 1 FROM customer),
 r AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node) SELECT node FROM r""")
 def reachable_nodes(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS
 from ..functions import text as T
-from .base import Fixture, query, table
+from .base import Fixture, query, shared, table
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
 #: The same folding and words in DuckDB's functions.
@@ -28,13 +28,13 @@ def tokenize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
-CODE = Fixture("code", "id int, body string", [(1, "oRecordSet.DoQuery in SBO.dll"), (2, "a.b. -beta- café.Ação"), (3, "")])
+CODE = shared("code", "documents", id="doc_id", body="text || chr(10) || 'oRecordSet.DoQuery' || doc_id || ' in SBO.dll, a.b. -beta- café.Ação'")
 
 
 @query(f"""WITH {CODE.sql}, t AS (SELECT id, {TOKENS.format(x='body')} AS w FROM code)
 SELECT id, list_sort(list_distinct(list_concat(w, flatten(list_transform(w, lambda x: string_split(x, '.')))))) AS words FROM t""")
 def code_words(spark, sf):
-    return CODE.df(spark).select("id", F.array_sort(T.code_words(F.col("body"))).alias("words"))
+    return CODE.df(spark, sf).select("id", F.array_sort(T.code_words(F.col("body"))).alias("words"))
 
 
 @query("SELECT doc_id, sha256(text) AS revision FROM documents")
@@ -64,15 +64,15 @@ def normalize_url(spark, sf):
     return p.where(F.regexp_replace(F.trim("url"), "/+$", "").rlike("^[a-z]+://[^/]+/.")).select("page_id", T.normalize_url(F.col("url")).alias("remote"))
 
 
-REMOTES = Fixture("remotes", "id int, url string, want string", [
-    (1, "https://github.com:8247/Example/Demo.git", "github.com/example/demo"), (2, "ssh://git@github.com:2222/example/demo", "github.com/example/demo"),
-    (3, "git@github.com:example/demo.git/", "github.com/example/demo"), (4, "plain words", ""), (5, "", ""),
-])
+REMOTES = shared(
+    "remotes", "customer", id="c_custkey", want="CASE WHEN c_custkey % 5 < 3 THEN 'github.com/org' || c_custkey || '/demo' ELSE '' END",
+    url="CASE c_custkey % 5 WHEN 0 THEN 'https://github.com:8247/Org' || c_custkey || '/Demo.git' WHEN 1 THEN 'ssh://git@github.com:2222/org' || c_custkey || '/demo' WHEN 2 THEN 'git@github.com:org' || c_custkey || '/demo.git/' WHEN 3 THEN c_name || ' words' ELSE '' END",
+)
 
 
 @query(f"WITH {REMOTES.sql} SELECT id, want AS remote FROM remotes")
 def remote_forms(spark, sf):
-    return REMOTES.df(spark).select("id", T.normalize_url(F.col("url")).alias("remote"))
+    return REMOTES.df(spark, sf).select("id", T.normalize_url(F.col("url")).alias("remote"))
 
 
 @query("SELECT conv_id, turn, regexp_replace(substr(text, 1, 1500), '\\n{3,}', chr(10) || chr(10), 'g') AS clipped FROM conversations")
@@ -80,14 +80,14 @@ def clip_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.clip(F.col("text"), 1500).alias("clipped"))
 
 
-FRONT = Fixture("front", "id int, body string, want string", [
-    (1, "---\nname: a\nverified: 2026-01-02\n---\n# T", "2026-01-02"), (2, "# T\n---\nverified: no\n---", None), (3, "---\nstatus: done\n---\nverified: late", None), (4, "---\nverified:   spaced \n---\n", "spaced"), (5, None, None),
-])
+_RULE = "'---' || chr(10)"
+FRONT = shared("front", "documents", id="doc_id", body=f"""CASE doc_id % 4 WHEN 0 THEN {_RULE} || 'name: a' || chr(10) || 'verified: 2026-01-' || doc_id || chr(10) || {_RULE} || text WHEN 1 THEN text || chr(10) || {_RULE} || 'verified: no' || chr(10) || '---'
+WHEN 2 THEN {_RULE} || 'status: done' || chr(10) || {_RULE} || 'verified: late' ELSE {_RULE} || 'verified:   spaced ' || doc_id || ' ' || chr(10) || {_RULE} || text END""")
 
 
 @query(f"WITH {FRONT.sql} SELECT id, nullif(trim(regexp_extract(regexp_extract(body, '^---\\n((?s:.*?))\\n---', 1), '(?m)^verified:[ \\t]*(.*)$', 1)), '') AS verified FROM front")
 def frontmatter_field(spark, sf):
-    return FRONT.df(spark).select("id", T.frontmatter_field(F.col("body"), "verified").alias("verified"))
+    return FRONT.df(spark, sf).select("id", T.frontmatter_field(F.col("body"), "verified").alias("verified"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
@@ -95,14 +95,12 @@ def extract_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
 
 
-MARKDOWN = Fixture("markdown", "id int, body string, want array<string>", [
-    (1, "[a](topics/a.md) `[no](x.md)` [b](b%20c.md)", ["topics/a.md", "b%20c.md"]), (2, "[w](https://x.y) [h](#top) [r](/abs) [t](~/h) [e]($E)", []), (3, "[c](../c.md#part) and [[wiki]]", ["../c.md"]),
-])
+MARKDOWN = shared("markdown", "documents", id="doc_id", body="'[a](topics/' || doc_id || '.md) `[no](x.md)` [b](b%20c.md) [w](https://x.y) [h](#top) [r](/abs) [t](~/h) [e]($E) ' || text || ' [c](../c' || doc_id || '.md#part) and [[wiki]]'")
 
 
-@query(f"WITH {MARKDOWN.sql} SELECT id, want AS targets FROM markdown")
+@query("SELECT doc_id AS id, ['topics/' || doc_id || '.md', 'b%20c.md', '../c' || doc_id || '.md'] AS targets FROM documents WHERE text IS NOT NULL")
 def markdown_links(spark, sf):
-    return MARKDOWN.df(spark).select("id", T.links(F.col("body")).alias("targets"))
+    return MARKDOWN.df(spark, sf).where("body is not null").select("id", T.links(F.col("body")).alias("targets"))
 
 
 _V = r"""(?:"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*''|%s)"""
@@ -139,23 +137,22 @@ def secret_flag(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.has_secret(F.col("text")).alias("secret"))
 
 
-CAPS = Fixture("caps", "id int, body string", [
-    (1, "abc"), (2, ""), (3, "0"), (4, "-5"), (5, "2500.5"), (6, "4000\n5000"), (7, "9 000"), (8, "12345678901234567890"), (9, "+4000"), (10, "﻿4000"), (11, "04000"), (12, "4000\r\n"), (13, None), (14, "900"),
-])
+CAPS = shared("caps", "customer", id="c_custkey", body="""CASE c_custkey % 10 WHEN 0 THEN '' || c_custkey WHEN 1 THEN '-' || c_custkey WHEN 2 THEN c_custkey || '.5' WHEN 3 THEN c_custkey || chr(10) || '5000' WHEN 4 THEN '9 ' || c_custkey WHEN 5 THEN '+' || c_custkey
+WHEN 6 THEN '0' || c_custkey WHEN 7 THEN c_custkey || chr(13) || chr(10) WHEN 8 THEN '123456789' || c_custkey ELSE '0' END""")
 
 
 @query(f"""WITH {CAPS.sql}, c AS (SELECT id, regexp_replace(body, '[\\r\\n]+$', '') AS b FROM caps)
 SELECT id, CASE WHEN regexp_full_match(b, '[0-9]{{1,9}}') AND CAST(b AS BIGINT) > 0 THEN CAST(b AS INTEGER) ELSE 2500 END AS cap FROM c""")
 def parse_cap(spark, sf):
-    return CAPS.df(spark).select("id", T.parse_cap(F.col("body")).alias("cap"))
+    return CAPS.df(spark, sf).select("id", T.parse_cap(F.col("body")).alias("cap"))
 
 
-DATED = Fixture("dated", "id int, body string", [(1, "- 2026-01-01 and 2025-12-31"), (2, "2027-01-01 later, 2026-02-03 now"), (3, "none"), (4, "2026-13-40 bad 2024-02-30"), (5, "x 2026-03-01x")])
+DATED = shared("dated", "orders", id="o_orderkey", body="'- ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ' and 199' || o_orderkey % 8 || '-05-31, 1996-13-40 bad 1996-02-30, x 1992-03-01x'")
 
 
-@query(f"""WITH {DATED.sql} SELECT id, CAST(list_max(list_filter(list_transform(regexp_extract_all(body, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), lambda d: TRY_CAST(d AS DATE)), lambda d: d <= DATE '2026-06-01')) AS VARCHAR) AS newest FROM dated""")
+@query(f"""WITH {DATED.sql} SELECT id, CAST(list_max(list_filter(list_transform(regexp_extract_all(body, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), lambda d: TRY_CAST(d AS DATE)), lambda d: d <= DATE '1996-06-01')) AS VARCHAR) AS newest FROM dated""")
 def newest_date_in_text(spark, sf):
-    return DATED.df(spark).select("id", T.newest_date(F.col("body"), F.lit("2026-06-01").cast("date")).cast("string").alias("newest"))
+    return DATED.df(spark, sf).select("id", T.newest_date(F.col("body"), F.lit("1996-06-01").cast("date")).cast("string").alias("newest"))
 
 
 @query("SELECT conv_id, turn, substr(sha1(role || '|' || conv_id || '|' || text), 1, 8) AS item FROM conversations")
@@ -168,12 +165,12 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-FENCED = Fixture("fenced", "id int, body string, want string", [(1, '```json\n{"a": 1}\n```', '{"a": 1}'), (2, ' {"a": 2} ', '{"a": 2}'), (3, "```\n[]\n```\n", "[]")])
+FENCED = shared("fenced", "events", id="event_id", want="props", body="CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN ' ' || props || ' ' ELSE '```' || chr(10) || props || chr(10) || '```' || chr(10) END")
 
 
 @query(f"WITH {FENCED.sql} SELECT id, want AS body FROM fenced")
 def unfence_json(spark, sf):
-    return FENCED.df(spark).select("id", T.unfence(F.col("body")).alias("body"))
+    return FENCED.df(spark, sf).select("id", T.unfence(F.col("body")).alias("body"))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name), 1), 6) AS similarity
@@ -202,16 +199,15 @@ def grep_lines(spark, sf):
     return grep(table(spark, sf, "documents"), "doc_id", "text", "LICENSE")
 
 
-QUOTES = Fixture("quotes", "id int, quote string, source string, want boolean", [
-    (1, "the index keeps its strongest lines", "We saw that *the index* keeps\nits strongest lines today.", True), (2, "something invented entirely", "We saw that the index keeps its lines.", False),
-    (3, "first part of it ... last part of it", "Here the first part of it and then the last part of it.", True), (4, "last part of it ... first part of it", "Here the first part of it and then the last part of it.", False),
-    (5, "too short", "this is too short indeed", False), (6, "“curly quotes” — and dashes", 'he wrote "curly quotes" - and dashes', True),
-])
+QUOTES = shared(
+    "quotes", "documents", id="doc_id", want="doc_id % 6 IN (0, 2, 5)", source="coalesce(text, '') || ' and *the index* keeps' || chr(10) || 'its “strongest” lines — then the last part of it'",
+    quote="CASE doc_id % 6 WHEN 0 THEN 'The index keeps its “strongest” lines' WHEN 1 THEN 'something invented entirely ' || doc_id WHEN 2 THEN 'the index keeps ... the last part of it' WHEN 3 THEN 'the last part of it ... the index keeps' WHEN 4 THEN 'the index' ELSE '\"strongest\" lines - then' END",
+)
 
 
 @query(f"WITH {QUOTES.sql} SELECT id, want AS supported FROM quotes")
 def quote_supported(spark, sf):
-    return QUOTES.df(spark).select("id", T.quote_supported(F.col("quote"), F.col("source")).alias("supported"))
+    return QUOTES.df(spark, sf).select("id", T.quote_supported(F.col("quote"), F.col("source")).alias("supported"))
 
 
 @query(f"""SELECT q.item_id, d.doc_id FROM benchmark q JOIN documents d ON contains(lower({SQUEEZE.format(x='d.text')}), lower({SQUEEZE.format(x='q.text')}))

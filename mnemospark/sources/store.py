@@ -8,7 +8,7 @@ import os
 import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
@@ -16,11 +16,13 @@ from hashlib import sha256
 from pathlib import Path
 
 from ..functions.python_text import LINK, is_tied, named
+from ..functions.text import REDACTIONS
 from .files import confined
 
 WRITABLE = re.compile(r"\A(?:context|projects/[A-Za-z0-9._-]+/context|skills/[A-Za-z0-9_-]+/(?:knowledge|references))/(?:[A-Za-z0-9._-]+/)*[A-Za-z0-9._-]+\.md\Z")
 OPERATIONS = ("create", "append", "replace", "move")
 MOST_CHANGES, MOST_CHARS = 100, 1_000_000
+SECRETS = [re.compile(pattern) for pattern, _ in REDACTIONS]
 
 
 class Conflict(Exception):
@@ -48,11 +50,16 @@ class Change:
 class Store:
     """Pages below a root and a journal beside them. One lock keeps writers apart; readers need none."""
 
-    def __init__(self, root: str, secret=lambda text: False):
-        self.root, self.secret = Path(root), secret
+    def __init__(self, root: str, secret: Callable[[str], bool] | None = None, caps: dict[str, int] | None = None):
+        """secret: a further test of texts that are refused; what looks like a secret always is. caps: the most
+        characters of pages, by path."""
+        self.root, self.also_secret, self.caps = Path(root), secret, caps or {}
         self.journal = self.root / ".journal"
         self.journal.mkdir(parents=True, exist_ok=True)
 
+    def secret(self, text: str) -> bool:
+        return any(p.search(text) for p in SECRETS) or bool(self.also_secret and self.also_secret(text))
+
     def read(self, path: str) -> str | None:
         p = Path(confined(str(self.root), path))
         if any(x.is_symlink() for x in [p, *p.parents] if x != self.root and self.root in x.parents):
@@ -103,7 +110,7 @@ class Store:
                 raise Conflict(c.path)
             if not WRITABLE.match(c.path) or c.operation not in OPERATIONS or not c.reason.strip():
                 raise Rejected(c.path)
-            if len(c.text) > MOST_CHARS or "\0" in c.text or self.secret(c.text):
+            if len(c.text) > min(MOST_CHARS, self.caps.get(c.path, MOST_CHARS)) or "\0" in c.text or self.secret(c.text):
                 raise Rejected(f"content of {c.path}")
             if c.operation == "create" and before is not None or c.operation == "append" and before is not None and not c.text.startswith(before):
                 raise Rejected(f"{c.operation} {c.path}")

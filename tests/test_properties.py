@@ -305,3 +305,12 @@ LONG = 1_000_000
 def test_redaction_of_long_values(spark, text):
     out = spark.createDataFrame([(text,)], "t string").select(T.redact(F.col("t"))).first()[0]
     assert len(out) < LONG // 2 or out == text or out.endswith("=[REDACTED]")
+
+
+def test_store_refuses_secrets_and_pages_over_their_cap_by_default(tmp_path):
+    s = Store(str(tmp_path), caps={"context/b.md": 20})
+    for path, text in (("context/a.md", "DB_PASS=hunter2\n"), ("context/a.md", "glpat-abcdefgh12345\n"), ("context/b.md", "x" * 21)):
+        with pytest.raises(Rejected):
+            s.apply([s.change(path, text, "create")])
+    s.apply([s.change("context/b.md", "x" * 20, "create")])
+    assert s.read("context/b.md") == "x" * 20
