@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) a folder of our own is set.
+    Only a local session (as in tests) may leave it unset and gets a folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="mnemospark-"))
     return path.rstrip("/")
@@ -27,6 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark's setting that removes a query's shuffle files when the query ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing: dict[str, list] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaning_up(spark: SparkSession):
+    """CLEAN_UP is on while any thread of the application writes, and afterwards as it was before the first."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        state = _writing.setdefault(app, [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEAN_UP, "false")
+        state[0] += 1
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(CLEAN_UP, state[1])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,27 +61,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with _cleaning_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``written``, in buckets by the key: joins on it later shuffle only their other side."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        out = df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}")
-        out.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    return spark.table(table)
+    path = f"{shared_dir(spark)}/{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _cleaning_up(spark):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    out._folder, out._table = path, table
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``written`` and ``bucketed`` wrote, once all that reads it has been written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        if table := getattr(df, "_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def has_repeats(df: DataFrame, key: str) -> bool:
+    """Whether a key is null or occurs twice."""
+    return not df.groupBy(F.col(key).alias("key")).count().where("key is null or count > 1").isEmpty()
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -128,9 +173,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round is written to the shared folder; degrees are folded by partial aggregation.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    before = None
+    before = last = None
     while True:
         e = written(e, name)
+        if last is not None:
+            discard(last)
+        last = e
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
