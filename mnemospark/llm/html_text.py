@@ -1,16 +1,21 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: elements on the same path of tags and classes are one node. For
-each node, the entropy over the host's pages of its presentation (the tags below it) and of its content (the
-text below it) measure how much it varies. Rows of a host with the same main text are one page, however often they
-occur, and a branch is judged only if at least SHARE of the host's distinct pages have it. Importance is the presentation's entropy, and for leaves the
-content's, composed from below with attenuation. A branch that stays the same on pages whose articles differ
-is furniture: it has low importance and is removed from each page of the host.
-
-A host with few pages says nothing by entropy, and advertisements or menus with changing words look varied. So
-branches that name themselves (navigation, footers, asides, forms, scripts, classes such as ``ad`` or
-``comments``) are removed on every page as well, and where a page marks its article, text outside it is left
-out. See the README for what each rule does on the given pages.
+The pages of a host are merged into one tree: elements on the same path of tags and classes are one node. Its
+nodes are judged where text lives, in containers (divisions, sections, lists, tables). A container's content
+importance is one less the mean entropy of its blocks over the pages that have it: a block of one page alone has
+entropy 0, one that all pages share has entropy 1. Its presentation importance is the entropy of the sequences of
+elements below it. Composite importance weighs the two. Distinct pages count, however many rows repeat them.
+
+A host of few pages says little, so its importance is drawn towards that of the same path in the merged tree of
+all hosts, and that towards 1, each with the weight of PRIOR pages; there is no least number of pages. A container
+below LOW, on SHARE of its host's distinct pages or more, is removed from every page of the host. Inside a marked
+article only what its own host repeats almost word for word goes (ROOT_LOW, ROOT_PRIOR). Paragraphs and headings
+are never judged by themselves.
+
+Parts that name themselves go on every page, whatever the tree says, as it cannot tell reader comments, which vary
+like articles: elements and roles that HTML sets apart (nav, footer, aside, form, ...), and containers one of whose
+classes or whose id is, as a whole, a name in NAMES. Where a page marks its article, text outside it is left out, unless that
+is OUTSIDE times as long, as beside a teaser.
 
 Defined results: null html, or html without text, gives an empty text of 0 characters; a null url is a host of
 its own kind; unclosed and overlapping tags are read as browsers close them; repeated rows give repeated
@@ -19,23 +24,32 @@ results; an empty table gives an empty result; columns of the input other than i
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pages of a host that a decision by entropy needs.
-LEAST_PAGES = 8
-#: Share of a host's distinct pages that must have a branch before it can be furniture of the host.
-SHARE = 0.5
-#: Composite importance and content entropy below which a branch goes, if the articles' entropy is above VARIED.
-LOW, SAME, VARIED = 0.2, 0.1, 0.8
-#: Attenuation of what lies below a node for each of its presentations.
-GAMMA = 0.9
+from .common import discard, mix64, written
+
+#: Pages whose weight the importance in all hosts has beside a host's own, and 1 beside that.
+PRIOR = 16
+#: Composite importance below which a container goes; and share of the host's distinct pages that must have it.
+LOW, SHARE = 0.7, 0.5
+#: The same inside a marked article, by its own host alone.
+ROOT_LOW, ROOT_PRIOR = 0.3, 4
+#: Weight of the content in a container's importance; the rest is its presentation's.
+CONTENT = 0.8
+#: How many times longer than a marked article the text outside it must be to be the page's text.
+OUTSIDE = 3
+#: Decisions (16 bytes each) that are broadcast at once; more go in blocks.
+DECISIONS = 1_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -53,13 +67,24 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-FURNITURE = frozenset("head title nav footer aside form button label input menu dialog fieldset datalist map audio video".split())
+FURNITURE = frozenset("head title nav footer aside form menu dialog fieldset datalist map audio video".split())
+CONTAINERS = frozenset("address aside body center details dialog dir div dl fieldset figure footer form header html main article menu nav ol section table tbody td tfoot th thead tr ul".split())
+#: Buttons and labels inside these are words of a sentence.
+SENTENCES = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption pre".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|"
-    r"subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|widgets?|toolbar|pagination|pager|login|signup|search|skip)(?:$|[\s_-])",
-    re.I,
+# Whole names of classes and ids that menus, headers, footers, sidebars, notices, adverts, forms and
+# reader comments give themselves.
+NAMES = frozenset(
+    "ad ads ad-slot ad-unit ad-banner ad-container advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion "
+    "nav navbar navigation main-nav main-menu menu menus site-nav site-menu breadcrumb breadcrumbs pagination pager skip-link skip-links toolbar "
+    "masthead banner site-header page-header site-footer page-footer footer sidebar side-bar sidebars side-menu left-sidebar right-sidebar widget widgets widget-area "
+    "cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices site-notice popup popups modal overlay "
+    "newsletter newsletter-signup subscribe subscription signup sign-up login login-form search search-form searchbox share sharing share-buttons share-bar social social-links social-share "
+    "related-posts related-articles related-links related-stories recommended recommendations more-stories "
+    "comment comments comment-list commentlist comment-form comments-area comment-section comments-section user-comments reader-comments disqus disqus_thread respond replies".split()
 )
+#: Further ones, that an article uses for parts of its own.
+OUTER_NAMES = frozenset("header alert alerts related".split())
 CLOSES_P = BLOCKS - frozenset("body html head title option optgroup caption tbody td tfoot th thead tr".split())
 #: An element that ends an open one of its own group, up to the container that holds both.
 SIBLINGS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "datalist")}
@@ -70,9 +95,11 @@ ROOTS = frozenset(("article", "main"))
 @dataclass
 class Node:
     tag: str
-    path: str
+    path: int
     furniture: bool
     in_root: bool
+    container: int
+    named: bool = False  # furniture by its class or id
     below: list[str] = field(default_factory=list)  # tags of its children, in order
 
 
@@ -81,13 +108,27 @@ class Page:
     nodes: list[Node]
     parents: list[int]
     blocks: list[tuple[int, str]]  # node, text
-    has_root: bool
 
 
-def _names_itself(tag: str, attributes: str, in_root: bool) -> tuple[bool, str]:
-    """Whether an element is furniture by its tag or attributes; and its classes."""
-    furniture = tag in FURNITURE or tag == "header" and not in_root
-    classes = ""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _step(name: str) -> int:
+    return _hash(re.sub(r"\d+", "#", name))
+
+
+def _path(up: int, name: str) -> int:
+    """The path of a node from its parent's, as 64 bits."""
+    x = (up * 0x9E3779B97F4A7C15 + _step(name)) & 0xFFFFFFFFFFFFFFFF
+    return (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+
+
+def _names_itself(tag: str, attributes: str, in_root: bool) -> tuple[bool, bool, bool, str]:
+    """Whether an element is furniture by its tag or role, or by its name; whether it is an article; its classes."""
+    furniture, named = tag in FURNITURE or tag == "header" and not in_root, False
+    article, classes = tag in ROOTS, ""
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -96,22 +137,25 @@ def _names_itself(tag: str, attributes: str, in_root: bool) -> tuple[bool, str]:
             if tag in ("html", "body") or tag in ROOTS and not in_root:
                 continue
             if name in ("class", "id"):
-                furniture = furniture or bool(NAMES.search(value))
+                if tag in CONTAINERS and not article:
+                    own = value.lower().split()
+                    named = named or any(x in NAMES or x in OUTER_NAMES and not in_root for x in own)
             elif name == "role":
                 furniture = furniture or value.lower() in ROLES
+                article = article or value.lower() in ROOTS
             elif name == "hidden":
                 furniture = True
             elif name == "aria-hidden":
                 furniture = furniture or value.lower() == "true"
             else:
                 furniture = furniture or "display:none" in value.replace(" ", "").lower()
-    return furniture, classes
+    return furniture, named, article, classes
 
 
 def parse(html: str | None) -> Page:
     """The page's elements and text blocks, in order."""
-    nodes, parents, blocks = [Node("", "", False, False)], [-1], []
-    stack, parts, has_root, last = [0], [], False, 0
+    nodes, parents, blocks = [Node("", 0, False, False, 0)], [-1], []
+    stack, parts, last = [0], [], 0
     html = html or ""
 
     def flush():
@@ -140,7 +184,7 @@ def parse(html: str | None) -> Page:
                 if tag in BLOCKS:
                     close(at)
                 elif not any(nodes[i].tag in BLOCKS for i in stack[at:]):
-                    if nodes[stack[at]].furniture:
+                    if nodes[stack[at]].furniture or nodes[stack[at]].named:
                         flush()
                     stack = stack[:at]
             continue
@@ -170,131 +214,163 @@ def parse(html: str | None) -> Page:
                 flush()
             continue
         up = nodes[stack[-1]]
-        furniture, classes = _names_itself(tag, m[4], up.in_root)
-        if tag in BLOCKS or furniture:
+        furniture, named, article, classes = _names_itself(tag, m[4], up.in_root)
+        if tag in ("button", "label", "input"):
+            furniture = furniture or not any(nodes[i].tag in SENTENCES for i in stack)
+        if tag in BLOCKS or furniture or named:
             flush()
-        furniture = furniture or up.furniture
-        root = up.in_root or tag in ROOTS and not furniture
-        has_root = has_root or root
+        furniture, named = furniture or up.furniture, named or up.named
         up.below.append(tag)
-        path = f"{up.path}>{tag}.{classes}" if classes else f"{up.path}>{tag}"
-        nodes.append(Node(tag, path if len(path) < 2000 else hashlib.md5(path.encode()).hexdigest(), furniture, root))
+        at = len(nodes)
+        path = _path(up.path, f"{tag}.{classes}" if classes else tag)
+        nodes.append(Node(tag, path, furniture, up.in_root or article and not furniture and not named, at if tag in CONTAINERS else up.container, named))
         parents.append(stack[-1])
-        stack.append(len(nodes) - 1)
+        stack.append(at)
     if last < len(html):
         parts.append(html[last:])
     flush()
-    return Page(nodes, parents, blocks, has_root)
+    return Page(nodes, parents, blocks)
 
 
-def main_text(page: Page, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks of the article (or of the page, if it marks none) outside furniture and removed branches."""
+def main_text(page: Page, removed: frozenset[int] | set[int] = frozenset()) -> str:
+    """The blocks of the article (or of the page, if it marks none) outside furniture and removed containers."""
     gone = [False] * len(page.nodes)
     for i in range(1, len(page.nodes)):
         n = page.nodes[i]
-        gone[i] = n.furniture or gone[page.parents[i]] or n.path in removed
-    return "\n".join(t for i, t in page.blocks if not gone[i] and (page.nodes[i].in_root or not page.has_root))
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+        gone[i] = n.furniture or n.named or gone[page.parents[i]] or n.container == i and n.path in removed
+    kept = [(page.nodes[i].in_root, t) for i, t in page.blocks if not gone[i]]
+    inside = sum(len(t) for root, t in kept if root)
+    if inside and sum(len(t) for root, t in kept if not root) <= OUTSIDE * inside:
+        kept = [x for x in kept if x[0]]
+    return "\n".join(t for _, t in kept)
 
 
-def features(page: Page) -> list[tuple[str, int, int]]:
-    """(path, presentation, content) of each node of the page's style tree that isn't furniture."""
-    text: dict[str, list[str]] = {}
-    shape: dict[str, list[str]] = {}
+def _judged(page: Page) -> dict[int, tuple[int, set[int]]]:
+    """By path, the containers with text of their own that may go: their presentation and their blocks, hashed."""
+    out: dict[int, tuple[int, set[int]]] = {}
     for i, t in page.blocks:
-        if page.nodes[i].furniture or page.has_root and not page.nodes[i].in_root:
+        n = page.nodes[i]
+        box = page.nodes[n.container]
+        if n.furniture or not n.container or box.tag in ("html", "body") or box.tag in ROOTS:
             continue
-        while i > 0:
-            text.setdefault(page.nodes[i].path, []).append(t)
-            i = page.parents[i]
-    for n in page.nodes[1:]:
-        if n.path in text:
-            shape.setdefault(n.path, []).extend([*n.below, "|"])
-    return [(p, _hash(" ".join(shape[p])), _hash("\n".join(t))) for p, t in text.items()]
-
-
-def unimportant(nodes: dict[str, tuple[int, float, float]], distinct: int) -> list[str]:
-    """Paths of a host's tree to remove, topmost first. nodes: by path, pages and the entropies (0 to 1) of
-    presentation and content; distinct: the host's distinct pages."""
-    below: dict[str, list[str]] = {}
-    for p in nodes:
-        below.setdefault(p.rpartition(">")[0], []).append(p)
-    composite: dict[str, float] = {}
-    for p in sorted(nodes, key=lambda p: -p.count(">")):
-        _, shape, content = nodes[p]
-        own = [composite[c] for c in below.get(p, [])]
-        if own:
-            fade = GAMMA ** len(own)
-            composite[p] = (1 - fade) * shape + fade * sum(own) / len(own)
-        else:
-            composite[p] = content
-    last = lambda p: p.rpartition(">")[2].partition(".")[0]
-    roots = [p for p in nodes if last(p) in ROOTS] or [p for p in nodes if last(p) == "body"] or [">html"]
-    if not any(r in nodes and nodes[r][0] >= LEAST_PAGES and nodes[r][2] >= VARIED for r in roots):
-        return []
-    out: list[str] = []
-    for p in sorted(nodes, key=lambda p: (p.count(">"), p)):
-        pages, _, content = nodes[p]
-        holds_root = any(r == p or r.startswith(p + ">") for r in roots)
-        if pages >= max(LEAST_PAGES, SHARE * distinct) and content <= SAME and composite[p] <= LOW and not holds_root and not any(p.startswith(q + ">") for q in out):
-            out.append(p)
+        if box.path not in out:
+            out[box.path] = _hash(" ".join(box.below)), set()
+        out[box.path][1].add(_hash(t))
     return out
 
 
-def site_trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """host and removed (paths) of the hosts whose tree has unimportant branches. pages: host, html.
+def _signed(x: Iterable[int]) -> np.ndarray:
+    return np.array(list(x), dtype=np.uint64).view(np.int64)
+
+
+FEATURES = "host long, path long, page long, kind int, value long, root boolean"
+
+
+def _features(batches):
+    """(host, path, page, kind, value, inside an article): blocks (kind 0) and presentations (1) of containers, and
+    the page itself (path 0)."""
+    for b in batches:
+        cols: list[list] = [[] for _ in range(6)]
+        for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            page = parse(html.as_py())
+            text = _hash(main_text(page))
+            roots = {n.path: n.in_root for n in page.nodes}
+            rows = [(0, 0, text, False)]
+            for path, (shape, blocks) in _judged(page).items():
+                rows.append((path, 1, shape, roots[path]))
+                rows.extend((path, 0, x, roots[path]) for x in blocks)
+            for path, kind, value, root in rows:
+                for c, x in zip(cols, (host, path, text, kind, value, root), strict=True):
+                    c.append(x)
+        arrays = [pa.array(cols[0], pa.int64()), *(pa.array(_signed(cols[i])) for i in (1, 2)), pa.array(cols[3], pa.int32()), pa.array(_signed(cols[4])), pa.array(cols[5], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "page", "kind", "value", "root"])
+
 
-    Rows of the same main text are folded by (host, path, page), so a page counts once, and presentations and
-    contents are counted by (host, path, value): a host with many pages is spread over tasks. Only sums of a node
-    come together, and a host's nodes are as many as its styles.
+def _importance(counts: DataFrame, *keys: str) -> DataFrame:
+    """The keys, pages and composite importance of each node. counts: its values with their numbers of pages (n)."""
+    pages = F.sum(F.when(F.col("kind") == 1, F.col("n")))
+    sums = counts.groupBy(*keys).agg(
+        pages.alias("pages"), F.max("root").alias("root"), F.avg(F.when(F.col("kind") == 0, F.log("n"))).alias("shared"), F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("same")
+    )
+    content = 1 - F.col("shared") / F.log("pages")
+    shape = 1 - F.col("same") / (F.col("pages") * F.log("pages"))
+    return sums.select(*keys, "pages", "root", F.when(F.col("pages") < 2, 1.0).otherwise(CONTENT * F.least(F.lit(1.0), content) + (1 - CONTENT) * shape).alias("own"))
+
+
+def site_trees(pages: DataFrame) -> DataFrame:
+    """host and path of the containers to remove. pages: host (a long), html.
+
+    Pages are read once, and only hashes leave them: (host, path, page, value), folded by page, then counted by
+    value; no host and no path comes together in one task, only its sums do.
     """
+    each = pages.select("host", "html").mapInArrow(_features, FEATURES).groupBy("host", "path", "page", "kind", "value").agg(F.max("root").alias("root"))
+    counted = written(each.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("root").alias("root")), "style-counts")
+    distinct = counted.where("path = 0").groupBy("host").agg(F.sum("n").alias("distinct"))
+    nodes = counted.where("path <> 0")
+    hosts = _importance(nodes, "host", "path")
+    everywhere = _importance(nodes.groupBy("path", "kind", "value").agg(F.sum("n").alias("n"), F.max("root").alias("root")), "path")
+    everywhere = everywhere.select("path", ((F.col("pages") * F.col("own") + PRIOR) / (F.col("pages") + PRIOR)).alias("general"))
+    drawn = lambda own, prior, weight: (F.col("pages") * own + weight * prior) / (F.col("pages") + weight)
+    low = F.when(F.col("root"), drawn(F.col("own"), F.lit(1.0), ROOT_PRIOR) <= ROOT_LOW).otherwise(drawn(F.col("own"), F.col("general"), PRIOR) <= LOW)
+    out = written(hosts.join(everywhere, "path").join(distinct, "host").where(low & (F.col("pages") >= SHARE * F.col("distinct"))).select("host", "path"), "style-decisions")
+    discard(counted)
+    return out
+
+
+def _combined(host, path) -> np.ndarray:
+    host, path = (np.asarray(x, dtype=np.int64).view(np.uint64) for x in (host, path))
+    return mix64(host) + path
+
+
+def _decision_blocks(trees: DataFrame) -> Iterator[np.ndarray]:
+    """The decisions as sorted numbers, DECISIONS at a time; one empty block if there are none."""
+    n = -(-trees.count() // DECISIONS)
+    if n == 0:
+        yield np.zeros(0, dtype=np.uint64)
+    for k in range(n):
+        t = trees.where(F.pmod(F.xxhash64("path", "host"), F.lit(n)) == k).toArrow()
+        yield np.sort(_combined(t["host"].to_numpy(), t["path"].to_numpy()))
 
-    def rows(batches):
+
+def _removed(page: Page, host: int, decisions: np.ndarray) -> set[int]:
+    paths = np.array(sorted(_judged(page)), dtype=np.uint64)
+    if not len(paths) or not len(decisions):
+        return set()
+    x = _combined(np.full(len(paths), host), paths.view(np.int64))
+    at = np.minimum(np.searchsorted(decisions, x), len(decisions) - 1)
+    return set(paths[decisions[at] == x].tolist())
+
+
+def _marked(rows: DataFrame, decisions) -> DataFrame:
+    """rows with the paths that a block of decisions removes from each page."""
+
+    def found(batches):
         for b in batches:
-            out = []
-            for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                page = parse(html.as_py())
-                if found := features(page):
-                    text = _hash(main_text(page))
-                    out.append((host, "", text, text, text))  # the root counts the host's pages
-                    out.extend((host, path, text, shape, content) for path, shape, content in found)
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "path", "page", "shape", "content"])
-
-    each = pages.select("host", "html").mapInArrow(rows, "host string, path string, page long, shape long, content long").groupBy("host", "path", "page").agg(F.min("shape").alias("shape"), F.min("content").alias("content"))
-    values = each.select("host", "path", F.posexplode(F.array("shape", "content")).alias("kind", "value"))
-    counted = values.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s")).where(F.col("m") >= LEAST_PAGES)
-    entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-
-    def decide(table: pa.Table) -> pa.Table:
-        found: dict[str, list] = {}
-        for path, kind, m, e in zip(*(table[c].to_pylist() for c in ("path", "kind", "m", "entropy")), strict=True):
-            x = found.setdefault(path, [0, 0.0, 0.0])
-            x[0] = m
-            x[1 + kind] = e
-        distinct = found.pop("", [0])[0]
-        removed = unimportant({p: tuple(x) for p, x in found.items()}, distinct)
-        hosts = table["host"].to_pylist()[:1] if removed else []
-        return pa.table({"host": pa.array(hosts, pa.string()), "removed": pa.array([removed] if removed else [], pa.list_(pa.string()))})
-
-    return nodes.select("host", "path", "kind", "m", entropy.alias("entropy")).groupBy("host").applyInArrow(decide, "host string, removed array<string>")
+            out = [[*r, *_signed(sorted(_removed(parse(x.as_py()), h, decisions.value))).tolist()] for x, h, r in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.int64()))], names=b.schema.names)
+
+    return rows.mapInArrow(found, rows.schema)
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url, text and n_chars of every page."""
+    """key, url, text and n_chars of every page. Pages stay where they are: no html is shuffled."""
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host.alias("host"))
-    # few hosts have branches to remove; Spark checks the size before it broadcasts them, and else joins by host
-    joined = rows.join(site_trees(rows), "host", "left").select(key, url, "html", "removed")
+    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), F.xxhash64(host).alias("host"))
+    trees = site_trees(rows)
     kind = pages.schema[key].dataType.simpleString()
+    rows = rows.withColumn("removed", F.array().cast("array<long>"))
+    context, last = pages.sparkSession.sparkContext, None
+    for block in _decision_blocks(trees):
+        if last is not None:
+            rows = _marked(rows, last)
+        last = context.broadcast(block)
 
     def texts(batches):
         for b in batches:
-            out = [main_text(parse(h.as_py()), frozenset(r.as_py() or ())) for h, r in zip(b.column(2), b.column(3), strict=True)]
+            out = []
+            for x, h, r in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                page = parse(x.as_py())
+                out.append(main_text(page, _removed(page, h, last.value) | {p % (1 << 64) for p in r}))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[key, url, "text", "n_chars"])
 
-    return joined.mapInArrow(texts, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
+    return rows.mapInArrow(texts, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
