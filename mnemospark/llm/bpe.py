@@ -6,7 +6,9 @@ merges that build the two. Encoding keeps that last token for each position. The
 few positions (a token's length of them) meet; what lies before the meeting point can no longer change and
 is emitted. How far back they can meet is bounded by the merge list: a byte that is appended can only undo
 merges along a chain of rules, each of later rank than the one before, and ``sufficient_lookahead`` is the
-length in bytes of the longest such chain. So a buffer of that length and one chunk is all that is held.
+length in bytes of the longest such chain. So a buffer of that length and one chunk is all that is held. An
+automaton over the tokens names, byte by byte, those that end there; the one that is stable is the last token.
+Every pre-token, short or long, goes this way; recent ones are remembered.
 
 Texts are first cut into pre-tokens, also in chunks: what a chunk's end could still change waits for the next.
 
@@ -22,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -30,10 +33,8 @@ from pyspark.sql import functions as F
 
 INF = 1 << 60
 CHUNK = 1 << 16
-#: Pre-tokens in the cache; it is emptied when full.
-CACHE = 150_000
-#: Longer pre-tokens (bytes) pass through the streaming encoder instead of the cache.
-LONG = 256
+#: Pre-tokens that a generation of the cache holds, and bytes of the longest of them.
+CACHE, CACHED_BYTES = 150_000, 256
 #: Characters at the end of a chunk that may still join another pre-token.
 MARGIN = 3
 
@@ -69,9 +70,10 @@ class Codec:
             self.rank.setdefault(pair, r)
             self.made.setdefault(vocab[a + b], (*pair, r))
         self.longest = max(map(len, self.ids))
-        self.reach: dict[bytes, int] = {}  # by the first two bytes, the longest token
-        for b in self.ids:
-            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
+        self.ending = ahocorasick.Automaton()  # (token, bytes) of all tokens that end at a byte
+        for b, i in self.ids.items():
+            self.ending.add_word(b.decode("latin-1"), (i, len(b)))
+        self.ending.make_automaton()
         self.spines: tuple[dict, dict] = ({}, {})
         self.stable: dict[tuple[int, int], bool] = {}
         self.lookahead = self.sufficient_lookahead()
@@ -132,16 +134,12 @@ class Codec:
 
         None: that prefix's last token begins before data, so no encoding of the whole passes its end.
         """
-        ids, stable, longest = self.ids, self.is_stable, self.longest
-        last: list = [-1 if before is None else before]
-        for end in range(1, len(data) + 1):
-            for n in range(min(longest, end), 0, -1):
-                t = ids.get(data[end - n : end])
-                if t is not None and (p := last[end - n]) is not None and (p < 0 or stable(p, t)):
-                    last.append(t)
-                    break
-            else:
-                last.append(None)
+        stable = self.is_stable
+        last: list = [-1 if before is None else before] + [None] * len(data)
+        for at, (t, n) in self.ending.iter(data.decode("latin-1")):
+            at += 1
+            if last[at] is None and (p := last[at - n]) is not None and (p < 0 or stable(p, t)):
+                last[at] = t
         return last
 
     def back(self, last: list[int], end: int) -> list[int]:
@@ -152,35 +150,14 @@ class Codec:
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """The path of stable pairs through a short pre-token, longest token first.
-
-        The encoding of a prefix is unique, so a position that leads nowhere is tried once only.
-        """
-        get, stable, reach, n = self.ids.get, self.is_stable, self.reach, len(data)
-        tokens: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, prev, size = 0, -1, min(reach.get(data[:2], 1), n)
-        while at < n:
-            while size:
-                t = get(data[at : at + size])
-                if t is not None and at + size not in dead and (prev < 0 or stable(prev, t)):
-                    break
-                size -= 1
-            if size:
-                tokens.append(t)
-                starts.append(at)
-                at, prev = at + size, t
-                size = min(reach.get(data[at : at + 2], 1), n - at)
-            else:
-                dead.add(at)
-                tokens.pop()
-                before = starts.pop()
-                at, prev, size = before, tokens[-1] if tokens else -1, at - before - 1
-        return tokens
+        """Tokens of a pre-token that is there as a whole."""
+        if len(data) <= self.lookahead:
+            return self.back(self.last_tokens(data), len(data))
+        step = self.lookahead + CHUNK
+        return [i for part in self.encode_stream(data[k : k + step] for k in range(0, len(data), step)) for i in part]
 
     def encode_stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
-        """Tokens of one long pre-token, as soon as they are stable."""
+        """Tokens of one pre-token that comes in chunks, as soon as they are stable."""
         held, before = b"", None
         for chunk in chunks:
             held += chunk
@@ -271,21 +248,21 @@ class Codec:
 
 
 class _Cache(dict):
-    """Packed ids of pre-tokens; emptied when full."""
+    """Packed ids of pre-tokens, in two generations: a full one becomes the older, which is forgotten next time."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        if len(data) > LONG:
-            step = self.codec.lookahead + CHUNK
-            ids = [i for part in self.codec.encode_stream(data[k : k + step] for k in range(0, len(data), step)) for i in part]
-            return np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[piece] = packed = np.array(self.codec.encode_piece(data), dtype="<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = np.array(self.codec.encode_piece(piece.encode()), dtype="<u4").tobytes()
+        if 4 * len(piece) <= CACHED_BYTES:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = packed
         return packed
 
 
