@@ -4,11 +4,15 @@ One pattern finds candidates; each is validated by its own rules (check digits,
 value is permuted within its format: a card number becomes another with a right check digit and the same
 first digit, a date another date in the same notation, an e-mail address one with other letters and digits at
 the same places. The permutation depends on the key and the value alone, so equal values stay equal in every
-document and different ones stay different; with the key it can be undone.
+document and different ones of a printed form stay different; with the key it can be undone. Where the values of
+a form are an odd subset of a domain, the permutation is repeated until it meets one (cycle walking).
 
 Two networks: ``permute_int`` over a domain of a x b numbers, and ``permute_text`` over strings, which adds a
 key stream of one half to the other character by character within digits, small and capital letters.
 
+No pattern repeats a group without a bound, so texts of any length pass. A host has at most 127 labels of 63
+characters, and 64 stand before it; what is longer is no address.
+
 Defined results: a null text stays null, with no findings; what fails validation stays as it is; repeated
 rows give repeated results; an empty table gives an empty result; columns of the input with the names that
 are added are replaced.
@@ -19,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 8
 
 # The formats, most specific first.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
@@ -36,6 +42,8 @@ FORMATS = {
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
 #: Dates of 1900-01-01 to 2100-01-01 are 73,050 = 150 x 487 days.
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)
+#: Steps of a walk along a cycle. One in four or five days fits the rarest form, so a walk that is longer is out of reach.
+WALK = 256
 
 
 def _round_hash(key: str, tag: Column, i: Column, half: Column) -> Column:
@@ -137,10 +145,16 @@ def _ip(m: Column, key: str) -> Column:
     return F.array_join(octets, ".")
 
 
-def _moved_day(day: Column, key: str) -> Column:
+def _moved_day(day: Column, key: str, fits=None) -> Column:
+    """Another day; fits: what the days of the form have in common, which day has too."""
     a, b = DAYS
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    return F.when((n >= 0) & (n < a * b), F.date_add(F.lit(FIRST_DAY).cast("date"), permute_int(n, a, b, key, "date").cast("int")))
+    first = F.lit(FIRST_DAY).cast("date")
+    n = F.datediff(day, first).cast("long")
+    date = lambda x: F.date_add(first, x.cast("int"))
+    moved = permute_int(n, a, b, key, "date")
+    if fits is not None:
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved, lambda x, _: F.when(fits(date(x)), x).otherwise(permute_int(x, a, b, key, "date")))
+    return F.when((n >= 0) & (n < a * b), date(moved))
 
 
 def _iso_date(m: Column, key: str) -> Column:
@@ -148,17 +162,25 @@ def _iso_date(m: Column, key: str) -> Column:
 
 
 def _day_date(m: Column, key: str) -> Column:
-    """Day first where that is a date, else month first; leading zeros as they were."""
+    """Day first where that is a date, else month first; both numbers keep their width. A form's days: those that
+    fit the widths and, month first, have no reading with the day first (they are after the 12th)."""
     mark = F.when(F.contains(m, F.lit("/")), "/").otherwise(".")
     p = F.split(m, "[/.]")
     day_first = F.try_to_date(F.concat_ws("-", p[2], p[1], p[0]), "yyyy-M-d")
     month_first = F.try_to_date(F.concat_ws("-", p[2], p[0], p[1]), "yyyy-M-d")
-    new = _moved_day(F.coalesce(day_first, month_first), key)
-    short = (F.length(p[0]) == 1) | (F.length(p[1]) == 1)
-    part = lambda long, brief: F.when(short, F.date_format(new, brief)).otherwise(F.date_format(new, long))
-    day, month = part("dd", "d"), part("MM", "M")
-    one, two = F.when(day_first.isNotNull(), day).otherwise(month), F.when(day_first.isNotNull(), month).otherwise(day)
-    return F.when(new.isNotNull(), F.concat(one, mark, two, mark, F.date_format(new, "yyyy")))
+    plain = day_first.isNotNull()
+    wide = [F.length(p[0]) == 2, F.length(p[1]) == 2]
+
+    def fits(day: Column) -> Column:
+        d, month = F.dayofmonth(day), F.month(day)
+        one, two = F.when(plain, d).otherwise(month), F.when(plain, month).otherwise(d)
+        return (wide[0] | (one < 10)) & (wide[1] | (two < 10)) & (plain | (d > 12))
+
+    new = _moved_day(F.coalesce(day_first, month_first), key, fits)
+    d, month = F.dayofmonth(new), F.month(new)
+    one, two = F.when(plain, d).otherwise(month), F.when(plain, month).otherwise(d)
+    part = lambda x, i: F.when(wide[i], F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+    return F.when(new.isNotNull() & fits(new), F.concat(part(one, 0), mark, part(two, 1), mark, F.date_format(new, "yyyy")))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -174,16 +196,22 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays. Ten digits of the North American plan stay valid (no area or exchange below 200)."""
+    """The country code stays. Ten digits of the North American plan (no area or exchange below 200) stay in it, and
+    other ten digits stay outside."""
     code = F.regexp_extract(m, r"^\+(?:1(?=[^0-9]?\(?[2-9][0-9]{2})|[0-9]{1,3}(?=[ .(-])|[0-9]{2})", 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     d = _digits(rest)
-    american = (F.length(d) == 10) & d.rlike("^[2-9][0-9]{2}[2-9]") & code.isin("", "+1")
+    ten = (F.length(d) == 10) & code.isin("", "+1")
     n = d.cast("long")
-    area, exchange, line = F.floor(n / 10_000_000) - 200, F.pmod(F.floor(n / 10_000), F.lit(1000)) - 200, F.pmod(n, F.lit(10_000))
-    y = permute_int((area * 800 + exchange) * 10_000 + line, 80_000, 80_000, key, "phone")
-    new = (F.floor(y / 8_000_000) + 200) * 10_000_000 + (F.pmod(F.floor(y / 10_000), F.lit(800)) + 200) * 10_000 + F.pmod(y, F.lit(10_000))
-    plain = F.when(american, new.cast("long").cast("string")).otherwise(permute_text(d, key, "phone"))
+    area, exchange, line = F.floor(n / 10_000_000), F.pmod(F.floor(n / 10_000), F.lit(1000)), F.pmod(n, F.lit(10_000))
+    number = lambda a, e, x: F.lpad((a * 10_000_000 + e * 10_000 + x).cast("long").cast("string"), 10, "0")
+    y = permute_int(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key, "phone")
+    inside = number(F.floor(y / 8_000_000) + 200, F.pmod(F.floor(y / 10_000), F.lit(800)) + 200, F.pmod(y, F.lit(10_000)))
+    # outside the plan: 200 areas with 1,000 exchanges each, then 800 areas with 200
+    z = permute_int(F.when(area < 200, n).otherwise(2_000_000_000 + ((area - 200) * 200 + exchange) * 10_000 + line), 60_000, 60_000, key, "phone")
+    more = z - 2_000_000_000
+    outside = F.when(more < 0, F.lpad(z.cast("string"), 10, "0")).otherwise(number(F.floor(more / 2_000_000) + 200, F.pmod(F.floor(more / 10_000), F.lit(200)), F.pmod(more, F.lit(10_000))))
+    plain = F.when(ten & (area >= 200) & (exchange >= 200), inside).when(ten, outside).otherwise(permute_text(d, key, "phone"))
     return F.when((F.length(d) >= 7) & (F.length(d) <= 14), F.concat(code, _into(rest, plain)))
 
 
@@ -220,9 +248,10 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pattern = "|".join(FORMATS.values())
     names = [*(f"n_{k}" for k in KINDS), "n_pseudonyms"]
     found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    out = docs.drop(*names).withColumn("__found", F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: pseudonym(m, key)))
-    new = F.array_join(F.zip_with(F.split(F.col(text), pattern, -1), F.transform("__found", lambda f: f["new"]), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-    out = out.withColumn(text, F.when(F.size("__found") > 0, new).otherwise(F.col(text)))
-    counts = {f"n_{k}": F.size(F.filter(F.transform("__found", lambda f: f["kind"]), _is(k))).cast("long") for k in KINDS}
+    seen = unused(docs, "found")
+    out = docs.drop(*names).withColumn(seen, F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: pseudonym(m, key)))
+    new = F.array_join(F.zip_with(F.split(F.col(text), pattern, -1), F.transform(seen, lambda f: f["new"]), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+    out = out.withColumn(text, F.when(F.size(seen) > 0, new).otherwise(F.col(text)))
+    counts = {f"n_{k}": F.size(F.filter(F.transform(seen, lambda f: f["kind"]), _is(k))).cast("long") for k in KINDS}
     out = out.withColumns(counts)
-    return out.withColumn("n_pseudonyms", F.size(F.filter("__found", lambda f: f["kind"].isNotNull())).cast("long")).drop("__found")
+    return out.withColumn("n_pseudonyms", F.size(F.filter(seen, lambda f: f["kind"].isNotNull())).cast("long")).drop(seen)

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Shards up to which every score is an expression of its own, compiled; beyond, one expression runs over an array.
 UNROLLED = 128
 
@@ -45,12 +47,13 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[fl
     """
     if grown is not None and list(grown[: len(weights)]) != list(weights):
         raise ValueError("grown must start with the present weights")
-    out = df.withColumn("__best", rendezvous(F.col(key), weights)).withColumn("shard", F.col("__best.shard"))
+    name = unused(df, "best")
+    out = df.withColumn(name, rendezvous(F.col(key), weights)).withColumn("shard", F.col(f"{name}.shard"))
     if grown is not None:
         more = [0.0] * len(weights) + list(grown[len(weights) :])
-        best = F.least(F.col("__best"), rendezvous(F.col(key), more)) if any(more) else F.col("__best")
+        best = F.least(F.col(name), rendezvous(F.col(key), more)) if any(more) else F.col(name)
         out = out.withColumn("grown_shard", best["shard"])
-    return out.drop("__best")
+    return out.drop(name)
 
 
 def with_slots(df: DataFrame, key: str, cells: int) -> DataFrame:
