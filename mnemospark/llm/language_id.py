@@ -5,8 +5,8 @@ inverse document frequency and normalised. For each language, spherical k-means
 labelled texts gives CLUSTERS centroids. A text gets the language of the centroid with the greatest cosine;
 one whose cosine is below what training texts of its length reach is marked as rejected.
 
-Bound: at most SAMPLE texts for each of at most LANGUAGES languages (the most frequent) are fitted on, drawn
-by a hash of the key; the model is LANGUAGES x CLUSTERS x DIMS numbers whatever the input.
+Bound: about SAMPLE texts for each language, drawn by a hash of the key, are fitted on; every label is learned. The
+model is CLUSTERS x DIMS numbers for each label, whatever the rows.
 
 Defined results: a null text, an empty one and one without letters give ``und``, score 0, rejected; so does
 every text where nothing was learned; ties go to the first language by name; texts are read whole; repeated
@@ -25,11 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, written
+
 DIMS = 1 << 14
 SAMPLE = 600
-LANGUAGES = 64
+#: Parts in which the sample comes to the driver.
+SAMPLE_PARTS = 8
 CLUSTERS = 3
 GRAMS = (1, 2, 3, 4)
+#: Bytes of a text whose n-grams are counted at once.
+PART = 1 << 20
 #: Texts of one block of a matrix product.
 BLOCK = 256
 #: A cosine below this share of the least of the training texts of the same length (by powers of 2) is rejected.
@@ -38,27 +43,26 @@ SLACK = 0.5
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def grams(text: str | None) -> np.ndarray | None:
-    """Hashed n-grams of all words of a text, with blanks at the words' ends; None without letters."""
+def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """The different n-grams of a text's words (hashed, with blanks at the words' ends), 1 + log(count) of each, and
+    how many n-grams there are; None without letters."""
     words = NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
     if not any(map(str.isalpha, words)):
         return None
-    b = np.frombuffer(f" {words} ".encode(), dtype=np.uint8).astype(np.uint32)
-    out, h = [], np.zeros(len(b) + 1, dtype=np.uint32)
-    for n in range(1, max(GRAMS) + 1):
-        if len(b) < n:
-            break
-        h = (h[: len(b) - n + 1] * np.uint32(257) + b[n - 1 :] + np.uint32(1)) * np.uint32(2654435761)
-        if n in GRAMS:
-            out.append((h ^ (h >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(32 - 14))
-    return np.concatenate(out)
-
-
-def weighted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The different n-grams of a text, 1 + log(count) of each, and how many n-grams there are."""
-    c = np.bincount(g, minlength=DIMS)
+    b = np.frombuffer(f" {words} ".encode(errors="replace"), dtype=np.uint8)
+    c = np.zeros(DIMS, dtype=np.int64)
+    for start in range(0, len(b), PART):
+        x = b[start : start + PART + max(GRAMS) - 1].astype(np.uint32)
+        h = np.zeros(len(x) + 1, dtype=np.uint32)
+        for n in range(1, max(GRAMS) + 1):
+            if len(x) < n:
+                break
+            h = (h[: len(x) - n + 1] * np.uint32(257) + x[n - 1 :] + np.uint32(1)) * np.uint32(2654435761)
+            if n in GRAMS:  # those that start in this part
+                g = h[:PART]
+                c += np.bincount((g ^ (g >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(32 - 14), minlength=DIMS)
     at = np.flatnonzero(c)
-    return at.astype(np.uint16), (1.0 + np.log(c[at])).astype(np.float32), len(g)
+    return at.astype(np.uint16), (1.0 + np.log(c[at])).astype(np.float32), int(c.sum())
 
 
 def counted(found: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -91,7 +95,7 @@ class Model:
         if not self.languages:
             return said, score, rejected
         for start in range(0, len(texts), BLOCK):
-            found = [(i, weighted(g)) for i, t in enumerate(texts[start : start + BLOCK], start) if (g := grams(t)) is not None]
+            found = [(i, g) for i, t in enumerate(texts[start : start + BLOCK], start) if (g := weighted(t)) is not None]
             if not found:
                 continue
             cos = normalised(counted([g for _, g in found]) * self.idf) @ self.centroids.T
@@ -118,7 +122,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def fit_texts(labelled: Iterable[tuple[str, str]]) -> Model:
     """A model of (language, text) pairs."""
-    kept = [(lang, weighted(g)) for lang, t in labelled if (g := grams(t)) is not None]
+    kept = [(lang, g) for lang, t in labelled if (g := weighted(t)) is not None]
     languages = sorted({lang for lang, _ in kept})
     if not kept:
         return Model([], np.zeros(0, dtype=int), np.zeros((0, DIMS), dtype=np.float32), np.ones(DIMS, dtype=np.float32), np.zeros(32))
@@ -149,13 +153,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Fit on a bounded sample of the rows that the condition train allows (all, if None)."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if train is None else rows.where(train)
-    sizes = rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    sizes = rows.groupBy(F.col(lang).alias("l")).count().collect()
     if not sizes:
         return fit_texts([])
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    share = F.coalesce(*[F.when(F.col(lang) == r["l"], F.lit(min(1.0, SAMPLE / r["count"]))) for r in sizes], F.lit(0.0))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, SAMPLE / r["count"]))]), F.col(lang))
     some = rows.where(draw < share).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    return fit_texts((r["l"], r["t"]) for r in some.limit(2 * SAMPLE * len(sizes)).toLocalIterator())
+    drawn = written(some.repartition(SAMPLE_PARTS, F.xxhash64("t")), "language-sample")
+    model = fit_texts((r["l"], r["t"]) for r in drawn.toLocalIterator())  # a part's texts at a time
+    discard(drawn)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -176,6 +183,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
+def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs whose language the model does not reject, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def rows(batches):
+        for b in batches:
+            yield b.filter(pa.array(~shared.value.predict(b.column(at).to_pylist())[2]))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:
     """Fit on the documents whose crc32(key) mod folds is not 0 and predict every one."""
     fold = F.crc32(F.col(key).cast("string")) % F.lit(folds)
