@@ -15,7 +15,7 @@ from mnemospark.llm.common import crc_fold, written
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language the nearest-centroid model rejects; it learns from four fifths of docs."""
     model = language_id.fit(docs, train=crc_fold() != 0)
-    return language_id.identify(docs, model).where("not rejected").select(*docs.columns)
+    return language_id.known(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
