@@ -4,9 +4,9 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document of
 
 Sharding: every window of LENGTH bytes names its anchor, the least hash of its GRAM-byte strings. Consecutive
 windows of one anchor are a run; the bytes under a run are its segment. Equal windows have equal anchors, so
-they meet in one shard. Shards first see hashes alone: a run whose anchor no other document has is kept; of
+they meet in one shard. Shards first see digests alone: a run whose anchor no other document has is kept; of
 equal segments, those of later documents go as a whole; only the first ones' segments are sent, and only
-where an anchor has several different ones.
+where an anchor has several different ones. The runs of a crowded anchor are cut further and part.
 
 Arrays: a shard's segments are one text. Suffixes are classified; leftmost-smaller (LMS) suffixes are bucketed
 and induced to sort LMS substrings, which get names; LMS suffixes are ranked recursively on the string of
@@ -31,9 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, unkeyed, written
-from .jaccard import BYTE_HASH as _BYTE_HASH
-from .jaccard import _tables
+from .common import bucketed, discard, keyed, mix64, unkeyed, written
 
 LENGTH = 50
 GRAM = 20
@@ -43,26 +41,33 @@ SHARD_RUNS = 250_000
 BYTES_A_RUN = 16
 #: Arrays have 2**FINER times as many shards: a text of one takes some hundred bytes of memory for each of its own.
 FINER = 3
+#: Different segments of one anchor (that of a very common line, say) beyond which its runs part by the least of their
+#: strings of SHORT_GRAM bytes under each of these salts.
+CROWD, SHORT_GRAM = 2048, 8
+SALTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
+#: Bytes of a segment's digest.
+DIGEST = 12
+DIGEST_TYPE = np.dtype([("a", "<u8"), ("b", "<u4")])
+_blake = hashlib.blake2b
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 RUN = 4096
 
-BYTE_HASH = _BYTE_HASH.copy()
-BYTE_HASH[65:91] = mix64(BYTE_HASH[65:91])  # capitals differ here
+BYTE_HASH = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def _anchors(data: np.ndarray) -> np.ndarray:
-    """The least gram hash of each window of LENGTH bytes."""
+def _least_grams(data: np.ndarray, gram: int, salt: int = 0) -> np.ndarray:
+    """The least hash of the gram-byte strings in each window of LENGTH bytes."""
     part, h, have, n = BYTE_HASH[data], None, 0, 1
     while True:  # a gram is put together from parts of 1, 2, 4, ... bytes
-        if GRAM & n:
+        if gram & n:
             h = part if h is None else h[: len(part) - have] * np.uint64(0x9E3779B97F4A7C15) + part[have : have + len(h)][: len(part) - have]
             have += n
-        if 2 * n > GRAM:
+        if 2 * n > gram:
             break
         part = part[:-n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n) + part[n:]
         n *= 2
-    h = mix64(h[: len(data) - GRAM + 1])
-    width, n = LENGTH - GRAM + 1, 1
+    h = mix64(h[: len(data) - gram + 1] ^ np.uint64(salt))
+    width, n = LENGTH - gram + 1, 1
     while 2 * n <= width:
         h = np.minimum(h[:-n], h[n:])
         n *= 2
@@ -77,10 +82,10 @@ class Runs:
         self.lengths = lengths
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
         if len(data) < LENGTH:
-            self.anchor = self.segment = np.zeros(0, np.uint64)
+            self.anchor = np.zeros(0, np.uint64)
             self.doc = self.start = self.size = np.zeros(0, np.int64)
             return
-        anchor = _anchors(data)
+        anchor = _least_grams(data, GRAM)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         inside = np.flatnonzero(doc[: len(anchor)] == doc[LENGTH - 1 :])
         a, d = anchor[inside], doc[inside]
@@ -94,17 +99,21 @@ class Runs:
             nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
             at, size = at[which] + nth * RUN, np.minimum(RUN, size[which] - nth * RUN)
         self.anchor, self.doc, self.start, self.size = a[at], d[at], inside[at], size
-        up, down = _tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_HASH[data] * up[: len(data)], out=total[1:])
-        end = self.start + size + LENGTH - 1
-        self.segment = mix64((total[end] - total[self.start]) * down[self.start] + size.astype(np.uint64))
+
+    def digests(self) -> np.ndarray:
+        """A cryptographic digest of every run's segment: equal digests stand for equal bytes."""
+        text, out = self.data.tobytes(), bytearray()
+        for a, b in zip(self.start.tolist(), (self.start + self.size + LENGTH - 1).tolist(), strict=True):
+            out += _blake(text[a:b], digest_size=DIGEST).digest()
+        return np.frombuffer(bytes(out), DIGEST_TYPE)
 
     def bytes_of(self, runs: np.ndarray) -> bytes:
         """The segments of the given runs, one after the other."""
-        n = self.size[runs] + LENGTH - 1
-        at = np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.data[at].tobytes()
+        return self.bytes_at(self.start[runs], self.size[runs])
+
+    def bytes_at(self, start: np.ndarray, size: np.ndarray) -> bytes:
+        n = size + LENGTH - 1
+        return self.data[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
 
 
 def _dealt(keys: np.ndarray, bits: int):
@@ -118,10 +127,26 @@ def _dealt(keys: np.ndarray, bits: int):
 
 
 def _dealt_sent(runs: Runs, state: np.ndarray, bits: int):
-    """The runs to be sent, by the arrays' shards."""
-    sent = np.flatnonzero(state == SENT)
-    for s, o in _dealt(runs.anchor[sent], bits + FINER):
-        yield s, sent[o]
+    """The runs to be sent (documents, starts, sizes), by the arrays' shards. Runs of a crowded anchor are cut where
+    the least of their shorter strings change, by several hashes: equal windows still meet, as all of their strings
+    are equal, and the others of that anchor part."""
+    sent, crowd = np.flatnonzero(state == SENT), np.flatnonzero(state == CROWDED)
+    key, doc, start, size = runs.anchor[sent], runs.doc[sent], runs.start[sent], runs.size[sent]
+    if len(crowd):
+        n = runs.size[crowd]
+        own = np.repeat(np.cumsum(n) - n, n)
+        nth = np.arange(n.sum()) - own
+        window = np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + nth
+        text, mine = np.frombuffer(runs.bytes_of(crowd), np.uint8), np.repeat(runs.anchor[crowd], n)
+        for salt in SALTS:
+            mine = mix64(mine + _least_grams(text, SHORT_GRAM, salt)[window])
+        new = np.concatenate(([True], mine[1:] != mine[:-1])) | (nth == 0)
+        at = np.flatnonzero(new)
+        first = np.repeat(runs.start[crowd], n) + nth
+        key, doc = np.concatenate((key, mine[at])), np.concatenate((doc, np.repeat(runs.doc[crowd], n)[at]))
+        start, size = np.concatenate((start, first[at])), np.concatenate((size, np.diff(np.append(at, len(mine)))))
+    for s, o in _dealt(key, bits + FINER):
+        yield s, doc[o], start[o], size[o]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -159,7 +184,7 @@ PACKS_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("low",
 
 
 def _packs(batches, bits: int):
-    """A block's runs in each shard: anchors (a), segments' hashes (b), identifiers less the block's lowest (c)."""
+    """A block's runs in each shard: anchors (a), segments' digests (b), identifiers less the block's lowest (c)."""
     for b in batches:
         for row in zip(*b.columns, strict=True):
             block, *rest = (x.as_py() for x in row)
@@ -169,19 +194,21 @@ def _packs(batches, bits: int):
             low = int(ids.min())
             own = (ids - low).astype("<u8")
             own = own.astype("<u4") if own.max() < 1 << 32 else own
-            yield _batch([(s, block, low, runs.anchor[o].tobytes(), runs.segment[o].tobytes(), own[runs.doc[o]].tobytes()) for s, o in _dealt(runs.anchor, bits)], PACKS_SCHEMA)
+            digest = runs.digests()
+            yield _batch([(s, block, low, runs.anchor[o].tobytes(), digest[o].tobytes(), own[runs.doc[o]].tobytes()) for s, o in _dealt(runs.anchor, bits)], PACKS_SCHEMA)
 
 
 STATES = "block long, shard int, state binary, bits binary"
 STATES_SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("state", pa.binary()), ("bits", pa.binary())])
-KEPT, COVERED, SENT = 0, 1, 2
+KEPT, COVERED, SENT, CROWDED = 0, 1, 2, 3
 
 
 def _judged(table: pa.Table) -> pa.Table:
-    """For each block the state of its runs in the shard, in order: kept, covered as a whole, or to be sent."""
+    """For each block the state of its runs in the shard, in order: kept, covered as a whole, or to be sent (crowded,
+    where the anchor has too many different segments for one array)."""
     shard, block, low, a, b, c = (table[n].to_pylist() for n in ("shard", "block", "low", "a", "b", "c"))
     anchor = np.frombuffer(b"".join(a), "<u8")
-    segment = np.frombuffer(b"".join(b), "<u8")
+    segment = np.frombuffer(b"".join(b), DIGEST_TYPE)
     counts = [len(x) // 8 for x in a]
     doc = np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u8").astype(np.int64) + lo for x, n, lo in zip(c, counts, low, strict=True)])
     order = np.argsort(anchor)
@@ -192,13 +219,13 @@ def _judged(table: pa.Table) -> pa.Table:
     some = order[np.repeat(several, np.diff(np.append(at, len(s))))]  # runs of anchors with several documents
     state = np.zeros(len(anchor), np.uint8)
     if len(some):
-        some = some[np.lexsort((doc[some], segment[some], anchor[some]))]
+        some = some[np.lexsort((doc[some], segment["b"][some], segment["a"][some], anchor[some]))]
         h, g, d = anchor[some], segment[some], doc[some]
         new_anchor = np.concatenate(([True], h[1:] != h[:-1]))
-        new_segment = new_anchor | np.concatenate(([True], g[1:] != g[:-1]))
+        new_segment = new_anchor | np.concatenate(([True], (g["a"][1:] != g["a"][:-1]) | (g["b"][1:] != g["b"][:-1])))
         first = d[np.flatnonzero(new_segment)][np.cumsum(new_segment) - 1]  # least document of the same segment
         kinds = np.add.reduceat(new_segment.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-        state[some] = np.where(d > first, COVERED, np.where(kinds > 1, SENT, KEPT))
+        state[some] = np.where(d > first, COVERED, np.where(kinds > CROWD, CROWDED, np.where(kinds > 1, SENT, KEPT)))
     cut = np.cumsum([0, *counts])
     return pa.Table.from_batches([_batch([(block[i], shard[i], state[cut[i] : cut[i + 1]].tobytes(), None) for i in range(len(block))], STATES_SCHEMA)])
 
@@ -214,27 +241,25 @@ def _states_of(table: pa.Table, runs: Runs, bits: int) -> tuple[np.ndarray, dict
     for s, x, y in zip(*(table[n].to_pylist() for n in ("shard", "state", "bits")), strict=True):
         if x is not None:
             states[s] = x
-        elif y is not None:
+        else:
             found[s] = y
     for s, o in _dealt(runs.anchor, bits):
         state[o] = np.frombuffer(states[s], np.uint8)
     return state, found
 
 
-def _block_row(table: pa.Table):
-    """The body's row of a block's table."""
-    body = table["body"]
-    at = next(i for i in range(len(body)) if body[i].is_valid)
-    return _opened(*(table[n][at].as_py() for n in ("ids", "lengths", "body")))
+def _block_row(blocks: pa.Table):
+    return _opened(*(blocks[n][0].as_py() for n in ("ids", "lengths", "body")))
 
 
-def _sent(table: pa.Table, bits: int) -> pa.Table:
-    ids, runs = _block_row(table)
-    block = table["block"][0].as_py()
+def _sent(blocks: pa.Table, table: pa.Table, bits: int) -> pa.Table:
+    """The segments of a block's runs that are to be sent, for each of the arrays' shards."""
+    ids, runs = _block_row(blocks)
+    block = blocks["block"][0].as_py()
     state, _ = _states_of(table, runs, bits)
     rows = []
-    for s, o in _dealt_sent(runs, state, bits):
-        rows.append((s, block, ids[runs.doc[o]].tobytes(), runs.size[o].astype("<u4").tobytes(), runs.bytes_of(o)))
+    for s, doc, start, size in _dealt_sent(runs, state, bits):
+        rows.append((s, block, ids[doc].tobytes(), size.astype("<u4").tobytes(), runs.bytes_at(start, size)))
     return pa.Table.from_batches([_batch(rows, SEGMENTS_SCHEMA)])
 
 
@@ -315,6 +340,18 @@ def ranked(names: np.ndarray, length: int, step: int = 1) -> np.ndarray:
     return ranked(np.unique(pairs, return_inverse=True)[1], length, 2 * step)
 
 
+def equal_parts(t: np.ndarray, at: np.ndarray, to: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the n symbols from each place ``at`` are the m symbols from ``to``."""
+    same = n == m
+    live, done = np.flatnonzero(same), 0
+    while len(live):
+        equal = t[at[live] + done] == t[to[live] + done]
+        same[live[~equal]] = False
+        done += 1
+        live = live[equal & (n[live] > done)]
+    return same
+
+
 def suffix_array(t: np.ndarray, symbols: int, length: int = LENGTH) -> np.ndarray:
     """The suffixes of t, which ends with a symbol 0 that is nowhere else, ordered by at least ``length`` symbols."""
     s, lms = classified(t)
@@ -326,15 +363,13 @@ def suffix_array(t: np.ndarray, symbols: int, length: int = LENGTH) -> np.ndarra
     order = first[is_lms[first]]
     # names: equal substrings (from an LMS place to the next, both included) get the same one
     ends = np.append(lms[1:], len(t) - 1)
-    up, down = _tables(len(t) + 2)
-    total = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum((t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * up[: len(t)], out=total[1:])
-    hashed = mix64((total[ends + 1] - total[lms]) * down[lms] + (ends - lms).astype(np.uint64))
     where = np.empty(len(t), np.int64)
     where[lms] = np.arange(len(lms))
     by = where[order]
+    size = (ends - lms + 1)[by]
+    same = np.concatenate(([False], equal_parts(t, order[:-1], order[1:], size[:-1], size[1:])))
     name = np.empty(len(lms), np.int64)
-    name[by] = np.cumsum(np.concatenate(([0], (hashed[by][1:] != hashed[by][:-1]).astype(np.int64))))
+    name[by] = np.cumsum(~same) - 1
     rank = ranked(name, length)  # an LMS substring adds a symbol at least
     return induced(t, s, lms[np.argsort(rank, kind="stable")], symbols)
 
@@ -398,18 +433,17 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 TEXTS = RESULT + ", kept binary"
 
 
-def _removed(table: pa.Table, bits: int, texts: bool) -> pa.Table:
+def _removed(blocks: pa.Table, table: pa.Table, bits: int, texts: bool) -> pa.Table:
     """A block's documents without the covered bytes."""
-    ids, runs = _block_row(table)
+    ids, runs = _block_row(blocks)
     state, found = _states_of(table, runs, bits)
     hit = np.zeros(len(runs.data) + 1, np.int32)
     whole = state == COVERED
     np.add.at(hit, runs.start[whole], 1)
     np.add.at(hit, runs.start[whole] + runs.size[whole], -1)
     hit = np.cumsum(hit[:-1]) > 0
-    for s, o in _dealt_sent(runs, state, bits):
-        size = runs.size[o]
-        at = np.repeat(runs.start[o] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    for s, _, start, size in _dealt_sent(runs, state, bits):
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
         hit[at] |= np.unpackbits(np.frombuffer(found[s], np.uint8), count=len(at), bitorder="little").astype(bool)
     seen = np.concatenate((np.zeros(LENGTH, np.int64), np.cumsum(hit)))
     gone = seen[LENGTH:] > seen[:-LENGTH]
@@ -429,14 +463,15 @@ def _removed(table: pa.Table, bits: int, texts: bool) -> pa.Table:
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; and the kept bytes, if texts is set."""
     rows = docs.select(keyed(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    blocks = written(rows.mapInArrow(_blocks, BLOCKS), "suffix-blocks")
+    blocks = bucketed(rows.mapInArrow(_blocks, BLOCKS), "suffix_blocks", "block")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, total / BYTES_A_RUN / SHARD_RUNS)))))
-    judged = written(blocks.select("block", "ids", "lengths", "body").mapInArrow(lambda it: _packs(it, bits), PACKS).groupBy("shard").applyInArrow(_judged, STATES), "suffix-states")
-    none = F.lit(None).cast("binary")
-    body = blocks.select("block", "ids", "lengths", "body", F.lit(None).cast("int").alias("shard"), none.alias("state"), none.alias("bits"))
-    state = lambda df: df.select("block", none.alias("ids"), none.alias("lengths"), none.alias("body"), "shard", "state", "bits")
-    sent = body.unionByName(state(judged)).groupBy("block").applyInArrow(lambda t: _sent(t, bits), SEGMENTS)
+    body = blocks.select("block", "ids", "lengths", "body")
+    judged = written(body.mapInArrow(lambda it: _packs(it, bits), PACKS).groupBy("shard").applyInArrow(_judged, STATES), "suffix-states")
+    sent = body.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(lambda b, t: _sent(b, t, bits), SEGMENTS)
     compared = written(sent.groupBy("shard").applyInArrow(_compared, STATES), "suffix-bits")
-    out = body.unionByName(state(judged)).unionByName(state(compared)).groupBy("block").applyInArrow(lambda t: _removed(t, bits, texts), TEXTS if texts else RESULT)
+    told = judged.unionByName(compared)
+    out = body.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda b, t: _removed(b, t, bits, texts), TEXTS if texts else RESULT)
+    out = written(out, "suffix-result")
+    discard(blocks, judged, compared)
     return out.withColumn("doc_id", unkeyed("doc_id"))
