@@ -11,13 +11,15 @@ unseen (words seen once, by all tokens). A text is scored in the state of the lo
 each word and its end.
 
 Documents are read once, in blocks: each block's distinct words and their counts go, packed, to hash shards and
-back, and its tokens (numbers of its words) wait in the shared folder. The tree is never in one place: for each
-length a block sends its distinct sequences to hash shards, which answer with their counts in all training texts
-and name one block that speaks for each; then it sends its contexts, with the sums over the sequences it speaks
-for, and the shards answer which are retained. Nothing is broadcast. Words and sequences are told apart by a
-64-bit hash.
-
-Defined results: a null or empty text is one end; repeated rows count as often as they occur; an empty table
+back, and its tokens (numbers of its words) wait in the shared folder, in buckets by block. The tree is never in
+one place: for each length a block sends its distinct sequences to hash shards, which answer with their counts in
+all training texts and name one block that speaks for each; then it sends its contexts, with the sums over the
+sequences it speaks for, and the shards answer which are retained. Nothing is broadcast. A text longer than a
+block is cut into parts, each with the DEPTH tokens before it. Words are told apart by a 64-bit hash,
+sequences by their shard (SHARD_TOKENS tokens, about) and 48 bits more: of a shard's sequences one in 10**8 shares its
+count with another.
+
+Defined results: every row is a document of its own, whatever its identifier; a null or empty text is one end; repeated rows count as often as they occur; an empty table
 gives an empty result; where nothing is learned every word is unseen with probability one half; other columns
 are ignored.
 """
@@ -25,13 +27,16 @@ are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, keyed, mix64, unkeyed, written
-from .jaccard import PLACE, word_hashes
+from .common import bucketed, crc_fold, discard, keyed, mix64, unkeyed, written
+from .hashing import word_hashes
+from .jaccard import PLACE
 
 DEPTH = 3
 #: Times that training texts must hold a sequence, whatever the input.
@@ -39,10 +44,14 @@ LEAST = 2
 #: Count times Kullback-Leibler divergence (nats) from the shorter context.
 DIVERGENCE = 12.0
 SHARD_ENTRIES = 600_000
-#: Text bytes of one block: its packed columns stay below half a megabyte.
-BLOCK_BYTES = 1_000_000
+#: Text bytes that are read for a block.
+BLOCK_BYTES = 4_000_000
+#: Tokens of one block; a longer text goes in parts.
+BLOCK_TOKENS = 800_000
+#: Bytes of a sequence's key beside its shard.
+KEY_BYTES = 6
 #: Tokens for each shard of sequences.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: The hash that stands for the end of a text, and for its beginning as a context.
 END = np.uint64(0)
 
@@ -63,12 +72,37 @@ def _table(rows: list[tuple], schema: pa.Schema = PARTS_SCHEMA) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of x as they first occur, and for each place which it has."""
+    which, values = pd.factorize(x)
+    return values, which
+
+
+def _firsts(which: np.ndarray, n: int) -> np.ndarray:
+    """The first place of each of n values."""
+    first = np.empty(n, dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return first
+
+
+def _parts(words: np.ndarray, counts: np.ndarray, tokens: int):
+    """Texts as entries of a block: (text, words before it, words, end?). A text of more words than ``tokens`` is
+    several, each with up to DEPTH words of the one before it."""
+    at = 0
+    for n, size in enumerate(counts.tolist()):
+        for i in range(0, max(size, 1), tokens):
+            lead, stop = min(i, DEPTH), min(size, i + tokens)
+            yield n, lead, words[at + i - lead : at + stop], stop == size
+        at += size
+
+
 def _blocks(batches):
-    """Blocks of documents: doc_ids (a), token counts and whether each is learned from (b), tokens (c, 16 low
-    bits and 8 high), the hashes of its words (d) and their training counts (e)."""
+    """Blocks of documents: rows, doc_ids, token counts, words that come before (a); whether each is learned from (b);
+    tokens (c, 16 low bits and 16 high), the hashes of its words (d) and their training counts (e)."""
     from pyspark import TaskContext
 
-    block = TaskContext.get().partitionId() << 32
+    block = TaskContext.get().partitionId() << 24
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -79,22 +113,40 @@ def _blocks(batches):
                 size += lengths[end] + 1
                 end += 1
             words, counts = word_hashes(batch.column(1).slice(start, end - start).to_pylist())
-            known, which, n = np.unique(words, return_inverse=True, return_counts=True)
-            if len(known) >= (1 << 24) - 1:
-                raise ValueError("a block has more than 2**24 words")
-            rank = np.argsort(-n, kind="stable")
-            of = np.empty(len(rank), dtype=np.int64)
-            of[rank] = np.arange(1, len(rank) + 1)  # word 0 is the end
-            token = of[which]
-            known = np.concatenate((np.array([END]), known[rank]))
-            learned = train[start:end]
-            learn = np.bincount(token[np.repeat(learned, counts)], minlength=len(known))
-            learn[0] = learned.sum()
-            stream = np.insert(token, np.cumsum(counts), 0) if len(token) else np.zeros(len(counts), dtype=np.int64)
-            packed = (stream & 0xFFFF).astype("<u2").tobytes() + (stream >> 16).astype("u1").tobytes()
-            sizes = (counts + 1).astype("<u4").tobytes() + learned.astype("u1").tobytes()
-            yield _table([(block, ids[start:end].tobytes(), sizes, packed, known.tobytes(), learn.astype("<u4").tobytes())])
-            start, block = end, block + 1
+            entries, tokens = [], 0
+            for n, lead, own, ended in _parts(words, counts, BLOCK_TOKENS):
+                entries.append((row + n, ids[start + n], lead, own, ended, train[start + n]))
+                tokens += len(own) + 1
+                if tokens >= BLOCK_TOKENS:
+                    yield _packed(entries, block)
+                    entries, tokens, block = [], 0, block + 1
+            if entries:
+                yield _packed(entries, block)
+                block += 1
+            row += end - start
+            start = end
+
+
+def _packed(entries: list[tuple], block: int) -> pa.RecordBatch:
+    rows, ids, lead, words, ended, learned = zip(*entries, strict=True)
+    counts = np.array([len(w) for w in words])
+    sizes = counts + np.array(ended)
+    known, which = _distinct(np.concatenate(words))
+    rank = np.argsort(-np.bincount(which, minlength=len(known)), kind="stable")
+    of = np.empty(len(rank), dtype=np.int64)
+    of[rank] = np.arange(1, len(rank) + 1)  # word 0 is the end
+    known = np.concatenate((np.array([END]), known[rank]))
+    stream = np.zeros(sizes.sum(), dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    stream[np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)] = of[which]
+    meta = np.stack([np.array(x, dtype="<i8") for x in (rows, ids, sizes, lead)])
+    x = Block(meta.tobytes(), np.array(learned, dtype="u1").tobytes(), _token_bytes(stream), known.tobytes())
+    learn = np.bincount(stream, weights=x.learned_here(), minlength=len(known))
+    return _table([(block, meta.tobytes(), np.array(learned, dtype="u1").tobytes(), _token_bytes(stream), known.tobytes(), learn.astype("<u4").tobytes())])
+
+
+def _token_bytes(stream: np.ndarray) -> bytes:
+    return (stream & 0xFFFF).astype("<u2").tobytes() + (stream >> 16).astype("<u2").tobytes()
 
 
 def _packs(batches, bits: int):
@@ -105,28 +157,40 @@ def _packs(batches, bits: int):
             yield _table([(s, block, known[o].tobytes(), learn[o].tobytes()) for s, o in _dealt(known, bits)], PACKS_SCHEMA)
 
 
-def _dealt(keys: np.ndarray, bits: int):
-    """Shards by the keys' high bits, each with the places of its keys."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+def _dealt(keys: np.ndarray, bits: int, late: np.ndarray | None = None):
+    """Shards by the keys' high bits, each with the places of its keys, in order; those that are late come last."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.uint32)
+    shard = shard if late is None else 2 * shard + late
+    order = np.argsort(shard.astype(np.uint16) if 2 << bits <= 1 << 16 else shard, kind="stable")
     if not len(order):
         return
-    at = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) > 0)))
-    for i, j in zip(at, [*at[1:], len(order)], strict=True):
-        yield int(shard[order[i]]), order[i:j]
+    shard = shard[order] if late is None else shard[order] >> 1
+    at = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1))
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+        yield int(shard[i]), order[i:j]
 
 
 class Block:
     """A block's tokens again, from its row."""
 
     def __init__(self, a: bytes, b: bytes, c: bytes, d: bytes):
-        self.ids = np.frombuffer(a, "<i8")
-        self.sizes = np.frombuffer(b[: 4 * len(self.ids)], "<u4").astype(np.int64)
-        self.learned = np.frombuffer(b[4 * len(self.ids) :], "u1").astype(bool)
+        self.rows, self.ids, self.sizes, self.lead = np.frombuffer(a, "<i8").reshape(4, -1)
+        self.learned = np.frombuffer(b, "u1").astype(bool)
         n = int(self.sizes.sum())
-        self.stream = np.frombuffer(c[: 2 * n], "<u2").astype(np.int64) | np.frombuffer(c[2 * n :], "u1").astype(np.int64) << 16
+        low, high = np.frombuffer(c, "<u2").reshape(2, n)
+        self.stream = low.astype(np.int64) | high.astype(np.int64) << 16
         self.known = np.frombuffer(d, "<u8")
 
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def learned_here(self) -> np.ndarray:
+        """Whether each token is learned from, here and not in the part before."""
+        out = np.repeat(self.learned, self.sizes)
+        for at, n in zip(self.starts()[self.lead > 0].tolist(), self.lead[self.lead > 0].tolist(), strict=True):
+            out[at : at + n] = False
+        return out
+
 
 def sequence_keys(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Keys of the n-token sequences that end at the given places; of one token, its hash."""
@@ -144,15 +208,15 @@ ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("a", p
 
 def _counted(table: pa.Table) -> pa.Table:
     """A shard's answer: for each block the counts of its words in all training tokens (b), in their order;
-    and the shard's totals, with its words (a) and their counts (b)."""
+    and the shard's totals."""
     shard, block, a, b = (table[n].to_pylist() for n in ("shard", "block", "a", "b"))
     h = np.frombuffer(b"".join(a), dtype="<u8")
     n = np.frombuffer(b"".join(b), dtype="<u4")
-    known, which = np.unique(h, return_inverse=True)
+    known, which = _distinct(h)
     total = np.bincount(which, weights=n, minlength=len(known)).astype(np.int64)
     cut = np.cumsum([0] + [len(x) // 8 for x in a])
-    rows = [(block[i], shard[i], None, total[which[cut[i] : cut[i + 1]]].astype("<i8").tobytes(), 0, 0, 0) for i in range(len(block))]
-    rows.append((None, shard[0], known.tobytes(), total.astype("<i8").tobytes(), int(total.sum()), int((total > 0).sum()), int((total == 1).sum())))
+    rows = [(block[i], shard[i], None, _planes(total[which[cut[i] : cut[i + 1]]]), 0, 0, 0) for i in range(len(block))]
+    rows.append((None, shard[0], None, None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum())))
     return pa.Table.from_batches([_table(rows, ANSWER_SCHEMA)])
 
 
@@ -187,19 +251,20 @@ class Walk:
         self.block, self.n = block, 1
         self.tokens = np.concatenate(([0], block.stream))  # with the beginning before the first text
         self.h, self.ends = block.known[self.tokens], self.tokens == 0
-        self.learned = np.concatenate(([False], np.repeat(block.learned, block.sizes)))
+        self.learned = np.concatenate(([False], block.learned_here()))
         self.count = None if words is None else np.where(words >= LEAST, words, 0)[self.tokens]
         self.logs = None if root is None else root[self.tokens]
 
     def step(self) -> np.ndarray:
-        """The block's distinct sequences (sorted keys) of the next length whose halves were found; at length 2,
-        where they are asked for before words are counted, all."""
+        """Keys of the block's distinct sequences of the next length whose halves were found; at length 2, where
+        they are asked for before words are counted, all."""
         self.n += 1
         whole = np.arange(len(self.tokens)) >= self.n - 1
         if self.n > 2:
             whole[1:] &= (self.count[1:] > 0) & (self.count[:-1] > 0) & ~self.ends[:-1]  # a beginning may only come first
         self.at = np.flatnonzero(whole)
-        self.keys, self.first, self.which = np.unique(sequence_keys(self.h, self.at, self.n), return_index=True, return_inverse=True)
+        self.keys, self.which = _distinct(sequence_keys(self.h, self.at, self.n))
+        self.first = _firsts(self.which, len(self.keys))
         return self.keys
 
     def own_counts(self) -> np.ndarray:
@@ -213,16 +278,22 @@ class Walk:
         self.count[self.at] = self.found[self.which]
 
     def contexts(self) -> np.ndarray:
-        """The block's distinct contexts (sorted keys) that were found."""
+        """Keys of the block's distinct contexts that were found."""
         there = np.arange(len(self.tokens)) >= self.n - 1
         there[1:] &= self.before[:-1] > 0
         if self.n > 2:
             there[1:] &= ~self.ends[:-1]
         self.behind = np.flatnonzero(there)
-        self.names, first, self.name = np.unique(sequence_keys(self.h, self.behind - 1, self.n - 1), return_index=True, return_inverse=True)
-        self.total = self.before[self.behind[first] - 1]
+        self.names, self.name = _distinct(sequence_keys(self.h, self.behind - 1, self.n - 1))
+        self.total = self.before[self.behind[_firsts(self.name, len(self.names))] - 1]
         return self.names
 
+    def silent(self) -> np.ndarray:
+        """Whether each context is one for which this block speaks for no sequence."""
+        spoken = np.zeros(len(self.names), dtype=bool)
+        spoken[self.name[np.searchsorted(self.behind, self.at[self.first[self.speaks & (self.found > 0)]])]] = True
+        return ~spoken
+
     def sums(self) -> tuple[np.ndarray, ...]:
         """Of each context the sums over the found sequences that this block speaks for, as ``retained`` has them."""
         speaks = self.speaks & (self.found > 0)
@@ -244,18 +315,46 @@ class Walk:
         self.logs[at] = smoothed(self.count[at], self.total[name], kinds[name], mass[name], low[at])
 
 
+def _short(keys: np.ndarray, bits: int) -> bytes:
+    """The 48 bits of keys that follow those which name their shard: enough for the sequences of one shard."""
+    return ((keys << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    out = np.zeros((len(short) // KEY_BYTES, 8), dtype="u1")
+    out[:, :KEY_BYTES] = np.frombuffer(short, "u1").reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, compressed: small ones leave planes of zeros."""
+    raw = np.ascontiguousarray(x, dtype="<i8").reshape(-1, 1).view("u1").T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(planes)
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(8, -1).T).view("<i8").ravel()
+
+
 def _told_keys(walk: Walk, block: int, bits: int) -> list[tuple]:
     keys = walk.step()
     own = walk.own_counts()
-    return [(walk.n, s, block, keys[o].tobytes(), own[o].tobytes(), None, None) for s, o in _dealt(keys, bits)]
+    return [(walk.n, s, block, _short(keys[o], bits), _planes(own[o]), None, None) for s, o in _dealt(keys, bits)]
 
 
 def _told_contexts(walk: Walk, block: int, bits: int) -> list[tuple]:
+    """All contexts by name, first those that this block has sums for."""
     names = walk.contexts()
+    silent = walk.silent()
     kinds, kept, low, gain = walk.sums()
     counts = np.stack((walk.total, kinds.astype("<i8"), kept.astype("<i8")))
     reals = np.stack((low, gain))
-    return [(-walk.n, s, block, names[o].tobytes(), counts[:, o].tobytes(), reals[:, o].tobytes(), None) for s, o in _dealt(names, bits)]
+    rows = []
+    for s, o in _dealt(names, bits, silent):
+        said = o[~silent[o]]
+        rows.append((-walk.n, s, block, _short(names[o], bits), _planes(counts[:, said]), reals[:, said].tobytes(), None))
+    return rows
 
 
 def _pairs(batches, bits: int):
@@ -270,58 +369,67 @@ def _answered(table: pa.Table) -> pa.Table:
     """A shard's answers to the blocks, in the order of what each told."""
     kind, shard, block = (table[n].to_pylist() for n in ("kind", "shard", "block"))
     a, b, c = (table[n].to_pylist() for n in "abc")
-    keys, first, which = np.unique(np.frombuffer(b"".join(a), "<u8"), return_index=True, return_inverse=True)
-    cut = np.cumsum([0] + [len(x) // 8 for x in a])
+    keys, which = _distinct(_long(b"".join(a)))
+    cut = np.cumsum([0] + [len(x) // KEY_BYTES for x in a])
     if kind[0] > 0:
-        n = _by(which, len(keys), np.frombuffer(b"".join(b), "<i8")).astype("<i8")
+        n = _by(which, len(keys), np.concatenate([_numbers(x) for x in b])).astype("<i8")
         answer = np.where(n >= LEAST, n, 0)[which] * 2
-        answer[first] += 1
-        out = [answer[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+        answer[_firsts(which, len(keys))] += 1
+        out = [_planes(answer[i:j]) for i, j in zip(cut, cut[1:])]
     else:
-        counts = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in b], axis=1)
+        counts = np.concatenate([_numbers(x).reshape(3, -1) for x in b], axis=1)
         reals = np.concatenate([np.frombuffer(x, "<f8").reshape(2, -1) for x in c], axis=1)
-        total = counts[0][first]
-        kinds, kept, low, gain = (_by(which, len(keys), x) for x in (counts[1], counts[2], reals[0], reals[1]))
+        said = np.concatenate([which[i : i + len(x) // 16] for i, x in zip(cut, c)])
+        total = np.zeros(len(keys), dtype=np.int64)
+        total[said] = counts[0]
+        kinds, kept, low, gain = (_by(said, len(keys), x) for x in (counts[1], counts[2], reals[0], reals[1]))
         answer = (np.stack((kinds, kept)) * retained(total, kinds, kept, low, gain)).astype("<i8")[:, which]
-        out = [answer[:, i:j].tobytes() for i, j in zip(cut, cut[1:])]
+        out = [_planes(answer[:, i:j]) for i, j in zip(cut, cut[1:])]
     return pa.Table.from_batches([_table(list(zip(block, kind, shard, out, strict=True)), REPLY_SCHEMA)])
 
 
-def _walked(table: pa.Table, bits: int, tokens: int, unseen: float) -> tuple[int, Walk, np.ndarray, dict[int, np.ndarray]]:
-    """A block, the walk at its start, its words' counts and the shards' answers by kind."""
-    kind, shard = table["kind"].to_pylist(), table["shard"].to_pylist()
-    a, b, c, d = (table[n].to_pylist() for n in "abcd")
-    meta = kind.index(0)
-    x = Block(a[meta], b[meta], c[meta], d[meta])
-    count = np.zeros(len(x.known), dtype=np.int64)
-    counts = {shard[i]: a[i] for i in range(len(kind)) if kind[i] == 1}
-    for s, o in _dealt(x.known, bits):
-        count[o] = np.frombuffer(counts[s], "<i8")
-    parts: dict[int, list] = {}
-    for k, s, y in sorted((k, s, i) for i, (k, s) in enumerate(zip(kind, shard, strict=True)) if k not in (0, 1)):
-        parts.setdefault(k, []).append(np.frombuffer(a[y], "<i8").reshape(1 if k > 0 else 2, -1))
-    answers = {k: np.concatenate(v, axis=1) for k, v in parts.items()}
+class Replies:
+    """The shards' answers to one block, by kind."""
+
+    def __init__(self, table: pa.Table, bits: int, key_bits: int):
+        self.bits, self.key_bits = bits, key_bits
+        self.by: dict[int, dict[int, bytes]] = {}
+        for k, s, a in zip(*(table[n].to_pylist() for n in ("kind", "shard", "a")), strict=True):
+            self.by.setdefault(k, {})[s] = a
+
+    def of(self, kind: int, keys: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+        """The answers to the keys: one number each to words and sequences, two to contexts."""
+        out = np.zeros((2 if kind < 0 else 1, len(keys)), dtype=np.int64)
+        for s, o in _dealt(keys, self.bits if kind == 1 else self.key_bits, late):
+            out[:, o] = _numbers(self.by[kind][s]).reshape(len(out), -1)
+        return out
+
+
+def _walked(parts: pa.Table, replies: Replies, tokens: int, unseen: float) -> tuple[int, Walk, np.ndarray]:
+    """A block, the walk at its start and its words' counts."""
+    x = Block(*(parts[n][0].as_py() for n in "abcd"))
+    count = replies.of(1, x.known)[0]
     root = np.where(count > 0, np.log((1 - unseen) * np.maximum(count, 1) / max(tokens, 1)), np.log(unseen))
-    return table["block"][0].as_py(), Walk(x, count, root), count, answers
+    return parts["block"][0].as_py(), Walk(x, count, root), count
 
 
-def _walk_to(walk: Walk, answers: dict[int, np.ndarray], n: int, judged: bool):
+def _walk_to(walk: Walk, replies: Replies, n: int, judged: bool):
     """Walk to the sequences of n words, which were counted; judged: whether their contexts are known too."""
-    none = np.zeros((2, 0), dtype=np.int64)
     while walk.n < n:
         walk.step()
-        walk.counted(answers.get(walk.n, none)[0])
+        walk.counted(replies.of(walk.n, walk.keys)[0])
         if walk.n < n or judged:
             walk.contexts()
-            walk.judged(*answers.get(-walk.n, none))
+            walk.judged(*replies.of(-walk.n, walk.names, walk.silent()))
 
 
 def _onward(n: int, bits: int, key_bits: int, tokens: int, unseen: float):
     """What a block tells once its sequences of n words were counted: their contexts and the next longer ones."""
 
-    def told(table: pa.Table) -> pa.Table:
-        block, walk, _, answers = _walked(table, bits, tokens, unseen)
-        _walk_to(walk, answers, n, False)
+    def told(parts: pa.Table, table: pa.Table) -> pa.Table:
+        replies = Replies(table, bits, key_bits)
+        block, walk, _ = _walked(parts, replies, tokens, unseen)
+        _walk_to(walk, replies, n, False)
         rows = _told_contexts(walk, block, key_bits)
         if n <= DEPTH:
             rows += _told_keys(walk, block, key_bits)
@@ -365,44 +473,69 @@ class SuffixTree:
             total_keys, totals = keys, n.astype(float)
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+SCORES = "row long, whole boolean, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(table: pa.Table, bits: int, tokens: int, words: int, unseen: float) -> pa.Table:
-    """A block's documents with their scores, from its tokens and the shards' answers."""
-    _, walk, count, answers = _walked(table, bits, tokens, unseen)
-    _walk_to(walk, answers, DEPTH + 1, True)
+def _scored(parts: pa.Table, table: pa.Table, bits: int, key_bits: int, tokens: int, words: int, unseen: float) -> pa.Table:
+    """A block's documents (whole, or parts of one) with their scores, from its tokens and the shards' answers."""
+    replies = Replies(table, bits, key_bits)
+    _, walk, count = _walked(parts, replies, tokens, unseen)
+    _walk_to(walk, replies, DEPTH + 1, True)
     x = walk.block
     base = np.log10((count + 0.5) / (tokens + 0.5 * (words + 1)))
     model = walk.logs[1:] / np.log(10)
-    at = np.concatenate(([0], np.cumsum(x.sizes)[:-1]))
-    known, base, model = (np.add.reduceat(y, at) for y in ((count > 0).astype(np.int64)[x.stream], base[x.stream], model))
-    return pa.table({"doc_id": pa.array(x.ids), "n_tokens": pa.array(x.sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(model)})
+    at = x.starts() + x.lead
+    end = x.starts() + x.sizes
+    ended = np.zeros(len(at), dtype=bool)
+    some = end > at
+    ended[some] = x.stream[end[some] - 1] == 0
+    sums = lambda y: (lambda c: c[end] - c[at])(np.concatenate(([0], np.cumsum(y))))
+    columns = {"row": x.rows, "whole": ended & (x.lead == 0), "doc_id": x.ids, "n_tokens": end - at, "n_known": sums((count > 0)[x.stream].astype(np.int64))}
+    base, model = _sums(base[x.stream], at, end), _sums(model, at, end)
+    return pa.table({**{n: pa.array(c) for n, c in columns.items()}, "base_score": pa.array(base), "score": pa.array(model)})
+
+
+def _sums(x: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of each slice of x, none of which overlap; without the rounding of a running total."""
+    if not len(x):
+        return np.zeros(len(at))
+    edges = np.stack((at, np.minimum(end, len(x) - 1)), axis=1).ravel()
+    out = np.add.reduceat(x, np.minimum(edges, len(x) - 1))[::2]
+    out = np.where(end > at, out, 0.0)
+    last = (end == len(x)) & (end > at)
+    # reduceat cannot name the end of x as a border: the last slice goes on to it by itself
+    out[last] = [x[i:].sum() for i in at[last]]
+    return out
 
 
 def language_model_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     fold = F.coalesce(crc_fold(key, folds), F.lit(0))
     rows = docs.select(keyed(key), F.coalesce(F.col(text), F.lit("")).cast("binary"), fold != held)
-    parts = written(rows.mapInArrow(_blocks, PARTS), "lm-blocks")
+    parts = bucketed(rows.mapInArrow(_blocks, PARTS), "lm_blocks", "block")
     entries, size = (x or 0 for x in parts.agg(F.sum(F.octet_length("e") / 4), F.sum(F.octet_length("c"))).first())
     bits = max(3, int(np.ceil(np.log2(max(1, entries / SHARD_ENTRIES)))))
     packs = parts.select("block", "d", "e").mapInArrow(lambda it: _packs(it, bits), PACKS)
     answers = written(packs.groupBy("shard").applyInArrow(_counted, ANSWER), "lm-counts")
     tokens, words, once = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("words"), F.sum("once")).first())
     unseen = min(0.5, (once + 1) / (tokens + 2))
-    key_bits = max(3, int(np.ceil(np.log2(max(1, size / 3 / SHARD_TOKENS)))))
-    none = F.lit(None).cast("binary")
-    met = parts.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), *"abcd")
-    met = met.unionByName(answers.where("block is not null").select("block", F.lit(1).alias("kind"), "shard", F.col("b").alias("a"), none.alias("b"), none.alias("c"), none.alias("d")))
+    key_bits = max(3, int(np.ceil(np.log2(max(1, size / 4 / SHARD_TOKENS)))))
+    own = parts.select("block", *"abcd").groupBy("block")
+    met = answers.where("block is not null").select("block", F.lit(1).alias("kind"), "shard", F.col("b").alias("a"))
     told = parts.select("block", *"abcd").mapInArrow(lambda it: _pairs(it, key_bits), TOLD)
+    done = [answers]
     for n in range(2, DEPTH + 3):
         reply = written(told.groupBy("kind", "shard").applyInArrow(_answered, REPLY), "lm-answers")
-        met = met.unionByName(reply.select("*", none.alias("b"), none.alias("c"), none.alias("d")))
+        done.append(reply)
+        met = met.unionByName(reply)
         if n <= DEPTH + 1:
-            told = met.groupBy("block").applyInArrow(_onward(n, bits, key_bits, tokens, unseen), TOLD)
-    scored = met.groupBy("block").applyInArrow(lambda t: _scored(t, bits, tokens, words, unseen), SCORES)
-    scored = scored.withColumn("doc_id", unkeyed("doc_id"))
+            told = own.cogroup(met.groupBy("block")).applyInArrow(_onward(n, bits, key_bits, tokens, unseen), TOLD)
+    scored = own.cogroup(met.groupBy("block")).applyInArrow(lambda p, t: _scored(p, t, bits, key_bits, tokens, words, unseen), SCORES)
+    scored = written(scored, "lm-scores")
+    discard(parts, *done)
+    names = ["n_tokens", "n_known", "base_score", "score"]
+    parted = scored.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n in names))
+    scored = scored.where("whole").select("doc_id", *names).unionByName(parted.drop("row")).withColumn("doc_id", unkeyed("doc_id"))
     return scored.select(
         F.col("doc_id").alias(key), (F.coalesce(crc_fold("doc_id", folds), F.lit(0)) == held).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
