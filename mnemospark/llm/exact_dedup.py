@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, without, written
+from .common import has_repeats, join_groups, unused, without, written
 
 FAN = 8
 #: Entries of the merged run of one range, about: what a node holds in its sort buffers.
@@ -114,11 +114,14 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with their columns; of rows with the same identifier and text, one."""
+    """The rows of docs that stay, with their columns: one row for each different text."""
     found = written(exact_duplicates(docs, key, text, keep), "dedup-decisions")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    out = without(docs, gone, key)
-    again = found.where("kept").groupBy(F.col("doc_id").alias(key), "text_sha256").count().where("count > 1").select(key).distinct()
-    if again.isEmpty():
-        return out
-    return out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key, text]))
+    gone = found.where(~F.col("kept"))
+    if not has_repeats(docs, key):
+        return without(docs, gone.select(F.col("doc_id").alias(key)), key)
+    # identifiers do not tell these rows apart, so texts do as well
+    digest, same = unused(docs, "digest"), "_doc_id"
+    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    kept = found.where("kept").select(F.col("doc_id").alias(same), F.col("text_sha256").alias(digest)).distinct()
+    same_row = rows[key].cast("long").eqNullSafe(kept[same]) & (rows[digest] == kept[digest])
+    return rows.join(kept, same_row, "left_semi").dropDuplicates([digest]).drop(digest)
