@@ -67,6 +67,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_docs(spark, sf_dir))
 
 
+def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2's rows must add up to: documents, bytes, slots that are missing or double, moves to another old shard."""
+    rows = op2_rendezvous_sharding(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    gaps = shards.agg(F.count_if((F.col("slots") != F.col("n")) | (F.col("low") != 0) | (F.col("high") != F.col("n") - 1)).alias("gaps"))
+    moved = (F.col("grown_shard") != F.col("shard")) & (F.col("grown_shard") != 40)
+    sums = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("bytes"), F.count_if(moved | ~F.col("shard").between(0, 39)).alias("wrong"))
+    return sums.crossJoin(gaps)
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9's rows that SQL can state."""
+    rows = op9_lm_score(spark, sf_dir)
+    return rows.select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
@@ -78,8 +94,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
+    "sharding_laws": sharding_laws,
+    "lm_base_scores": lm_base_scores,
 }
 
+#: A text's words, A-Z in lower case.
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLES = {
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -87,4 +108,40 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op5_suffix_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM h)),
+        m AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING count(*) > 1),
+        hit AS (SELECT w.doc_id, i FROM w JOIN m USING (win) WHERE first < w.doc_id),
+        g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+        k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+        runs AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, k),
+        parts AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, coalesce(2 * (t - f), length(h))), '' ORDER BY f) AS kept FROM parts JOIN h USING (doc_id) GROUP BY doc_id),
+        gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM h LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+        n AS (SELECT doc_id, len(sh) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT u, v FROM p JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * c >= 75 * (nu.n + nv.n - c)),
+        both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM r JOIN both_ways b ON b.u = r.v)
+        SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
+    """,
+    "sharding_laws": "SELECT count(*) AS docs, sum(coalesce(strlen(text), 0) + 16)::BIGINT AS bytes, 0::BIGINT AS wrong, 0::BIGINT AS gaps FROM documents",
+    # the fold is crc32(doc_id as text) mod 5, bit by bit
+    "lm_base_scores": f"""
+        WITH RECURSIVE c AS (SELECT doc_id, doc_id::VARCHAR AS s, 1 AS i, xor(4294967295::BIGINT, ascii((doc_id::VARCHAR)[1])::BIGINT) AS x, 0 AS bit FROM documents
+        UNION ALL SELECT doc_id, s, CASE WHEN bit = 7 THEN i + 1 ELSE i END, CASE WHEN bit = 7 AND i < length(s) THEN xor(y, ascii(s[i + 1])::BIGINT) ELSE y END, (bit + 1) % 8
+        FROM (SELECT *, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END AS y FROM c WHERE i <= length(s))),
+        f AS (SELECT doc_id, xor(x, 4294967295::BIGINT) % 5 <> 1 AS train FROM c WHERE i > length(s)),
+        t AS (SELECT doc_id, train, unnest(list_append({_WORDS}, chr(0))) AS word FROM documents JOIN f USING (doc_id)),
+        k AS (SELECT word, count(*) AS c FROM t WHERE train GROUP BY word), n AS (SELECT sum(c) AS n, count(*) AS v FROM k)
+        SELECT doc_id, count(*) AS n_tokens, count(k.c) AS n_known, any_value(n.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(k.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)))), 4) AS base_score
+        FROM t LEFT JOIN k USING (word), n GROUP BY doc_id
+    """,
 }
