@@ -239,7 +239,6 @@ def test_bpe_in_small_chunks(monkeypatch):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     codec = bpe.Codec(*bpe.read_codec(public_tokenizers.path("byte_bpe_50k.json")))
     monkeypatch.setattr(bpe, "CHUNK", 64)
-    monkeypatch.setattr(bpe, "LONG", 8)
     codec.lookahead = 160
     rnd = random.Random(5)
     for _ in range(200):
@@ -388,3 +387,265 @@ def test_jaccard_compares_hot_lists_in_blocks(spark, monkeypatch):
 
 def test_light_boundary_follows_the_lists():
     assert jaccard.light_boundary(1.0) <= jaccard.light_boundary(10.0) <= jaccard.light_boundary(1000.0) <= jaccard.LIGHT_LIMIT
+
+
+def _thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    one, two = _thue_morse(1024)
+    tail = "b c d e"
+    d = table(spark, [f"{one} {tail}", f"{two} {tail}", one, two])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4)}
+    scores = {r.doc_id: r.n_known for r in lm_score.language_model_scores(d).collect()}
+    learned = {i for i in range(1, 5) if zlib.crc32(str(i).encode()) % 5 != 1}
+    assert all(scores[i] > 0 for i in learned)
+    want = _removed_by_brute_force([(1, f"x{one}".encode()), (2, f"y{two}".encode()), (3, f"z{one}{two}".encode())])
+    d = table(spark, [f"x{one}", f"y{two}", f"z{one}{two}"])
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(d).collect()} == want
+
+
+def test_jaccard_rows_without_or_with_the_same_identifier(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    pairs = [(None, a), (None, b), (1, a), (2, b), (7, a + " z"), (7, "u v w x y z"), (None, None), (None, "lonely words only here now")]
+    d = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d).collect())
+    assert got == collections.Counter([(None, 6, 1), (None, 6, 2), (1, 6, 1), (2, 6, 2), (7, 7, 1), (7, 2, 7), (None, 0, None), (None, 1, None)])
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.distinct_documents(d).collect())
+    assert kept == collections.Counter([(1, a), (2, b), (7, "u v w x y z"), (None, None), (None, "lonely words only here now")])
+
+
+def test_exact_dedup_rows_without_or_with_the_same_identifier(spark):
+    pairs = [(None, "a"), (1, "a"), (2, "a"), (1, "b"), (None, "c"), (None, "c"), (3, None), (4, ""), (5, "d"), (5, "d"), (5, "e")]
+    d = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    kept = collections.Counter((r.doc_id, r.text) for r in exact_dedup.deduplicated(d, keep="max").collect())
+    assert kept == collections.Counter([(2, "a"), (1, "b"), (None, "c"), (4, ""), (5, "d"), (5, "e")])
+
+
+def test_a_unit_of_unlike_members_stays_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, size = jaccard.MEMBERS, 200
+    sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(2 * n)]
+    common = {
+        "list": [1] * 2 * n, "i": [0] * 2 * n, "j": [1] * 2 * n, "row": list(range(2 * n)), "n": [len(s) for s in sets], "component": list(range(2 * n)),
+        "side": [0] * n + [1] * n, "held": [len(s) for s in sets], "bits": [jaccard._bitmap(s, len(s)) for s in sets], "shared": [s.tobytes() for s in sets],
+    }
+    t = pa.table(common)
+    tracemalloc.start()
+    assert jaccard._spanned(t).num_rows == jaccard._screened(t).num_rows == jaccard._compared(t).num_rows == 0
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+
+
+def test_equal_parts_and_digests_tell_every_byte():
+    t = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.uint16)
+    at = lambda *x: np.array(x)
+    assert suffix_dedup.equal_parts(t, at(0, 0, 0), at(3, 6, 3), at(3, 3, 2), at(3, 3, 2)).tolist() == [False, True, True]
+
+
+def test_an_article_keeps_its_own_parts():
+    text = lambda html: html_text.main_text(html_text.parse(html))
+    for name in ("entry-header", "post-header"):
+        assert text(f'<article><div class="{name}"><h1>Title</h1></div><p>body of it</article>') == "Title\nbody of it"
+    assert text('<article><p>one<div class="related-work"><p>two</div><p id="binary-search">three<p class="alert">four</article>') == "one\ntwo\nthree\nfour"
+    assert text("<article><p>press <button>Save</button> to keep it</article>") == "press Save to keep it"
+    teaser = "<article><h3>Short</h3></article>"
+    assert text(f"<body><div><p>{'long main text ' * 20}</p></div>{teaser}</body>").startswith("long main text long")
+    for name in ("ad", "sidebar", "comments", "cookie-banner", "newsletter"):
+        assert text(f'<body><div class="x {name}">noise</div><p>words</p></body>') == "words"
+    assert text('<article role="x"><p>a</p><div id="comments"><p>c</p></div></article>') == "a"
+    deep = "<div>" * 6000 + "deep" + "</div>" * 6000
+    assert text(deep) == "deep"
+
+
+def _trees_by_brute_force(pages):
+    """The containers removed from each page, from lists of the pages' own features."""
+    seen, hosts = set(), collections.defaultdict(set)
+    values = collections.defaultdict(lambda: collections.defaultdict(set))
+    root = {}
+    for host, html in pages:
+        page = html_text.parse(html)
+        text = html_text.main_text(page)
+        hosts[host].add(text)
+        for path, (shape, blocks) in html_text._judged(page).items():
+            root[host, path] = next(n.in_root for n in page.nodes if n.path == path)
+            for at in ((host, path), path):
+                values[at]["shape", shape].add((host, text))
+                for b in blocks:
+                    values[at]["block", b].add((host, text))
+
+    def own(at):
+        n = sum(len(v) for (k, _), v in values[at].items() if k == "shape")
+        if n < 2:
+            return n, 1.0
+        blocks = [math.log(len(v)) for (k, _), v in values[at].items() if k == "block"]
+        shapes = [len(v) for (k, _), v in values[at].items() if k == "shape"]
+        content = 1 - sum(blocks) / len(blocks) / math.log(n)
+        return n, 0.8 * content + 0.2 * (1 - sum(x * math.log(x) for x in shapes) / (n * math.log(n)))
+
+    out = collections.defaultdict(set)
+    for host, path in root:
+        n, mine = own((host, path))
+        m, all_hosts = own(path)
+        drawn = (4 + n * mine) / (n + 4) <= 0.3 if root[host, path] else (16 * (m * all_hosts + 16) / (m + 16) + n * mine) / (n + 16) <= 0.7
+        if drawn and n >= 0.5 * len(hosts[host]):
+            out[host].add(path)
+    return out
+
+
+def test_site_style_trees_by_brute_force(spark):
+    pages = [(r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    page = "<body><div class=q>{2} other pages</div><div class=m><h2>T{0}</h2><p>text {0} of {1}</p></div><ul><li>same</li><li>list {1}</li></ul></body>"
+    pages += [(f"http://{h}.example/{i}", page.format(i, h, ["all", "my"][i % 2])) for h, n in (("a", 1), ("b", 2), ("c", 5), ("d", 30)) for i in range(n)] * 2
+    table = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    host = lambda u: u.split("/")[2]
+    trees = _trees_by_brute_force([(host(u), h) for u, h in pages])
+    got = {r.page_id: r.text for r in html_text.main_texts(table).collect()}
+    want = {i: html_text.main_text(html_text.parse(h), trees[host(u)]) for i, (u, h) in enumerate(pages)}
+    assert got == want
+    plain = {i: html_text.main_text(html_text.parse(h)) for i, (u, h) in enumerate(pages)}
+    changed = {host(u) for i, (u, h) in enumerate(pages) if plain[i] != want[i]}
+    assert {"c.example", "d.example"} <= changed
+
+
+def test_decisions_in_blocks(spark, monkeypatch):
+    page = "<body><div class=q>Our other pages</div><div class=z>Written here</div><div><p>text {0}</p></div></body>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(20)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "DECISIONS", 1)
+    assert {r.text for r in html_text.main_texts(pages).collect()} == {f"text {i}" for i in range(20)}
+
+
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowded_anchors_part_and_lose_no_match(spark, monkeypatch, crowd):
+    rnd = random.Random(8)
+    line = "the one line that every document of this corpus has in it somewhere, word by word."
+    words = lambda n: " ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 6))) for _ in range(n))
+    tails = [words(12) for _ in range(6)]
+    texts = [f"{words(rnd.randint(0, 25))} {line}{rnd.choice(tails)[: rnd.randint(0, 60)]} {words(rnd.randint(0, 20))}" for _ in range(60)] + ["ab" * 3000, "xab" + "ab" * 2900]
+    want = _removed_by_brute_force([(i, t.encode()) for i, t in enumerate(texts, 1)])
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    judged, split = suffix_dedup._judged, suffix_dedup._dealt_sent
+    # what runs on the workers takes the smaller limit along
+    def with_crowd(table):
+        suffix_dedup.CROWD = crowd
+        return judged(table)
+    monkeypatch.setattr(suffix_dedup, "_judged", with_crowd)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(table(spark, texts).repartition(5)).collect()}
+    assert got == want and split is suffix_dedup._dealt_sent
+
+
+CLASH = {"score": 7.0, "lang_pred": "mine", "rejected": "no", "found": "f", "best": "b", "__found": "x", "__best": "y", "n_shingles": 5, "component_id": 6, "row": 1, "digest": "d", "size": 3, "slot": 4, "law": "l", "keep_id": 9, "group_size": 8, "text_sha256": "t", "host": "h", "removed": "r", "path": "p"}
+EDGE_TEXTS = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "same text here"), (6, "same text here"), (6, "same text here"), (7, "a b c d e f g h"), (None, "a b c d e f g h"), (None, None), (8, "😀 ñandú")]
+
+
+def clashing(spark):
+    """Nulls, blanks, ties, repeated rows and identifiers, and columns with the names that operators use."""
+    names = ", ".join(f"`{k}` {'double' if isinstance(v, float) else 'long' if isinstance(v, int) else 'string'}" for k, v in CLASH.items())
+    return spark.createDataFrame([(i, t, "en", *CLASH.values()) for i, t in EDGE_TEXTS], f"doc_id long, text string, lang string, {names}").repartition(3)
+
+
+def test_edge_values_of_each_operator(spark):
+    d = clashing(spark)
+    rows_of = lambda df, *names: collections.Counter(tuple(r[n] for n in names) for r in df.collect())
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    keep = collections.defaultdict(list)
+    for i, t in EDGE_TEXTS:
+        keep[t or ""].append(i)
+    least = lambda t: max((i for i in keep[t or ""] if i is not None), default=None)
+    assert rows_of(exact_dedup.exact_duplicates(d, keep="max"), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == collections.Counter((i, least(t), len(keep[t or ""]), i == least(t), sha(t)) for i, t in EDGE_TEXTS)
+    assert rows_of(suffix_dedup.without_repeats(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == collections.Counter((i, len((t or "").encode()), 0, 0, sha(t)) for i, t in EDGE_TEXTS)
+    n = {None: 0, "": 0, " \n\t ": 0, "word": 1, "same text here": 1, "a b c d e f g h": 4, "😀 ñandú": 1}
+    first = {"same text here": 5, "a b c d e f g h": 7}
+    assert rows_of(jaccard.near_duplicates(d), "doc_id", "n_shingles", "component_id") == collections.Counter((i, n[t], first.get(t, i)) for i, t in EDGE_TEXTS)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    want = collections.Counter((i, len(ids(t)), hashlib.sha256(np.array(ids(t), "<u4").tobytes()).hexdigest(), sha(library.decode(ids(t), skip_special_tokens=False))) for i, t in EDGE_TEXTS)
+    assert rows_of(bpe.round_trip(d, public_tokenizers.path("byte_bpe_50k.json")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    told = rows_of(language_id.language_id(d), "doc_id", "lang_pred", "held_out")
+    assert told == collections.Counter((i, "en" if t and any(map(str.isalpha, t)) else "und", i is None or zlib.crc32(str(i).encode()) % 5 == 0) for i, t in EDGE_TEXTS)
+    words = lambda t: WORDS.findall((t or "").translate(LOWER))
+    assert rows_of(lm_score.language_model_scores(d), "doc_id", "n_tokens") == collections.Counter((i, len(words(t)) + 1) for i, t in EDGE_TEXTS)
+    placed = sharding.shard_documents(d, [1.0] * 3).collect()
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in placed) == collections.Counter((i, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in EDGE_TEXTS)
+    for k in range(3):
+        assert sorted(r.slot for r in placed if r.shard == k) == list(range(sum(r.shard == k for r in placed)))
+    assert rows_of(pii.pseudonymised(d, "k"), "doc_id", "text", "n_pseudonyms", "__found", "found", "score") == collections.Counter((i, t, 0, "x", "f", 7.0) for i, t in EDGE_TEXTS)
+    assert {r.score for r in sharding.assign(d, "doc_id", [1.0] * 3).select("score", "__best").collect()} == {7.0}
+    pages = d.withColumnRenamed("text", "html").withColumn("url", F.lit(None).cast("string")).withColumnRenamed("doc_id", "page_id")
+    assert rows_of(html_text.main_texts(pages), "page_id", "text", "n_chars") == collections.Counter((i, " ".join((t or "").split()), len(" ".join((t or "").split()))) for i, t in EDGE_TEXTS)
+    items = spark.createDataFrame([(1, "same text here"), (2, None), (2, ""), (3, "same text here")], "item_id long, text string")
+    found = decontamination.contaminated(d, items)
+    assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == {(5, 1, 0), (5, 3, 0), (6, 1, 0), (6, 3, 0)}
+    assert decontamination.contaminated(d, items.limit(0)).count() == 0 and decontamination.contaminated(d.limit(0), items).count() == 0
+
+
+def test_bpe_query_is_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op7_bpe_round_trip(spark, SF).collect()}
+    for i, t in docs(spark):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def _bijective(spark, maker, values):
+    frame = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    got = {r.v: r.new for r in frame.select("v", maker(F.col("v"), "key").alias("new")).collect()}
+    got = {v: n for v, n in got.items() if n is not None}
+    assert len(set(got.values())) == len(got)
+    shape = lambda x: re.sub("[0-9]", "9", x)
+    assert all(shape(v) == shape(n) for v, n in got.items())
+    return got
+
+
+def test_pseudonyms_of_each_format_are_a_permutation(spark):
+    import datetime
+
+    days = [datetime.date(2019, 1, 1) + datetime.timedelta(i) for i in range(1096)]
+    forms = [f"{d:%d/%m/%Y}" for d in days] + [f"{d:%m/%d/%Y}" for d in days] + [f"{d.day}/{d.month}/{d.year}" for d in days] + [f"{d.month}.{d.day:02}.{d.year}" for d in days] + [f"{d.day:02}/{d.month}/{d.year}" for d in days]
+    got = _bijective(spark, pii._day_date, sorted(set(forms)))
+    assert len(got) == len(set(forms))
+    rnd = random.Random(2)
+    numbers = {f"{rnd.randint(0, 999):03}-{rnd.randint(0, 999):03}-{rnd.randint(0, 9999):04}" for _ in range(3000)}
+    got = _bijective(spark, pii._phone, sorted(numbers))
+    plan = lambda x: x[0] >= "2" and x[4] >= "2"
+    assert len(got) == len(numbers) and all(plan(v) == plan(n) for v, n in got.items())
+    _bijective(spark, pii._ssn, sorted({f"{rnd.randint(1, 899):03}-{rnd.randint(1, 99):02}-{rnd.randint(1, 9999):04}" for _ in range(1000)}))
+    _bijective(spark, pii._iso_date, [str(d) for d in days])
+
+
+LONG = 1_000_000
+
+
+def test_patterns_need_no_stack_on_long_texts(spark):
+    texts = ["x@" + "a." * (LONG // 2) + "com", "x@" + "a" * LONG + ".com", "GB" + "82 WEST" * (LONG // 7), "1." * (LONG // 2), "1-" * (LONG // 2), "+1 " + "23 " * (LONG // 3), "@" * LONG, "a@b.c" * 20_000]
+    out = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "k").collect()
+    assert {r.doc_id: len(r.text) for r in out} == {i: len(t) for i, t in enumerate(texts)}
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (5, 1000, 37, 450, 0)] * 2
+    d = table(spark, texts)
+    whole = {r.doc_id: r for r in lm_score.language_model_scores(d).collect()}
+    blocks = lm_score._blocks
+    def short(batches):
+        lm_score.BLOCK_TOKENS = 40
+        try:
+            yield from blocks(batches)
+        finally:
+            lm_score.BLOCK_TOKENS = 400_000
+    monkeypatch.setattr(lm_score, "_blocks", short)
+    parts = {r.doc_id: r for r in lm_score.language_model_scores(d).collect()}
+    assert whole.keys() == parts.keys()
+    for i, r in whole.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (parts[i].n_tokens, parts[i].n_known, parts[i].train_tokens)
+        assert parts[i].base_score == pytest.approx(r.base_score) and parts[i].score == pytest.approx(r.score)
