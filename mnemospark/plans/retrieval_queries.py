@@ -145,15 +145,19 @@ def rarest_terms(spark, sf):
     return hits.select("doc_id", F.slice(ranked, 1, 3).alias("rarest"))
 
 
-@query(f"WITH {WINDOWS}, top AS (SELECT max(score) AS top FROM best), alt AS (SELECT doc_id, 0.0 AS score FROM documents WHERE contains(lower(text), 'apache') ORDER BY doc_id LIMIT 5) SELECT doc_id, score::DOUBLE AS score, 'lexical' AS engine FROM (SELECT * FROM best ORDER BY score DESC, doc_id, line LIMIT 5) WHERE (SELECT top FROM top) >= 1000 UNION ALL SELECT doc_id, score::DOUBLE, 'fallback' FROM alt WHERE coalesce((SELECT top FROM top), 0) < 1000")
+@query(f"""WITH {WINDOWS}, top AS (SELECT max(score) AS top FROM best), alt AS (SELECT doc_id, 0.0 AS score FROM documents WHERE contains(lower(text), 'apache') ORDER BY doc_id LIMIT 5), floors AS (SELECT unnest([1.0::DOUBLE, 1000.0::DOUBLE]) AS floor)
+SELECT floor, doc_id, score::DOUBLE AS score, 'lexical' AS engine FROM floors, (SELECT * FROM best ORDER BY score DESC, doc_id, line LIMIT 5) WHERE (SELECT top FROM top) >= floor
+UNION ALL SELECT floor, doc_id, score::DOUBLE, 'fallback' FROM floors, alt WHERE coalesce((SELECT top FROM top) < floor, TRUE)""")
 def auto_cascade(spark, sf):
-    """Lexical hits, unless the best is below the floor: then the fallback's."""
-    hits = lexical.search(_docs(spark, sf), PROMPT, limit=5, key="doc_id").select("doc_id", "score")
-    top = hits.agg(F.max("score")).first()[0]
-    if top is not None and top >= 1000:
-        return hits.withColumn("engine", F.lit("lexical"))
-    other = _docs(spark, sf).where(F.contains(F.lower("text"), F.lit("apache"))).orderBy("doc_id").limit(5)
-    return other.select("doc_id", F.lit(0.0).alias("score"), F.lit("fallback").alias("engine"))
+    """Lexical hits, unless the best is below the floor: then the fallback's. One floor that the hits reach, one that none does."""
+    hits = [(r["doc_id"], r["score"]) for r in lexical.search(_docs(spark, sf), PROMPT, limit=5, key="doc_id").select("doc_id", "score").collect()]
+    other = _docs(spark, sf).where(F.contains(F.lower("text"), F.lit("apache"))).orderBy("doc_id").limit(5).select("doc_id", F.lit(0.0).alias("score"), F.lit("fallback").alias("engine"))
+    out = None
+    for floor in (1.0, 1000.0):
+        found = spark.createDataFrame([(*h, "lexical") for h in hits], "doc_id long, score double, engine string") if hits and hits[0][1] >= floor else other
+        found = found.withColumn("floor", F.lit(floor))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 _WORDS = "regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\\p{L}\\p{N}]+')"
