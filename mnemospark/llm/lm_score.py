@@ -45,9 +45,9 @@ LEAST = 2
 DIVERGENCE = 12.0
 SHARD_ENTRIES = 600_000
 #: Text bytes that are read for a block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Tokens of one block; a longer text goes in parts.
-BLOCK_TOKENS = 800_000
+BLOCK_TOKENS = 400_000
 #: Bytes of a sequence's key beside its shard.
 KEY_BYTES = 6
 #: Tokens for each shard of sequences.
@@ -253,6 +253,7 @@ class Walk:
         self.h, self.ends = block.known[self.tokens], self.tokens == 0
         self.learned = np.concatenate(([False], block.learned_here()))
         self.count = None if words is None else np.where(words >= LEAST, words, 0)[self.tokens]
+        self.codes, self.keys = self.tokens, block.known  # of the sequence that ends at each token: its number among the keys
         self.logs = None if root is None else root[self.tokens]
 
     def step(self) -> np.ndarray:
@@ -263,7 +264,10 @@ class Walk:
         if self.n > 2:
             whole[1:] &= (self.count[1:] > 0) & (self.count[:-1] > 0) & ~self.ends[:-1]  # a beginning may only come first
         self.at = np.flatnonzero(whole)
+        self.shorter = self.codes, self.keys
         self.keys, self.which = _distinct(sequence_keys(self.h, self.at, self.n))
+        self.codes = np.zeros(len(self.tokens), dtype=np.int64)
+        self.codes[self.at] = self.which
         self.first = _firsts(self.which, len(self.keys))
         return self.keys
 
@@ -284,21 +288,28 @@ class Walk:
         if self.n > 2:
             there[1:] &= ~self.ends[:-1]
         self.behind = np.flatnonzero(there)
-        self.names, self.name = _distinct(sequence_keys(self.h, self.behind - 1, self.n - 1))
-        self.total = self.before[self.behind[_firsts(self.name, len(self.names))] - 1]
+        codes, keys = self.shorter
+        own = codes[self.behind - 1]
+        used = np.zeros(len(keys), dtype=bool)
+        used[own] = True
+        self.names, self.name = keys[used], (np.cumsum(used) - 1)[own]
+        self.name_at = np.zeros(len(self.tokens), dtype=np.int64)
+        self.name_at[self.behind] = self.name
+        self.total = np.zeros(len(self.names), dtype=np.int64)
+        self.total[self.name] = self.before[self.behind - 1]
         return self.names
 
     def silent(self) -> np.ndarray:
         """Whether each context is one for which this block speaks for no sequence."""
         spoken = np.zeros(len(self.names), dtype=bool)
-        spoken[self.name[np.searchsorted(self.behind, self.at[self.first[self.speaks & (self.found > 0)]])]] = True
+        spoken[self.name_at[self.at[self.first[self.speaks & (self.found > 0)]]]] = True
         return ~spoken
 
     def sums(self) -> tuple[np.ndarray, ...]:
         """Of each context the sums over the found sequences that this block speaks for, as ``retained`` has them."""
         speaks = self.speaks & (self.found > 0)
         at, n, size = self.at[self.first[speaks]], self.found[speaks], len(self.names)
-        of = self.name[np.searchsorted(self.behind, at)]
+        of = self.name_at[at]
         low = self.logs[at]
         return _by(of, size, None), _by(of, size, n), _by(of, size, np.exp(low)), _by(of, size, n * (np.log(np.maximum(n, 1)) - low))
 
