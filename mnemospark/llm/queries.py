@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup
+from . import bpe, decontamination, exact_dedup, fill_middle, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup
 
 #: A deployment passes its own secret.
 PSEUDONYM_KEY = "public-example-key"
@@ -67,6 +67,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_docs(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text rearranged for filling in its middle, and put back together."""
+    out = fill_middle.transformed(_docs(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored()).alias("restored_sha256"))
+
+
 def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2's rows must add up to: documents, bytes, slots that are missing or double, moves to another old shard."""
     rows = op2_rendezvous_sharding(spark, sf_dir)
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "sharding_laws": sharding_laws,
     "lm_base_scores": lm_base_scores,
 }
@@ -132,6 +140,15 @@ ORACLES = {
         r AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM r JOIN both_ways b ON b.u = r.v)
         SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
     """,
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        k AS (SELECT doc_id, t, length(t)::BIGINT AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS h FROM d),
+        c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """,
     "sharding_laws": "SELECT count(*) AS docs, sum(coalesce(strlen(text), 0) + 16)::BIGINT AS bytes, 0::BIGINT AS wrong, 0::BIGINT AS gaps FROM documents",
     # the fold is crc32(doc_id as text) mod 5, bit by bit
     "lm_base_scores": f"""
