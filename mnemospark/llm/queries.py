@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, fill_middle, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup
+from . import bpe, decontamination, exact_dedup, fill_middle, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup, vector_codes
 
 #: A deployment passes its own secret.
 PSEUDONYM_KEY = "public-example-key"
@@ -67,6 +67,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_docs(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as 16 codebook indexes, with what that loses."""
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text rearranged for filling in its middle, and put back together."""
     out = fill_middle.transformed(_docs(spark, sf_dir))
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
     "op12_fill_in_middle": op12_fill_in_middle,
     "sharding_laws": sharding_laws,
     "lm_base_scores": lm_base_scores,
@@ -109,6 +115,26 @@ QUERIES = {
 #: A text's words, A-Z in lower case.
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """op11 as a whole: each round is one assignment of all parts (a) and one new codebook (c)."""
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, label, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS x FROM v, (SELECT unnest(range(0, {parts})) AS part))",
+        f"c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT vec_id, label, part, x, least_of % {entries} AS entry, least_of // {entries} AS d FROM (SELECT vec_id, label, part, x, min({entries} * list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + entry) AS least_of FROM p JOIN c{k} USING (part) GROUP BY ALL))")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT part, entry, i, floor(sum(x[i]) / count(*)::DOUBLE)::BIGINT AS m FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, entry, i)")
+            steps.append(f"c{k + 1} AS (SELECT part, entry, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN (SELECT part, entry, list(m ORDER BY i) AS c FROM m{k} GROUP BY part, entry) n USING (part, entry))")
+    return f"""WITH {", ".join(steps)},
+        s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+        o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, s"""
+
+
 ORACLES = {
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -140,6 +166,7 @@ ORACLES = {
         r AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM r JOIN both_ways b ON b.u = r.v)
         SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
     """,
+    "op11_vector_codes": _codes_sql(),
     "op12_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
         k AS (SELECT doc_id, t, length(t)::BIGINT AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS h FROM d),
