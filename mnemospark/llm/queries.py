@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, fill_middle, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup, vector_codes
+from . import bpe, decontamination, exact_dedup, fill_middle, html_text, jaccard, language_id, lm_score, pii, sharding, suffix_dedup, topk_index, vector_codes
 
 #: A deployment passes its own secret.
 PSEUDONYM_KEY = "public-example-key"
@@ -79,6 +79,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored()).alias("restored_sha256"))
 
 
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every embedding whose id 100 divides, among all others."""
+    return topk_index.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2's rows must add up to: documents, bytes, slots that are missing or double, moves to another old shard."""
     rows = op2_rendezvous_sharding(spark, sf_dir)
@@ -108,6 +113,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_vector_codes": op11_vector_codes,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_topk_search": op13_topk_search,
     "sharding_laws": sharding_laws,
     "lm_base_scores": lm_base_scores,
 }
@@ -176,6 +182,11 @@ ORACLES = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
         sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
     """,
+    "op13_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT q.vec_id AS query_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id))::INTEGER AS rank, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10
+    """,
     "sharding_laws": "SELECT count(*) AS docs, sum(coalesce(strlen(text), 0) + 16)::BIGINT AS bytes, 0::BIGINT AS wrong, 0::BIGINT AS gaps FROM documents",
     # the fold is crc32(doc_id as text) mod 5, bit by bit
     "lm_base_scores": f"""
