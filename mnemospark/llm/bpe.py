@@ -197,16 +197,15 @@ class Codec:
 
     def _open(self, buf: str, text: str, at: int) -> Iterator[list[bytes]]:
         """Stream the pre-token that buf begins with to its end; returns what remains and how far text was read."""
-        first = buf[1] if buf[0] == " " and not buf[1].isspace() else buf[0]
-        own = next(c for c in self.of_class if c.fullmatch(first))
+        led = int(buf[0] == " " and not self.of_class[2].fullmatch(buf[1]))  # a blank belongs to the word behind it
+        own = next(c for c in self.of_class if c.fullmatch(buf[led]))
         space = own is self.of_class[2]
         state = {"buf": buf, "at": at}
 
         def chunks():
-            lead = "" if first is buf[0] else " "
-            state["buf"] = buf[len(lead) :]
-            if lead:
-                yield lead.encode()
+            state["buf"] = buf[led:]
+            if led:
+                yield b" "
             while True:
                 b = state["buf"]
                 n = own.match(b).end()
