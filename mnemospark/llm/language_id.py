@@ -5,8 +5,9 @@ inverse document frequency and normalised. For each language, spherical k-means
 labelled texts gives CLUSTERS centroids. A text gets the language of the centroid with the greatest cosine;
 one whose cosine is below what training texts of its length reach is marked as rejected.
 
-Bound: about SAMPLE texts for each language, drawn by a hash of the key, are fitted on; every label is learned. The
-model is CLUSTERS x DIMS numbers for each label, whatever the rows.
+Bound: at most SAMPLE different texts for each language are fitted on, those of the smallest hashes of key and text, and
+the MAX_LABELS labels of most drawn rows are learned. The model has CLUSTERS x DIMS 4-byte numbers for each label, so it
+has 200 MB at most, whatever the rows.
 
 Defined results: a null text, an empty one and one without letters give ``und``, score 0, rejected; so does
 every text where nothing was learned; ties go to the first language by name; texts are read whole; repeated
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,7 @@ from .common import discard, written
 
 DIMS = 1 << 14
 SAMPLE = 600
+MAX_LABELS = 1000
 #: Parts in which the sample comes to the driver.
 SAMPLE_PARTS = 8
 CLUSTERS = 3
@@ -153,13 +155,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Fit on a bounded sample of the rows that the condition train allows (all, if None)."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if train is None else rows.where(train)
-    sizes = rows.groupBy(F.col(lang).alias("l")).count().collect()
-    if not sizes:
+    hashed = rows.select(F.col(lang).alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
+    # of each label and task only the smallest hashes are shuffled
+    least = hashed.select("l", "h").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= SAMPLE)
+    limits = least.groupBy("l").agg(F.max("h").alias("upto"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LABELS).select("l", "upto").collect()
+    if not limits:
         return fit_texts([])
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, SAMPLE / r["count"]))]), F.col(lang))
-    some = rows.where(draw < share).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    drawn = written(some.repartition(SAMPLE_PARTS, F.xxhash64("t")), "language-sample")
+    asked = docs.sparkSession.createDataFrame([tuple(r) for r in limits], T.StructType().add("l", docs.schema[lang].dataType).add("upto", "long"))
+    some = hashed.join(F.broadcast(asked), "l").where("h <= upto").dropDuplicates(["l", "h"])
+    drawn = written(some.select("l", "t", "h").repartition(SAMPLE_PARTS, F.xxhash64("t")).sortWithinPartitions("l", "h"), "language-sample")
     model = fit_texts((r["l"], r["t"]) for r in drawn.toLocalIterator())  # a part's texts at a time
     discard(drawn)
     return model
@@ -184,7 +188,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs whose language the model does not reject, with all their columns as they are."""
+    """The rows of docs whose language the model does not reject, with all their columns as they are. A model that
+    learned nothing rejects nothing."""
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
