@@ -14,7 +14,7 @@ from .config import RRF_OFFSET, EngineConfig
 from .functions import text as T
 from .functions.python_text import bounded, excerpt
 from .operators import events as E
-from .operators import lexical, vector
+from .operators import lexical, segments, vector
 
 
 # What is no prompt, the verdicts on a hit, the note of a prompt that found nothing.
@@ -43,15 +43,19 @@ def _slots(lexical_hits: list[dict], vector_hits: list[dict], limit: int) -> lis
 class Engine:
     """Retrieval over pages (source, project, kind, text) in a scope that the caller has filtered."""
 
-    def __init__(self, pages: DataFrame, config: EngineConfig = EngineConfig()):
-        self.pages, self.config, self.spark = pages, config, pages.sparkSession
+    def __init__(self, pages: DataFrame, config: EngineConfig = EngineConfig(), index: segments.Index | None = None):
+        """index: of these pages by source, with the same stop words; without one, a search reads the texts."""
+        self.pages, self.config, self.spark, self.index = pages, config, pages.sparkSession, index
 
     def search(self, query: str, limit: int = 5, min_terms: int = 1) -> list[dict]:
         """The best hits with their text, read and redacted for these alone."""
         if not 1 <= limit <= 50:
             raise ValueError("limit is 1 to 50")
         kind = "kind" if "kind" in self.pages.columns else None
-        hits = lexical.search(self.pages, query, limit, min_terms, kind=kind, config=self.config)
+        if self.index is not None:
+            hits = self.index.search(query, limit, min_terms).withColumnRenamed("page", "source")
+        else:
+            hits = lexical.search(self.pages, query, limit, min_terms, kind=kind, config=self.config)
         revision = T.digest(F.col("text"))
         lines = F.slice(T.lines(F.col("text")), F.col("line").cast("int"), (F.col("end_line") - F.col("line") + 1).cast("int"))
         shown = hits.join(self.pages.select("source", "text"), "source").select(

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import nearest_rank
+
 #: A usage event, whatever its kind; fields that a kind lacks are null.
 SCHEMA = """at string, event string, request_id string, session string, query_hash string, scope string, collection string, engine string, origin string,
 elapsed_ms long, injected_bytes long, result_id string, outcome string, automatic boolean, file_path string, refs array<string>, hit_ids array<string>,
 hits array<struct<id: string, source: string, line: long, score: double, matched_terms: array<string>, own: boolean, blocks: array<string>, revision: string>>"""
 
 
-def nearest_rank(df: DataFrame, groups: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """For each group the values at 0-based place min(n - 1, int(n * q)) of the sorted values.
-
-    Equal values are counted before they are ordered, so a group's window holds its distinct values.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*groups)
-    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counted.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(w))
-    at = lambda q: F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.lit(q)))
-    return placed.groupBy(*groups).agg(*[F.min(F.when(F.col("__upto") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()])
-
-
 def recall_stats(events: DataFrame, since: str) -> DataFrame:
     """Recalls since then, those that injected a hit, their rate, and latencies at the median and 95 percent."""
     r = events.where((F.col("event") == "recall") & (F.col("at") >= since))

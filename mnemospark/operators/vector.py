@@ -72,59 +72,3 @@ def padded_batches(texts: DataFrame, key: str, length: str, job: str, rows: int
         return out, (batch, size)
 
     return greedy.fold(texts, job, [length, key], length, group, "batch long").select(job, key, "batch")
-
-
-def search_blocks(queries: DataFrame, vectors: DataFrame, key: str, embedding: str = "embedding", limit: int = 10, block: int = 256) -> DataFrame:
-    """query, key, similarity and rank: the nearest ``limit`` other rows of each query, exactly.
-
-    Queries go out in blocks of a stated number. Each task compares a block with its own rows by a matrix product and
-    keeps the best of each query, so what is shuffled is tasks x queries x limit rows, not pairs.
-    """
-    from functools import reduce
-
-    import numpy as np
-    import pyarrow as pa
-
-    asked = queries.select(F.col(key).cast("long").alias("q"), F.col(embedding).alias("e"))
-    blocks, held = [], []
-    for r in asked.toLocalIterator():
-        held.append((r["q"], r["e"]))
-        if len(held) == block:
-            blocks.append(held)
-            held = []
-    blocks += [held] if held else []
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).alias("e"))
-
-    def best(shared):
-        ids = np.array([q for q, _ in shared.value], dtype=np.int64)
-        asked = _unit(np.array([e for _, e in shared.value], dtype=np.float64))
-
-        def nearest(batches):
-            top_s, top_k = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keys = b.column(0).to_numpy()
-                own = _unit(np.array(b.column(1).to_pylist(), dtype=np.float64))
-                s = np.round(asked @ own.T, 6)
-                s[ids[:, None] == keys[None, :]] = -np.inf
-                top_s, top_k = np.concatenate((top_s, s), axis=1), np.concatenate((top_k, np.broadcast_to(keys, s.shape)), axis=1)
-                order = np.lexsort((top_k, -top_s), axis=1)[:, :limit]
-                top_s, top_k = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_k, order, 1)
-            q, at = np.nonzero(np.isfinite(top_s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(top_k[q, at]), pa.array(top_s[q, at])], names=["query", "key", "similarity"])
-
-        return nearest
-
-    context = vectors.sparkSession.sparkContext
-    parts = [rows.mapInArrow(best(context.broadcast(x)), "query long, key long, similarity double") for x in blocks]
-    if not parts:
-        return rows.select(F.col("key").alias("query"), "key", F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
-def _unit(x):
-    import numpy as np
-
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)

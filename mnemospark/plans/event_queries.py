@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import quantiles as Q
 from ..operators import state
 from .base import Derived, query, shared, table
 
@@ -109,7 +110,15 @@ def latency_percentiles(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type")
 def interpolated_median(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    got = Q.interpolated(table(spark, sf, "events"), ["event_type"], "value", {"median": 0.5})
+    return got.select("event_type", F.round("median", 6).alias("median"))
+
+
+@query("SELECT round(quantile_cont(l_extendedprice, 0.01), 6) AS p1, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem")
+def price_quantiles(spark, sf):
+    """One group of all rows, as at any size above quantiles.FEW: counted by cells, never ordered in one task."""
+    got = Q.interpolated(table(spark, sf, "lineitem"), [], "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p99": 0.99}, few=1000)
+    return got.select(*[F.round(c, 6).alias(c) for c in ("p1", "p50", "p99")])
 
 
 @query(_named(_SQL + " SELECT (SELECT count(DISTINCT request_id) FROM log WHERE event = 'search') AS searches, count(DISTINCT h.request_id) AS with_open FROM hits h WHERE EXISTS (SELECT 1 FROM log o WHERE o.event = 'open' AND o.request_id = h.request_id AND o.result_id = h.id)"))

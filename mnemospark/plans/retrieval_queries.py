@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..operators import bm25, lexical, postings, vector
+from ..operators import bm25, cells, lexical, segments, vector
 from ..session import shared_folder
 from .base import Derived, Fixture, query, shared, table
 from .text_queries import TOKENS
@@ -35,44 +35,79 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
-@query(f"WITH {WINDOWS} SELECT doc_id, line, end_line, score, matched_terms FROM best ORDER BY score DESC, doc_id, line LIMIT 20")
-def lexical_search(spark, sf):
-    return lexical.search(_docs(spark, sf), PROMPT, limit=20, key="doc_id")
+_INDEXES: dict[tuple[str, str], tuple[segments.Index, tuple]] = {}
+
 
+def _files(spark, path: str) -> tuple:
+    """Names, lengths and times of a table's files: whether the table is still what an index has read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found or ()))
 
-_INDEXES: dict[tuple[str, str], str] = {}
 
+def _index(spark, sf) -> segments.Index:
+    """The documents' index in the shared folder: built by the first query of an application that asks for it, and
+    refreshed if the table's files have changed since."""
+    key, files = (spark.sparkContext.applicationId, sf), _files(spark, f"{sf}/documents.parquet")
+    index, seen = _INDEXES.get(key) or (segments.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"), None)
+    if seen != files:
+        index.refresh(_docs(spark, sf), "doc_id", group="source")
+        _INDEXES[key] = index, files
+    return index
 
-def _index(spark, sf):
-    """The documents' index in the shared folder: built by the first query of an application that asks for it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        postings.write(*postings.build(_docs(spark, sf), "doc_id"), folder)
-        _INDEXES[key] = folder
-    return postings.read(spark, _INDEXES[key])
 
+_BEST = f"WITH {WINDOWS} SELECT doc_id, line, end_line, score, matched_terms FROM best ORDER BY score DESC, doc_id, line LIMIT 20"
 
-@query(f"WITH {WINDOWS} SELECT doc_id, line, end_line, score, matched_terms FROM best ORDER BY score DESC, doc_id, line LIMIT 20")
+
+@query(_BEST)
+def lexical_search(spark, sf):
+    """From the index: its best blocks, then the pages that can be among the best; no text is read."""
+    return _index(spark, sf).search(PROMPT, 20).withColumnRenamed("page", "doc_id")
+
+
+@query(_BEST)
 def indexed_search(spark, sf):
-    """The same search from persisted postings."""
-    return postings.search(_index(spark, sf), PROMPT, limit=20).withColumnRenamed("page", "doc_id")
+    """The same rows from every posting of the index."""
+    return lexical.best_per_source(_index(spark, sf).scored_windows(PROMPT), "page", 20).withColumnRenamed("page", "doc_id")
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format(x='text')})) AS term FROM documents WHERE trim(text) <> '') SELECT term, count(*) AS pages FROM t GROUP BY term")
 def index_terms(spark, sf):
-    """How many pages hold each term, from the persisted postings."""
-    return _index(spark, sf)[0].groupBy("term").agg(F.count(F.lit(1)).alias("pages"))
+    """How many pages hold each term, from the index."""
+    return _index(spark, sf).terms().withColumnRenamed("df", "pages")
+
+
+def _earlier(d):
+    """The documents in other revisions: some changed, some not there yet."""
+    return d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x "), "text")).otherwise(F.col("text")))
 
 
-@query(f"""WITH known AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' || text ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0 AND trim(text) <> ''), seen AS (SELECT doc_id, text AS t FROM documents WHERE doc_id % 11 <> 0 AND trim(text) <> '')
-SELECT count(*) FILTER (WHERE s.t IS NOT NULL) AS indexed, count(*) FILTER (WHERE s.t IS NOT NULL AND s.t IS DISTINCT FROM k.t) AS changed, count(*) FILTER (WHERE s.t IS NULL) AS removed FROM known k FULL JOIN seen s USING (doc_id)""")
+@query("""WITH known AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x ' || text ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0), seen AS (SELECT doc_id, text AS t FROM documents WHERE doc_id % 11 <> 0)
+SELECT count(*) FILTER (WHERE s.doc_id IS NOT NULL) AS indexed, count(*) FILTER (WHERE s.doc_id IS NOT NULL AND (k.doc_id IS NULL OR s.t IS DISTINCT FROM k.t)) AS changed, count(*) FILTER (WHERE s.doc_id IS NULL) AS removed FROM known k FULL JOIN seen s USING (doc_id)""")
 def index_refresh(spark, sf):
     """An index of other revisions is brought up to date; the counts of what changed."""
-    d, folder = _docs(spark, sf), f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
-    known = d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text")))
-    postings.write(*postings.build(known, "doc_id"), f"{folder}-a")
-    return postings.refresh(spark, d.where("doc_id % 11 <> 0"), f"{folder}-a", f"{folder}-b", "doc_id")
+    d, index = _docs(spark, sf), segments.Index(spark, f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}")
+    index.refresh(_earlier(d), "doc_id")
+    return index.refresh(d.where("doc_id % 11 <> 0"), "doc_id")
+
+
+@query(_BEST)
+def refreshed_search(spark, sf):
+    """Earlier revisions are indexed, brought up to the whole table in a second segment, and searched together."""
+    d, index = _docs(spark, sf), segments.Index(spark, f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}")
+    index.refresh(_earlier(d), "doc_id")
+    index.refresh(d, "doc_id")
+    return index.search(PROMPT, 20).withColumnRenamed("page", "doc_id")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format(x='text')})) AS term FROM documents WHERE trim(text) <> '') SELECT term, count(*) AS pages FROM t GROUP BY term")
+def merged_terms(spark, sf):
+    """The frequencies of an index whose two segments were merged into one: those of the table as it is."""
+    d, index = _docs(spark, sf), segments.Index(spark, f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}")
+    index.refresh(_earlier(d), "doc_id")
+    index.refresh(d, "doc_id")
+    index.merge(like=1_000_000)
+    return index.terms().withColumnRenamed("df", "pages")
 
 
 @query(f"WITH l AS ({_LINES}), p AS (SELECT doc_id, unnest(range(0, len(ls))) AS line FROM l), k AS (SELECT doc_id, line, unnest(range(0, line // 24 + 1)) AS k FROM p) SELECT doc_id, k, line FROM k WHERE line >= 24 * k AND line < 24 * k + 32")
@@ -105,7 +140,7 @@ def term_idf(spark, sf):
 
 @query(f"WITH {WINDOWS}, two AS (SELECT * FROM scored WHERE len(matched_terms) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) = 1) SELECT doc_id, line, end_line, score, matched_terms FROM two ORDER BY score DESC, doc_id, line LIMIT 10")
 def min_terms_before_limit(spark, sf):
-    return lexical.search(_docs(spark, sf), PROMPT, limit=10, min_terms=2, key="doc_id")
+    return _index(spark, sf).search(PROMPT, 10, min_terms=2).withColumnRenamed("page", "doc_id")
 
 
 @query(f"WITH {WINDOWS} SELECT doc_id, line, end_line, score, matched_terms FROM best")
@@ -168,12 +203,40 @@ s AS (SELECT doc_id, source, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1.0)
 """
 
 
+_TERMS = ["license", "apache", "onre"]
+
+
 @query(FTS + "SELECT source, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1")
 def fts_bm25(spark, sf):
-    hits = bm25.bm25(_docs(spark, sf), ["license", "apache", "onre"], "doc_id", "text", ["source"])
+    """The best page of every source, from the postings of the words."""
+    return _index(spark, sf).bm25(_TERMS, by_group=True).select(F.col("grp").alias("source"), F.col("page").alias("doc_id"), "score")
+
+
+@query(FTS + "SELECT source, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1 ORDER BY score DESC, source LIMIT 5")
+def fts_sources(spark, sf):
+    """The five best sources with their best pages, from the blocks that can hold them."""
+    return _index(spark, sf).bm25(_TERMS, 5, by_group=True).select(F.col("grp").alias("source"), F.col("page").alias("doc_id"), "score")
+
+
+@query(FTS + "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def fts_topk(spark, sf):
+    """The twenty best pages, from the blocks that can hold them."""
+    return _index(spark, sf).bm25(_TERMS, 20).select(F.col("page").alias("doc_id"), "score")
+
+
+@query(FTS + "SELECT source, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1")
+def fts_scan(spark, sf):
+    """The same as fts_bm25 of texts that no index has."""
+    hits = bm25.bm25(_docs(spark, sf), _TERMS, "doc_id", "text", ["source"])
     return bm25.best_chunk_per_source(hits, "source", chunk="doc_id").select("source", "doc_id", "score")
 
 
+@query(_BEST)
+def lexical_scan(spark, sf):
+    """The same as lexical_search of texts that no index has."""
+    return lexical.search(_docs(spark, sf), PROMPT, limit=20, key="doc_id")
+
+
 @query(f"SELECT term, doc_id, tf, n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) GROUP BY ALL".replace("term, doc_id, tf, n", "term, doc_id, count(*) AS tf, n").replace("GROUP BY ALL", "GROUP BY term, doc_id, n"))
 def fts_postings(spark, sf):
     return bm25.postings(_docs(spark, sf), "doc_id", "text")
@@ -280,9 +343,38 @@ def vector_topk(spark, sf):
 @query(f"""SELECT x.vec_id AS query, y.vec_id, {_COS.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')} AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0
 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY similarity DESC, y.vec_id) <= 10""")
 def cosine_pairs(spark, sf):
-    """The stated query set (ids divisible by 100) against all rows: the ten nearest of each, whatever their label."""
+    """The stated query set (ids divisible by 100) against all rows, from cells: the ten nearest of each."""
     e = table(spark, sf, "embeddings")
-    return vector.search_blocks(e.where("vec_id % 100 = 0"), e, "vec_id").select("query", F.col("key").alias("vec_id"), "similarity")
+    found = cells.search(cells.build(e, "vec_id"), e.where("vec_id % 100 = 0"), "vec_id")
+    return found.select("query", F.col("key").alias("vec_id"), "similarity")
+
+
+_PAIR = _COS.replace("a::", "x.embedding::").replace("b::", "y.embedding::")
+
+
+@query(f"""SELECT x.vec_id AS query, y.vec_id, {_PAIR} AS similarity, (row_number() OVER (PARTITION BY x.vec_id ORDER BY {_PAIR} DESC, y.vec_id))::INTEGER AS rank
+FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id AND y.label > 2 WHERE x.vec_id % 100 = 0 QUALIFY rank <= 5""")
+def allowed_neighbours(spark, sf):
+    """The same queries against the rows that an allow-list leaves, which applies before anything is ranked."""
+    e = table(spark, sf, "embeddings")
+    found = cells.search(cells.build(e, "vec_id"), e.where("vec_id % 100 = 0"), "vec_id", k=5, allowed=e.where("label > 2").select("vec_id"))
+    return found.select("query", F.col("key").alias("vec_id"), "similarity", "rank")
+
+
+VECTOR_CHUNKS = shared("vector_chunks", "embeddings", vec_id="vec_id", embedding="embedding", label="label", source="'p' || vec_id % 97", line="CAST(floor(vec_id / 97) AS BIGINT)", revision="'r' || vec_id % 4")
+VECTOR_PAGES = shared("vector_pages", "(SELECT DISTINCT vec_id % 97 AS m FROM embeddings)", source="'p' || m", revision="'r' || m % 4")
+
+
+@query(f"""WITH {VECTOR_CHUNKS.sql}, {VECTOR_PAGES.sql}, s AS (SELECT c.vec_id, c.source, c.line, {_COS.replace('a::', 'c.embedding::').replace('b::', '(' + _QUERY0 + ')::')} AS similarity FROM vector_chunks c JOIN vector_pages p ON c.source = p.source AND c.revision = p.revision WHERE label <> 3),
+d AS (SELECT * FROM s ORDER BY similarity DESC, vec_id LIMIT 100), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, vec_id) = 1)
+SELECT vec_id, source, line, similarity, (row_number() OVER (ORDER BY similarity DESC, vec_id) - 1)::INTEGER AS rank, round(1 / (60.0::DOUBLE + row_number() OVER (ORDER BY similarity DESC, vec_id) - 1), 5) AS score FROM b ORDER BY similarity DESC, vec_id LIMIT 10""")
+def vector_hits(spark, sf):
+    """The best chunks of ten sources for one query: of the allowed collection and of their pages' present revision."""
+    chunks = VECTOR_CHUNKS.df(spark, sf)
+    pages = chunks.select("source").distinct().withColumn("revision", F.concat(F.lit("r"), (F.substring("source", 2, 9).cast("long") % 4).cast("string")))
+    index = cells.build(chunks, "vec_id", keep=("source", "line"))
+    hits = cells.source_hits(index, _query0(spark, sf), 10, cells.fresh(chunks.where("label <> 3"), pages).select("vec_id"))
+    return hits.withColumnRenamed("key", "vec_id")
 
 
 _LEGS = f"""WITH q AS (SELECT vec_id, {_COS.replace('a::', 'embedding::').replace('b::', '(' + _QUERY0 + ')::')} AS s FROM embeddings),

@@ -167,12 +167,12 @@ def test_similar_names_are_all_pairs(spark):
 def test_nearest_rows_of_the_query_set_by_brute_force(spark):
     import numpy as np
 
-    from mnemospark.operators import vector
+    from mnemospark.operators import cells
 
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(450)] + [(500, [0.0] * 4)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
-    got = {(r["query"], r["rank"]): (r["key"], r["similarity"]) for r in vector.search_blocks(e.where("vec_id % 100 = 0"), e, "vec_id", limit=7, block=2).collect()}
+    got = {(r["query"], r["rank"]): (r["key"], r["similarity"]) for r in cells.search(cells.build(e, "vec_id"), e.where("vec_id % 100 = 0"), "vec_id", k=7).collect()}
     unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
     for q, v in rows:
         if q % 100 == 0:
@@ -221,24 +221,6 @@ def test_section_chunks_cover_all_documents(spark):
         assert all(i in covered.get(r.doc_id, ()) for i, x in enumerate(lines, 1) if x.strip() and not x.startswith(("#", "---"))), r.doc_id
 
 
-def test_a_persisted_index_finds_what_a_scan_finds(spark, tmp_path):
-    from mnemospark.operators import postings
-
-    pages = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("source"), "text")
-    known = pages.where("source % 3 <> 0").withColumn("text", F.when(F.col("source") % 5 == 0, F.concat(F.lit("apache "), "text")).otherwise(F.col("text")))
-    first, second = f"{tmp_path}/a", f"{tmp_path}/b"
-    postings.refresh(spark, known, f"{tmp_path}/none", first)
-    counts = postings.refresh(spark, pages, first, second).first()
-    assert counts.changed > 0 and counts.indexed == pages.where("trim(text) <> ''").count()
-    query = "license version onre thble apache"
-    plain = lambda df: sorted((r[0], r.line, r.end_line, round(r.score, 3), tuple(r.matched_terms)) for r in df.collect())
-    index = postings.read(spark, second)
-    assert plain(postings.scored_windows(index, query)) == plain(lexical.scored_windows(pages, query))
-    scope = pages.where("source < 60")
-    assert plain(postings.search(index, query, 5, 2, scope=scope.select(F.col("source").alias("page")))) == plain(lexical.search(scope, query, 5, 2))
-    assert postings.search(index, "the of and").count() == 0
-
-
 def test_capture_takes_appended_lines_of_a_growing_file(spark, tmp_path):
     from mnemospark.sources import capture
 
