@@ -37,6 +37,31 @@ def archive_chain(pages: DataFrame, edges: DataFrame, start: str) -> DataFrame:
     return reachable(edges, root).where(F.col("node") != start)
 
 
+def chain_ends(links: DataFrame) -> DataFrame:
+    """node, last, hops and cyclic of every node of links (node, next): the end of its chain, in one hop from now on,
+    and how many hops it took. A node on a cycle, or before one, has neither and is cyclic. Of several links of a node
+    the smallest counts; null ends are no links.
+
+    Pointer jumping: each round a node takes over where its next one has got to, so a chain of n links takes log2(n)
+    rounds, and what is left after as many is cyclic. Nodes that are at their end are not joined again; rounds are
+    checkpointed.
+    """
+    checkpoint_folder(links.sparkSession)
+    one = links.where("node is not null and next is not null").groupBy("node").agg(F.min("next").alias("to"))
+    nodes = one.select(F.col("node").alias("there"))
+    step = one.join(nodes, F.col("to") == F.col("there"), "left").select("node", "to", F.lit(1).cast("long").alias("hops"), F.col("there").isNull().alias("done")).checkpoint()
+    settled, rounds = [step.where("done")], max(1, step.count()).bit_length() + 1
+    while rounds and not step.where("not done").isEmpty():
+        ahead = reduce(DataFrame.unionByName, [*settled, step.where("not done")]).select(F.col("node").alias("via"), F.col("to").alias("end"), F.col("hops").alias("more"), F.col("done").alias("ended"))
+        open_ = step.where("not done")
+        step = open_.join(ahead, F.col("to") == F.col("via")).select("node", F.col("end").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("done")).checkpoint()
+        settled.append(step.where("done"))
+        rounds -= 1
+    found = reduce(DataFrame.unionByName, settled).select("node", F.col("to").alias("last"), "hops", F.lit(False).alias("cyclic"))
+    kind = links.schema["next"].dataType
+    return found.unionByName(step.where("not done").select("node", F.lit(None).cast(kind).alias("last"), F.lit(None).cast("long").alias("hops"), F.lit(True).alias("cyclic")))
+
+
 def nearest_ancestor(paths: DataFrame, holders: DataFrame) -> DataFrame:
     """path and the nearest directory at or above it that is among the holders (dir)."""
     parts = F.split("path", "/")

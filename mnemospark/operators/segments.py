@@ -4,8 +4,8 @@ A refresh writes one segment with the entries of the added and changed pages alo
 replace; ``merge`` joins segments of like size. A manifest names the segments of a version; a commit that another writer
 has overtaken is refused. It also names the analyser (rules and stop words) that read the texts; another one is refused.
 
-A segment has four tables. ``pages``: what each page says, by page (the words of its lines, its terms with the lines that
-hold them). ``blocks``: the postings of a term in blocks by descending count, each with the largest count and the least
+A segment has four tables. ``pages``: what each page says, by page (the words of its lines; its terms in JSON, the search
+words with the lines that hold them). ``blocks``: the postings of a term in blocks by descending count, each with the largest count and the least
 length in it. ``terms``: in how many pages a term is (with negative numbers for what a refresh has replaced), so sums over
 segments are the living pages' frequencies. ``dead``: pages whose entries in earlier segments do not count.
 
@@ -17,6 +17,7 @@ below the floor. What remains is scored exactly from ``pages``; no text is read.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import unicodedata
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..config import KNOWLEDGE_BOOST, WINDOW_LINES, WINDOW_STRIDE, EngineConfig
 from ..functions import text as T
+from ..session import cleaning_up
 from ..sources import manifest
 from . import bm25, lexical, maintenance
 
@@ -39,16 +41,18 @@ ANALYSER = 1
 #: Fields: search words by window, and full-text words of the whole page.
 LEXICAL, FULL = 0, 1
 #: Entries of a block; pages and entries whose postings a task holds at once; bytes of a file of blocks.
-BLOCK, STRIPE_PAGES, STRIPE_ENTRIES, PART_BYTES = 128, 65_536, 4_000_000, 16 << 20
-#: Blocks that are scored for the first floor, and pages up to which a search names its candidates in the scan.
-SEEDS, NAMED = 8, 4_096
+BLOCK, STRIPE_PAGES, STRIPE_ENTRIES, PART_BYTES = 128, 65_536, 1_000_000, 16 << 20
+#: Pages that are read into terms at once; bytes a core up to which a table is dealt anew before that.
+SLICE, SMALL_BYTES = 256, 4 << 20
+#: Blocks that are scored for the first floor, and candidates that are broadcast.
+SEEDS, FEW = 4, 100_000
 #: Tombstones that are broadcast; more are joined by page.
 FEW_DEAD = 100_000
 #: A segment is merged with the newer ones that have together at least 1/LIKE of its pages and tombstones.
 LIKE = 2
 
 WORD, ALNUM = re.compile(r"[\w.-]+"), re.compile(r"[^\W_]+")
-PAGES = "revision string, kind string, grp string, some boolean, n long, least int, words array<int>, lexical array<struct<term:string,tf:int,at:array<struct<line:int,n:int>>>>, full array<struct<term:string,tf:int>>"
+PAGES = "revision string, kind string, grp string, some boolean, n long, least int, words array<int>, lexical string, full string"
 
 
 class OtherAnalyser(ValueError):
@@ -98,82 +102,85 @@ def _pages(stop: frozenset[str], names: list[str]):
     """page, text, revision, kind, grp to rows of ``pages``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            some, n, least = [], [], []
-            w_ends, w, l_ends, l_terms, l_peak, a_ends, a_line, a_n, f_ends, f_terms, f_tf = [0], [], [0], [], [], [0], [], [], [0], [], []
-            for x in b.column(1):
-                text = x.as_py()
-                words, at, full = _read(text or "", stop)
-                some.append(bool((text or "").strip(" ")))
-                n.append(None if text is None else full.total())
-                least.append(min((sum(words[k : k + WINDOW_LINES]) for k in range(0, len(words), WINDOW_STRIDE)), default=0))
-                w += words
-                w_ends.append(len(w))
-                for term, lines in at.items():
-                    l_terms.append(term)
-                    l_peak.append(_peak(lines))
-                    a_line += lines
-                    a_n += lines.values()
-                    a_ends.append(len(a_line))
-                l_ends.append(len(l_terms))
-                f_terms += full
-                f_tf += full.values()
-                f_ends.append(len(f_terms))
-            small = lambda x: pa.array(x, pa.int32())
-            lists = lambda ends, values: pa.ListArray.from_arrays(small(ends), values)
-            at = lists(a_ends, pa.StructArray.from_arrays([small(a_line), small(a_n)], names=["line", "n"]))
-            lex = lists(l_ends, pa.StructArray.from_arrays([pa.array(l_terms, pa.string()), small(l_peak), at], names=["term", "tf", "at"]))
-            full = lists(f_ends, pa.StructArray.from_arrays([pa.array(f_terms, pa.string()), small(f_tf)], names=["term", "tf"]))
-            cols = [b.column(0), b.column(2), b.column(3), b.column(4), pa.array(some, pa.bool_()), pa.array(n, pa.int64()), small(least), lists(w_ends, small(w)), lex, full]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        for whole in batches:
+            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                some, n, least, ends, w, lexical, fulltext = [], [], [], [0], [], [], []
+                for x in b.column(1):
+                    text = x.as_py()
+                    words, at, full = _read(text or "", stop)
+                    some.append(bool((text or "").strip(" ")))
+                    n.append(None if text is None else full.total())
+                    least.append(min((sum(words[k : k + WINDOW_LINES]) for k in range(0, len(words), WINDOW_STRIDE)), default=0))
+                    w += words
+                    ends.append(len(w))
+                    lexical.append(json.dumps({t: [y for pair in lines.items() for y in pair] for t, lines in at.items()}, ensure_ascii=False, separators=(",", ":")))
+                    fulltext.append(json.dumps(full, ensure_ascii=False, separators=(",", ":")))
+                counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w, pa.int32()))
+                cols = [b.column(0), b.column(2), b.column(3), b.column(4), pa.array(some, pa.bool_()), pa.array(n, pa.int64()), pa.array(least, pa.int32()), counts, pa.array(lexical, pa.string()), pa.array(fulltext, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return rows
 
 
-def _cut(field: int, stripe: str, pages: pa.Array, counts: np.ndarray, terms: pa.Array, tf: np.ndarray, length: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """The blocks of one stripe's entries in a field. counts: how many of the entries each page has."""
-    coded = terms.dictionary_encode()
-    code, page = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
-    length = length[page]
+def _cut(field: int, stripe: str, pages: pa.Array, page: np.ndarray, terms: list[str], tf: np.ndarray, length: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """The blocks of one stripe's entries in a field. page: the page's place, for each entry."""
+    coded = pa.array(terms, pa.string()).dictionary_encode()
+    code = coded.indices.to_numpy()
     order = np.lexsort((length, -tf, code))
     code, tf, length, page = code[order], tf[order], length[order], page[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
     place = np.arange(len(code)) - np.repeat(first, np.diff(first, append=len(code)))
     starts = np.flatnonzero(place % BLOCK == 0)
-    ends = pa.array(np.append(starts, len(code)).astype(np.int32))
-    entries = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pages.take(pa.array(page)), pa.array(tf.astype(np.int32)), pa.array(length.astype(np.int64))], names=["page", "tf", "length"]))
-    n = len(starts)
+    ends, n = pa.array(np.append(starts, len(code)).astype(np.int32)), len(starts)
+    lists = lambda x: pa.ListArray.from_arrays(ends, x)
     cols = [pa.array(np.full(n, field, np.int32)), coded.dictionary.take(pa.array(code[starts])), pa.array([stripe] * n, pa.string()), pa.array(np.diff(np.append(starts, len(code))).astype(np.int32))]
-    cols += [pa.array(tf[starts].astype(np.int32)), pa.array((np.minimum.reduceat(length, starts) if n else length).astype(np.int64)), entries]
+    cols += [pa.array(tf[starts].astype(np.int32)), pa.array((np.minimum.reduceat(length, starts) if n else length).astype(np.int64))]
+    cols += [lists(pages.take(pa.array(page))), lists(pa.array(tf.astype(np.int32))), lists(pa.array(length.astype(np.int32)))]
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def _blocks(names: list[str]):
-    """page, n, least and the terms and counts of both fields to blocks; a stripe of pages at a time."""
+    """page, n, least, lexical, full to blocks; a stripe of pages at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pages, entries = [], 0, 0
+        pages, sizes, entries = [], ([], []), ([], [])  # by field: the length and number of terms of each page; terms and counts
 
-        def stripes() -> Iterator[pa.RecordBatch]:
-            t, stripe = pa.Table.from_batches(held).combine_chunks(), uuid.uuid4().hex[:8]
-            column = lambda i: t.column(i).combine_chunks() if t.column(i).num_chunks != 1 else t.column(i).chunk(0)
-            for field, terms, length in ((LEXICAL, 3, 2), (FULL, 5, 1)):
-                lists = column(terms)
-                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                yield _cut(field, stripe, column(0), counts, lists.flatten(), column(terms + 1).flatten().to_numpy(), column(length).fill_null(0).to_numpy(zero_copy_only=False), names)
+        def stripe() -> Iterator[pa.RecordBatch]:
+            name, keys = uuid.uuid4().hex[:8], pa.concat_arrays(pages)
+            for field in (LEXICAL, FULL):
+                length, counts = (np.array(x, dtype=np.int64) for x in zip(*sizes[field], strict=True))
+                page = np.repeat(np.arange(len(counts)), counts)
+                terms, tf = (entries[field][::2], entries[field][1::2])
+                yield _cut(field, name, keys, page, [t for x in terms for t in x], np.array([n for x in tf for n in x], dtype=np.int64), length[page], names)
 
+        held = 0
         for b in batches:
-            held.append(b)
-            pages, entries = pages + b.num_rows, entries + len(b.column(3).flatten()) + len(b.column(5).flatten())
-            if pages >= STRIPE_PAGES or entries >= STRIPE_ENTRIES:
-                yield from stripes()
-                held, pages, entries = [], 0, 0
+            for i, (n, least, lexical, full) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                at, words = json.loads(lexical), json.loads(full)
+                peaks = [x[1] if len(x) == 2 else _peak(dict(zip(x[::2], x[1::2], strict=True))) for x in at.values()]
+                pages.append(b.column(0).slice(i, 1))
+                for field, length, terms, tf in ((LEXICAL, least, at, peaks), (FULL, n, words, words.values())):
+                    sizes[field].append((length or 0, len(terms)))
+                    entries[field].extend((list(terms), list(tf)))
+                held += len(at) + len(words)
+                if held >= STRIPE_ENTRIES or len(pages) >= STRIPE_PAGES:
+                    yield from stripe()
+                    pages, sizes, entries, held = [], ([], []), ([], []), 0
         if pages:
-            yield from stripes()
+            yield from stripe()
 
     return rows
 
 
+def _postings() -> Column:
+    return F.inline(F.arrays_zip(F.col("pages").alias("page"), F.col("tfs").alias("tf"), F.col("lengths").alias("length")))
+
+
+def _value(column: str, term: str) -> Column:
+    """A term's value in a page's JSON, as JSON; a term holds letters, digits, dots, dashes and underscores alone."""
+    return F.get_json_object(column, f"$['{term}']")
+
+
 class Index:
     """A version of the index in a folder."""
 
@@ -204,7 +211,7 @@ class Index:
 
     def _schema(self, name: str, kind: str | None = None) -> str:
         kind = kind or self._state()["kind"]
-        return {"pages": f"page {kind}, {PAGES}", "blocks": f"field int, term string, stripe string, size int, top int, least long, entries array<struct<page:{kind},tf:int,length:long>>", "terms": "field int, term string, df long", "dead": f"page {kind}, before int"}[name]
+        return {"pages": f"page {kind}, {PAGES}", "blocks": f"field int, term string, stripe string, size int, top int, least long, pages array<{kind}>, tfs array<int>, lengths array<int>", "terms": "field int, term string, df long", "dead": f"page {kind}, before int"}[name]
 
     def _alive(self, rows: DataFrame, upto: int | None = None) -> DataFrame:
         """rows (page, seq) without what later segments replace; upto: by tombstones of segments up to that one."""
@@ -231,6 +238,10 @@ class Index:
         Texts are digested in one scan; added and changed ones are read into terms, and nothing else is written. Pages
         without a key are left out.
         """
+        with cleaning_up(self.spark):
+            return self._refreshed(pages, key, text, kind, group)
+
+    def _refreshed(self, pages: DataFrame, key: str, text: str, kind: str | None, group: str | None) -> DataFrame:
         some = pages.where(F.col(key).isNotNull())
         null = F.lit(None).cast("string")
         rows = some.select(F.col(key).alias("page"), F.col(text).alias("text"), T.digest(F.coalesce(F.col(text), F.lit("\0"))).alias("revision"), (F.col(kind).cast("string") if kind else null).alias("kind"), (F.col(group).cast("string") if group else null).alias("grp"))
@@ -250,7 +261,11 @@ class Index:
             gone.select("page", F.lit(seq).alias("before")).write.parquet(f"{at}/dead")
             segment["dead"] = self.spark.read.parquet(f"{at}/dead").count()
             fresh = rows.join(delta.where("change in ('added', 'changed')").select("page"), "page", "left_semi")
-        names = ["page", *(c.split(" ")[0] for c in re.sub(r"<.*?>+", "", PAGES).split(", "))]
+        names = ["page", *(c.split(" ")[0] for c in PAGES.split(", "))]
+        size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        cores = self.spark.sparkContext.defaultParallelism
+        if size < cores * SMALL_BYTES:  # as one file's only row group would be one task
+            fresh = fresh.repartition(2 * cores)
         fresh.select("page", "text", "revision", "kind", "grp").mapInArrow(_pages(self.stop, names), f"page {page_kind}, {PAGES}").write.option("compression", "zstd").parquet(f"{at}/pages")
         out = self._segment(at, segment, page_kind)
         totals = self._sums(self.spark.read.schema(self._schema("pages", page_kind)).parquet(f"{at}/pages"))
@@ -272,7 +287,7 @@ class Index:
         return self.pages().join(gone, "page", "left_semi")
 
     def _sums(self, pages: DataFrame) -> dict:
-        row = pages.agg(F.count(F.lit(1)).alias("docs"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count_if("some").alias("some")).first()
+        row = pages.agg(F.count(F.lit(1)).alias("docs"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count_if("some").alias("some"), F.count_if(F.col("kind") == "knowledge").alias("knowledge")).first()
         return row.asDict()
 
     def _segment(self, at: str, segment: dict, kind: str, terms: DataFrame | None = None) -> dict:
@@ -281,16 +296,16 @@ class Index:
         pages = spark.read.schema(self._schema("pages", kind)).parquet(f"{at}/pages")
         size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         parts = max(1, -(-size // PART_BYTES))
-        names = ["field", "term", "stripe", "size", "top", "least", "entries"]
-        blocks = pages.select("page", "n", F.col("least").cast("long"), "lexical.term", "lexical.tf", F.col("full.term").alias("f"), F.col("full.tf").alias("g")).mapInArrow(_blocks(names), self._schema("blocks", kind))
+        names = ["field", "term", "stripe", "size", "top", "least", "pages", "tfs", "lengths"]
+        blocks = pages.select("page", "n", "least", "lexical", "full").mapInArrow(_blocks(names), self._schema("blocks", kind))
         # a term's stripes lie in a few files at most, so that no usual term lies in one task
         dealt = blocks.repartition(parts, "field", "term", F.pmod(F.xxhash64("stripe"), F.lit(min(8, parts))))
         dealt.sortWithinPartitions("field", "term").write.option("compression", "zstd").parquet(f"{at}/blocks")
         if terms is None:
             heads = spark.read.schema(self._schema("blocks", kind)).parquet(f"{at}/blocks").groupBy("field", "term").agg(F.sum("size").alias("df"))
             if segment["dead"]:
-                lost = self._lost(at).select(F.lit(LEXICAL).alias("field"), F.explode("lexical.term").alias("term"))
-                lost = lost.unionByName(self._lost(at).select(F.lit(FULL).alias("field"), F.explode("full.term").alias("term")))
+                lost = self._lost(at).select(F.lit(LEXICAL).alias("field"), F.explode(F.json_object_keys("lexical")).alias("term"))
+                lost = lost.unionByName(self._lost(at).select(F.lit(FULL).alias("field"), F.explode(F.json_object_keys("full")).alias("term")))
                 heads = heads.unionByName(lost.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
             terms = heads
         terms.repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term").write.option("compression", "zstd").parquet(f"{at}/terms")
@@ -315,6 +330,10 @@ class Index:
         kept = state["segments"][: len(state["segments"]) - len(chosen)]
         seq = chosen[-1]["seq"]
         segment = {"id": f"{seq:06d}-{uuid.uuid4().hex[:12]}", "seq": seq, "dead": 0}
+        with cleaning_up(self.spark):
+            return self._merged(state, chosen, kept, segment)
+
+    def _merged(self, state: dict, chosen: list[dict], kept: list[dict], segment: dict) -> int:
         at, kind = f"{self.folder}/segments/{segment['id']}", state["kind"]
         self._alive(self._table("pages", chosen)).drop("seq").write.option("compression", "zstd").parquet(f"{at}/pages")
         terms = self._table("terms", chosen).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0")
@@ -339,50 +358,58 @@ class Index:
     def _entries(self, field: int, terms: list[str]) -> DataFrame:
         """term, page, tf, length of the living postings."""
         blocks = self._table("blocks").where((F.col("field") == field) & F.col("term").isin(terms))
-        return self._alive(blocks.select("term", "seq", F.inline("entries")))
+        return self._alive(blocks.select("term", "seq", _postings()))
 
-    def _candidates(self, field: int, bounds: dict[str, Column], limit: int, slack: float, best) -> DataFrame | None:
+    def _candidates(self, field: int, bounds: dict, limit: int, slack: float, best, share=None) -> DataFrame | None:
         """page of all that can be among the ``limit`` best; None if no floor was found.
 
-        bounds: by term, the bound of a count and a length (columns top and least). best: from pages, a DataFrame with
-        the score that counts, in descending order. slack: what rounding can hide of a score.
+        bounds: by term, the most that a count and a length (columns) can add to a score; it falls with the length. best:
+        from pages, a DataFrame with the score that counts, in descending order. slack: what rounding can hide. share: what
+        a page keeps of the sum if it holds so many terms (a column), where that rises with their number.
         """
         terms = sorted(bounds)
-        bound = F.coalesce(*[F.when(F.col("term") == t, bounds[t]) for t in terms])
-        heads = self._table("blocks").where((F.col("field") == field) & F.col("term").isin(terms)).withColumn("bound", bound)
-        most = {r["term"]: r for r in heads.groupBy("term").agg(F.max("bound").alias("bound"), F.count(F.lit(1)).alias("n")).collect()}
+        of = lambda f: F.coalesce(*[F.when(F.col("term") == t, f(t)) for t in terms])
+        own = of(lambda t: bounds[t](F.col("top"), F.col("least")))
+        heads = self._table("blocks").where((F.col("field") == field) & F.col("term").isin(terms))
+        most = {r["term"]: r for r in heads.groupBy("term").agg(F.max(own).alias("bound"), F.max("top").alias("top"), F.count(F.lit(1)).alias("n")).collect()}
         self.blocks_met, self.blocks_read = sum(r["n"] for r in most.values()), 0
         if not most:
             return None
-        seeds = heads.orderBy(F.desc("bound"), "stripe").limit(SEEDS).select("seq", F.inline("entries")).select("page", "seq")
-        pages = [r["page"] for r in self._alive(seeds).select("page").distinct().collect()]  # SEEDS blocks at most
-        scores = [r[0] for r in best(self.pages().where(F.col("page").isin(pages))).limit(limit).collect()]
+        share = share or (lambda n: F.lit(1.0))
+        seeds = self._alive(heads.orderBy(F.desc(own), "stripe").limit(SEEDS).select("seq", _postings()).select("page", "seq"))
+        scores = [r[0] for r in best(self.pages().join(F.broadcast(seeds.select("page").distinct()), "page", "left_semi")).limit(limit).collect()]
         if len(scores) < limit:
             return None
         floor = scores[-1] - slack
         # by ascending bound, the terms that together cannot reach the floor: they need not be looked for
-        idle, sum_ = set(), 0.0
+        idle, sum_ = [], 0.0
         for t in sorted(most, key=lambda t: most[t]["bound"]):
             sum_ += most[t]["bound"]
             if sum_ >= floor:
                 break
-            idle.add(t)
-        total = sum(r["bound"] for r in most.values())
-        others = F.coalesce(*[F.when(F.col("term") == t, F.lit(total - r["bound"])) for t, r in most.items()])
-        needed = heads.where(~F.col("term").isin(sorted(idle)) & (F.col("bound") + others >= floor)) if idle else heads.where(F.col("bound") + others >= floor)
-        self.blocks_read = needed.count()
-        own = F.coalesce(*[F.when(F.col("term") == t, bounds[t]) for t in terms])
-        found = needed.withColumn("others", others).select("term", "others", "seq", F.inline("entries")).withColumnsRenamed({"tf": "top", "length": "least"})
-        return self._alive(found.where(own + F.col("others") >= floor).select("page", "seq")).select("page").distinct()
+            idle.append(t)
+        # the other terms at their largest counts, in a page as long as this one
+        full = lambda t: bounds[t](F.lit(most[t]["top"]), F.col("least"))
+        others = of(lambda t: sum((full(x) for x in most if x != t), F.lit(0.0)))
+        reach = (own + others) * share(F.lit(len(most))) >= floor
+        needed = heads.where(reach & ~F.col("term").isin(idle)) if idle else heads.where(reach)
+        read = {r["term"]: r["n"] for r in needed.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.blocks_read = sum(read.values())
+        # a term of which every block is read is not in the pages that it was not met in
+        part = [t for t in most if read.get(t, 0) < most[t]["n"]]
+        found = self._alive(needed.select("term", "seq", _postings()).withColumnsRenamed({"tf": "top", "length": "least"}))
+        met = found.groupBy("page").agg(F.sum(own).alias("sum"), F.min("least").alias("least"), F.count(F.lit(1)).alias("n"), *[F.max(F.col("term") == t).alias(f"m{i}") for i, t in enumerate(part)])
+        rest = [F.when(~F.col(f"m{i}"), full(t)).otherwise(0.0) for i, t in enumerate(part)]
+        more = [F.when(F.col(f"m{i}"), 0).otherwise(1) for i in range(len(part))]
+        most_of_page = (F.col("sum") + sum(rest, F.lit(0.0))) * share(F.col("n") + sum(more, F.lit(0)))
+        return met.where(most_of_page >= floor).select("page")
 
     def _chosen(self, candidates: DataFrame | None, field: int, terms: list[str]) -> DataFrame:
-        """The living pages of the candidates, named in the scan while they are few."""
+        """The living pages of the candidates, which are broadcast while they are few."""
         if candidates is None:
             return self.pages().join(self._entries(field, terms).select("page").distinct(), "page", "left_semi")
-        first = [r["page"] for r in candidates.limit(NAMED + 1).collect()]
-        if len(first) <= NAMED:
-            return self.pages().where(F.col("page").isin(first))
-        return self.pages().join(candidates, "page", "left_semi")
+        few = self.blocks_read * BLOCK <= FEW
+        return self.pages().join(F.broadcast(candidates) if few else candidates, "page", "left_semi")
 
     def bm25(self, terms: Sequence[str], limit: int | None = None, by_group: bool = False) -> DataFrame:
         """page, grp and score of the pages (or of the best page of each group) that hold any of the full-text words,
@@ -398,7 +425,7 @@ class Index:
             return empty
 
         def scored(pages: DataFrame) -> DataFrame:
-            tf = lambda t: F.coalesce(F.get(F.filter("full", lambda x: x["term"] == t), F.lit(0))["tf"], F.lit(0))
+            tf = lambda t: F.coalesce(_value("full", t).cast("int"), F.lit(0))
             sums = sum((share(t, tf(t), F.col("n")) for t in sorted(df)), F.lit(0.0))
             return pages.select("page", "grp", F.round(sums, 6).alias("score")).where("score > 0")
 
@@ -411,7 +438,7 @@ class Index:
             got = self._entries(FULL, sorted(df)).withColumn("s", F.coalesce(*[F.when(F.col("term") == t, share(t, F.col("tf"), F.col("length"))) for t in sorted(df)]))
             sums = got.groupBy("page").agg(F.round(F.sum("s"), 6).alias("score"))
             return first(self.pages().select("page", "grp").join(sums, "page")).select("page", "grp", "score")
-        bounds = {t: share(t, F.col("top"), F.col("least")) for t in df}
+        bounds = {t: lambda tf, n, t=t: share(t, tf, n) for t in df}
         found = self._candidates(FULL, bounds, limit, 2e-6, lambda pages: first(scored(pages)).select("score").orderBy(F.desc("score")))
         return first(scored(self._chosen(found, FULL, sorted(df)))).orderBy(*order).limit(limit)
 
@@ -437,7 +464,8 @@ class Index:
         """The scored windows of pages, from the lines that hold the terms and the numbers of words."""
         config, none = self.config, F.array().cast("array<struct<line:int,n:int>>")
         have = sorted(weight)
-        found = lambda t: F.get(F.filter("lexical", lambda x: x["term"] == t), F.lit(0))["at"]
+        pairs = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")), lambda i: F.struct(F.get(x, 2 * i).alias("line"), F.get(x, 2 * i + 1).alias("n")))
+        found = lambda t: pairs(F.from_json(_value("lexical", t), "array<int>"))
         rows = pages.select("page", "kind", "words", *[F.coalesce(found(t), none).alias(f"at{i}") for i, t in enumerate(have)])
         every = F.flatten(F.array(*[F.col(f"at{i}") for i in range(len(have))], none))
         w = rows.withColumn("k", F.explode(F.array_distinct(F.flatten(F.transform(every, lambda x: lexical.window_starts(x["line"]))))))
@@ -468,8 +496,10 @@ class Index:
         if not weight:
             return lexical.best_per_source(self._windows(self.pages().limit(0), *asked), "page", limit, min_terms)
         hits = lambda pages: lexical.best_per_source(self._windows(pages, *asked), "page", None, min_terms)
-        # of a page, at most its largest count in a window, over the least words that one of its windows has
-        whole = 1.0 if self.config.span_discount else len(weight) / len(terms)
-        bounds = {t: F.lit(i * whole * KNOWLEDGE_BOOST) * (1 + F.log1p("top")) / F.sqrt(F.greatest(F.lit(1), F.col("least")) / 50) for t, i in weight.items()}
-        found = self._candidates(LEXICAL, bounds, limit, 2e-4, lambda pages: hits(pages).select("score").orderBy(F.desc("score")))
+        # of a page, at most its largest count in a window, over the least words that one of its windows has; a span may
+        # score the sum of its terms alone
+        boost = KNOWLEDGE_BOOST if self._state()["totals"]["knowledge"] else 1.0
+        bounds = {t: lambda tf, n, i=i: F.lit(i * boost) * (1 + F.log1p(tf)) / F.sqrt(F.greatest(F.lit(1), n) / 50) for t, i in weight.items()}
+        share = None if self.config.span_discount else lambda n: n / len(terms)
+        found = self._candidates(LEXICAL, bounds, limit, 2e-4, lambda pages: hits(pages).select("score").orderBy(F.desc("score")), share)
         return hits(self._chosen(found, LEXICAL, sorted(weight))).orderBy(F.desc("score"), "page", "line").limit(limit)

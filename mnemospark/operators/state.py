@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import greedy
+
 
 def alert_step(state: Column, since: Column, call: Column, day: Column) -> tuple[Column, Column, Column]:
     """The next state, its day, and whether it is announced: an alert that is closed, or open since another day;
@@ -35,6 +37,21 @@ def alert_transitions(calls: DataFrame) -> DataFrame:
     return c.withColumn("told", F.coalesce(told, F.lit(True))).where("told").select("n", "marker", "state")
 
 
+def throttled(df: DataFrame, key: str, at: str, seconds: int, order: str) -> DataFrame:
+    """df with admitted: whether a call passes, as none of its key has passed in so many seconds before it. Calls are
+    taken in order of their time (a timestamp), then of ``order``."""
+
+    def admit(times, last):
+        out = []
+        for t in times:
+            out.append(last is None or t - last >= seconds * 1_000_000)
+            last = t if out[-1] else last
+        return out, last
+
+    timed = df.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp")))
+    return greedy.fold(timed, key, ["__at", order], "__at", admit, "admitted boolean").drop("__at")
+
+
 def last_state(df: DataFrame, key: str, state: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(state, F.struct(*order)).alias("state"))
 

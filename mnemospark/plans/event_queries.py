@@ -249,3 +249,12 @@ def last_state(spark, sf):
 @query(_FSM + ", w AS (SELECT marker, state, n FROM step WHERE written QUALIFY row_number() OVER (PARTITION BY marker ORDER BY n DESC) = 1) SELECT marker, n FROM w WHERE state = '!'")
 def open_alerts(spark, sf):
     return state.open_alerts(state.alert_transitions(ALERTS.df(spark, sf)))
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+g AS (SELECT user_id, k, event_id, ts AS last, TRUE AS admitted FROM o WHERE k = 1 UNION ALL
+SELECT o.user_id, o.k, o.event_id, CASE WHEN o.ts - g.last >= INTERVAL 6 HOUR THEN o.ts ELSE g.last END, o.ts - g.last >= INTERVAL 6 HOUR FROM g JOIN o ON o.user_id = g.user_id AND o.k = g.k + 1)
+SELECT event_id, user_id, admitted FROM g""")
+def throttled_calls(spark, sf):
+    """Each user's calls, of which one passes in six hours."""
+    return state.throttled(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 6 * 3600, "event_id").select("event_id", "user_id", "admitted")

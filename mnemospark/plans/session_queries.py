@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, maintenance, quality, sessions
+from ..operators import deltas, graph, maintenance, quality, sessions
 from .base import query, shared, table
 
 
@@ -259,6 +259,31 @@ def reachable_nodes(spark, sf):
     return graph.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
+LINKS = shared("links", "documents", node="doc_id", next="CASE WHEN doc_id % 9 = 8 THEN doc_id - 6 WHEN doc_id % 3 = 2 THEN doc_id + 3 WHEN doc_id % 3 = 1 THEN CAST(floor(doc_id / 2) AS BIGINT) WHEN doc_id % 3000 > 0 THEN doc_id - 3 END")
+
+
+@query(f"""WITH RECURSIVE {LINKS.sql}, one AS (SELECT node, next FROM links WHERE node IS NOT NULL AND next IS NOT NULL),
+r AS (SELECT node, next AS last, 1::BIGINT AS hops FROM one WHERE next NOT IN (SELECT node FROM one) UNION ALL SELECT o.node, r.last, r.hops + 1 FROM one o JOIN r ON o.next = r.node)
+SELECT o.node, r.last, r.hops, r.last IS NULL AS cyclic FROM one o LEFT JOIN r USING (node)""")
+def archive_chain_ends(spark, sf):
+    """Chains of a thousand links, branches into them, cycles and what leads into cycles: each node's end in one hop."""
+    return graph.chain_ends(LINKS.df(spark, sf))
+
+
+SAID = shared("said", "conversations", session="'s' || conv_id % 3", line="conv_id * 1000 + turn", said="CASE WHEN conv_id % 11 = 3 THEN '' ELSE '## ' || role || chr(10) || coalesce(text, '') END")
+
+
+@query(f"""WITH RECURSIVE {SAID.sql}, o AS (SELECT *, length(said) + 2 AS n, row_number() OVER (PARTITION BY session ORDER BY line) AS k FROM said),
+g AS (SELECT session, k, line, said, 1::BIGINT AS part, n AS total FROM o WHERE k = 1 UNION ALL
+SELECT o.session, o.k, o.line, o.said, CASE WHEN g.total + o.n > 6000 THEN g.part + 1 ELSE g.part END, CASE WHEN g.total + o.n > 6000 THEN o.n ELSE g.total + o.n END FROM g JOIN o ON o.session = g.session AND o.k = g.k + 1),
+p AS (SELECT session, part, min(line) AS first, max(line) + 1 AS next, coalesce(string_agg(said, chr(10) || chr(10) ORDER BY line) FILTER (WHERE said <> ''), '') AS text FROM g GROUP BY session, part)
+SELECT session, part, first, next, length(left(text, 6000)) AS chars, greatest(0, length(text) - 6000) AS clipped, sha256(left(text, 6000)) AS text_sha256 FROM p""")
+def session_parts(spark, sf):
+    """Three long sessions made of all conversations, cut into parts."""
+    got = deltas.parts(SAID.df(spark, sf), "session", "line", cap=6000)
+    return got.select("session", "part", "first", "next", F.length("text").alias("chars"), "clipped", F.sha2("text", 256).alias("text_sha256"))
+
+
 # A store of pages made of the documents: its links, archives, journal and installed files.
 _STORE = """pages_ AS (SELECT 'p' || doc_id AS page, doc_id AS n, text, doc_id % 97 = 5 AS link FROM documents),
 edges AS (SELECT 'p' || doc_id AS src, 'p' || doc_id * 2 AS dst FROM documents WHERE doc_id % 13 <> 0 UNION ALL SELECT 'p' || doc_id, 'p' || (doc_id * 2 + 1) FROM documents WHERE doc_id % 13 <> 0

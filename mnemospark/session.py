@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -54,6 +55,18 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def cleaning_up(spark: SparkSession):
+    """Shuffle files of the queries inside go when each query ends: for steps whose results are written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """Let checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:

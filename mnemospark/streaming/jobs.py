@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import sessions
@@ -53,6 +54,41 @@ def alert_stream(calls: DataFrame) -> DataFrame:
     return calls.groupBy("marker").applyInPandasWithState(alert_rows, ALERT_OUT, "state string, since string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: The state store that transformWithState needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Throttle(StatefulProcessor):
+    """Calls of a key that pass: none has passed in so many seconds before. The time of the last one is forgotten as
+    long after it was written, so keys that are quiet hold no state."""
+
+    def __init__(self, seconds: int, once: bool = False):
+        self.seconds, self.once = seconds, once
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long", ttlDurationMs=max(1, self.seconds) * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        last = held[0] if held is not None else None
+        calls = sorted((at.value // 1000, n) for pdf in rows for at, n in zip(pdf["at"], pdf["n"], strict=True))
+        passed = []
+        for at, n in calls:
+            if last is None or not self.once and at - last >= self.seconds * 1_000_000:
+                passed.append((key[0], n))
+                last = at
+        if passed:
+            self.last.update((last,))
+        yield pd.DataFrame(passed, columns=["key", "n"])
+
+
+def throttle_stream(calls: DataFrame, seconds: int, once: bool = False) -> DataFrame:
+    """key and n of the calls (key, n, at) that pass ``state.throttled``; once: of each key the first alone, until it is
+    forgotten. The session must use the RocksDB state store (ROCKS). State lives as long as the throttle by the clock: a
+    replay of old calls that takes longer than that lets more of them pass."""
+    return calls.groupBy("key").transformWithStateInPandas(Throttle(seconds, once), outputStructType="key string, n long", outputMode="append", timeMode="processingTime")
+
+
 def exactly_once(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]):
     """Run a sink that is idempotent by batch id over everything that is there now."""
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
