@@ -84,7 +84,8 @@ class Throttle(StatefulProcessor):
 
 def throttle_stream(calls: DataFrame, seconds: int, once: bool = False) -> DataFrame:
     """key and n of the calls (key, n, at) that pass ``state.throttled``; once: of each key the first alone, until it is
-    forgotten. The session must use the RocksDB state store (ROCKS). State lives as long as the throttle by the clock: a
+    forgotten. The session must use the RocksDB state store (ROCKS), and spark.sql.streaming.noDataMicroBatches.enabled must
+    be false where the query is to end by itself (availableNow): state that runs out asks for a batch forever. State lives as long as the throttle by the clock: a
     replay of old calls that takes longer than that lets more of them pass."""
     return calls.groupBy("key").transformWithStateInPandas(Throttle(seconds, once), outputStructType="key string, n long", outputMode="append", timeMode="processingTime")
 

@@ -104,6 +104,7 @@ def test_throttle_in_batch(spark):
 
 def test_throttle_stream_over_batches_and_expiry(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     try:
         rows, got = calls(), []
         source = tmp_path / "calls"
@@ -122,3 +123,4 @@ def test_throttle_stream_over_batches_and_expiry(spark, tmp_path):
         assert [n for _, n in got][:1] == [900] and got[-1] == ("k9", 902) and len(got) in (2, 3)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
