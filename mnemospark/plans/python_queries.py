@@ -88,18 +88,19 @@ def block_strengths(spark, sf):
 
 @query(_FSM + " SELECT n, marker, state FROM step WHERE written")
 def alert_stream(spark, sf):
-    """The streaming state machine over the same calls as its batch twin."""
+    """The streaming state machine over the same calls as its batch twin; calls, states and what is told lie in the shared folder."""
     import uuid
 
     from ..session import shared_folder
+    from ..streaming.jobs import ALERT_OUT
     from ..streaming.jobs import alert_stream as stream
 
     folder = f"{shared_folder(spark)}/alert-calls-{uuid.uuid4().hex}"
-    ALERTS.df(spark, sf).coalesce(1).write.json(folder)
-    calls = spark.readStream.schema("n long, day string, marker string, call string").json(folder)
-    name = f"alert_stream_{uuid.uuid4().hex}"
-    stream(calls).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    ALERTS.df(spark, sf).write.parquet(f"{folder}/calls")
+    calls = spark.readStream.schema("n long, day string, marker string, call string").parquet(f"{folder}/calls")
+    told = stream(calls).writeStream.format("parquet").option("path", f"{folder}/told").option("checkpointLocation", f"{folder}/state")
+    told.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ALERT_OUT).parquet(f"{folder}/told")
 
 
 @query("SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY start, event_type".replace("AS start", 'AS "start"').replace("GROUP BY start", "GROUP BY 1"))

@@ -34,19 +34,21 @@ def rolling(df: DataFrame, ts: str, kind: str, size: str = "7 days", slide: str
 
 
 def alert_rows(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One marker's calls in order, with its last state and day kept between batches."""
+    """One marker's calls in order, with its last state and day kept between batches. A batch's calls of a marker come in
+    parts of any order, so all are taken before the first is judged."""
     now, since = state.get if state.exists else ("", "")
+    calls = sorted(row for pdf in pdfs for row in zip(*(pdf[c].tolist() for c in ("n", "day", "call")), strict=True))
     out = []
-    for pdf in pdfs:
-        for n, day, call in sorted(zip(pdf["n"], pdf["day"], pdf["call"], strict=True)):
-            if call == "ok" and now != "!" or call == "once" and now == "OK":
-                continue
-            new = "OK" if call == "ok" else "!"
-            if not (new == now == "!" and since == day):
-                out.append((n, key[0], new))
-            now, since = new, day
+    for n, day, call in calls:
+        if call == "ok" and now != "!" or call == "once" and now == "OK":
+            continue
+        new = "OK" if call == "ok" else "!"
+        if not (new == now == "!" and since == day):
+            out.append((n, new))
+        now, since = new, day
     state.update((now, since))
-    yield pd.DataFrame(out, columns=["n", "marker", "state"])
+    if out:
+        yield pd.DataFrame({"n": [n for n, _ in out], "marker": key[0], "state": [x for _, x in out]})
 
 
 def alert_stream(calls: DataFrame) -> DataFrame:

@@ -43,6 +43,31 @@ def test_alert_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_alert_parts_of_a_batch_come_in_any_order():
+    import pandas as pd
+
+    from mnemospark.streaming.jobs import alert_rows
+
+    class Kept:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    part = lambda *rows: pd.DataFrame(rows, columns=["n", "day", "call"])
+    kept = Kept()
+    got = pd.concat(alert_rows(("m",), iter([part((3, "d2", "ok")), part((2, "d1", "alert"), (1, "d1", "once"))]), kept))
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(1, "m", "!"), (3, "m", "OK")] and kept.value == ("OK", "d2")
+
+
+def test_alert_query_holds_nothing_in_the_driver(spark):
+    from mnemospark.plans.catalogue import QUERIES
+
+    got = QUERIES["alert_stream"](spark, "/root/testdata/sf0.001")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("alert_stream_")]
+    assert got.inputFiles() and sorted(map(tuple, got.collect())) == sorted(map(tuple, QUERIES["alert_transitions"](spark, "/root/testdata/sf0.001").collect()))
+
+
 def test_once_and_rolling(spark, tmp_path):
     source = tmp_path / "events"
     source.mkdir()
