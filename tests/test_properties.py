@@ -164,6 +164,17 @@ def test_similar_names_are_all_pairs(spark):
     assert [tuple(r) for r in sibling_names(stores, spark.createDataFrame([("/w/app", "-w-app"), ("/app", "-app")], "dir string, name string")).collect() if r.dir == "/w/app"] == [("/w/app", "-w-app-infra")]
 
 
+def test_pairs_of_a_common_name_are_made_by_many_tasks(spark):
+    from mnemospark.operators.quality import similar_names
+
+    n = 1300
+    rows = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "a common name").otherwise("a common nama").alias("name")).unionByName(spark.createDataFrame([(4, "a common name"), (None, "a common name")], "id long, name string"))
+    got = similar_names(rows, "id", "name").withColumn("task", F.spark_partition_id()).cache()
+    assert got.select("task").distinct().count() > 3
+    assert got.count() == n * (n - 1) // 2 + n - 1 and got.select("a", "b").where("a < b").distinct().count() == n * (n - 1) // 2
+    got.unpersist()
+
+
 def test_nearest_rows_of_the_query_set_by_brute_force(spark):
     import numpy as np
 
