@@ -155,3 +155,23 @@ def test_the_engine_searches_its_index(spark, tmp_path):
     long = "license version onre thble apache " + " ".join(f"w{i}" for i in range(10))
     config = EngineConfig(span_discount=0.84)
     assert plain(segments.Index(spark, str(tmp_path), config).search(long, 7)) == plain(lexical.search(pages, long, 7, kind="kind", config=config))
+
+def test_a_bucket_of_terms_is_one_row_of_a_stripe(spark, tmp_path):
+    """Rows grow with stripes and buckets, not with terms; no posting is shuffled."""
+    pages = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300)) + " apache") for i in range(200)], "source long, text string").coalesce(1)
+    index = segments.Index(spark, str(tmp_path / "index"))
+    index.refresh(pages)
+    blocks = spark.read.parquet(f"{tmp_path}/index/segments/{index.state['segments'][0]['id']}/blocks")
+    stripes = blocks.select("stripe").distinct().count()
+    assert blocks.count() <= stripes * 2 * segments.BUCKETS and index.terms().count() == 200 * 300 + 1
+    assert {r.page for r in index.search("w7x5 w8x299", 5).collect()} == {7, 8} and index.bm25(["apache"]).count() == 200
+
+
+def test_words_and_peaks_are_those_of_the_plain_rules():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab_.-é /म") for _ in range(rnd.randint(0, 14)))
+        assert segments.search_words(text, frozenset()) == [w for x in segments.re.findall(r"[\w.-]+", text) if len(w := x.strip(".-")) > 1]
+        lines = [x for i in sorted(rnd.sample(range(90), rnd.randint(1, 9))) for x in (i, rnd.randint(1, 3))]
+        pairs = list(zip(lines[::2], lines[1::2], strict=True))
+        assert segments._peak(lines) == max(sum(n for i, n in pairs if 24 * k <= i < 24 * k + 32) for k in range(4))
