@@ -487,11 +487,11 @@ class SuffixTree:
 SCORES = "row long, whole boolean, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(parts: pa.Table, table: pa.Table, bits: int, key_bits: int, tokens: int, words: int, unseen: float) -> pa.Table:
+def _scored(parts: pa.Table, table: pa.Table, bits: int, key_bits: int, tokens: int, words: int, unseen: float, depth: int) -> pa.Table:
     """A block's documents (whole, or parts of one) with their scores, from its tokens and the shards' answers."""
     replies = Replies(table, bits, key_bits)
     _, walk, count = _walked(parts, replies, tokens, unseen)
-    _walk_to(walk, replies, DEPTH + 1, True)
+    _walk_to(walk, replies, depth + 1, True)
     x = walk.block
     base = np.log10((count + 0.5) / (tokens + 0.5 * (words + 1)))
     model = walk.logs[1:] / np.log(10)
@@ -521,6 +521,16 @@ def _sums(x: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def language_model_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    return _scores(docs, key, text, folds, held, DEPTH)
+
+
+def base_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+    """The same rows without score: words are counted as there, but no sequences, which only score needs."""
+    return _scores(docs, key, text, folds, held, 0).drop("score")
+
+
+def _scores(docs: DataFrame, key: str, text: str, folds: int, held: int, depth: int) -> DataFrame:
+    """depth: DEPTH, or 0 for a tree of the empty context alone."""
     fold = F.coalesce(crc_fold(key, folds), F.lit(0))
     rows = docs.select(keyed(key), F.coalesce(F.col(text), F.lit("")).cast("binary"), fold != held)
     parts = bucketed(rows.mapInArrow(_blocks, PARTS), "lm_blocks", "block")
@@ -535,13 +545,13 @@ def language_model_scores(docs: DataFrame, key: str = "doc_id", text: str = "tex
     met = answers.where("block is not null").select("block", F.lit(1).alias("kind"), "shard", F.col("b").alias("a"))
     told = parts.select("block", *"abcd").mapInArrow(lambda it: _pairs(it, key_bits), TOLD)
     done = [answers]
-    for n in range(2, DEPTH + 3):
+    for n in range(2, depth + 3) if depth else ():
         reply = written(told.groupBy("kind", "shard").applyInArrow(_answered, REPLY), "lm-answers")
         done.append(reply)
         met = met.unionByName(reply)
-        if n <= DEPTH + 1:
+        if n <= depth + 1:
             told = own.cogroup(met.groupBy("block")).applyInArrow(_onward(n, bits, key_bits, tokens, unseen), TOLD)
-    scored = own.cogroup(met.groupBy("block")).applyInArrow(lambda p, t: _scored(p, t, bits, key_bits, tokens, words, unseen), SCORES)
+    scored = own.cogroup(met.groupBy("block")).applyInArrow(lambda p, t: _scored(p, t, bits, key_bits, tokens, words, unseen, depth), SCORES)
     scored = written(scored, "lm-scores")
     discard(parts, *done)
     names = ["n_tokens", "n_known", "base_score", "score"]
