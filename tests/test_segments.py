@@ -167,6 +167,79 @@ def test_a_bucket_of_terms_is_one_row_of_a_stripe(spark, tmp_path):
     assert {r.page for r in index.search("w7x5 w8x299", 5).collect()} == {7, 8} and index.bm25(["apache"]).count() == 200
 
 
+def test_scans_of_blocks_hold_small_row_groups(spark, tmp_path, monkeypatch):
+    """However large a task's file of blocks is, a row group of it is small, and a Parquet page holds few buckets."""
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(segments, "SMALL_BYTES", 0)  # pages are read as they lie
+    pages = spark.range(9000).select(F.col("id").alias("source"), F.concat_ws(" ", F.lit("apache"), *[F.concat(F.lit(f"t{i}x"), F.xxhash64("id", F.lit(i)) % rnd.choice([40, 4_000, 4_000_000])) for i in range(120)]).alias("text"))
+    index = segments.Index(spark, str(tmp_path / "index"))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        index.refresh(pages.coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    (file,) = (tmp_path / "index/segments" / index.state["segments"][0]["id"] / "blocks").glob("*.parquet")
+    found = pq.ParquetFile(file).metadata
+    groups = [found.row_group(i) for i in range(found.num_row_groups)]
+    encoded = [sum(g.column(i).total_uncompressed_size for i in range(g.num_columns)) for g in groups]
+    assert len(groups) > 1 and sum(encoded) > 16 << 20 and max(encoded) <= 16 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"  # as it was
+    assert index.terms().where("term = 'apache'").first().df == 9000
+
+
+def test_a_task_of_blocks_holds_numbers_and_little_of_a_batch(monkeypatch):
+    """Entries of a stripe are kept as numbers, not as texts; stripes end inside batches; all postings come out."""
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    names = ["field", "bucket", "stripe", "terms", "starts", "sizes", "tops", "leasts", "pages", "tfs", "lengths"]
+    at = {f"w{i}": i if i % 3 else [i, 2, i + 40, 1] for i in range(500)}
+    full = {f"w{i}": 1 + i % 4 for i in range(500)}
+    n = 900
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([700] * n), pa.array([90] * n, pa.int32()), pa.array([json.dumps(at)] * n), pa.array([json.dumps(full)] * n)], names=["page", "n", "least", "lexical", "full"])
+    monkeypatch.setattr(segments, "STRIPE_ENTRIES", 350_000)
+    tracemalloc.start()
+    got = list(segments._blocks(names)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20 and len({x for b in got for x in b.column(2).to_pylist()}) == 3
+    for field, length, tf in ((0, 90, lambda i: 1 if i % 3 else 3 if i + 40 < 32 else 2), (1, 700, lambda i: 1 + i % 4)):
+        rows = [r for b in got for r in b.to_pylist() if r["field"] == field]
+        seen = {}
+        for r in rows:
+            assert len(r["pages"]) == len(r["tfs"]) == sum(r["sizes"]) and set(r["lengths"]) == {length}
+            for term, start, k, top in zip(r["terms"], r["starts"], r["sizes"], r["tops"], strict=True):
+                assert segments.bucket(term) == r["bucket"] and top == max(r["tfs"][start : start + k])
+                assert set(r["tfs"][start : start + k]) == {tf(int(term[1:]))}
+                seen.setdefault(term, []).extend(r["pages"][start : start + k])
+        assert len(seen) == 500 and all(sorted(x) == list(range(n)) for x in seen.values())
+
+
+def test_words_of_a_text_are_those_of_its_json(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab_.-é /म\n\x1c7") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    terms = ["a", "ab", "b", "a.b", "a-b", "7", "a_b", "é", "म", "7a", "bb"]
+    read = [segments._read(t, frozenset()) for t in texts]
+    for text, (words, at, full) in zip(texts, read, strict=True):
+        folded = segments.fold(text)
+        assert full == segments.Counter(segments.ALNUM.findall(folded))
+        own = [segments.search_words(x, frozenset()) for x in folded.splitlines()]
+        assert words == [len(x) for x in own] and set(at) == {w for x in own for w in x}
+        for w, lines in at.items():
+            pairs = [(lines, 1)] if isinstance(lines, int) else list(zip(lines[::2], lines[1::2], strict=True))
+            assert pairs == [(i, x.count(w)) for i, x in enumerate(own) if w in x]
+            assert isinstance(lines, int) or len(lines) > 2 or lines[1] > 1
+    df = spark.createDataFrame([(i, segments._json(at), segments._json(full)) for i, (_, at, full) in enumerate(read)], "i int, lexical string, full string")
+    for r in df.select("i", *[segments._value(c, t).alias(f"{c} {t}") for c in ("lexical", "full") for t in terms]).collect():
+        _, at, full = read[r.i]
+        for t in terms:
+            assert (r[f"lexical {t}"] and segments.json.loads(r[f"lexical {t}"])) == at.get(t) and r[f"full {t}"] == (str(full[t]) if t in full else None)
+
+
 def test_words_and_peaks_are_those_of_the_plain_rules():
     rnd = random.Random(3)
     for _ in range(3000):
